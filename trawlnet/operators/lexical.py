@@ -6,6 +6,7 @@ corpus is read once, however many filters the queries use.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,19 +50,23 @@ def year_statistics(
     )
 
 
-def filter_statistics(statistics: DataFrame, filters: DataFrame) -> DataFrame:
+def filter_statistics(statistics: DataFrame, filters: Sequence[Sequence[str]]) -> DataFrame:
     """Year statistics summed per filter: (filter_id, term, n_chunks, n_tokens).
 
-    ``filters`` has (filter_id, years); an empty list keeps every year.
+    ``filters`` are lists of years, numbered from 0; an empty list keeps every year. The
+    driver holds them, so their (filter, year) pairs are small enough to broadcast.
     """
+    spark = statistics.sparkSession
     counted = [F.sum(c).alias(c) for c in ("n_chunks", "n_tokens")]
-    is_open = F.size("years") == 0
-    listed = filters.where(~is_open).select("filter_id", F.explode("years").alias("year"))
+    pairs = [(i, year) for i, years in enumerate(filters) for year in set(years)]
+    open_ids = [i for i, years in enumerate(filters) if not years]
+    listed = F.broadcast(spark.createDataFrame(pairs, "filter_id int, year string"))
     per_list = statistics.join(listed, "year").groupBy("filter_id", "term").agg(*counted)
-    whole = statistics.groupBy("term").agg(*counted)
-    open_ids = filters.where(is_open).agg(F.collect_set("filter_id").alias("ids")).scalar()
-    per_open = whole.select(F.explode(open_ids).alias("filter_id"), "term", "n_chunks", "n_tokens")
-    return per_list.unionByName(per_open)
+    if not open_ids:
+        return per_list
+    ids = F.explode(F.array(*[F.lit(i) for i in open_ids])).alias("filter_id")
+    whole = statistics.groupBy("term").agg(*counted).select(ids, "term", "n_chunks", "n_tokens")
+    return per_list.unionByName(whole) if pairs else whole
 
 
 def raw_idf(n_chunks: Column, frequency: Column) -> Column:
@@ -78,9 +83,13 @@ def corpus_totals(filtered: DataFrame) -> DataFrame:
 
 
 def with_idf(filtered: DataFrame) -> DataFrame:
-    """Add the raw idf of every term; it is negative in more than half of the chunks."""
+    """Add the raw idf of every term; a term in more than half of the chunks is negative.
+
+    The totals are one row per filter and always broadcast: a shuffle on ``filter_id``
+    would send the whole vocabulary of a filter to one task.
+    """
     terms = filtered.where(F.col("term").isNotNull())
-    joined = terms.join(corpus_totals(filtered), "filter_id")
+    joined = terms.join(F.broadcast(corpus_totals(filtered)), "filter_id")
     return joined.withColumn("idf", raw_idf(F.col("corpus_chunks"), F.col("n_chunks")))
 
 
@@ -99,15 +108,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "filter_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def query_weights(queries: DataFrame, filtered: DataFrame, params: Bm25) -> DataFrame:
+def query_weights(asked: DataFrame, filtered: DataFrame, params: Bm25) -> DataFrame:
     """Weight of every query term that the filtered corpus knows: floored idf times qtf.
 
-    A negative idf is replaced by ``epsilon`` times the mean idf of all terms.
+    A negative idf is replaced by ``epsilon`` times the mean idf of all terms. ``asked``
+    are the :func:`query_terms` of one block of queries, bounded by the block size, so
+    they go to the vocabulary and the vocabulary stays where it is.
     """
-    asked = query_terms(queries)
-    known = with_idf(filtered).join(asked, ["filter_id", "term"])
+    known = with_idf(filtered).join(F.broadcast(asked), ["filter_id", "term"])
     means = idf_summary(filtered).select("filter_id", "mean_idf")
     floored = F.when(F.col("idf") < 0, params.epsilon * F.col("mean_idf")).otherwise(F.col("idf"))
-    return known.join(means, "filter_id").select(
+    return known.join(F.broadcast(means), "filter_id").select(
         "query_id", "term", (floored * F.col("qtf")).alias("weight")
     )

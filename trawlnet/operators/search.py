@@ -29,11 +29,11 @@ from trawlnet.sources.scratch import materialize
 
 BLOCK_QUERIES = 512  # queries scored in one scan, and so the bound of what is broadcast
 BROADCAST_ROWS = 200_000  # most top-k keys to broadcast when fetching the chunk texts
-_CELLS = 1 << 22  # entries of one work matrix inside a task
+_CELLS = 1 << 21  # entries of one work matrix inside a task
 _HELD_ROWS = 1 << 18  # candidate rows a task holds before it cuts back to k per query
 
 
-@dataclass
+@dataclass(eq=False)
 class _Group:
     """Queries of a block that share a year filter; one column per query."""
 
@@ -93,9 +93,10 @@ def _add_weights(
     rows = [(i, g.years) for i, g in enumerate(groups)]
     filters = spark.createDataFrame(rows, "filter_id int, years array<string>")
     asked = block.join(F.broadcast(filters), "years")
-    filtered = lexical.filter_statistics(statistics, filters)
+    filtered = lexical.filter_statistics(statistics, [g.years for g in groups])
     totals = {r.filter_id: r.avg_length for r in lexical.corpus_totals(filtered).collect()}
-    weights = lexical.query_weights(asked, filtered, params).toArrow()
+    terms = lexical.query_terms(asked)
+    weights = lexical.query_weights(terms, filtered, params).toArrow()
     for i, group in enumerate(groups):
         group.avg_length = totals.get(i) or 1.0
         column = pc.index_in(weights.column("query_id"), value_set=group.ids)
@@ -177,11 +178,9 @@ def _scan_bounds(corpus: DataFrame, groups: list[_Group], id_type, params: Bm25)
     names = ("dense", "sparse")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, dict[str, np.ndarray]] = {}
-        held: dict[int, _Group] = {}
+        seen: dict[_Group, dict[str, np.ndarray]] = {}
         for group, ids, *scores in _scored(batches, shared.value, params):
-            held[id(group)] = group
-            state = seen.setdefault(id(group), {"n": np.zeros(len(group.ids), dtype=np.int64)})
+            state = seen.setdefault(group, {"n": np.zeros(len(group.ids), dtype=np.int64)})
             state["n"] += len(ids)
             for name, score in zip(names, scores, strict=True):
                 if score is None:
@@ -190,10 +189,10 @@ def _scan_bounds(corpus: DataFrame, groups: list[_Group], id_type, params: Bm25)
                 high = np.fmax.reduce(score, axis=0)
                 state[f"{name}_min"] = np.fmin(state.get(f"{name}_min", low), low)
                 state[f"{name}_max"] = np.fmax(state.get(f"{name}_max", high), high)
-        for key, state in seen.items():
-            empty = np.full(len(held[key].ids), np.nan)
+        for group, state in seen.items():
+            empty = np.full(len(group.ids), np.nan)
             ends = [f"{name}_{end}" for name in names for end in ("min", "max")]
-            arrays = [held[key].ids, pa.array(state["n"])]
+            arrays = [group.ids, pa.array(state["n"])]
             arrays += [pa.array(state.get(end, empty), from_pandas=True) for end in ends]
             yield pa.RecordBatch.from_arrays(arrays, ["query_id", "n_candidates", *ends])
 
