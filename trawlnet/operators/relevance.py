@@ -45,8 +45,8 @@ def _grams(words: Column, n: int) -> Column:
     return F.flatten(per_word)
 
 
-def _kind(name: str, content: Column) -> Column:
-    return F.xxhash64(F.lit(name), content)
+def _hashed(kind: str, contents: Column) -> Column:
+    return F.transform(contents, lambda c: F.xxhash64(F.lit(kind), c))
 
 
 def _longest(items: Column) -> Column:
@@ -83,10 +83,7 @@ def _offers(chunks: DataFrame, kinds: set[str], keep: list[str]) -> DataFrame:
     makers = {"run": lambda w: _runs(w, RUN), "word": lambda w: w}
     makers |= {f"letters{n}": lambda w, n=n: _grams(w, n) for n in (1, 2, 3)}
     split = chunks.select(*keep, _split("chunk").alias("_w"))
-    keys = [
-        F.transform(makers[kind](F.col("_w")), lambda c, kind=kind: _kind(kind, c))
-        for kind in sorted(kinds)
-    ]
+    keys = [_hashed(kind, makers[kind](F.col("_w"))) for kind in sorted(kinds)]
     return split.select(*keep, F.explode(F.array_distinct(F.concat(*keys))).alias("anchor"))
 
 

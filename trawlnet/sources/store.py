@@ -68,6 +68,7 @@ def write_manifest(spark: SparkSession, path: str, model: str, size: int, overla
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Read a manifest; one written as an indented JSON object is fine too."""
+    """Read one manifest, or all below ``path``; indented JSON objects are fine too."""
     schema = T.StructType([STORE_SCHEMA[name] for name in RUN_COLUMNS])
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    reader = spark.read.schema(schema).option("multiLine", True)
+    return reader.option("recursiveFileLookup", True).json(path)
