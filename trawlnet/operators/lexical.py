@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,17 +58,22 @@ def filter_statistics(statistics: DataFrame, filters: Sequence[Sequence[str]]) -
     ``filters`` are lists of years, numbered from 0; an empty list keeps every year. The
     driver holds them, so their (filter, year) pairs are small enough to broadcast.
     """
-    spark = statistics.sparkSession
     counted = [F.sum(c).alias(c) for c in ("n_chunks", "n_tokens")]
+    sums = []
     pairs = [(i, year) for i, years in enumerate(filters) for year in set(years)]
-    open_ids = [i for i, years in enumerate(filters) if not years]
-    listed = F.broadcast(spark.createDataFrame(pairs, "filter_id int, year string"))
-    per_list = statistics.join(listed, "year").groupBy("filter_id", "term").agg(*counted)
-    if not open_ids:
-        return per_list
-    ids = F.explode(F.array(*[F.lit(i) for i in open_ids])).alias("filter_id")
-    whole = statistics.groupBy("term").agg(*counted).select(ids, "term", "n_chunks", "n_tokens")
-    return per_list.unionByName(whole) if pairs else whole
+    if pairs:
+        ids, years = zip(*pairs, strict=True)
+        listed = pa.table({"filter_id": pa.array(ids, pa.int32()), "year": pa.array(years)})
+        per_year = statistics.join(
+            F.broadcast(statistics.sparkSession.createDataFrame(listed)), "year"
+        )
+        sums.append(per_year.groupBy("filter_id", "term").agg(*counted))
+    open_ids = [F.lit(i) for i, years in enumerate(filters) if not years]
+    if open_ids or not pairs:
+        whole = statistics.groupBy("term").agg(*counted)
+        each = F.explode(F.array(*open_ids).cast("array<int>")).alias("filter_id")
+        sums.append(whole.select(each, "term", "n_chunks", "n_tokens"))
+    return reduce(DataFrame.unionByName, sums)
 
 
 def raw_idf(n_chunks: Column, frequency: Column) -> Column:
@@ -82,21 +89,22 @@ def corpus_totals(filtered: DataFrame) -> DataFrame:
     )
 
 
-def with_idf(filtered: DataFrame) -> DataFrame:
+def with_idf(filtered: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Add the raw idf of every term; a term in more than half of the chunks is negative.
 
     The totals are one row per filter and always broadcast: a shuffle on ``filter_id``
     would send the whole vocabulary of a filter to one task.
     """
     terms = filtered.where(F.col("term").isNotNull())
-    joined = terms.join(F.broadcast(corpus_totals(filtered)), "filter_id")
+    per_filter = corpus_totals(filtered) if totals is None else totals
+    joined = terms.join(F.broadcast(per_filter), "filter_id")
     return joined.withColumn("idf", raw_idf(F.col("corpus_chunks"), F.col("n_chunks")))
 
 
-def idf_summary(filtered: DataFrame) -> DataFrame:
+def idf_summary(filtered: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Per filter: chunks, mean length, number of terms, mean raw idf over all terms."""
     return (
-        with_idf(filtered)
+        with_idf(filtered, totals)
         .groupBy("filter_id", "corpus_chunks", "avg_length")
         .agg(F.count(F.lit(1)).alias("n_terms"), F.avg("idf").alias("mean_idf"))
     )
@@ -108,15 +116,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "filter_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def query_weights(asked: DataFrame, filtered: DataFrame, params: Bm25) -> DataFrame:
+def query_weights(
+    asked: DataFrame, filtered: DataFrame, params: Bm25, totals: DataFrame | None = None
+) -> DataFrame:
     """Weight of every query term that the filtered corpus knows: floored idf times qtf.
 
     A negative idf is replaced by ``epsilon`` times the mean idf of all terms. ``asked``
     are the :func:`query_terms` of one block of queries, bounded by the block size, so
     they go to the vocabulary and the vocabulary stays where it is.
     """
-    known = with_idf(filtered).join(F.broadcast(asked), ["filter_id", "term"])
-    means = idf_summary(filtered).select("filter_id", "mean_idf")
+    known = with_idf(filtered, totals).join(F.broadcast(asked), ["filter_id", "term"])
+    means = idf_summary(filtered, totals).select("filter_id", "mean_idf")
     floored = F.when(F.col("idf") < 0, params.epsilon * F.col("mean_idf")).otherwise(F.col("idf"))
     return known.join(F.broadcast(means), "filter_id").select(
         "query_id", "term", (floored * F.col("qtf")).alias("weight")

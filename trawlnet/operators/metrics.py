@@ -31,18 +31,22 @@ def recall_per_query(
     into many chunks counts once and is shuffled once per task.
     """
     texts = relevant.select("query_id", "text_key").distinct()
-    n_relevant = texts.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
-    got = retrieved.select("query_id", "alpha", "text_key").distinct()
-    hits = got.join(texts, ["query_id", "text_key"], "left_semi")
-    n_hits = hits.groupBy("query_id", "alpha").agg(F.count(F.lit(1)).alias("n_hits"))
-    joined = (
-        _frame(gold, alphas)
-        .join(n_relevant, "query_id", "left")
-        .join(n_hits, ["query_id", "alpha"], "left")
-        .na.fill(0, ["n_relevant", "n_hits"])
+    found = retrieved.groupBy("query_id", "text_key").agg(F.collect_set("alpha").alias("found_by"))
+    marked = texts.join(found, ["query_id", "text_key"], "left")
+    hits = [F.count_if(F.array_contains("found_by", float(a))) for a in alphas]
+    totals = marked.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_relevant"),
+        F.map_from_arrays(F.array(*[F.lit(float(a)) for a in alphas]), F.array(*hits)).alias("hits"),
+    )
+    joined = _frame(gold, alphas).join(totals, "query_id", "left")
+    counted = joined.select(
+        "query_id",
+        "alpha",
+        F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"),
+        F.coalesce(F.col("hits")[F.col("alpha")], F.lit(0)).alias("n_hits"),
     )
     share = F.try_divide(F.col("n_hits"), F.col("n_relevant"))
-    return joined.withColumn("recall", F.coalesce(share, F.lit(0.0)))
+    return counted.withColumn("recall", F.coalesce(share, F.lit(0.0)))
 
 
 def reciprocal_rank_per_query(

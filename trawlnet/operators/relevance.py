@@ -1,11 +1,11 @@
-"""Which chunks contain a golden passage, by equi-joins instead of a nested loop.
-
-A passage that occurs in a chunk brings its inner tokens along whole: they stand between
-whitespace on both sides. So each passage is looked up by one *anchor* made of inner
-tokens, the chunk offers all its possible anchors, and only the pairs that meet are
-checked with ``contains``. Passages too short for an inner token are looked up by the
-first letters of their longest token. Every non-blank passage has exactly one anchor, so
-the result is exact and no pair comes twice.
+"""Which chunks contain a golden passage, by an equi-join instead of a nested loop.
+
+A passage that occurs in a chunk brings its inner words along whole: they stand between
+whitespace on both sides. So each passage is looked up by one *anchor*, its longest inner
+word; the chunk offers all its words, and only pairs that meet are checked with
+``contains``. A passage without an inner word is looked up by the first letters of its
+longest word, and then the chunk offers all runs of that many letters. Every non-blank
+passage has exactly one anchor, so the result is exact and no pair comes twice.
 """
 
 from __future__ import annotations
@@ -15,25 +15,11 @@ from pyspark.sql import functions as F
 
 from trawlnet.functions import text
 
-RUN = 4  # inner tokens in the anchor of a long passage
 BROADCAST_PASSAGES = 50_000  # passages, and
 BROADCAST_CHARS = 64 << 20  # characters in all of them, up to which they are broadcast
 
 
-def _split(col: str) -> Column:
-    """Tokens in their own case; ``contains`` is case-sensitive."""
-    trimmed = text.strip(F.coalesce(F.col(col), F.lit("")))
-    return F.split(trimmed, f"[{text.WHITESPACE}]+")
-
-
-def _runs(words: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring words; none if there are fewer."""
-    last = F.size(words) - n + 1
-    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.concat_ws(" ", F.slice(words, i, n)))
-
-
-def _grams(words: Column, n: int) -> Column:
+def _letter_runs(words: Column, n: int) -> Column:
     """All runs of ``n`` letters inside the words."""
     long_enough = F.filter(F.array_distinct(words), lambda w: F.length(w) >= n)
     per_word = F.transform(
@@ -45,46 +31,37 @@ def _grams(words: Column, n: int) -> Column:
     return F.flatten(per_word)
 
 
-def _hashed(kind: str, contents: Column) -> Column:
-    return F.transform(contents, lambda c: F.xxhash64(F.lit(kind), c))
-
-
-def _longest(items: Column) -> Column:
-    """The longest item, as the one likely to be rare."""
-    sized = F.transform(items, lambda w: F.struct(F.length(w).alias("length"), w.alias("w")))
+def _longest(words: str) -> Column:
+    """The longest word, as the one likely to be rare."""
+    sized = F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     return F.array_max(sized)["w"]
 
 
 def anchors(gold: DataFrame) -> DataFrame:
-    """(query_id, full_sentence, kind, anchor) for every passage that is not blank."""
-    words = _split("full_sentence")
-    parts = gold.select("query_id", "full_sentence", words.alias("w")).where(
-        text.strip("full_sentence") != ""
-    )
-    inner = F.slice("w", 2, F.size("w") - 2)
-    long, middle = F.size("w") >= RUN + 2, F.size("w") >= 3
-    letters = F.least(F.length(_longest(F.col("w"))), F.lit(3))
-    parts = parts.withColumns(
-        {
-            "kind": F.when(long, "run").when(middle, "word").otherwise(
-                F.concat(F.lit("letters"), letters.cast("string"))
-            ),
-            "content": F.when(long, _longest(_runs(inner, RUN)))
-            .when(middle, _longest(inner))
-            .otherwise(F.substring(_longest(F.col("w")), F.lit(1), letters)),
-        }
+    """(query_id, full_sentence, letters, anchor) for every passage that is not blank.
+
+    ``letters`` is 0 where the anchor is a whole word, else its length.
+    """
+    words = text.words("full_sentence")
+    parts = gold.select("query_id", "full_sentence", words.alias("w")).where(F.size("w") > 0)
+    parts = parts.withColumn("inner", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
+    short = F.substring(_longest("w"), 1, 3)
+    inner = _longest("inner")
+    return parts.select(
+        "query_id",
+        "full_sentence",
+        F.when(inner.isNotNull(), 0).otherwise(F.length(short)).alias("letters"),
+        F.coalesce(inner, short).alias("anchor"),
     )
-    anchor = F.xxhash64("kind", "content").alias("anchor")
-    return parts.select("query_id", "full_sentence", "kind", anchor)
 
 
-def _offers(chunks: DataFrame, kinds: set[str], keep: list[str]) -> DataFrame:
+def _offers(chunks: DataFrame, letters: list[int], keep: list[str]) -> DataFrame:
     """One row per chunk and distinct anchor it can answer to."""
-    makers = {"run": lambda w: _runs(w, RUN), "word": lambda w: w}
-    makers |= {f"letters{n}": lambda w, n=n: _grams(w, n) for n in (1, 2, 3)}
-    split = chunks.select(*keep, _split("chunk").alias("_w"))
-    keys = [_hashed(kind, makers[kind](F.col("_w"))) for kind in sorted(kinds)]
-    return split.select(*keep, F.explode(F.array_distinct(F.concat(*keys))).alias("anchor"))
+    split = chunks.select(*keep, text.words("chunk").alias("_w"))
+    words = F.col("_w")
+    runs = [_letter_runs(words, n) for n in letters if n]
+    keys = F.array_distinct(F.concat(words, *runs) if runs else words)
+    return split.select(*keep, F.explode(keys).alias("anchor"))
 
 
 def containing_chunks(gold: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -92,23 +69,23 @@ def containing_chunks(gold: DataFrame, chunks: DataFrame) -> DataFrame:
 
     A blank passage is contained in nothing. The number and length of the passages are
     checked first. A set within the bounds is broadcast and the whole search is narrow;
-    beyond them, chunk keys without their texts are joined by shuffle, and only chunks
-    that meet an anchor are read again for the check.
+    beyond them, words without their texts are joined by shuffle, and only chunks that
+    meet an anchor are read again for the check.
     """
     wanted = anchors(gold)
     size = wanted.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.length("full_sentence")).alias("chars"),
-        F.collect_set("kind").alias("kinds"),
+        F.collect_set("letters").alias("letters"),
     ).first()
-    kinds = set(size.kinds) or {"run"}
+    letters = sorted(size.letters)
     contains = F.contains(F.col("chunk"), F.col("full_sentence"))
     found = ["query_id", "chunk_id", text.text_key("chunk").alias("text_key")]
     if size.n <= BROADCAST_PASSAGES and (size.chars or 0) <= BROADCAST_CHARS:
-        offers = _offers(chunks, kinds, ["chunk_id", "chunk"])
-        met = offers.join(F.broadcast(wanted.drop("kind")), "anchor")
+        offers = _offers(chunks, letters, ["chunk_id", "chunk"])
+        met = offers.join(F.broadcast(wanted.drop("letters")), "anchor")
         return met.where(contains).select(*found)
-    offers = _offers(chunks, kinds, ["chunk_id"])
+    offers = _offers(chunks, letters, ["chunk_id"])
     pairs = offers.join(wanted.select("query_id", "anchor"), "anchor").drop("anchor")
     texts = chunks.select("chunk_id", "chunk").join(pairs, "chunk_id")
     passages = wanted.select("query_id", "full_sentence")

@@ -60,24 +60,32 @@ def canonical_years(queries: DataFrame) -> DataFrame:
     return queries.withColumn("years", F.array_sort(F.array_distinct(years)))
 
 
-def _blocks(queries: DataFrame) -> Iterator[DataFrame]:
-    """Cut the queries into blocks of about ``BLOCK_QUERIES`` rows by a hash of their id."""
+def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
+    """Bring the queries to the driver in blocks of about ``BLOCK_QUERIES`` rows.
+
+    Few queries are one block, read with a limit that proves it. More are cut by a hash
+    of their id, and only one block is held at a time.
+    """
+    head = queries.limit(BLOCK_QUERIES + 1).toArrow()
+    if head.num_rows <= BLOCK_QUERIES:
+        if head.num_rows:
+            yield head
+        return
     n_blocks = -(-queries.count() // BLOCK_QUERIES)
     for block in range(n_blocks):
         here = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block
-        yield queries.where(here) if n_blocks > 1 else queries
+        table = queries.where(here).toArrow()
+        if table.num_rows:
+            yield table
 
 
-def _groups(block: DataFrame, dense: bool) -> list[_Group]:
-    """Bring one block of queries to the driver, grouped by filter."""
-    columns = ["query_id", "years"] + (["vector"] if dense else [])
-    table = block.select(*columns).toArrow()
+def _groups(block: pa.Table, dense: bool) -> list[_Group]:
     places: dict[tuple[str, ...], list[int]] = {}
-    for place, years in enumerate(table.column("years").to_pylist()):
+    for place, years in enumerate(block.column("years").to_pylist()):
         places.setdefault(tuple(years), []).append(place)
     groups = []
     for years, rows in sorted(places.items()):
-        part = table.take(rows)
+        part = block.take(rows)
         group = _Group(list(years), part.column("query_id").combine_chunks())
         if dense:
             group.vectors = _unit_rows(np.array(part.column("vector").to_pylist(), dtype=float)).T
@@ -86,19 +94,23 @@ def _groups(block: DataFrame, dense: bool) -> list[_Group]:
 
 
 def _add_weights(
-    block: DataFrame, groups: list[_Group], statistics: DataFrame, params: Bm25
+    block: pa.Table, groups: list[_Group], statistics: DataFrame, params: Bm25
 ) -> None:
     """Compute the BM25 term weights of a block in Spark and place them in its groups."""
-    spark = block.sparkSession
-    rows = [(i, g.years) for i, g in enumerate(groups)]
-    filters = spark.createDataFrame(rows, "filter_id int, years array<string>")
-    asked = block.join(F.broadcast(filters), "years")
+    spark = statistics.sparkSession
+    number = {tuple(g.years): i for i, g in enumerate(groups)}
+    ids = [number[tuple(years)] for years in block.column("years").to_pylist()]
+    numbered = block.select(["query_id", "prompt"]).append_column(
+        "filter_id", pa.array(ids, pa.int32())
+    )
     filtered = lexical.filter_statistics(statistics, [g.years for g in groups])
-    totals = {r.filter_id: r.avg_length for r in lexical.corpus_totals(filtered).collect()}
-    terms = lexical.query_terms(asked)
-    weights = lexical.query_weights(terms, filtered, params).toArrow()
+    totals = lexical.corpus_totals(filtered).toArrow()
+    terms = lexical.query_terms(spark.createDataFrame(numbered))
+    local_totals = spark.createDataFrame(totals)
+    weights = lexical.query_weights(terms, filtered, params, local_totals).toArrow()
+    lengths = dict(zip(*(totals.column(c).to_pylist() for c in ("filter_id", "avg_length"))))
     for i, group in enumerate(groups):
-        group.avg_length = totals.get(i) or 1.0
+        group.avg_length = lengths.get(i) or 1.0
         column = pc.index_in(weights.column("query_id"), value_set=group.ids)
         mine = weights.append_column("column", column).filter(pc.is_valid(column))
         encoded = mine.column("term").combine_chunks().dictionary_encode()
@@ -316,7 +328,8 @@ def _run(
     finish: Callable[[DataFrame, list[_Group]], DataFrame],
 ) -> DataFrame:
     """Prepare each block of queries, hand it to ``finish``, and union the results."""
-    asked = canonical_years(queries)
+    needed = ["query_id", "years"] + ["vector"] * dense + ["prompt"] * sparse
+    asked = canonical_years(queries).select(*needed)
     if sparse and statistics is None:
         if "year" not in chunks.columns:
             chunks = chunks.withColumn("year", F.lit(None).cast("string"))

@@ -62,9 +62,9 @@ def read_store(
 
 
 def write_manifest(spark: SparkSession, path: str, model: str, size: int, overlap: int) -> None:
-    schema = T.StructType([STORE_SCHEMA[name] for name in RUN_COLUMNS])
-    row = spark.createDataFrame([(model, size, overlap)], schema)
-    row.coalesce(1).write.mode("overwrite").json(path)
+    values = zip(RUN_COLUMNS, (model, size, overlap), strict=True)
+    row = spark.range(1, numPartitions=1).select(*[F.lit(v).alias(name) for name, v in values])
+    row.write.mode("overwrite").json(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

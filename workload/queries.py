@@ -19,13 +19,12 @@ from trawlnet.plans import evaluate as evaluation
 from trawlnet.plans.index import build_index
 from trawlnet.sources import golden, runs, splits, store
 from trawlnet.sources.scan import scan, spread_small
-from trawlnet.sources.scratch import scratch_path
+from trawlnet.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 ALPHAS = (0.0, 0.5, 1.0)
 K = 10
-ANY_SPACE = f"[{text.WHITESPACE}]+"
 _registry: dict[str, Query] = {}
 
 
@@ -158,7 +157,7 @@ def store_roundtrip(spark, sf_dir):
     model = embed.hashing_model(16)
     build_index(wide, base, model, "hashing-16", sections=sections, overlap=0)
     rows = store.read_store(spark, f"{base}/store", model="hashing-16", size=2000, overlap=0)
-    bare = F.regexp_replace("chunk", ANY_SPACE, "")
+    bare = F.regexp_replace("chunk", text.SPACES, "")
     norm = vector.l2_norm(F.col("embedding"))
     per_year = rows.groupBy("year", "section", *store.RUN_COLUMNS).agg(
         F.count_distinct("cik").alias("n_docs"),
@@ -333,7 +332,7 @@ def chunk_properties(spark, sf_dir):
     parts = documents(spark, sf_dir).select("doc_id", "n_chars", whole.alias("w"), apart.alias("a"))
     only = F.when((F.col("n_chars") < 2000) & (F.size("w") == 1), F.md5(F.col("w")[0]))
     longest = F.array_max(F.transform("w", F.length))
-    bare = F.regexp_replace(F.array_join("a", ""), ANY_SPACE, "")
+    bare = F.regexp_replace(F.array_join("a", ""), text.SPACES, "")
     return parts.select(
         "doc_id",
         (longest <= 2000).alias("fits"),
@@ -403,7 +402,7 @@ def term_stats(spark, sf_dir):
 
 @query
 def corpus_stats(spark, sf_dir):
-    stats = lexical.year_statistics(corpus(spark, sf_dir))
+    stats = materialize(lexical.year_statistics(corpus(spark, sf_dir)), "term-statistics")
     filters = [[], ["en"], ["en", "fr"]]
     summary = lexical.idf_summary(lexical.filter_statistics(stats, filters))
     return summary.select(
