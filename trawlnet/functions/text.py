@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 # before the rarer code points are tried, which makes splitting twice as fast.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
-    "            "
-    "    　"
+    "\u1680\u2000\u2001\u2002\u2003\u2004"
+    "\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 SPACES = (
     r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0"
-    r"[ -　&&[  -     　]]]+"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]]+"
 )
 
 # One quoted item of a printed list, single or double quotes, backslash escapes allowed.

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawlnet.operators.joins import bounded
+
 # Section columns of a raw filing.
 SECTIONS = (
     "section_1",
@@ -66,6 +68,7 @@ def lookup(df: DataFrame, **values: str) -> DataFrame:
 def lookup_many(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose key occurs in ``keys``; the join columns are all columns of ``keys``.
 
-    The keys are made distinct first, so a key that is asked for often is shuffled once.
+    Few keys are broadcast, so that the rows stay where they are even if one key holds
+    many of them; more keys are joined by shuffle.
     """
-    return df.join(keys.distinct(), keys.columns, "left_semi")
+    return df.join(bounded(keys.distinct()), keys.columns, "left_semi")

@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Model = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -20,30 +21,25 @@ def embed(
     column: str = "chunk",
     batch_size: int = 8,
     output: str = "embedding",
-    partitions: int | None = None,
 ) -> DataFrame:
-    """Add one vector per row; the model sees ``batch_size`` texts per call.
+    """Add one vector per row; the model sees up to ``batch_size`` texts per call.
 
     ``make_model`` runs once per task, so clients and weights are made on the executor.
-    Rows stay where they are unless ``partitions`` asks for an even spread, which pays
-    when model calls are dear and a few documents make most of the chunks.
+    Only the text goes to Python; the other columns wait on the JVM side. Rows keep their
+    order and place.
     """
-    source = df.repartition(partitions) if partitions else df
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType()))]
-    )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make_model()
-        for frame in frames:
-            texts = frame[column].tolist()
-            vectors: list[np.ndarray] = []
+        for texts in batches:
+            rows: list[np.ndarray] = []
             for start in range(0, len(texts), batch_size):
-                answer = model(texts[start : start + batch_size])
-                vectors.extend(np.asarray(v, dtype=np.float64) for v in answer)
-            yield frame.assign(**{output: vectors})
+                answer = model(texts.iloc[start : start + batch_size].tolist())
+                rows.extend(np.asarray(v, dtype=np.float64) for v in answer)
+            yield pd.Series(rows, dtype=object)
 
-    return source.mapInPandas(run, schema)
+    return df.withColumn(output, vectors(F.col(column)))
 
 
 def hashing_model(dim: int = 64) -> Callable[[], Model]:

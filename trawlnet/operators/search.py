@@ -24,11 +24,11 @@ from pyspark.sql import types as T
 
 from trawlnet.functions import text
 from trawlnet.operators import lexical, ranking
+from trawlnet.operators.joins import BROADCAST_ROWS
 from trawlnet.operators.lexical import Bm25
 from trawlnet.sources.scratch import materialize
 
 BLOCK_QUERIES = 512  # queries scored in one scan, and so the bound of what is broadcast
-BROADCAST_ROWS = 200_000  # most top-k keys to broadcast when fetching the chunk texts
 _CELLS = 1 << 21  # entries of one work matrix inside a task
 _HELD_ROWS = 1 << 18  # candidate rows a task holds before it cuts back to k per query
 

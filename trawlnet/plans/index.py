@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from trawlnet.operators.chunk import OVERLAP, SIZE, chunk
 from trawlnet.operators.clean import SECTIONS, clean_sections, entity, unpivot_sections
 from trawlnet.operators.embed import Model, embed
-from trawlnet.sources.store import write_manifest, write_store
+from trawlnet.sources.store import gather_by_year, write_manifest, write_store
 
 
 def build_index(
@@ -22,17 +22,16 @@ def build_index(
     size: int = SIZE,
     overlap: int = OVERLAP,
     batch_size: int = 8,
-    partitions: int | None = None,
 ) -> None:
     """Clean, chunk, embed and store wide documents (cik, year, section columns).
 
-    Everything up to the write is narrow. The filters run before the chunker, and the
-    only exchange is the one that gathers each year into few files.
+    The filters run before the chunker. The only exchange gathers the chunks by year; it
+    comes before the embedding, so it moves texts and not the far larger vectors.
     """
     wide = documents if key is None else entity(documents, key)
     sections_long = clean_sections(unpivot_sections(wide, sections=sections))
     chunks = chunk(sections_long, size=size, overlap=overlap)
-    embedded = embed(chunks, make_model, batch_size=batch_size, partitions=partitions)
+    embedded = embed(gather_by_year(chunks), make_model, batch_size=batch_size)
     write_store(embedded, f"{base}/store", model_name, size, overlap)
     info = f"{base}/info/config_{model_name}_{size}_{overlap}"
     write_manifest(documents.sparkSession, info, model_name, size, overlap)

@@ -28,20 +28,28 @@ def write_store(
 ) -> None:
     """Replace the partitions of this run, leave other runs alone.
 
-    The rebalance hint gathers each year into few files and lets AQE cut a year that
-    holds much of the corpus into several even ones.
+    Rows are written by the tasks that hold them. Gather them by year before the vectors
+    are added (:func:`gather_by_year`), or each task writes a small file per year.
     """
     settings = zip(RUN_COLUMNS, (F.lit(model), F.lit(size), F.lit(overlap)), strict=True)
     stamped = chunks.withColumns(dict(settings)).select(STORE_SCHEMA.fieldNames())
     (
-        stamped.hint("rebalance", "year")
-        .write.mode("overwrite")
+        stamped.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*RUN_COLUMNS, "year")
         .parquet(base)
     )
 
 
+def gather_by_year(chunks: DataFrame) -> DataFrame:
+    """Bring the chunks of a year together in even partitions.
+
+    AQE cuts a year that holds much of the corpus into several partitions and merges
+    small years, so the files come out even and so do the model calls of the embedding.
+    """
+    return chunks.hint("rebalance", "year")
+
+
 def read_store(
     spark: SparkSession,
     base: str,
