@@ -87,5 +87,9 @@ def same_set(left: Column | str, right: Column | str) -> Column:
 
 
 def text_key(col: Column | str) -> Column:
-    """Fixed-width identity of a text, so that joins need not carry the text itself."""
-    return F.sha2(_column(col), 256)
+    """Fixed-width identity of a text, so that joins need not carry the text itself.
+
+    Never NULL: a join on a nullable key would make the optimiser test the digest of
+    every chunk for NULL before it has picked the few that are asked for.
+    """
+    return F.coalesce(F.sha2(_column(col), 256), F.lit(""))

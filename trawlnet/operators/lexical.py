@@ -45,7 +45,8 @@ def year_statistics(
     """
     words = chunks.select(F.col(year).cast("string").alias("year"), text.tokens(column).alias("t"))
     terms = F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))
-    rows = words.select("year", F.size("t").alias("length"), F.explode(terms).alias("term"))
+    arrays = words.select("year", F.size("t").alias("length"), terms.alias("terms"))
+    rows = arrays.select("year", "length", F.explode("terms").alias("term"))
     own_length = F.when(F.col("term").isNull(), F.col("length")).otherwise(0)
     return rows.groupBy("year", "term").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum(own_length).alias("n_tokens")

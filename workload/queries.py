@@ -7,10 +7,12 @@ the questions and their golden passages, ``embeddings`` the vectors of both.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawlnet.deploy import ship
 from trawlnet.functions import text, vector
 from trawlnet.operators import chunk as chunking
 from trawlnet.operators import clean, context, embed, lexical, metrics, profile, search
@@ -29,8 +31,15 @@ _registry: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    _registry[fn.__name__] = fn
-    return fn
+    """Register ``fn`` under its name; the workers get the package before it runs."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    _registry[fn.__name__] = run
+    return run
 
 
 def registered() -> dict[str, Query]:
