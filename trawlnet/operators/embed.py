@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,6 +41,22 @@ def embed(
     return df.withColumn(output, vectors(F.col(column)))
 
 
+class _Places(dict):
+    """Token to its place among ``2 * dim``: the second half counts negatively."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()
+        negative = int(digest[8], 16) >= 8
+        place = self[token] = int(digest[:8], 16) % self.dim + self.dim * negative
+        return place
+
+
 def hashing_model(dim: int = 64) -> Callable[[], Model]:
     """A model that needs no service: signed feature hashing of lower-cased tokens.
 
@@ -50,20 +65,14 @@ def hashing_model(dim: int = 64) -> Callable[[], Model]:
     """
 
     def make() -> Model:
-        @lru_cache(maxsize=1 << 16)
-        def place(token: str) -> tuple[int, int]:
-            digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()
-            return int(digest[:8], 16) % dim, 1 if int(digest[8], 16) < 8 else -1
-
-        def model(texts: Sequence[str]) -> np.ndarray:
-            vectors = np.zeros((len(texts), dim))
-            for row, text in enumerate(texts):
-                for token in (text or "").lower().split():
-                    position, sign = place(token)
-                    vectors[row, position] += sign
-            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            return np.divide(vectors, norms, out=vectors, where=norms > 0)
-
-        return model
+        places = _Places(dim)
+
+        def vector(text: str | None) -> np.ndarray:
+            codes = [places[token] for token in (text or "").lower().split()]
+            counts = np.bincount(codes, minlength=2 * dim) if codes else np.zeros(2 * dim)
+            total = (counts[:dim] - counts[dim:]).astype(np.float64)
+            return total / (np.linalg.norm(total) or 1.0)
+
+        return lambda texts: [vector(text) for text in texts]
 
     return make

@@ -1,4 +1,4 @@
-"""Corpus statistics and BM25 term weights, all as grouped aggregates and equi-joins.
+"""Corpus statistics and BM25 term weights, as grouped aggregates and equi-joins.
 
 Statistics are kept per year, so that any year filter is a sum over years and the
 corpus is read once, however many filters the queries use.
@@ -6,15 +6,17 @@ corpus is read once, however many filters the queries use.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlnet.functions import text
+from trawlnet.functions.batches import split_words
 
 
 @dataclass(frozen=True)
@@ -33,23 +35,55 @@ def term_counts(chunks: DataFrame, key: str = "chunk_id", column: str = "chunk")
     return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _count_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Chunks per (year, term) in one batch, and for each year a row with term NULL."""
+    flat, lengths = split_words(batch.column("text"))
+    words = flat.dictionary_encode()
+    years = batch.column("year").dictionary_encode(null_encoding="encode")
+    year = years.indices.to_numpy()
+    width = len(words.dictionary) + 1  # the last place stands for the whole year
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    cells = np.sort(row * width + words.indices.to_numpy(), kind="stable")
+    first = np.ones(len(cells), dtype=bool)
+    first[1:] = cells[1:] != cells[:-1]
+    row, term = np.divmod(cells[first], width)
+    pairs = np.concatenate([year[row].astype(np.int64) * width + term, year * width + width - 1])
+    pairs, n_chunks = np.unique(pairs, return_counts=True)
+    place, term = np.divmod(pairs, width)
+    whole = term == width - 1
+    n_tokens = np.zeros(len(pairs), dtype=np.int64)
+    n_tokens[whole] = np.bincount(year, weights=lengths).astype(np.int64)
+    terms = pa.array(term, mask=whole)
+    columns = [
+        years.dictionary.take(pa.array(place)),
+        words.dictionary.cast(pa.string()).take(terms),
+        pa.array(n_chunks),
+        pa.array(n_tokens),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["year", "term", "n_chunks", "n_tokens"])
+
+
 def year_statistics(
     chunks: DataFrame, column: str = "chunk", year: str = "year"
 ) -> DataFrame:
     """Rows (year, term, n_chunks, n_tokens); term NULL stands for the whole year.
 
     For a term ``n_chunks`` is its document frequency. The NULL row holds the number of
-    chunks and of tokens of the year, so one scan and one shuffle give everything.
-    Terms are made distinct inside the row and counted before the shuffle; a stop word
-    or a year that holds much of the corpus arrives as one row per task.
+    chunks and of tokens of the year, so one scan and one shuffle give everything. Terms
+    are counted per Arrow batch and again per task before the shuffle: a stop word or a
+    year that holds much of the corpus arrives as one row per task.
     """
-    words = chunks.select(F.col(year).cast("string").alias("year"), text.tokens(column).alias("t"))
-    terms = F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))
-    arrays = words.select("year", F.size("t").alias("length"), terms.alias("terms"))
-    rows = arrays.select("year", "length", F.explode("terms").alias("term"))
-    own_length = F.when(F.col("term").isNull(), F.col("length")).otherwise(0)
-    return rows.groupBy("year", "term").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.sum(own_length).alias("n_tokens")
+    rows = chunks.select(
+        F.col(year).cast("string").alias("year"), F.lower(F.col(column)).alias("text")
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (_count_batch(batch) for batch in batches if batch.num_rows)
+
+    schema = "year string, term string, n_chunks long, n_tokens long"
+    counted = rows.mapInArrow(count, schema)
+    return counted.groupBy("year", "term").agg(
+        F.sum("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")
     )
 
 

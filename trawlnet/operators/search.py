@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawlnet.functions import text
+from trawlnet.functions.batches import split_words
 from trawlnet.operators import lexical, ranking
 from trawlnet.operators.joins import BROADCAST_ROWS
 from trawlnet.operators.lexical import Bm25
@@ -40,8 +41,8 @@ class _Group:
     years: list[str]
     ids: pa.Array
     vectors: np.ndarray | None = None
-    vocabulary: pa.Array | None = None
-    weights: np.ndarray | None = None
+    weights: np.ndarray | None = None  # terms down, queries across
+    places: np.ndarray | None = None  # row in ``weights`` of each word of the block, or -1
     avg_length: float = 1.0
     bounds: dict[str, np.ndarray] = field(default_factory=dict)
 
@@ -52,6 +53,14 @@ class _Group:
         return batch.filter(wanted)
 
 
+@dataclass(eq=False)
+class _Block:
+    """What one scan takes to the tasks."""
+
+    groups: list[_Group]
+    vocabulary: pa.Array | None = None
+
+
 def canonical_years(queries: DataFrame) -> DataFrame:
     """Give every query a sorted, distinct, never NULL list of years."""
     if "years" not in queries.columns:
@@ -79,28 +88,26 @@ def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
             yield table
 
 
-def _groups(block: pa.Table, dense: bool) -> list[_Group]:
+def _grouped(rows: pa.Table, dense: bool) -> _Block:
     places: dict[tuple[str, ...], list[int]] = {}
-    for place, years in enumerate(block.column("years").to_pylist()):
+    for place, years in enumerate(rows.column("years").to_pylist()):
         places.setdefault(tuple(years), []).append(place)
     groups = []
-    for years, rows in sorted(places.items()):
-        part = block.take(rows)
+    for years, members in sorted(places.items()):
+        part = rows.take(members)
         group = _Group(list(years), part.column("query_id").combine_chunks())
         if dense:
             group.vectors = _unit_rows(np.array(part.column("vector").to_pylist(), dtype=float)).T
         groups.append(group)
-    return groups
+    return _Block(groups)
 
 
-def _add_weights(
-    block: pa.Table, groups: list[_Group], statistics: DataFrame, params: Bm25
-) -> None:
+def _add_weights(rows: pa.Table, block: _Block, statistics: DataFrame, params: Bm25) -> None:
     """Compute the BM25 term weights of a block in Spark and place them in its groups."""
-    spark = statistics.sparkSession
+    spark, groups = statistics.sparkSession, block.groups
     number = {tuple(g.years): i for i, g in enumerate(groups)}
-    ids = [number[tuple(years)] for years in block.column("years").to_pylist()]
-    numbered = block.select(["query_id", "prompt"]).append_column(
+    ids = [number[tuple(years)] for years in rows.column("years").to_pylist()]
+    numbered = rows.select(["query_id", "prompt"]).append_column(
         "filter_id", pa.array(ids, pa.int32())
     )
     filtered = lexical.filter_statistics(statistics, [g.years for g in groups])
@@ -109,15 +116,18 @@ def _add_weights(
     local_totals = spark.createDataFrame(totals)
     weights = lexical.query_weights(terms, filtered, params, local_totals).toArrow()
     lengths = dict(zip(*(totals.column(c).to_pylist() for c in ("filter_id", "avg_length"))))
+    words = weights.column("term").combine_chunks().dictionary_encode()
+    block.vocabulary = words.dictionary
     for i, group in enumerate(groups):
         group.avg_length = lengths.get(i) or 1.0
         column = pc.index_in(weights.column("query_id"), value_set=group.ids)
-        mine = weights.append_column("column", column).filter(pc.is_valid(column))
-        encoded = mine.column("term").combine_chunks().dictionary_encode()
-        group.vocabulary = encoded.dictionary
-        group.weights = np.zeros((len(encoded.dictionary), len(group.ids)))
-        places = encoded.indices.to_numpy(), mine.column("column").to_numpy()
-        group.weights[places] = mine.column("weight").to_numpy()
+        mine = column.is_valid().to_numpy()
+        word = words.indices.to_numpy()[mine]
+        known, place = np.unique(word, return_inverse=True)
+        group.places = np.full(len(block.vocabulary) + 1, -1)
+        group.places[known] = np.arange(len(known))
+        group.weights = np.zeros((len(known), len(group.ids)))
+        group.weights[place, column.drop_null().to_numpy()] = weights.column("weight").to_numpy()[mine]
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -135,17 +145,23 @@ def _dense(batch: pa.RecordBatch, group: _Group) -> np.ndarray:
     return _unit_rows(matrix) @ group.vectors
 
 
+def _encode(batch: pa.RecordBatch, vocabulary: pa.Array) -> pa.RecordBatch:
+    """Add ``words``: each token as its place in the vocabulary, or as its length."""
+    flat, lengths = split_words(batch.column("text"))
+    codes = pc.fill_null(pc.index_in(flat, value_set=vocabulary), len(vocabulary))
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return batch.append_column("words", pa.ListArray.from_arrays(pa.array(offsets), codes))
+
+
 def _sparse(batch: pa.RecordBatch, group: _Group, params: Bm25) -> np.ndarray:
-    words = batch.column("tokens")
-    n, width = len(words), len(group.vocabulary)
+    words = batch.column("words")
+    n, width = len(words), len(group.weights)
     if not width:
         return np.zeros((n, len(group.ids)))
     lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-    term = pc.index_in(words.flatten(), value_set=group.vocabulary)
-    cell = np.repeat(np.arange(n) * width, lengths)
-    known = term.is_valid().to_numpy(zero_copy_only=False)
-    cell = cell[known] + term.drop_null().to_numpy()
-    tf = np.bincount(cell, minlength=n * width).reshape(n, width)
+    place = group.places[words.flatten().to_numpy()]
+    cell = np.repeat(np.arange(n) * width, lengths) + place
+    tf = np.bincount(cell[place >= 0], minlength=n * width).reshape(n, width)
     length = params.k1 * (1 - params.b + params.b * lengths / group.avg_length)
     return (tf * (params.k1 + 1) / (tf + length[:, None])) @ group.weights
 
@@ -153,12 +169,14 @@ def _sparse(batch: pa.RecordBatch, group: _Group, params: Bm25) -> np.ndarray:
 Scored = tuple[_Group, pa.Array, np.ndarray | None, np.ndarray | None]
 
 
-def _scored(batches: Iterator[pa.RecordBatch], groups, params: Bm25) -> Iterator[Scored]:
+def _scored(batches: Iterator[pa.RecordBatch], block: _Block, params: Bm25) -> Iterator[Scored]:
     """Dense and sparse scores, chunks down and queries across, in bounded pieces."""
     for batch in batches:
-        for group in groups:
+        if block.vocabulary is not None:
+            batch = _encode(batch, block.vocabulary)
+        for group in block.groups:
             mine = group.rows(batch)
-            wide = max(len(group.ids), len(group.vocabulary) if group.weights is not None else 0)
+            wide = max(len(group.ids), 0 if group.weights is None else len(group.weights))
             step = max(1, _CELLS // wide)
             for start in range(0, mine.num_rows, step):
                 piece = mine.slice(start, step)
@@ -167,26 +185,24 @@ def _scored(batches: Iterator[pa.RecordBatch], groups, params: Bm25) -> Iterator
                 yield group, piece.column("chunk_id"), dense, sparse
 
 
-def _candidates(
-    chunks: DataFrame, groups: list[_Group], dense: bool, sparse: bool
-) -> DataFrame:
+def _candidates(chunks: DataFrame, block: _Block, dense: bool, sparse: bool) -> DataFrame:
     """The columns that scoring reads, cut to the years that any query asks for."""
     columns = [F.col("chunk_id")]
-    years = sorted({y for g in groups for y in g.years})
+    years = sorted({y for g in block.groups for y in g.years})
     if years:
         columns.append(F.col("year"))
-        if all(g.years for g in groups):
+        if all(g.years for g in block.groups):
             chunks = chunks.where(F.col("year").isin(years))
     if dense:
         columns.append(F.col("embedding"))
     if sparse:
-        columns.append(text.tokens("chunk").alias("tokens"))
+        columns.append(F.lower("chunk").alias("text"))
     return chunks.select(*columns)
 
 
-def _scan_bounds(corpus: DataFrame, groups: list[_Group], id_type, params: Bm25) -> DataFrame:
+def _scan_bounds(corpus: DataFrame, block: _Block, id_type, params: Bm25) -> DataFrame:
     """Per query: candidates and the range of both scores over all of them."""
-    shared = corpus.sparkSession.sparkContext.broadcast(groups)
+    shared = corpus.sparkSession.sparkContext.broadcast(block)
     names = ("dense", "sparse")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +236,9 @@ def _scan_bounds(corpus: DataFrame, groups: list[_Group], id_type, params: Bm25)
     )
 
 
-def _place_bounds(groups: list[_Group], rows: DataFrame) -> None:
+def _place_bounds(block: _Block, rows: DataFrame) -> None:
     table = rows.toArrow()
-    for group in groups:
+    for group in block.groups:
         at = pc.index_in(group.ids, value_set=table.column("query_id").combine_chunks())
         for name in table.column_names[2:]:
             group.bounds[name] = table.column(name).take(at).to_numpy().astype(np.float64)
@@ -259,10 +275,10 @@ def _cut(table: pa.Table, k: int) -> pa.Table:
 
 
 def _scan_best(
-    corpus: DataFrame, groups: list[_Group], id_type, params: Bm25, k: int, alphas: Sequence[float]
+    corpus: DataFrame, block: _Block, id_type, params: Bm25, k: int, alphas: Sequence[float]
 ) -> DataFrame:
     """The best k rows of each task per query and alpha, with both component scores."""
-    shared = corpus.sparkSession.sparkContext.broadcast(groups)
+    shared = corpus.sparkSession.sparkContext.broadcast(block)
 
     def pick(group: _Group, ids: pa.Array, dense, sparse) -> Iterator[pa.Table]:
         by_id = pc.sort_indices(ids).to_numpy()
@@ -325,7 +341,7 @@ def _run(
     sparse: bool,
     statistics: DataFrame | None,
     params: Bm25,
-    finish: Callable[[DataFrame, list[_Group]], DataFrame],
+    finish: Callable[[DataFrame, _Block], DataFrame],
 ) -> DataFrame:
     """Prepare each block of queries, hand it to ``finish``, and union the results."""
     needed = ["query_id", "years"] + ["vector"] * dense + ["prompt"] * sparse
@@ -334,16 +350,15 @@ def _run(
         if "year" not in chunks.columns:
             chunks = chunks.withColumn("year", F.lit(None).cast("string"))
         statistics = materialize(lexical.year_statistics(chunks), "term-statistics")
-    answers = None
-    for block in _blocks(asked):
-        groups = _groups(block, dense)
+    answers = []
+    for rows in _blocks(asked):
+        block = _grouped(rows, dense)
         if sparse:
-            _add_weights(block, groups, statistics, params)
-        answer = finish(_candidates(chunks, groups, dense, sparse), groups)
-        answers = answer if answers is None else answers.unionByName(answer)
-    if answers is None:
-        answers = finish(_candidates(chunks, [], dense, sparse), [])
-    return answers
+            _add_weights(rows, block, statistics, params)
+        answers.append(finish(_candidates(chunks, block, dense, sparse), block))
+    if not answers:
+        answers.append(finish(_candidates(chunks, _Block([]), dense, sparse), _Block([])))
+    return reduce(DataFrame.unionByName, answers)
 
 
 def search_sparse(
@@ -359,8 +374,8 @@ def search_sparse(
     """
     id_type = queries.schema["query_id"].dataType
 
-    def finish(corpus: DataFrame, groups: list[_Group]) -> DataFrame:
-        found = _scan_best(corpus, groups, id_type, params, k, [0.0])
+    def finish(corpus: DataFrame, block: _Block) -> DataFrame:
+        found = _scan_best(corpus, block, id_type, params, k, [0.0])
         return ranking.top_k(found, ["query_id"], k)
 
     hits = _run(queries, chunks, False, True, statistics, params, finish)
@@ -371,8 +386,8 @@ def search_dense(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFram
     """Cosine top k: (query_id, rank, chunk_id, score). A zero vector ranks last."""
     id_type = queries.schema["query_id"].dataType
 
-    def finish(corpus: DataFrame, groups: list[_Group]) -> DataFrame:
-        found = _scan_best(corpus, groups, id_type, Bm25(), k, [1.0])
+    def finish(corpus: DataFrame, block: _Block) -> DataFrame:
+        found = _scan_best(corpus, block, id_type, Bm25(), k, [1.0])
         return ranking.top_k(found, ["query_id"], k)
 
     hits = _run(queries, chunks, True, False, None, Bm25(), finish)
@@ -389,7 +404,7 @@ def score_bounds(
     id_type = queries.schema["query_id"].dataType
     return _run(
         queries, chunks, True, True, statistics, params,
-        lambda corpus, groups: _scan_bounds(corpus, groups, id_type, params),
+        lambda corpus, block: _scan_bounds(corpus, block, id_type, params),
     )
 
 
@@ -409,10 +424,10 @@ def search_hybrid(
     """
     id_type = queries.schema["query_id"].dataType
 
-    def finish(corpus: DataFrame, groups: list[_Group]) -> DataFrame:
-        if groups:
-            _place_bounds(groups, _scan_bounds(corpus, groups, id_type, params))
-        found = _scan_best(corpus, groups, id_type, params, k, list(alphas))
+    def finish(corpus: DataFrame, block: _Block) -> DataFrame:
+        if block.groups:
+            _place_bounds(block, _scan_bounds(corpus, block, id_type, params))
+        found = _scan_best(corpus, block, id_type, params, k, list(alphas))
         return ranking.top_k(found, ["query_id", "alpha"], k)
 
     hits = _run(queries, chunks, True, True, statistics, params, finish)
