@@ -1,8 +1,9 @@
 import ast
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from trawlnet.functions import text, vector
+from trawlnet.functions import batches, text, vector
 
 
 def column(spark, values, expression, kind="string"):
@@ -32,6 +33,19 @@ def test_tokens_of_null_are_empty(spark):
     assert column(spark, [None], text.tokens("x")) == [[]]
 
 
+def test_words_in_batches_equal_words_on_the_jvm(spark):
+    values = [*SPACED, None, "A\x85b"]
+    want = column(spark, values, text.words("x"))
+    assert column(spark, values, batches.words("x")) == want
+    assert column(spark, values, batches.n_words("x")) == [len(w) for w in want]
+
+
+def test_batches_split_where_python_does():
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    _, lengths = batches.split_words(pa.array([f"a{chr(c)}b" for c in points]))
+    assert [n == 2 for n in lengths] == [chr(c).isspace() for c in points]
+
+
 def test_strip_equals_python_strip(spark):
     assert column(spark, SPACED, text.strip("x")) == [s.strip() for s in SPACED]
 

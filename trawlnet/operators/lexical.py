@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.functions import text
-from trawlnet.functions.batches import split_words
+from trawlnet.functions import batches, text
 
 
 @dataclass(frozen=True)
@@ -31,13 +30,13 @@ class Bm25:
 def term_counts(chunks: DataFrame, key: str = "chunk_id", column: str = "chunk") -> DataFrame:
     """Term frequency per chunk. The partial count ends in the task that reads the chunk,
     so the shuffle carries each (chunk, term) once."""
-    words = chunks.select(key, F.explode(text.tokens(column)).alias("term"))
+    words = chunks.select(key, F.explode(batches.words(F.lower(column))).alias("term"))
     return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _count_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Chunks per (year, term) in one batch, and for each year a row with term NULL."""
-    flat, lengths = split_words(batch.column("text"))
+    flat, lengths = batches.split_words(batch.column("text"))
     words = flat.dictionary_encode()
     years = batch.column("year").dictionary_encode(null_encoding="encode")
     year = years.indices.to_numpy()
@@ -77,8 +76,8 @@ def year_statistics(
         F.col(year).cast("string").alias("year"), F.lower(F.col(column)).alias("text")
     )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (_count_batch(batch) for batch in batches if batch.num_rows)
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (_count_batch(part) for part in parts if part.num_rows)
 
     schema = "year string, term string, n_chunks long, n_tokens long"
     counted = rows.mapInArrow(count, schema)

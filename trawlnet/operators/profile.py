@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.functions import text
+from trawlnet.functions import batches, text
 
 
 def preview(df: DataFrame, n: int, width: int = 25) -> DataFrame:
@@ -48,7 +48,7 @@ def split_sizes(df: DataFrame, tag: str = "split") -> DataFrame:
 
 def token_counts(df: DataFrame, column: str, counter=None) -> DataFrame:
     """Add ``token_count``; whitespace tokens unless ``counter`` maps a column to a column."""
-    count = counter or (lambda c: F.size(text.tokens(c)))
+    count = counter or batches.n_words
     return df.withColumn("token_count", count(F.col(column)).cast("long"))
 
 

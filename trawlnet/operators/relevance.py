@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.functions import text
+from trawlnet.functions import batches, text
 
 BROADCAST_PASSAGES = 50_000  # passages, and
 BROADCAST_CHARS = 64 << 20  # characters in all of them, up to which they are broadcast
@@ -57,7 +57,7 @@ def anchors(gold: DataFrame) -> DataFrame:
 
 def _offers(chunks: DataFrame, letters: list[int], keep: list[str]) -> DataFrame:
     """One row per chunk and distinct anchor it can answer to."""
-    split = chunks.select(*keep, text.words("chunk").alias("_w"))
+    split = chunks.select(*keep, batches.words("chunk").alias("_w"))
     words = F.col("_w")
     runs = [_letter_runs(words, n) for n in letters if n]
     keys = F.array_distinct(F.concat(words, *runs) if runs else words)

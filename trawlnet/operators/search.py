@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawlnet.functions.batches import split_words
+from trawlnet.functions.batches import as_lists, split_words
 from trawlnet.operators import lexical, ranking
 from trawlnet.operators.joins import BROADCAST_ROWS
 from trawlnet.operators.lexical import Bm25
@@ -146,11 +146,10 @@ def _dense(batch: pa.RecordBatch, group: _Group) -> np.ndarray:
 
 
 def _encode(batch: pa.RecordBatch, vocabulary: pa.Array) -> pa.RecordBatch:
-    """Add ``words``: each token as its place in the vocabulary, or as its length."""
+    """Add ``words``: the place of each token in the vocabulary, or the vocabulary's length."""
     flat, lengths = split_words(batch.column("text"))
     codes = pc.fill_null(pc.index_in(flat, value_set=vocabulary), len(vocabulary))
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return batch.append_column("words", pa.ListArray.from_arrays(pa.array(offsets), codes))
+    return batch.append_column("words", as_lists(codes, lengths))
 
 
 def _sparse(batch: pa.RecordBatch, group: _Group, params: Bm25) -> np.ndarray:
