@@ -34,12 +34,23 @@ def as_lists(flat: pa.Array, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
+def once(udf):
+    """Keep the optimiser from copying a Python function into filters that it pushes down.
+
+    ``explode`` and later filters on the result would otherwise run the function a second
+    time below. Unused results are still pruned.
+    """
+    return udf.asNondeterministic()
+
+
+@once
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def words(texts: pa.Array) -> pa.Array:
     """Whitespace tokens in their own case, as :func:`text.words` gives them."""
     return as_lists(*split_words(texts))
 
 
+@once
 @F.arrow_udf(T.LongType())
 def n_words(texts: pa.Array) -> pa.Array:
     """Number of whitespace tokens."""

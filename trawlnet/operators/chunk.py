@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawlnet.functions.batches import once
+
 # Separators from coarse to fine, and the usual size and overlap.
 SEPARATORS = ("\n\n", "\n", " ", "")
 SIZE, OVERLAP = 2000, 100
@@ -66,6 +68,7 @@ def split_column(size: int = SIZE, overlap: int = OVERLAP):
     if overlap > size:
         raise ValueError(f"overlap {overlap} is larger than chunk size {size}")
 
+    @once
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t, size, overlap))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawlnet.functions.batches import once
+
 Model = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
@@ -28,6 +30,7 @@ def embed(
     order and place.
     """
 
+    @once
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make_model()

@@ -30,7 +30,8 @@ class Bm25:
 def term_counts(chunks: DataFrame, key: str = "chunk_id", column: str = "chunk") -> DataFrame:
     """Term frequency per chunk. The partial count ends in the task that reads the chunk,
     so the shuffle carries each (chunk, term) once."""
-    words = chunks.select(key, F.explode(batches.words(F.lower(column))).alias("term"))
+    lists = chunks.select(key, batches.words(F.lower(column)).alias("terms"))
+    words = lists.select(key, F.explode("terms").alias("term"))
     return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
