@@ -46,6 +46,14 @@ def test_batches_split_where_python_does():
     assert [n == 2 for n in lengths] == [chr(c).isspace() for c in points]
 
 
+def test_batches_are_cut_by_size():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 100] * 10})
+    cut = list(batches.pieces(batch, 300))
+    assert sum(p.num_rows for p in cut) == 10 and max(p.num_rows for p in cut) <= 3
+    assert list(batches.pieces(batch)) == [batch]
+    assert list(batches.pieces(batch.slice(0, 0))) == []
+
+
 def test_strip_equals_python_strip(spark):
     assert column(spark, SPACED, text.strip("x")) == [s.strip() for s in SPACED]
 

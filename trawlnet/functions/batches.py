@@ -7,6 +7,8 @@ so scans of a corpus use it and expressions over small tables stay on the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def pieces(batch: pa.RecordBatch, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch of long texts, whose words take several times the memory."""
+    step = max(1, batch.num_rows * most_bytes // max(batch.nbytes, 1))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All whitespace tokens of a batch in one flat array, and the number in each text.
 

@@ -78,7 +78,7 @@ def year_statistics(
     )
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (_count_batch(part) for part in parts if part.num_rows)
+        return (_count_batch(piece) for part in parts for piece in batches.pieces(part))
 
     schema = "year string, term string, n_chunks long, n_tokens long"
     counted = rows.mapInArrow(count, schema)

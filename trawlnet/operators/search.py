@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawlnet.functions.batches import as_lists, split_words
+from trawlnet.functions.batches import as_lists, pieces, split_words
 from trawlnet.operators import lexical, ranking
 from trawlnet.operators.joins import BROADCAST_ROWS
 from trawlnet.operators.lexical import Bm25
@@ -72,14 +72,15 @@ def canonical_years(queries: DataFrame) -> DataFrame:
 def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
     """Bring the queries to the driver in blocks of about ``BLOCK_QUERIES`` rows.
 
-    Few queries are one block, read with a limit that proves it. More are cut by a hash
-    of their id, and only one block is held at a time.
+    Few queries are one block, read with a limit that proves it. More are written once,
+    cut by a hash of their id, and brought over one block at a time.
     """
     head = queries.limit(BLOCK_QUERIES + 1).toArrow()
     if head.num_rows <= BLOCK_QUERIES:
         if head.num_rows:
             yield head
         return
+    queries = materialize(queries, "queries")
     n_blocks = -(-queries.count() // BLOCK_QUERIES)
     for block in range(n_blocks):
         here = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block
@@ -170,7 +171,7 @@ Scored = tuple[_Group, pa.Array, np.ndarray | None, np.ndarray | None]
 
 def _scored(batches: Iterator[pa.RecordBatch], block: _Block, params: Bm25) -> Iterator[Scored]:
     """Dense and sparse scores, chunks down and queries across, in bounded pieces."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in pieces(whole)):
         if block.vocabulary is not None:
             batch = _encode(batch, block.vocabulary)
         for group in block.groups:

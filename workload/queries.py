@@ -17,6 +17,7 @@ from trawlnet.functions import text, vector
 from trawlnet.operators import chunk as chunking
 from trawlnet.operators import clean, context, embed, lexical, metrics, profile, search
 from trawlnet.operators.relevance import containing_chunks
+from trawlnet.plans import answer as answering
 from trawlnet.plans import evaluate as evaluation
 from trawlnet.plans.index import build_index
 from trawlnet.sources import golden, runs, splits, store
@@ -321,7 +322,8 @@ def token_box(spark, sf_dir):
 
 @query
 def token_outliers(spark, sf_dir):
-    return profile.outliers(_counted(spark, sf_dir), "token_count")
+    counted = materialize(_counted(spark, sf_dir), "token-counts")
+    return profile.outliers(counted, "token_count")
 
 
 @query
@@ -506,6 +508,21 @@ def result_bundle(spark, sf_dir):
     )
 
 
+@query
+def answer_prompts(spark, sf_dir):
+    """Embed corpus and questions, then everything up to the prompt of the chat model."""
+    make_model = embed.hashing_model(16)
+    chunks = materialize(embed.embed(corpus(spark, sf_dir), make_model), "chunks")
+    rows = answering.answer_prompts(questions(spark, sf_dir), chunks, make_model, K)
+    return rows.select(
+        "query_id",
+        F.md5("system_prompt").alias("prompt_md5"),
+        F.md5(F.array_join("top_k_chunks", "\n")).alias("chunks_md5"),
+        F.array_join("top_k_sections", ",").alias("sections"),
+        F.array_join("top_k_years", ",").alias("years"),
+    )
+
+
 # Evaluation
 
 
