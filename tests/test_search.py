@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trawlnet.operators import lexical, search
@@ -190,15 +191,32 @@ def test_bounds(spark):
         assert np.allclose(list(got[qid])[2:], ends)
 
 
-def test_work_pieces_and_cuts_do_not_change_the_result(monkeypatch):
-    """The task code itself, in one process, with tiny pieces and constant cutting back."""
+def test_best_rows_over_several_pieces():
+    """The task code itself: rows left out by an earlier piece are never among the best."""
     rng = np.random.default_rng(0)
     order = np.round(rng.random((50, 4)), 1)
-    for k in (1, 3, 49, 50, 80):
-        rows, columns = search._best(order, k)
-        for c in range(4):
-            want = sorted(range(50), key=lambda r: (-order[r, c], r))[:k]
-            assert sorted(rows[columns == c]) == sorted(want)
+    for k in (1, 3, 10, 49, 50, 80):
+        for step in (7, 25, 50):
+            floor, kept = np.full(4, -np.inf), []
+            for start in range(0, 50, step):
+                rows, columns = search._best(order[start : start + step], k, floor)
+                kept += list(zip(rows + start, columns))
+            for c in range(4):
+                best = sorted(range(50), key=lambda r: (-order[r, c], r))[:k]
+                mine = sorted((r for r, q in kept if q == c), key=lambda r: (-order[r, c], r))
+                assert mine[:k] == best
+
+
+def test_cut_keeps_the_best_rows_per_query_and_alpha():
+    rng = random.Random(2)
+    rows = [(rng.randint(1, 3), rng.choice([0.0, 1.0]), rng.randint(0, 5), i) for i in range(90)]
+    names = ["query_id", "alpha", "order", "chunk_id"]
+    table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)})
+    got = {tuple(r[n] for n in names) for r in search._cut(table, 4).to_pylist()}
+    want = set()
+    for key in {r[:2] for r in rows}:
+        want |= set(sorted((r for r in rows if r[:2] == key), key=lambda r: (-r[2], r[3]))[:4])
+    assert got == want
 
 
 def test_fetch_keeps_rank_order_and_text(spark):

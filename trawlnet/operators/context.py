@@ -17,11 +17,20 @@ def _take(column: str) -> Column:
     return F.transform("hits", lambda hit: hit[column])
 
 
+def _prompt(chunks: Column) -> dict[str, Column]:
+    text = F.array_join(chunks, "\n")
+    return {"context": text, "system_prompt": F.concat(F.lit(TEMPLATE), text)}
+
+
 def context(hits: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Chunk texts of each query joined by newlines in rank order, and the full prompt."""
     lists = hits.groupBy(*keys).agg(_ranked("chunk").alias("hits"))
-    joined = lists.withColumn("context", F.array_join(_take("chunk"), "\n")).drop("hits")
-    return joined.withColumn("system_prompt", F.concat(F.lit(TEMPLATE), F.col("context")))
+    return lists.withColumns(_prompt(_take("chunk"))).drop("hits")
+
+
+def with_prompt(bundle: DataFrame) -> DataFrame:
+    """Add the context and the full prompt to the rows of :func:`result_bundle`."""
+    return bundle.withColumns(_prompt(F.col("top_k_chunks")))
 
 
 def result_bundle(

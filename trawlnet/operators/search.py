@@ -251,14 +251,19 @@ def _scaled(score: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(flat, score * 0.0, (score - low) / np.where(flat, 1.0, spread))
 
 
-def _best(order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the k largest entries per column; among equals the upper rows win."""
-    n = len(order)
-    if n <= k:
-        return np.nonzero(np.ones_like(order, dtype=bool))
-    kth = np.partition(order, n - k, axis=0)[n - k]
-    above, equal = order > kth, order == kth
-    return np.nonzero(above | (equal & (equal.cumsum(axis=0) <= k - above.sum(axis=0))))
+def _best(order: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k largest entries per column; among equals the upper rows win.
+
+    ``floor`` holds per column what k rows of an earlier piece have reached. Entries below
+    it are left out, and it is raised to what this piece reaches.
+    """
+    n, keep = len(order), order >= floor
+    if n > k:
+        kth = np.partition(order, n - k, axis=0)[n - k]
+        above, equal = order > kth, order == kth
+        keep &= above | (equal & (equal.cumsum(axis=0) <= k - above.sum(axis=0)))
+        np.maximum(floor, kth, out=floor)
+    return np.nonzero(keep)
 
 
 def _cut(table: pa.Table, k: int) -> pa.Table:
@@ -280,7 +285,7 @@ def _scan_best(
     """The best k rows of each task per query and alpha, with both component scores."""
     shared = corpus.sparkSession.sparkContext.broadcast(block)
 
-    def pick(group: _Group, ids: pa.Array, dense, sparse) -> Iterator[pa.Table]:
+    def pick(floors: dict, group: _Group, ids: pa.Array, dense, sparse) -> Iterator[pa.Table]:
         by_id = pc.sort_indices(ids).to_numpy()
         ids = ids.take(pa.array(by_id))
         parts = {}
@@ -298,7 +303,8 @@ def _scan_best(
                 score = parts["sparse"] if dense is None else parts["dense"]
             order = np.round(score, ranking.TIE_PLACES)
             order[np.isnan(order)] = -np.inf
-            row, column = _best(order, k)
+            floor = floors.setdefault((group, alpha), np.full(len(group.ids), -np.inf))
+            row, column = _best(order, k, floor)
             values = {"query_id": group.ids.take(pa.array(column)), "alpha": [alpha] * len(row)}
             values |= {"chunk_id": ids.take(pa.array(row)), "order": order[row, column]}
             for name in names:
@@ -311,9 +317,9 @@ def _scan_best(
             yield pa.table(values)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
+        held, n_held, floors = [], 0, {}
         for scored in _scored(batches, shared.value, params):
-            for found in pick(*scored):
+            for found in pick(floors, *scored):
                 held.append(found)
                 n_held += found.num_rows
             if n_held > _HELD_ROWS:

@@ -30,5 +30,4 @@ def answer_prompts(
     model come back as a table (query_id, pred_answer) for the evaluation.
     """
     hits = retrieve(prepare(questions, make_model), chunks, k, [alpha], statistics)
-    prompts = context.context(hits)
-    return prompts.join(context.result_bundle(hits), "query_id")
+    return context.with_prompt(context.result_bundle(hits))
