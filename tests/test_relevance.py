@@ -17,7 +17,8 @@ CHUNKS = [
     None,
 ]
 PASSAGES = [
-    "cat sat on the",  # inner words
+    "cat sat on the",  # two inner words
+    "cat sat on",  # one inner word
     "he cat sat on the m",  # both ends inside words
     "cat sat",  # two words: no inner one
     "at",  # a piece of a word
@@ -68,7 +69,7 @@ def test_every_kind_of_passage(spark, path):
 
 
 def test_each_kind_alone(spark, path):
-    for passage in ("cat sat on the", "at", "zz"):
+    for passage in ("cat sat on the", "sat on the", "at", "zz"):
         gold, chunks = frames(spark, [passage], CHUNKS)
         assert found(gold, chunks) == brute([passage], CHUNKS)
 

@@ -46,6 +46,18 @@ def test_batches_split_where_python_does():
     assert [n == 2 for n in lengths] == [chr(c).isspace() for c in points]
 
 
+def test_neighbours_and_wanted_words():
+    texts = ["a b c", None, "d", "", "e f", " "]
+    flat, lengths = batches.split_words(pa.array(texts))
+    pairs = batches.as_lists(*batches.neighbours(flat, lengths)).to_pylist()
+    assert pairs == [["a b", "b c"], [], [], [], ["e f"], []]
+    kept = batches.as_lists(*batches.only(flat, lengths, pa.array(["c", "e", "x"]))).to_pylist()
+    assert kept == [["c"], [], [], [], ["e"], []]
+    for few in ([], ["", None], ["a"]):
+        flat, lengths = batches.split_words(pa.array(few, pa.string()))
+        assert batches.as_lists(*batches.neighbours(flat, lengths)).to_pylist() == [[]] * len(few)
+
+
 def test_batches_are_cut_by_size():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * 100] * 10})
     cut = list(batches.pieces(batch, 300))

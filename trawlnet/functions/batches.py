@@ -38,6 +38,25 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, lengths.astype(np.int64)
 
 
+def neighbours(flat: pa.Array, lengths: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Neighbouring tokens of each text joined by a space, and the number in each text."""
+    if len(flat) < 2:
+        return flat.slice(0, 0), np.zeros_like(lengths)
+    joined = pc.binary_join_element_wise(flat[:-1], flat[1:], " ")
+    same_text = np.ones(len(joined), dtype=bool)
+    ends = np.cumsum(lengths)[:-1]
+    same_text[ends[(ends > 0) & (ends < len(flat))] - 1] = False
+    return joined.filter(pa.array(same_text)), np.maximum(lengths - 1, 0)
+
+
+def only(flat: pa.Array, lengths: np.ndarray, wanted: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens that occur in ``wanted``, and the number in each text."""
+    mask = pc.is_in(flat, value_set=wanted)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    kept = row[mask.to_numpy(zero_copy_only=False)]
+    return flat.filter(mask), np.bincount(kept, minlength=len(lengths))
+
+
 def as_lists(flat: pa.Array, lengths: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), flat)

@@ -1,17 +1,20 @@
 """Which chunks contain a golden passage, by an equi-join instead of a nested loop.
 
 A passage that occurs in a chunk brings its inner words along whole: they stand between
-whitespace on both sides. So each passage is looked up by one *anchor*, its longest inner
-word; the chunk offers all its words, and only pairs that meet are checked with
-``contains``. A passage without an inner word is looked up by the first letters of its
-longest word, and then the chunk offers all runs of that many letters. Every non-blank
-passage has exactly one anchor, so the result is exact and no pair comes twice.
+whitespace on both sides. So each passage is looked up by one *anchor*, its longest pair of
+neighbouring inner words, or its only inner word; the chunk offers all its pairs or words,
+and only (passage, chunk) pairs that meet are checked with ``contains``. A passage without
+an inner word is looked up by the first letters of its longest word, and then the chunk
+offers all runs of that many letters. Every non-blank passage has exactly one anchor, so
+the result is exact and nothing comes twice.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trawlnet.functions import batches, text
 
@@ -31,36 +34,70 @@ def _letter_runs(words: Column, n: int) -> Column:
     return F.flatten(per_word)
 
 
+def _offered(kind: str, wanted: pa.Array | None):
+    """A function from a text to its words or pairs, cut to the wanted ones if given."""
+
+    @batches.once
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def offered(texts: pa.Array) -> pa.Array:
+        items = batches.split_words(texts)
+        if kind == "pair":
+            items = batches.neighbours(*items)
+        if wanted is not None:
+            items = batches.only(*items, wanted)
+        return batches.as_lists(*items)
+
+    return offered
+
+
 def _longest(words: str) -> Column:
-    """The longest word, as the one likely to be rare."""
+    """The longest item, as the one likely to be rare."""
     sized = F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     return F.array_max(sized)["w"]
 
 
+def _inner(words: str, skip: int) -> Column:
+    """The words without the first ``skip`` and without the last one."""
+    return F.slice(words, F.lit(1 + skip), F.greatest(F.size(words) - 1 - skip, F.lit(0)))
+
+
 def anchors(gold: DataFrame) -> DataFrame:
-    """(query_id, full_sentence, letters, anchor) for every passage that is not blank.
+    """(query_id, full_sentence, kind, anchor) for every passage that is not blank.
 
-    ``letters`` is 0 where the anchor is a whole word, else its length.
+    ``kind`` is pair, word, or the number of letters.
     """
     words = text.words("full_sentence")
     parts = gold.select("query_id", "full_sentence", words.alias("w")).where(F.size("w") > 0)
-    parts = parts.withColumn("inner", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
+    after = F.slice("w", F.lit(2), F.greatest(F.size("w") - 3, F.lit(0)))
+    parts = parts.withColumns(
+        {
+            "inner": _inner("w", 1),
+            "pairs": F.zip_with(after, _inner("w", 2), lambda a, b: F.concat_ws(" ", a, b)),
+        }
+    )
     short = F.substring(_longest("w"), 1, 3)
-    inner = _longest("inner")
+    pair, word = _longest("pairs"), _longest("inner")
+    kind = F.when(pair.isNotNull(), "pair").when(word.isNotNull(), "word")
     return parts.select(
         "query_id",
         "full_sentence",
-        F.when(inner.isNotNull(), 0).otherwise(F.length(short)).alias("letters"),
-        F.coalesce(inner, short).alias("anchor"),
+        kind.otherwise(F.length(short).cast("string")).alias("kind"),
+        F.coalesce(pair, word, short).alias("anchor"),
     )
 
 
-def _offers(chunks: DataFrame, letters: list[int], keep: list[str]) -> DataFrame:
+def _offers(
+    chunks: DataFrame, kinds: set[str], keep: list[str], wanted: pa.Array | None = None
+) -> DataFrame:
     """One row per chunk and distinct anchor it can answer to."""
-    split = chunks.select(*keep, batches.words("chunk").alias("_w"))
-    words = F.col("_w")
-    runs = [_letter_runs(words, n) for n in letters if n]
-    keys = F.array_distinct(F.concat(words, *runs) if runs else words)
+    lists = {f"_{k}": _offered(k, wanted)("chunk") for k in ("pair", "word") if k in kinds}
+    letters = sorted(int(k) for k in kinds if k.isdigit())
+    if letters:
+        lists["_all"] = batches.words("chunk")
+    split = chunks.select(*keep, *[made.alias(name) for name, made in lists.items()])
+    parts = [F.col(name) for name in lists if name != "_all"]
+    parts += [_letter_runs(F.col("_all"), n) for n in letters]
+    keys = F.array_distinct(F.concat(*parts))
     return split.select(*keep, F.explode(keys).alias("anchor"))
 
 
@@ -68,24 +105,25 @@ def containing_chunks(gold: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pairs (query_id, chunk_id, text_key) where the chunk contains the passage verbatim.
 
     A blank passage is contained in nothing. The number and length of the passages are
-    checked first. A set within the bounds is broadcast and the whole search is narrow;
-    beyond them, words without their texts are joined by shuffle, and only chunks that
-    meet an anchor are read again for the check.
+    checked first. A set within the bounds is broadcast, chunks offer only its anchors,
+    and the whole search is narrow; beyond them, anchors without the texts are joined by
+    shuffle, and only chunks that meet an anchor are read again for the check.
     """
     wanted = anchors(gold)
     size = wanted.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.length("full_sentence")).alias("chars"),
-        F.collect_set("letters").alias("letters"),
+        F.collect_set("kind").alias("kinds"),
     ).first()
-    letters = sorted(size.letters)
+    kinds = set(size.kinds) or {"word"}
     contains = F.contains(F.col("chunk"), F.col("full_sentence"))
     found = ["query_id", "chunk_id", text.text_key("chunk").alias("text_key")]
     if size.n <= BROADCAST_PASSAGES and (size.chars or 0) <= BROADCAST_CHARS:
-        offers = _offers(chunks, letters, ["chunk_id", "chunk"])
-        met = offers.join(F.broadcast(wanted.drop("letters")), "anchor")
+        known = wanted.select("anchor").distinct().toArrow().column("anchor").combine_chunks()
+        offers = _offers(chunks, kinds, ["chunk_id", "chunk"], known)
+        met = offers.join(F.broadcast(wanted.drop("kind")), "anchor")
         return met.where(contains).select(*found)
-    offers = _offers(chunks, letters, ["chunk_id"])
+    offers = _offers(chunks, kinds, ["chunk_id"])
     pairs = offers.join(wanted.select("query_id", "anchor"), "anchor").drop("anchor")
     texts = chunks.select("chunk_id", "chunk").join(pairs, "chunk_id")
     passages = wanted.select("query_id", "full_sentence")
