@@ -142,6 +142,14 @@ def test_hybrid(spark, sizes):
         assert {q: rows for (q, a), rows in got.items() if a == alpha} == want
 
 
+def test_only_some_years_asked(spark):
+    queries = [(i, p, ["2000"] if i % 2 else ["1999", "2000"], v) for i, p, _, v in make_queries(1)]
+    chunks = make_corpus(2)
+    q, c = frames(spark, queries, chunks)
+    got = collected(search.search_sparse(q, c, 6), "query_id")
+    assert got == expected(queries, chunks, 6, lambda p, v, m: okapi(p, m))
+
+
 def test_stored_statistics_give_the_same(spark):
     q, c = frames(spark, make_queries(7), make_corpus(8))
     stored = lexical.year_statistics(c)

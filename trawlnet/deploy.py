@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import io
 import os
-import shutil
-import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
-_NAME = "trawlnet"
+from trawlnet.sources.scratch import scratch_path
+
+_FILE = "trawlnet.zip"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per session.
+    """Put this package into the shared folder and have the workers load it, once per session.
 
     Not needed where it is installed on every node.
     """
     context = spark.sparkContext
-    if any(os.path.basename(f) == f"{_NAME}.zip" for f in context.listFiles):
+    if any(os.path.basename(f) == _FILE for f in context.listFiles):
         return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix=f"{_NAME}-"), _NAME)
-    context.addPyFile(shutil.make_archive(target, "zip", root, _NAME))
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as target:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    target.write(path, os.path.relpath(path, os.path.dirname(package)))
+    path = f"{scratch_path(spark, 'package')}/{_FILE}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    stream.write(bytearray(archive.getvalue()))
+    stream.close()
+    context.addPyFile(path)

@@ -31,6 +31,7 @@ from trawlnet.sources.scratch import materialize
 
 BLOCK_QUERIES = 512  # queries scored in one scan, and so the bound of what is broadcast
 _CELLS = 1 << 21  # entries of one work matrix inside a task
+_MOST_YEARS = 1000  # most years to filter the corpus by before its words are counted
 _HELD_ROWS = 1 << 18  # candidate rows a task holds before it cuts back to k per query
 
 
@@ -69,6 +70,15 @@ def canonical_years(queries: DataFrame) -> DataFrame:
     return queries.withColumn("years", F.array_sort(F.array_distinct(years)))
 
 
+def _asked_years(asked: DataFrame) -> list[str] | None:
+    """The years that any query asks for; None if one asks for all, or for very many."""
+    if not asked.where(F.size("years") == 0).isEmpty():
+        return None
+    years = asked.select(F.explode("years").alias("year")).distinct()
+    found = [row.year for row in years.limit(_MOST_YEARS + 1).collect()]
+    return None if len(found) > _MOST_YEARS else found
+
+
 def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
     """Bring the queries to the driver in blocks of about ``BLOCK_QUERIES`` rows.
 
@@ -353,9 +363,13 @@ def _run(
     needed = ["query_id", "years"] + ["vector"] * dense + ["prompt"] * sparse
     asked = canonical_years(queries).select(*needed)
     if sparse and statistics is None:
+        counted = chunks
         if "year" not in chunks.columns:
-            chunks = chunks.withColumn("year", F.lit(None).cast("string"))
-        statistics = materialize(lexical.year_statistics(chunks), "term-statistics")
+            counted = chunks.withColumn("year", F.lit(None).cast("string"))
+        years = _asked_years(asked) if "years" in queries.columns else None
+        if years is not None:
+            counted = counted.where(F.col("year").isin(years))
+        statistics = materialize(lexical.year_statistics(counted), "term-statistics")
     answers = []
     for rows in _blocks(asked):
         block = _grouped(rows, dense)
