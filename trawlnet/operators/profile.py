@@ -114,7 +114,8 @@ def box(df: DataFrame, column: str) -> DataFrame:
 
 
 def outliers(df: DataFrame, column: str) -> DataFrame:
-    """Rows outside the fences of :func:`box`."""
+    """Rows outside the fences of :func:`box`. ``df`` is read more than once: pass a stored
+    table if the column is dear to compute."""
     fences = _fences(histogram(df, column))
     low, high = fences.select("low").scalar(), fences.select("high").scalar()
     return df.where((F.col(column) < low) | (F.col(column) > high))

@@ -65,11 +65,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have a vector."""
+    """Documents that have a vector, joined once: the store that the searches scan."""
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), "embedding"
     )
-    return corpus(spark, sf_dir).join(vectors, "chunk_id")
+    return materialize(corpus(spark, sf_dir).join(vectors, "chunk_id"), "chunks")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
