@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlnet.deploy import ship
-from trawlnet.llm import decontaminate, jaccard_join, langid, packing, substring_dedup
+from trawlnet.llm import (
+    decontaminate,
+    extract,
+    fingerprint,
+    jaccard_join,
+    langid,
+    packing,
+    substring_dedup,
+    url_rules,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,12 +61,37 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_order_minhash(spark, sf_dir):
+    printed = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    return printed.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
 @query
 def op10_substring_dedup(spark, sf_dir):
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# Fixed values: (verdict, host, path) of the explicit rules.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query
+def op5_url_rules(spark, sf_dir):
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    mined = url_rules.mine(pages.select("page_id", "url").join(bad, "page_id"))
+    judged = url_rules.judge(pages, URL_RULES, mined)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
 @query
 def op6_decontaminate(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -73,6 +107,12 @@ def op6_decontaminate(spark, sf_dir):
     )
 
 
+@query
+def op7_main_text(spark, sf_dir):
+    found = extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
