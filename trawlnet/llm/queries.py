@@ -16,7 +16,9 @@ from trawlnet.llm import (
     jaccard_join,
     langid,
     packing,
+    quality,
     substring_dedup,
+    toxicity,
     url_rules,
 )
 
@@ -73,6 +75,27 @@ def op10_substring_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(langid.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    examples = labels.where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(docs, examples)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        "predicted",
+        F.slice("neighbours", 1, 3).alias("evidence"),
+    )
+
+
+@query
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs))
+
+
 # Fixed values: (verdict, host, path) of the explicit rules.
 URL_RULES = [
     ("allow", "org", "/"),
