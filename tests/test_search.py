@@ -109,7 +109,7 @@ def frames(spark, queries, chunks):
 @pytest.fixture(params=["usual", "small pieces"])
 def sizes(request, monkeypatch):
     if request.param == "small pieces":
-        monkeypatch.setattr(search, "BLOCK_QUERIES", 4)
+        monkeypatch.setattr(search, "BLOCK_BYTES", 2000)
 
 
 @pytest.mark.parametrize("k", [1, 7, 500])

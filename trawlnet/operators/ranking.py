@@ -37,13 +37,16 @@ def top_k(
     k: int,
     column: str = "score",
     tie: str = "chunk_id",
+    places: int | None = TIE_PLACES,
 ) -> DataFrame:
     """The ``k`` best rows per key with their 1-based ``rank``; NULL scores come last.
 
+    ``places`` is None where the column holds rounded scores already.
     Two rounds: first within salted parts of each key, then within the key. One query
     may have rows from every task of a large scan, and no single task sorts them all.
     """
-    order = [F.round(column, TIE_PLACES).desc_nulls_last(), F.col(tie).asc()]
+    score = F.col(column) if places is None else F.round(column, places)
+    order = [score.desc_nulls_last(), F.col(tie).asc()]
     salted = scores.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(SALTS)))
     part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)

@@ -3,8 +3,8 @@
 Scoring is a matrix product of corpus rows and queries. Spark partitions the corpus;
 each task scores its Arrow batches against a block of queries and lets only the best k
 rows per query leave, so no (query, chunk) pair table is ever shuffled or stored. What a
-block takes to the tasks is bounded by ``BLOCK_QUERIES``; more queries mean more blocks,
-each with its own scan, and the same results.
+block takes to the tasks is bounded by ``BLOCK_BYTES`` of words and vectors, tens of thousands
+of usual questions; more mean more blocks, each with its own scan, and the same results.
 
 Columns: queries (query_id, prompt, optional years, optional vector); chunks (chunk_id,
 chunk, optional year, optional embedding).
@@ -19,19 +19,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawlnet.functions.batches import as_lists, pieces, split_words
 from trawlnet.operators import lexical, ranking
-from trawlnet.operators.joins import BROADCAST_ROWS
+from trawlnet.operators.joins import BROADCAST_ROWS, bounded
 from trawlnet.operators.lexical import Bm25
 from trawlnet.sources.scratch import materialize
 
-BLOCK_QUERIES = 512  # queries scored in one scan, and so the bound of what is broadcast
+BLOCK_BYTES = 32 << 20  # words and vectors of queries scored in one scan; bounds the broadcast
 _CELLS = 1 << 21  # entries of one work matrix inside a task
-_MOST_YEARS = 1000  # most years to filter the corpus by before its words are counted
+_ASKED = 1 << 16  # (row, word) cells whose queries are added up at a time
 _HELD_ROWS = 1 << 18  # candidate rows a task holds before it cuts back to k per query
 
 
@@ -42,8 +42,9 @@ class _Group:
     years: list[str]
     ids: pa.Array
     vectors: np.ndarray | None = None
-    weights: np.ndarray | None = None  # terms down, queries across
-    places: np.ndarray | None = None  # row in ``weights`` of each word of the block, or -1
+    weights: np.ndarray | None = None  # of all (term, query) pairs, by term
+    columns: np.ndarray | None = None  # the query of each of them
+    first: np.ndarray | None = None  # where those of each word of the block begin
     avg_length: float = 1.0
     bounds: dict[str, np.ndarray] = field(default_factory=dict)
 
@@ -70,28 +71,28 @@ def canonical_years(queries: DataFrame) -> DataFrame:
     return queries.withColumn("years", F.array_sort(F.array_distinct(years)))
 
 
-def _asked_years(asked: DataFrame) -> list[str] | None:
-    """The years that any query asks for; None if one asks for all, or for very many."""
+def _in_asked_years(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """The chunks of years that any query asks for; all if one asks for all."""
     if not asked.where(F.size("years") == 0).isEmpty():
-        return None
+        return chunks
     years = asked.select(F.explode("years").alias("year")).distinct()
-    found = [row.year for row in years.limit(_MOST_YEARS + 1).collect()]
-    return None if len(found) > _MOST_YEARS else found
+    return chunks.join(bounded(years), "year", "left_semi")
 
 
 def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
-    """Bring the queries to the driver in blocks of about ``BLOCK_QUERIES`` rows.
+    """Bring the queries to the driver in blocks of about ``BLOCK_BYTES``, one at a time.
 
-    Few queries are one block, read with a limit that proves it. More are written once,
-    cut by a hash of their id, and brought over one block at a time.
+    They are written first, so a model that embeds them is called once, and cut by a hash of
+    their id.
     """
-    head = queries.limit(BLOCK_QUERIES + 1).toArrow()
-    if head.num_rows <= BLOCK_QUERIES:
-        if head.num_rows:
-            yield head
-        return
     queries = materialize(queries, "queries")
-    n_blocks = -(-queries.count() // BLOCK_QUERIES)
+    sizes = [F.lit(64)]
+    if "prompt" in queries.columns:
+        sizes.append(F.coalesce(F.octet_length("prompt") * 4, F.lit(0)))
+    if "vector" in queries.columns:
+        sizes.append(F.coalesce(F.size("vector") * 8, F.lit(0)))
+    total = queries.agg(F.sum(reduce(Column.__add__, sizes).cast("long"))).first()[0] or 0
+    n_blocks = -(-total // BLOCK_BYTES)
     for block in range(n_blocks):
         here = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block
         table = queries.where(here).toArrow()
@@ -134,11 +135,11 @@ def _add_weights(rows: pa.Table, block: _Block, statistics: DataFrame, params: B
         column = pc.index_in(weights.column("query_id"), value_set=group.ids)
         mine = column.is_valid().to_numpy()
         word = words.indices.to_numpy()[mine]
-        known, place = np.unique(word, return_inverse=True)
-        group.places = np.full(len(block.vocabulary) + 1, -1)
-        group.places[known] = np.arange(len(known))
-        group.weights = np.zeros((len(known), len(group.ids)))
-        group.weights[place, column.drop_null().to_numpy()] = weights.column("weight").to_numpy()[mine]
+        order = np.argsort(word, kind="stable")
+        group.columns = column.drop_null().to_numpy()[order].astype(np.int64)
+        group.weights = weights.column("weight").to_numpy()[mine][order]
+        # a place more, for words that no query has
+        group.first = np.searchsorted(word[order], np.arange(len(block.vocabulary) + 2))
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -164,16 +165,26 @@ def _encode(batch: pa.RecordBatch, vocabulary: pa.Array) -> pa.RecordBatch:
 
 
 def _sparse(batch: pa.RecordBatch, group: _Group, params: Bm25) -> np.ndarray:
-    words = batch.column("words")
-    n, width = len(words), len(group.weights)
-    if not width:
-        return np.zeros((n, len(group.ids)))
+    """Only words that a query of the group has are looked at, each with its queries."""
+    words, width = batch.column("words"), len(group.ids)
+    n = len(words)
     lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-    place = group.places[words.flatten().to_numpy()]
-    cell = np.repeat(np.arange(n) * width, lengths) + place
-    tf = np.bincount(cell[place >= 0], minlength=n * width).reshape(n, width)
+    word, row = words.flatten().to_numpy(), np.repeat(np.arange(n), lengths)
+    asked = group.first[word + 1] > group.first[word]
+    cell, tf = np.unique(row[asked] * len(group.first) + word[asked], return_counts=True)
+    row, word = np.divmod(cell, len(group.first))
     length = params.k1 * (1 - params.b + params.b * lengths / group.avg_length)
-    return (tf * (params.k1 + 1) / (tf + length[:, None])) @ group.weights
+    score = tf * (params.k1 + 1) / (tf + length[row])
+    out = np.zeros(n * width)
+    counts = group.first[word + 1] - group.first[word]
+    for at in range(0, len(cell), _ASKED):
+        part = slice(at, at + _ASKED)
+        ends = np.cumsum(counts[part])
+        inside = np.arange(ends[-1]) - np.repeat(ends - counts[part], counts[part])
+        pair = np.repeat(group.first[word[part]], counts[part]) + inside
+        values = np.repeat(score[part], counts[part]) * group.weights[pair]
+        out += np.bincount(np.repeat(row[part] * width, counts[part]) + group.columns[pair], values, n * width)
+    return out.reshape(n, width)
 
 
 Scored = tuple[_Group, pa.Array, np.ndarray | None, np.ndarray | None]
@@ -186,8 +197,7 @@ def _scored(batches: Iterator[pa.RecordBatch], block: _Block, params: Bm25) -> I
             batch = _encode(batch, block.vocabulary)
         for group in block.groups:
             mine = group.rows(batch)
-            wide = max(len(group.ids), 0 if group.weights is None else len(group.weights))
-            step = max(1, _CELLS // wide)
+            step = max(1, _CELLS // len(group.ids))
             for start in range(0, mine.num_rows, step):
                 piece = mine.slice(start, step)
                 dense = None if group.vectors is None else _dense(piece, group)
@@ -336,7 +346,8 @@ def _scan_best(
                 held = [_cut(pa.concat_tables(held), k)]
                 n_held = 0
         if held:
-            yield from _cut(pa.concat_tables(held), k).drop_columns("order").to_batches()
+            rows = _cut(pa.concat_tables(held), k)
+            yield from rows.select(["query_id", "alpha", "chunk_id", *names, "order"]).to_batches()
 
     names = ["score", "dense", "sparse", "dense_norm", "sparse_norm"]
     schema = T.StructType(
@@ -345,11 +356,16 @@ def _scan_best(
             T.StructField("alpha", T.DoubleType()),
             T.StructField("chunk_id", corpus.schema["chunk_id"].dataType),
         ]
-        + [T.StructField(name, T.DoubleType()) for name in names]
+        + [T.StructField(name, T.DoubleType()) for name in (*names, "order")]
     )
     return corpus.mapInArrow(scan, schema)
 
 
+def _ranked(found: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The tasks' best rows by the order that the tasks have cut by."""
+    return ranking.top_k(found, keys, k, "order", places=None)
+
+
 def _run(
     queries: DataFrame,
     chunks: DataFrame,
@@ -366,9 +382,8 @@ def _run(
         counted = chunks
         if "year" not in chunks.columns:
             counted = chunks.withColumn("year", F.lit(None).cast("string"))
-        years = _asked_years(asked) if "years" in queries.columns else None
-        if years is not None:
-            counted = counted.where(F.col("year").isin(years))
+        if "years" in queries.columns:
+            counted = _in_asked_years(counted, asked)
         statistics = materialize(lexical.year_statistics(counted), "term-statistics")
     answers = []
     for rows in _blocks(asked):
@@ -396,7 +411,7 @@ def search_sparse(
 
     def finish(corpus: DataFrame, block: _Block) -> DataFrame:
         found = _scan_best(corpus, block, id_type, params, k, [0.0])
-        return ranking.top_k(found, ["query_id"], k)
+        return _ranked(found, ["query_id"], k)
 
     hits = _run(queries, chunks, False, True, statistics, params, finish)
     return hits.select("query_id", "rank", "chunk_id", "score")
@@ -408,7 +423,7 @@ def search_dense(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFram
 
     def finish(corpus: DataFrame, block: _Block) -> DataFrame:
         found = _scan_best(corpus, block, id_type, Bm25(), k, [1.0])
-        return ranking.top_k(found, ["query_id"], k)
+        return _ranked(found, ["query_id"], k)
 
     hits = _run(queries, chunks, True, False, None, Bm25(), finish)
     return hits.select("query_id", "rank", "chunk_id", "score")
@@ -448,7 +463,7 @@ def search_hybrid(
         if block.groups:
             _place_bounds(block, _scan_bounds(corpus, block, id_type, params))
         found = _scan_best(corpus, block, id_type, params, k, list(alphas))
-        return ranking.top_k(found, ["query_id", "alpha"], k)
+        return _ranked(found, ["query_id", "alpha"], k)
 
     hits = _run(queries, chunks, True, True, statistics, params, finish)
     first = ["query_id", "alpha", "rank", "chunk_id", "score"]
