@@ -79,19 +79,20 @@ def split_column(size: int = SIZE, overlap: int = OVERLAP):
 def chunk(
     df: DataFrame,
     column: str = "description",
-    keys: Sequence[str] = ("cik", "year", "section"),
+    keys: Sequence[str] = ("cik", "year", "filename", "section"),
     size: int = SIZE,
     overlap: int = OVERLAP,
     keep_text: bool = False,
 ) -> DataFrame:
     """One row per chunk with its ``position`` and ``chunk_id`` = keys and position.
 
+    The keys have to name one text; those that ``df`` does not have are left out.
     Narrow: no shuffle, and the source text is not copied to its chunks unless asked for.
     """
     arrays = df.withColumn("_chunks", split_column(size, overlap)(F.col(column)))
     kept = df.columns if keep_text else [c for c in df.columns if c != column]
     rows = arrays.select(*kept, F.posexplode("_chunks").alias("position", "chunk"))
-    return rows.withColumn("chunk_id", chunk_id(*keys))
+    return rows.withColumn("chunk_id", chunk_id(*(k for k in keys if k in df.columns)))
 
 
 def chunk_id(*keys: str) -> Column:

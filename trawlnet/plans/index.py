@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trawlnet.operators.chunk import OVERLAP, SIZE, chunk
 from trawlnet.operators.clean import SECTIONS, clean_sections, entity, unpivot_sections
 from trawlnet.operators.embed import Model, embed
-from trawlnet.sources.store import gather_by_year, write_manifest, write_store
+from trawlnet.operators.lexical import year_statistics
+from trawlnet.sources.store import gather_by_year, read_store, run_path, write_manifest, write_store
 
 
 def build_index(
@@ -23,15 +25,29 @@ def build_index(
     overlap: int = OVERLAP,
     batch_size: int = 8,
 ) -> None:
-    """Clean, chunk, embed and store wide documents (cik, year, section columns).
+    """Clean, chunk, embed and store wide documents (cik, year, filename, section columns).
 
+    ``filename`` tells apart two filings of one company and year; a split, where there is one,
+    tells apart equal names. Both are part of ``chunk_id``. The word statistics of the chunks are
+    stored with them (:func:`read_statistics`), so that searches need not count words.
     The filters run before the chunker. The only exchange gathers the chunks by year; it
     comes before the embedding, so it moves texts and not the far larger vectors.
     """
     wide = documents if key is None else entity(documents, key)
-    sections_long = clean_sections(unpivot_sections(wide, sections=sections))
+    name = [F.col(c) for c in ("split", "filename") if c in wide.columns]
+    wide = wide.withColumn("filename", F.concat_ws("/", *name))
+    sections_long = clean_sections(unpivot_sections(wide, ("cik", "year", "filename"), sections))
     chunks = chunk(sections_long, size=size, overlap=overlap)
     embedded = embed(gather_by_year(chunks), make_model, batch_size=batch_size)
     write_store(embedded, f"{base}/store", model_name, size, overlap)
+    stored = read_store(documents.sparkSession, f"{base}/store", model_name, size, overlap)
+    counted = year_statistics(stored)
+    counted.write.mode("overwrite").parquet(run_path(f"{base}/statistics", model_name, size, overlap))
     info = f"{base}/info/config_{model_name}_{size}_{overlap}"
     write_manifest(documents.sparkSession, info, model_name, size, overlap)
+
+
+def read_statistics(spark: SparkSession, base: str, model: str, size: int, overlap: int) -> DataFrame:
+    """Word statistics of one stored run, for the ``statistics`` of searches over it."""
+    schema = "year string, term string, n_chunks long, n_tokens long"
+    return spark.read.schema(schema).parquet(run_path(f"{base}/statistics", model, size, overlap))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ STORE_SCHEMA = T.StructType(
     [
         T.StructField("chunk_id", T.StringType()),
         T.StructField("cik", T.StringType()),
+        T.StructField("filename", T.StringType()),
         T.StructField("section", T.StringType()),
         T.StructField("chunk", T.StringType()),
         T.StructField("embedding", T.ArrayType(T.DoubleType())),
@@ -26,19 +29,24 @@ STORE_SCHEMA = T.StructType(
 def write_store(
     chunks: DataFrame, base: str, model: str, size: int, overlap: int
 ) -> None:
-    """Replace the partitions of this run, leave other runs alone.
+    """Replace all chunks of this run, leave other runs alone.
 
+    A run has a folder of its own, which is overwritten whole: a year that the new chunks do
+    not have is gone, too. Chunks without a filename get an empty one.
     Rows are written by the tasks that hold them. Gather them by year before the vectors
     are added (:func:`gather_by_year`), or each task writes a small file per year.
     """
-    settings = zip(RUN_COLUMNS, (F.lit(model), F.lit(size), F.lit(overlap)), strict=True)
-    stamped = chunks.withColumns(dict(settings)).select(STORE_SCHEMA.fieldNames())
-    (
-        stamped.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*RUN_COLUMNS, "year")
-        .parquet(base)
-    )
+    if "filename" not in chunks.columns:
+        chunks = chunks.withColumn("filename", F.lit(""))
+    columns = [c for c in STORE_SCHEMA.fieldNames() if c not in RUN_COLUMNS]
+    writer = chunks.select(columns).write.mode("overwrite").partitionBy("year")
+    writer.option("partitionOverwriteMode", "static").parquet(run_path(base, model, size, overlap))
+
+
+def run_path(base: str, model: str, size: int, overlap: int) -> str:
+    """The folder of a run, named as partitions are."""
+    values = quote(model, safe=""), size, overlap
+    return "/".join([base, *(f"{c}={v}" for c, v in zip(RUN_COLUMNS, values, strict=True))])
 
 
 def gather_by_year(chunks: DataFrame) -> DataFrame:
