@@ -53,8 +53,8 @@ def reciprocal_rank_per_query(
     gold: DataFrame, retrieved: DataFrame, alphas: Sequence[float]
 ) -> DataFrame:
     """(query_id, alpha, first_rank, reciprocal_rank) of the first chunk with the passage;
-    ``retrieved`` has (query_id, alpha, rank, chunk)."""
-    passages = gold.select("query_id", "full_sentence")
+    ``retrieved`` has (query_id, alpha, rank, chunk). A blank passage is in no chunk, as for recall."""
+    passages = gold.select("query_id", "full_sentence").where(text.strip("full_sentence") != "")
     checked = retrieved.join(passages, "query_id").where(
         F.contains(F.col("chunk"), F.col("full_sentence"))
     )
@@ -64,17 +64,24 @@ def reciprocal_rank_per_query(
     return joined.withColumn("reciprocal_rank", inverse)
 
 
-def answer_matches(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+def answer_matches(
+    gold: DataFrame, predictions: DataFrame, alphas: Sequence[float] | None = None
+) -> DataFrame:
     """(query_id, is_match): text answers by :func:`text.same_text`, list answers as sets.
 
     ``gold`` has gt_text and gt_list; a question without prediction, or a list that
-    cannot be read, is no match.
+    cannot be read, is no match. With ``alphas``, predictions have an ``alpha``: they answer
+    several runs, every question counts in each of them, and so the result has the ``alpha``.
     """
-    joined = gold.join(predictions.select("query_id", "pred_answer"), "query_id", "left")
+    keys = ["query_id"]
+    if alphas is not None:
+        keys = ["query_id", "alpha"]
+        gold = gold.join(_frame(gold, alphas), "query_id")
+    joined = gold.join(predictions.select(*keys, "pred_answer"), keys, "left")
     as_list = text.same_set("gt_list", text.printed_list("pred_answer"))
     as_text = text.same_text("gt_text", "pred_answer")
     match = F.when(F.col("gt_list").isNotNull(), as_list).otherwise(as_text)
-    return joined.select("query_id", match.alias("is_match"))
+    return joined.select(*keys, match.alias("is_match"))
 
 
 def mean_recall(per_query: DataFrame) -> DataFrame:
@@ -86,14 +93,24 @@ def mean_reciprocal_rank(per_query: DataFrame) -> DataFrame:
 
 
 def exact_match(matches: DataFrame) -> DataFrame:
+    """Share of matches, per ``alpha`` where the matches have one."""
     score = _mean(F.col("is_match").cast("double"))
-    return matches.agg(score.alias("exact_match_score"))
+    keys = ["alpha"] if "alpha" in matches.columns else []
+    return matches.groupBy(*keys).agg(score.alias("exact_match_score"))
 
 
 def bundle(recall: DataFrame, mrr: DataFrame, exact: DataFrame) -> DataFrame:
-    """One row per run: alpha, retriever{recall_k, mrr}, generator{exact_match_score}."""
-    return recall.join(mrr, "alpha").select(
+    """One row per run: alpha, retriever{recall_k, mrr}, generator{exact_match_score}.
+
+    ``exact`` has a row per alpha, or one row for all runs.
+    """
+    runs = recall.join(mrr, "alpha")
+    if "alpha" in exact.columns:
+        runs = runs.join(exact, "alpha", "left")
+    else:
+        runs = runs.withColumn("exact_match_score", exact.scalar())
+    return runs.select(
         "alpha",
         F.struct("recall_k", "mrr").alias("retriever"),
-        F.struct(exact.scalar().alias("exact_match_score")).alias("generator"),
+        F.struct("exact_match_score").alias("generator"),
     )

@@ -42,8 +42,9 @@ def evaluate(
     """Scores of every run: alpha, retriever{recall_k, mrr}, generator{exact_match_score}.
 
     ``gold`` has query_id, full_sentence, gt_text, gt_list. Passages are looked for in
-    the whole store, not only in the years a question asks for. The hits are written
-    once, since three metrics read them.
+    the whole store, not only in the years a question asks for. ``predictions`` with an
+    ``alpha`` hold the answers of each run, others those of all runs. The hits are written
+    once, since three metrics read them; that and the search run before the result is returned.
     """
     hits = retrieve(queries, chunks, k, alphas, statistics)
     kept = hits.select("query_id", "alpha", "rank", "chunk", text.text_key("chunk").alias("text_key"))
@@ -51,7 +52,8 @@ def evaluate(
     relevant = containing_chunks(gold, chunks)
     recall = metrics.recall_per_query(gold, relevant, kept, alphas)
     ranks = metrics.reciprocal_rank_per_query(gold, kept, alphas)
-    matches = metrics.answer_matches(gold, predictions)
+    per_run = alphas if "alpha" in predictions.columns else None
+    matches = metrics.answer_matches(gold, predictions, per_run)
     return metrics.bundle(
         metrics.mean_recall(recall),
         metrics.mean_reciprocal_rank(ranks),
