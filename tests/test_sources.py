@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawlnet.operators.embed import embed, hashing_model
-from trawlnet.plans.index import build_index
+from trawlnet.plans.index import build_index, read_statistics
 from trawlnet.sources import golden, runs, splits, store
 from trawlnet.sources.scan import spread_small
 from trawlnet.sources.scratch import materialize, scratch_path
@@ -25,6 +25,15 @@ def test_landing_is_idempotent_and_repairs_broken_folders(spark, tmp_path):
     ]
 
 
+def test_filings_of_one_year_keep_apart(spark, tmp_path):
+    rows = [("1", "1999", f, s, "the same text") for f, s in (("a", "train"), ("b", "train"), ("a", "test"))]
+    filings = spark.createDataFrame(rows, "cik string, year string, filename string, split string, section_1 string")
+    build_index(filings, str(tmp_path), hashing_model(4), "m/x y", sections=("section_1",))
+    chunks = store.read_store(spark, f"{tmp_path}/store", model="m/x y").collect()
+    assert len({r.chunk_id for r in chunks}) == 3
+    assert {r.filename for r in chunks} == {"train/a", "train/b", "test/a"}
+
+
 def test_union_goes_by_name(spark):
     a = spark.createDataFrame([(1, "x")], "a int, b string")
     b = spark.createDataFrame([("y", 2)], "b string, a int")
@@ -56,6 +65,11 @@ def test_index_and_store(spark, tmp_path):
     build_index(one, base, model, "m", key="5272", sections=sections, size=60, overlap=5)
     assert store.read_store(spark, f"{base}/store").count() == 4
     assert store.read_store(spark, f"{base}/store", size=60).count() == 1
+    # a run that is made again has no chunk of the years it no longer has
+    build_index(wide(spark, ["x"]), base, model, "m", sections=sections, size=50, overlap=5)
+    assert [r.year for r in store.read_store(spark, f"{base}/store", size=50).collect()] == ["1999"]
+    words = read_statistics(spark, base, "m", 50, 5)
+    assert {r.term for r in words.collect()} == {"text", "of", "x", None}
     manifests = store.read_manifest(spark, f"{base}/info").orderBy("chunk_size").collect()
     assert [tuple(r) for r in manifests] == [("m", 50, 5), ("m", 60, 5)]
 
@@ -109,8 +123,24 @@ def test_scores(spark, tmp_path):
     )
     base = tmp_path / "written"
     runs.write_scores(bundles, str(base))
-    got = runs.read_scores(spark, str(base)).orderBy("alpha").collect()
+    got = runs.read_scores(spark, str(base)).orderBy("alpha").drop(*runs.STORE).collect()
     assert [tuple(r) for r in got] == [(a, 10, 0.0, a / 2, 0.5, 0.9) for a in (0.0, 0.5, 1.0)]
+    # runs over another store stand beside them, also with an alpha that prints as a power
+    other = bundles.where("alpha = 1").withColumns(
+        {"embedding_model": F.lit("a/b"), "chunk_size": F.lit(50), "alpha": F.lit(0.0001)}
+    )
+    runs.write_scores(other, str(base))
+    runs.write_scores(other.withColumn("chunk_size", F.lit(60)), str(base))
+    rows = runs.read_scores(spark, str(base)).orderBy("alpha", "chunk_size").collect()
+    assert [(r.alpha, r.embedding_model, r.chunk_size) for r in rows] == [
+        (0.0, None, None), (0.0001, "a/b", 50), (0.0001, "a/b", 60), (0.5, None, None), (1.0, None, None),
+    ]
+    # several records in one file
+    flat = "\n".join(json.dumps({"alpha": a, "retriever": {"recall_k": a, "mrr": a}}) for a in (0.1, 0.2))
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "x.json").write_text(flat + "\n")
+    rows = runs.read_scores(spark, str(tmp_path / "lines")).orderBy("alpha").collect()
+    assert [(r.alpha, r.recall_k, r.top_k) for r in rows] == [(0.1, 0.1, None), (0.2, 0.2, None)]
     # files of another writer: one indented object per folder
     folder = tmp_path / "found" / "config_alpha-0.5_topk-10_temperature-0.0"
     folder.mkdir(parents=True)

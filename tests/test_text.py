@@ -98,10 +98,18 @@ def test_printed_list_equals_python_reading(spark):
         "('a', 'b')",
         r"['don\'t', 'a\\b']",
         "['New York/New York', 'Paris/Texas']",
+        "'a', 'b'",
+        "'a',",
+        "('a',)",
+        "()",
+        r"['a\nb', '\x41', '\u00e9\U0001F600', '\101', '\q', 'a\tb', '\0']",
     ]
-    bad = ["['a', 'b'", "a, b", "", None, "['a' 'b', c]", "{'a': 1}"]
+    sets = ["{'a', 'b'}", "{'a',}"]
+    bad = ["['a', 'b'", "a, b", "", None, "['a' 'b', c]", "{'a': 1}", "['a', 'b')", "('a')", "'a'"]
+    bad += ["['a\nb']", r"['\x4']", r"['\u12']", "(,)"]
     got = column(spark, good + bad, text.printed_list("x"))
     assert got[: len(good)] == [list(ast.literal_eval(g.strip())) for g in good]
+    assert [set(x) for x in column(spark, sets, text.printed_list("x"))] == [ast.literal_eval(s) for s in sets]
     assert got[len(good) :] == [None] * len(bad)
 
 

@@ -19,9 +19,18 @@ SPACES = (
     r"[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]]+"
 )
 
-# One quoted item of a printed list, single or double quotes, backslash escapes allowed.
-_ITEM = r"""(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+")"""
-_LIST = rf"(?s)^[\[(]\s*(?:{_ITEM}\s*(?:,\s*{_ITEM}\s*)*,?\s*)?[\])]$"
+# How a list of strings is printed. A quoted item has no bare line break, and
+# its escapes are complete; a list, a set, a tuple (a comma behind one item), or bare items.
+_ESCAPE = r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[^xuUN])"
+_PLAIN = r"[^{q}\\\r\n]*+"
+_ITEM = "(?:%s)" % "|".join(
+    rf"{q}{_PLAIN.format(q=q)}(?:{_ESCAPE}{_PLAIN.format(q=q)})*+{q}" for q in ("'", '"')
+)
+_ITEMS = rf"{_ITEM}(?:\s*,\s*{_ITEM})*+\s*,?\s*"
+_SEVERAL = rf"{_ITEM}\s*,\s*(?:{_ITEMS})?"
+_LIST = rf"(?s)^(?:\[\s*(?:{_ITEMS})?\]|\{{\s*{_ITEMS}\}}|\(\s*(?:{_SEVERAL})?\)|{_SEVERAL})$"
+_TOKEN = rf"(?s)\\[0-7]{{1,3}}|{_ESCAPE}|[^\\]+"
+_LETTERS = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\n": ""}
 
 
 def _column(col: Column | str) -> Column:
@@ -61,15 +70,34 @@ def shorten(col: Column | str, width: int) -> Column:
     return F.when(F.length(text) > width, cut).otherwise(text)
 
 
+def _code_point(digits: Column, base: int) -> Column:
+    """The character with the number that the digits write."""
+    return F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
+
+
+def _unescaped(token: Column) -> Column:
+    rest = F.substring(token, 2, 99)
+    letter = F.create_map(*[F.lit(x) for pair in _LETTERS.items() for x in pair])
+    plain = F.when(rest.isin(["\\", "'", '"']), rest).otherwise(F.coalesce(letter[rest], token))
+    number = F.when(rest.rlike("^[0-7]"), _code_point(rest, 8)).when(
+        rest.rlike("^[xuU]"), _code_point(F.substring(rest, 2, 99), 16)
+    )
+    return F.when(~token.startswith("\\"), token).otherwise(F.coalesce(number, plain))
+
+
 def printed_list(col: Column | str) -> Column:
-    """Items of a list written as ``['a', "b"]``; NULL if the text is no such list."""
+    """Items of a list, tuple or set written as ``['a', "b"]``; NULL if the text is no such thing.
+
+    Brackets have to pair, ``('a')`` is no tuple, and ``'a', 'b'`` needs no brackets.
+    """
     text = strip(col)
     quoted = F.regexp_extract_all(text, F.lit(f"(?s){_ITEM}"), F.lit(0))
-    items = F.transform(
-        quoted,
-        lambda q: F.regexp_replace(q.substr(F.lit(2), F.length(q) - 2), r"\\(.)", "$1"),
-    )
-    return F.when(text.rlike(_LIST), items)
+
+    def item(q: Column) -> Column:
+        tokens = F.regexp_extract_all(q.substr(F.lit(2), F.length(q) - 2), F.lit(_TOKEN), F.lit(0))
+        return F.array_join(F.transform(tokens, _unescaped), "")
+
+    return F.when(text.rlike(_LIST), F.transform(quoted, item))
 
 
 def same_text(left: Column | str, right: Column | str) -> Column:

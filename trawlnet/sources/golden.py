@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIELDS = "prompt_id int, prompt string, full_sentence string, gt_answer string, year string, section string"
+FIELDS = "prompt_id int, prompt string, full_sentence string, gt_answer variant, year string, section string"
 
 
 def write_golden(gold: DataFrame, path: str) -> None:
@@ -21,13 +21,14 @@ def write_golden(gold: DataFrame, path: str) -> None:
 def read_golden(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Read a JSON array (or JSON lines) and split the answer by its kind.
 
-    The reader renders a list in a string field as JSON text, which ``from_json`` turns
-    back into an array; for a plain string it gives NULL.
+    The kind is that of the JSON value, so a string that looks like a list stays a string.
     """
     raw = spark.read.schema(FIELDS).option("multiLine", not lines).json(path)
-    as_list = F.from_json(F.col("gt_answer"), "array<string>")
+    is_list = F.schema_of_variant("gt_answer").startswith("ARRAY")
+    as_list = F.variant_get("gt_answer", "$", "array<string>")
+    as_text = F.variant_get("gt_answer", "$", "string")
     return (
-        raw.withColumn("gt_list", as_list)
-        .withColumn("gt_text", F.when(F.col("gt_list").isNull(), F.col("gt_answer")))
+        raw.withColumn("gt_list", F.when(is_list, as_list))
+        .withColumn("gt_text", F.when(~is_list, as_text))
         .drop("gt_answer")
     )
