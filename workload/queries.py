@@ -28,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 ALPHAS = (0.0, 0.5, 1.0)
 K = 10
+MODEL = embed.hashing_model(16)
 _registry: dict[str, Query] = {}
 
 
@@ -65,11 +66,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have a vector, joined once: the store that the searches scan."""
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("chunk_id"), "embedding"
-    )
-    return materialize(corpus(spark, sf_dir).join(vectors, "chunk_id"), "chunks")
+    """All documents with the vector of a hashing model: the store that the searches scan."""
+    return materialize(embed.embed(corpus(spark, sf_dir), MODEL), "chunks")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +77,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.embed(questions(spark, sf_dir), MODEL, "prompt", output="vector")
+
+
+def listed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with their vector in ``embeddings``."""
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
     )
@@ -116,6 +119,14 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of each run: with a higher alpha fewer questions get one that matches."""
+    answers = predictions(spark, sf_dir)
+    runs = answers.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
+    kept = F.pmod(F.col("query_id"), F.lit(4)) >= F.col("alpha") * 2
+    return runs.withColumn("pred_answer", F.when(kept, F.col("pred_answer")).otherwise("none"))
+
+
 def three_splits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     docs = table(spark, sf_dir, "documents")
     return {
@@ -240,7 +251,7 @@ def entity_counts(spark, sf_dir):
 
 @query
 def null_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = table(spark, sf_dir, "documents")
     return profile.null_counts(docs.join(table(spark, sf_dir, "labels"), "doc_id", "left"))
 
 
@@ -369,11 +380,11 @@ def embed_hash(spark, sf_dir):
 
 @query
 def vector_functions(spark, sf_dir):
-    """Norm of every vector, and its product with the vector its label points to."""
+    """Norm of every vector, and its product with the vector of the next id."""
     left = table(spark, sf_dir, "embeddings")
-    right = left.select(F.col("vec_id").alias("label"), F.col("embedding").alias("other"))
+    right = left.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     mine, other = F.col("embedding"), F.col("other")
-    return left.join(right, "label").select(
+    return left.join(right, "vec_id").select(
         "vec_id",
         F.round(vector.l2_norm(mine), 6).alias("norm"),
         F.round(vector.dot(mine, other), 6).alias("dot"),
@@ -443,7 +454,7 @@ def cosine_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), "embedding"
     )
-    return _rounded(search.search_dense(vector_questions(spark, sf_dir), vectors, K), "score")
+    return _rounded(search.search_dense(listed_questions(spark, sf_dir), vectors, K), "score")
 
 
 @query
@@ -511,9 +522,8 @@ def result_bundle(spark, sf_dir):
 @query
 def answer_prompts(spark, sf_dir):
     """Embed corpus and questions, then everything up to the prompt of the chat model."""
-    make_model = embed.hashing_model(16)
-    chunks = materialize(embed.embed(corpus(spark, sf_dir), make_model), "chunks")
-    rows = answering.answer_prompts(questions(spark, sf_dir), chunks, make_model, K)
+    chunks = embedded_corpus(spark, sf_dir)
+    rows = answering.answer_prompts(questions(spark, sf_dir), chunks, MODEL, K)
     return rows.select(
         "query_id",
         F.md5("system_prompt").alias("prompt_md5"),
@@ -589,7 +599,7 @@ def _evaluated(spark: SparkSession, sf_dir: str, alphas) -> DataFrame:
         gold(spark, sf_dir),
         vector_questions(spark, sf_dir),
         embedded_corpus(spark, sf_dir),
-        predictions(spark, sf_dir),
+        run_predictions(spark, sf_dir),
         K,
         alphas,
     )
@@ -608,7 +618,7 @@ def alpha_sweep(spark, sf_dir):
 @query
 def run_comparison(spark, sf_dir):
     bundles = _evaluated(spark, sf_dir, ALPHAS).withColumns(
-        {"top_k": F.lit(K), "temperature": F.lit(0.0)}
+        {"top_k": F.lit(K), "temperature": F.lit(0.0), "embedding_model": F.lit("hashing/16")}
     )
     base = scratch_path(spark, "scores")
     runs.write_scores(bundles, base)
