@@ -81,23 +81,6 @@ def test_top_k_ties_and_nulls(spark):
     assert [r["rank"] for r in top] == [1, 2, 3, 4, 5]
 
 
-def test_min_max_and_fusion(spark):
-    rows = [("q", 1.0), ("q", 3.0), ("q", 2.0), ("q", None), ("flat", 2.0)]
-    scores = spark.createDataFrame(rows, "query_id string, score double")
-    joined = scores.join(ranking.bounds(scores, ["query_id"], "score"), "query_id")
-    scaled = ranking.min_max(F.col("score"), F.col("low"), F.col("high"))
-    got = joined.select("query_id", "score", scaled.alias("s")).collect()
-    assert {(r.query_id, r.score): r.s for r in got} == {
-        ("q", 1.0): 0.0,
-        ("q", 3.0): 1.0,
-        ("q", 2.0): 0.5,
-        ("q", None): None,
-        ("flat", 2.0): 0.0,
-    }
-    fused = spark.range(1).select(ranking.fuse(F.lit(1.0), F.lit(0.0), F.lit(0.25)))
-    assert fused.first()[0] == 0.25
-
-
 def test_context_and_result_keep_rank_order(spark):
     hits = spark.createDataFrame(
         [(1, 2, "two", "s2", "y2"), (1, 1, "one", "s1", "y1"), (1, 10, "ten", "s3", "y3")],
@@ -141,3 +124,18 @@ def test_relevance_looks_beyond_the_years_of_the_question(spark):
 def test_text_key_is_never_null(spark):
     row = spark.range(1).select(text.text_key(F.lit(None).cast("string")), text.text_key(F.lit("a")))
     assert row.first()[0] == "" and len(row.first()[1]) == 64
+
+
+def test_blank_passages_are_in_no_chunk(spark):
+    gold = spark.createDataFrame([(1, ""), (2, "  "), (3, "a")], "query_id int, full_sentence string")
+    hits = spark.createDataFrame([(i, 0.5, 1, "a  b") for i in (1, 2, 3)], "query_id int, alpha double, rank int, chunk string")
+    rows = metrics.reciprocal_rank_per_query(gold, hits, [0.5]).collect()
+    assert {r.query_id: r.reciprocal_rank for r in rows} == {1: 0.0, 2: 0.0, 3: 1.0}
+
+
+def test_answers_of_each_run(spark):
+    gold = spark.createDataFrame([(1, "a", None), (2, "b", None)], "query_id int, gt_text string, gt_list array<string>")
+    said = spark.createDataFrame([(1, 0.0, "A"), (2, 0.0, "b"), (1, 1.0, "a")], "query_id int, alpha double, pred_answer string")
+    matches = metrics.answer_matches(gold, said, [0.0, 1.0])
+    score = {r.alpha: r.exact_match_score for r in metrics.exact_match(matches).collect()}
+    assert score == {0.0: 1.0, 1.0: 0.5}

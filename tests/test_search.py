@@ -234,3 +234,32 @@ def test_fetch_keeps_rank_order_and_text(spark):
         rows = search.fetch(hits, c, bound).collect()
         assert len(rows) == hits.count()
         assert all(r.chunk is not None and "embedding" not in r for r in rows)
+
+
+def test_ranks_do_not_depend_on_partitions(spark):
+    """Scores at half of the ninth place are rounded once, where the rows are cut."""
+    scores = [0.2500000005, 0.250000000499, 0.2500000015, 0.25] * 8
+    chunks = [(f"c{i:02}", "1999", "w", [s, (1 - s * s) ** 0.5]) for i, s in enumerate(scores)]
+    q, c = frames(spark, [(1, "w", [], [1.0, 0.0])], chunks)
+    found = {
+        tuple((r["rank"], r.chunk_id) for r in search.search_dense(q, c.repartition(n), 5).orderBy("rank").collect())
+        for n in (1, 3, 50)
+    }
+    assert len(found) == 1
+
+
+def test_many_questions_are_one_scan(spark):
+    chunks = make_corpus(2)
+    queries = [(i, f"w{i % 30} w{i % 7}", [], [1.0, float(i % 5), 0.0, 1.0, 0.5]) for i in range(5000)]
+    q, c = frames(spark, queries, chunks)
+    found = search.search_hybrid(q, c, 2)
+    assert found._jdf.queryExecution().toString().count("MapInArrow") <= 4 * 2
+    assert found.count() == 10_000
+
+
+def test_very_long_prompts(spark):
+    chunks = make_corpus(2)
+    prompt = " ".join(f"x{i} w{i % 40}" for i in range(20_000))
+    q, c = frames(spark, [(i, prompt, [], [1.0] * 5) for i in range(4)], chunks)
+    got = collected(search.search_sparse(q, c, 9), "query_id")
+    assert got == expected([(i, prompt, [], [1.0] * 5) for i in range(4)], chunks, 9, lambda p, v, m: okapi(p, m))

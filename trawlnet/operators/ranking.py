@@ -1,10 +1,10 @@
-"""Normalisation, fusion and top-k over score tables."""
+"""Top-k over score tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Scores that agree to this many places are ties, and the lower key comes first. Sums of
@@ -13,24 +13,6 @@ TIE_PLACES = 9
 SALTS = 16
 
 
-def min_max(score: Column, low: Column, high: Column) -> Column:
-    """Scale to 0..1. A flat range gives 0, so the other component decides; NULL stays."""
-    scaled = F.try_divide(score - low, high - low)
-    return F.when(score.isNotNull(), F.coalesce(scaled, F.lit(0.0)))
-
-
-def fuse(dense: Column, sparse: Column, alpha: Column) -> Column:
-    """``alpha`` 0 is purely lexical, 1 purely dense."""
-    return alpha * dense + (1 - alpha) * sparse
-
-
-def bounds(scores: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Smallest and largest score per key (map-side partial aggregates)."""
-    return scores.groupBy(*keys).agg(
-        F.min(column).alias("low"), F.max(column).alias("high")
-    )
-
-
 def top_k(
     scores: DataFrame,
     keys: Sequence[str],
