@@ -6,11 +6,12 @@ the last. Each is a function of (spark, docs, sf_dir).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlnet.deploy import ship
 from trawlnet.llm import decontaminate, jaccard_join, langid, packing, substring_dedup
+from trawlnet.llm.frames import bound_batches
 from trawlnet.llm.queries import table, tokenizer_path
 from trawlnet.sources.scratch import materialize
 
@@ -18,26 +19,48 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SHARE = 0.4  # of a text's letters in its main language
 
 
+def _ready(spark: SparkSession) -> None:
+    """The workers get the package, and documents in small batches."""
+    ship(spark)
+    bound_batches(spark)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts with a language: some letters, and a main language among mixed ones."""
-    ship(spark)
+    _ready(spark)
     model = langid.train(docs)
     known = langid.identify(docs, model, COLUMNS)
     kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
     return known.where(kept).select(COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, F.xxhash64("text").alias("_key"))
+
+
+def _same(keys: DataFrame) -> Column:
+    """Rows with the same id, or none, and the same text as one of ``keys``."""
+    return F.col("doc_id").eqNullSafe(keys["_id"]) & (F.col("_key") == keys["_text"])
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("doc_id").alias("_id"), F.col("key").alias("_text")).distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every group of near duplicates."""
-    ship(spark)
+    """Keep the document with the smallest id of every group of near duplicates.
+
+    A row without an id stays if no row with an id is like it. Repeated rows are one document.
+    """
+    _ready(spark)
     groups = jaccard_join.near_duplicates(docs)
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(firsts, "doc_id", "left_semi").select(COLUMNS)
+    firsts = _keys(groups.where("doc_id <=> component_id"))
+    return _keyed(docs).join(firsts, _same(firsts), "left_semi").select(COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words that an earlier document has; a text that loses none stays as it is."""
-    ship(spark)
+    _ready(spark)
     cut = substring_dedup.remove_repeats(docs, COLUMNS)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     left = cut.where("n_removed = 0 or kept <> ''").withColumn("text", text)
@@ -46,15 +69,15 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that hold ten words in a row of a benchmark item."""
-    ship(spark)
+    _ready(spark)
     found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
-    dirty = found.where("size(hits) > 0").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(dirty, "doc_id", "left_anti").select(COLUMNS)
+    dirty = _keys(found.where("size(hits) > 0"))
+    return _keyed(docs).join(dirty, _same(dirty), "left_anti").select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and the place of each in a training sequence."""
-    ship(spark)
+    _ready(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 

@@ -28,6 +28,15 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _is_done(edges: DataFrame) -> bool:
+    """Whether everything hangs on one node each, and nothing hangs on that."""
+    none = F.lit(None).cast(edges.schema["v"].dataType)
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("on"), F.lit(0).alias("holds"))
+    nodes = nodes.unionAll(edges.select(F.col("v").alias("node"), none.alias("on"), F.lit(1).alias("holds")))
+    ends = nodes.groupBy("node").agg(F.min("on").alias("low"), F.max("on").alias("high"), F.max("holds").alias("holds"))
+    return ends.where("low <> high or (low is not null and holds = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of an edge (a, b); component is its smallest id.
 
@@ -38,14 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    current, mark = materialize(ordered, "edges"), None
-    while True:
-        state = current.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if state == mark or not state[0]:
-            break
-        mark = state
+    current = materialize(ordered, "edges")
+    while not _is_done(current):
         current = materialize(_stars(current), "edges")
     roots = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)

@@ -4,7 +4,7 @@ Method: line-block distribution. Mark-up is stripped so that every block of the
 line; parts that say by their tag, role or name that they are menus, notices, adverts and the
 like leave a gap. The lengths of text outside links are summed over windows of a few lines;
 text begins where the sum surges and ends where it dives to nothing. The longest stretch is
-kept, with those that share its article or come close to it.
+kept, with all of the article element it is in, or else with stretches nearly as long.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.functions.batches import pieces
-from trawlnet.llm.frames import extended
+from trawlnet.llm.frames import extended, sized
 
 WINDOW = 3  # lines of a block
 SHARE = 0.5  # of the best stretch's length that makes another stretch main text too
@@ -90,13 +89,14 @@ class _Page:
         self.linked = 0
         self.open: list[tuple[str, bool]] = []
         self.aside = self.link = self.article = self.articles = 0
-        self.inside: list[int] = []
+        self.inside: list[tuple[str, int]] = []
 
     def end_line(self) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                number = self.inside[-1] if self.inside else 0
+                articles = [n for kind, n in self.inside if kind == "article"]
+                number = (articles or [n for _, n in self.inside] or [0])[0]
                 self.lines.append((text, max(len(text) - self.linked, 0), number))
             self.parts, self.linked = [], 0
 
@@ -139,7 +139,7 @@ class _Page:
             self.link += 1
         if name in _ARTICLE:
             self.articles += 1
-            self.inside.append(self.articles)
+            self.inside.append((name, self.articles))
 
 
 def page_lines(source: str) -> list[tuple[str, int, int] | None]:
@@ -186,16 +186,16 @@ def main_text(source: str, window: int = WINDOW, share: float = SHARE) -> str:
                 flat = False
             stretches[-1].append(i)
     weight = [sum(lines[i][1] for i in s) for s in stretches]
-    best = int(np.argmax(weight))
-    article = lines[stretches[best][0]][2]
-    kept = set()
-    for s, w in zip(stretches, weight, strict=True):
-        same = article and lines[s[0]][2] == article
-        if same or (not article and w >= share * weight[best]):
-            kept.update(s)
-    if article:  # lines of links alone, where the article itself has them
-        kept.update(i for i, line in enumerate(lines) if line and line[2] == article)
-    return "\n".join(lines[i][0] for i in sorted(kept))
+    best = stretches[int(np.argmax(weight))]
+    of_article: dict[int, int] = {}
+    for i in best:
+        of_article[lines[i][2]] = of_article.get(lines[i][2], 0) + lines[i][1]
+    article = max(of_article, key=of_article.get)
+    if article:  # all of the page's article, lines of links among them
+        kept = [i for i, line in enumerate(lines) if line and line[2] == article]
+    else:
+        kept = [i for s, w in zip(stretches, weight, strict=True) if w >= share * max(weight) for i in s]
+    return "\n".join(lines[i][0] for i in kept)
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -207,12 +207,11 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, 8 << 20):
-                texts = [main_text(h) if h else "" for h in batch.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.select(keep).columns, pa.array(texts, pa.string())], names=[*keep, "text"]
-                )
+        for batch in sized(batches, 4 << 20):
+            texts = [main_text(h) if h else "" for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(keep).columns, pa.array(texts, pa.string())], names=[*keep, "text"]
+            )
 
     columns = [c for c in keep if c != "html"]
     return pages.select(*columns, F.col("html")).mapInArrow(run, extended(pages, keep, "text string"))

@@ -8,8 +8,9 @@ ones are probed: pairs whose count can still reach the required overlap are look
 other's whole sets by binary search.
 
 Groups of copies are not expanded into all pairs. Equal sets are one class; classes that
-agree in a minimal shingle are compared with the first of them, and what that proves to be
-connected is not compared again. No other pair is left out, so components are exact.
+agree in a minimal shingle are compared with the first of them, then classes with a neighbour
+in the lists, and what that proves to be connected is not compared again. No other pair is
+left out, so components are exact.
 
 Sets hold 64-bit hashes of shingles. Two different sets with the same 64-bit signature are
 recognised by a second signature, and then everything starts anew under another seed.
@@ -25,18 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.functions.batches import pieces
 from trawlnet.llm.components import components
+from trawlnet.llm.frames import sized
 from trawlnet.llm.windows import ascii_words, mix, starts_of, window_hashes, word_hashes
 from trawlnet.operators.joins import bounded
 from trawlnet.sources.scratch import materialize
 
-ORDER_SAMPLE = 5000  # documents whose shingles tell which lists are long; order only
-LONG_LIST = 3  # documents of that sample that make a list long
-MOST_LONG = 1 << 20  # long lists known to every task
+ORDER_SHARE = 0.05  # of the documents, whose shingles tell which lists are long; order only
+LONG_LIST = 2  # documents of that sample that make a list long
+MOST_LONG = 1 << 21  # long lists known to every task, the longest ones
 TASK_POSTINGS = 1 << 20  # index entries of one task
 MOST_PAIRS = 1 << 20  # pairs counted at a time in one task
-BANDS = 4
+NEIGHBOUR_ROUNDS = 2  # in which sets are compared with their neighbours in the lists only
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -49,10 +50,12 @@ def shingle_sets(texts: pa.Array, k: int, seed: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; of the whole text if it has fewer words."""
     flat, lengths = ascii_words(texts, lower=True)
     words = word_hashes(flat, seed)
-    hashed = {n: window_hashes(words, n, seed + n * 1000) for n in range(1, k + 1)}
+    hashed = window_hashes(words, k, seed)
     for start, n in zip(starts_of(lengths)[:-1], lengths, strict=True):
-        width = min(int(n), k)
-        yield np.unique(hashed[width][start : start + n - width + 1]) if n else np.empty(0, np.uint64)
+        if n >= k:
+            yield np.unique(hashed[start : start + n - k + 1])
+        else:
+            yield window_hashes(words[start : start + n], int(n), seed + 1000 * int(n)) if n else words[:0]
 
 
 class _Signer:
@@ -72,16 +75,14 @@ class _Signer:
 
 
 def _long_lists(docs: DataFrame, k: int, seed: int) -> np.ndarray:
-    """Shingles of many documents, by a sample of at most about ``ORDER_SAMPLE`` of them."""
-    part = min(1.0, ORDER_SAMPLE / max(docs.count(), 1))
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)
+    """Shingles of some tens of documents or more, by a sample."""
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(ORDER_SHARE * 1_000_000)
 
     def run(batches):
-        for whole in batches:
-            for batch in pieces(whole, 8 << 20):
-                sets = list(shingle_sets(batch.column("text"), k, seed))
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+        for batch in sized(batches, 3 << 20):
+            sets = list(shingle_sets(batch.column("text"), k, seed))
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     counted = docs.where(chosen).select("text").mapInArrow(run, "h long, n long")
     frequent = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LONG_LIST)
@@ -95,30 +96,30 @@ def _described(docs: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
 
     def run(batches):
         signer, long = _Signer(seed), inside.value
-        for whole in batches:
-            for batch in pieces(whole, 8 << 20):
-                rows = [[], [], [], [], []]
-                for x in shingle_sets(batch.column("text"), k, seed):
-                    n = len(x)
-                    if not n:
-                        for column, value in zip(rows, (0, None, None, None, None), strict=True):
-                            column.append(value)
-                        continue
-                    at = np.minimum(np.searchsorted(long, x), max(len(long) - 1, 0))
-                    is_long = long[at] == x if len(long) else np.zeros(n, bool)
-                    prefix = np.concatenate([x[~is_long], x[is_long]])[: n - least_overlap(n, percent) + 1]
-                    with np.errstate(over="ignore"):
-                        least = np.array([x[0], x[-1], (x * _ODD[1]).min(), (x * _ODD[2]).min()])
-                    for column, value in zip(rows, (n, *signer(x), least.view(np.int64), prefix.tobytes()), strict=True):
+        for batch in sized(batches, 3 << 20):
+            rows = [[], [], [], [], []]
+            for x in shingle_sets(batch.column("text"), k, seed):
+                n = len(x)
+                if not n:
+                    for column, value in zip(rows, (0, None, None, None, None), strict=True):
                         column.append(value)
-                kinds = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))],
-                    names=["doc_id", "n", "sig", "other", "least", "prefix"],
-                )
-
-    schema = "doc_id long, n long, sig long, other long, least array<long>, prefix binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+                    continue
+                at = np.minimum(np.searchsorted(long, x), max(len(long) - 1, 0))
+                is_long = long[at] == x if len(long) else np.zeros(n, bool)
+                prefix = np.concatenate([x[~is_long], x[is_long]])[: n - least_overlap(n, percent) + 1]
+                with np.errstate(over="ignore"):
+                    least = np.array([x[0], x[-1], (x * _ODD[1]).min(), (x * _ODD[2]).min()])
+                for column, value in zip(rows, (n, *signer(x), least.view(np.int64), prefix.tobytes()), strict=True):
+                    column.append(value)
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()
+            kept = batch.select(["doc_id", "key"]).columns
+            yield pa.RecordBatch.from_arrays(
+                [*kept, *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))],
+                names=["doc_id", "key", "n", "sig", "other", "least", "prefix"],
+            )
+
+    schema = "doc_id long, key long, n long, sig long, other long, least array<long>, prefix binary"
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
@@ -129,18 +130,17 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
 
     def sets(batches):
         signer = _Signer(seed)
-        for whole in batches:
-            for batch in pieces(whole, 8 << 20):
-                found = list(shingle_sets(batch.column("text"), k, seed))
-                own = [signer(x)[0] for x in found]  # another row may have the same doc_id
-                same = [s == t for s, t in zip(own, batch.column("sig").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([s for s, ok in zip(own, same, strict=True) if ok], pa.int64()),
-                        pa.array([x.tobytes() for x, ok in zip(found, same, strict=True) if ok], pa.binary()),
-                    ],
-                    names=["sig", "members"],
-                )
+        for batch in sized(batches, 3 << 20):
+            found = list(shingle_sets(batch.column("text"), k, seed))
+            own = [signer(x)[0] for x in found]  # another row may have the same doc_id
+            same = [s == t for s, t in zip(own, batch.column("sig").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([s for s, ok in zip(own, same, strict=True) if ok], pa.int64()),
+                    pa.array([x.tobytes() for x, ok in zip(found, same, strict=True) if ok], pa.binary()),
+                ],
+                names=["sig", "members"],
+            )
 
     table = texts.mapInArrow(sets, "sig long, members binary").dropDuplicates(["sig"])
     left = table.select(F.col("sig").alias("a"), F.col("members").alias("x"))
@@ -179,8 +179,11 @@ def _shared_lists(batches):
     yield from table.take(pa.array(kept)).to_batches(max_chunksize=1 << 16)
 
 
-def _merge_lists(percent: int):
-    """Count how often two classes of different clusters meet in the lists of a task."""
+def _merge_lists(percent: int, near: bool):
+    """Count how often two classes of different clusters meet in the lists of a task.
+
+    ``near``: only as neighbours, in the order of their sizes.
+    """
 
     def flush(parts: list[np.ndarray], sig, size, place):
         left, right = np.concatenate(parts[::2]), np.concatenate(parts[1::2])
@@ -210,7 +213,7 @@ def _merge_lists(percent: int):
         parts, held = [], 0
         i = 0
         index = np.arange(len(h))
-        counts = reach - index - 1
+        counts = np.minimum(reach - index - 1, 1) if near else reach - index - 1
         while i < len(h):
             j = max(i + 1, int(np.searchsorted(np.cumsum(counts[i:]), MOST_PAIRS)) + i)
             left = np.repeat(index[i:j], counts[i:j])
@@ -238,8 +241,9 @@ def _last_fitting(h: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, key) of every row of ``docs`` (doc_id, text).
 
+    ``key`` is a hash of the text, which tells rows with the same doc_id, or with none, apart.
     Words are runs without ASCII white space, A-Z lower-cased. Two documents link when their
     shingle sets have a Jaccard similarity of at least ``percent`` / 100; ``component_id`` is
     the smallest doc_id that links reach. Texts without words have no shingles and stay
@@ -276,47 +280,61 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, total // 8 // TASK_POSTINGS + 1)
 
     def explode(batches):
-        for whole in batches:
-            for batch in pieces(whole, 8 << 20):
-                counts = np.array([len(p.as_buffer()) // 8 for p in batch.column("prefix")], np.int64)
-                if not counts.sum():
-                    continue
-                h = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64)
-                place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-                size = np.repeat(batch.column("n").to_numpy(), counts)
-                sig = np.repeat(batch.column("sig").to_numpy(), counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(sig), pa.array(size << 32 | place)], names=["h", "sig", "packed"]
-                )
+        for batch in sized(batches, 3 << 20):
+            counts = np.array([len(p.as_buffer()) // 8 for p in batch.column("prefix")], np.int64)
+            if not counts.sum():
+                continue
+            h = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+            size = np.repeat(batch.column("n").to_numpy(), counts)
+            sig = np.repeat(batch.column("sig").to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(sig), pa.array(size << 32 | place)], names=["h", "sig", "packed"]
+            )
 
     entry = "h long, sig long, packed long"
     index = entries.select("sig", "n", "prefix").mapInArrow(explode, entry).repartition(parts, "h")
-    lists = index.mapInArrow(_shared_lists, entry)
-    named = lists.join(cluster.withColumnRenamed("id", "sig"), "sig", "left").select(
-        "h", "sig", "packed", F.coalesce("component", "sig").alias("cluster")
-    )
-    merged = named.repartition(parts, "h").mapInArrow(
-        _merge_lists(percent),
-        "a long, b long, size_a long, size_b long, times long, last_a long, last_b long",
-    )
-    counted = merged.groupBy("a", "b", "size_a", "size_b").agg(
-        F.sum("times").alias("times"), F.max("last_a").alias("last_a"), F.max("last_b").alias("last_b")
-    )
+    lists = materialize(index.mapInArrow(_shared_lists, entry), "lists")
+
+    def counted(near: bool) -> DataFrame:
+        named = lists.join(cluster.withColumnRenamed("id", "sig"), "sig", "left").select(
+            "h", "sig", "packed", F.coalesce("component", "sig").alias("cluster")
+        )
+        merged = named.repartition(parts, "h").mapInArrow(
+            _merge_lists(percent, near),
+            "a long, b long, size_a long, size_b long, times long, last_a long, last_b long",
+        )
+        return merged.groupBy("a", "b", "size_a", "size_b").agg(
+            F.sum("times").alias("times"), F.max("last_a").alias("last_a"), F.max("last_b").alias("last_b")
+        )
+
+    # every class and the neighbour that it meets most often: that joins most clusters of
+    # copies, and pairs inside a cluster need no look
+    for _ in range(NEIGHBOUR_ROUNDS):
+        often = F.expr("times * 20 >= greatest(size_a, size_b)")  # a quarter of the prefix
+        beside = materialize(counted(True).where(often).select("a", "b", "times"), "neighbours")
+        ends = beside.select(F.col("a").alias("one"), F.struct("times", "a", "b").alias("pair")).unionAll(
+            beside.select(F.col("b").alias("one"), F.struct("times", "a", "b").alias("pair"))
+        )
+        best = ends.groupBy("one").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+        best = materialize(best, "best")
+        proved = proved.unionAll(materialize(_verified(docs, classes, best, k, percent, seed), "links"))
+        cluster = components(proved)
     rest = F.least(F.expr("size_a - 1 - last_a"), F.expr("size_b - 1 - last_b"))
     both = F.expr("size_a + size_b")
     can = (F.col("times") + rest) * (100 + percent) >= both * percent
-    pairs = materialize(counted.where(can).select("a", "b"), "pairs")
-    found = _verified(docs, classes, pairs, k, percent, seed)
-    group = components(materialize(proved.unionAll(found), "links"))
+    pairs = materialize(counted(False).where(can).select("a", "b"), "pairs")
+    found = materialize(_verified(docs, classes, pairs, k, percent, seed), "links")
+    group = components(proved.unionAll(found))
     rooted = classes.join(group.withColumnRenamed("id", "sig"), "sig", "left").select(
         "sig", "doc_id", F.coalesce("component", "sig").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     answer = materialize(rooted.join(smallest, "root").select("sig", "component_id"), "components")
-    worded = described.where("n > 0").select("doc_id", "n", "sig").join(answer, "sig", "left")
-    alone = described.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    worded = described.where("n > 0").select("doc_id", "n", "sig", "key").join(answer, "sig", "left")
+    alone = described.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "key")
     return (
-        worded.select("doc_id", "n", "component_id")
+        worded.select("doc_id", "n", "component_id", "key")
         .unionAll(alone)
         .withColumnRenamed("n", "n_shingles")
     )

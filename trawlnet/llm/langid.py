@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.functions.batches import pieces, split_words
-from trawlnet.llm.frames import extended
+from trawlnet.functions.batches import split_words
+from trawlnet.llm.frames import extended, sized
 from trawlnet.llm.windows import ranges, starts_of
 
 BUCKETS = 1 << 16  # hashed trigrams; with the number of languages the size of the model
@@ -92,19 +92,18 @@ def _encoded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram and script counts per language of what this task reads."""
     totals: dict[str, np.ndarray] = {}
-    for whole in batches:
-        for batch in pieces(whole, 8 << 20):
-            distinct, codes, lengths = _encoded(batch.column("text"))
-            if not len(distinct):
-                continue
-            words = _words(distinct)
-            langs = batch.column("lang").dictionary_encode()
-            of_word = np.repeat(langs.indices.to_numpy(zero_copy_only=False), lengths)
-            for i, lang in enumerate(langs.dictionary.to_pylist()):
-                times = np.bincount(codes[of_word == i], minlength=len(distinct))
-                sums = totals.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS)))
-                sums[:BUCKETS] += np.bincount(words.grams, times[words.gram_word], BUCKETS)
-                sums[BUCKETS:] += np.bincount(words.script, times * words.letters, len(SCRIPTS))
+    for batch in sized(batches, 8 << 20):
+        distinct, codes, lengths = _encoded(batch.column("text"))
+        if not len(distinct):
+            continue
+        words = _words(distinct)
+        langs = batch.column("lang").dictionary_encode()
+        of_word = np.repeat(langs.indices.to_numpy(zero_copy_only=False), lengths)
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            times = np.bincount(codes[of_word == i], minlength=len(distinct))
+            sums = totals.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS)))
+            sums[:BUCKETS] += np.bincount(words.grams, times[words.gram_word], BUCKETS)
+            sums[BUCKETS:] += np.bincount(words.script, times * words.letters, len(SCRIPTS))
     for lang, sums in totals.items():
         key = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays(
@@ -220,20 +219,19 @@ def identify(docs: DataFrame, model: Model, keep: list[str], switch: float = SWI
     inside = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, 8 << 20):
-                langs, score, names, begin, end = _label(inside.value, switch, batch.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in keep]
-                    + [
-                        pa.array(langs, pa.string()),
-                        pa.array(score, pa.float64()),
-                        pa.array(names, pa.list_(pa.string())),
-                        pa.array(begin, pa.list_(pa.int32())),
-                        pa.array(end, pa.list_(pa.int32())),
-                    ],
-                    names=[*keep, "lang_pred", "score", "span_lang", "span_start", "span_end"],
-                )
+        for batch in sized(batches, 8 << 20):
+            langs, score, names, begin, end = _label(inside.value, switch, batch.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keep]
+                + [
+                    pa.array(langs, pa.string()),
+                    pa.array(score, pa.float64()),
+                    pa.array(names, pa.list_(pa.string())),
+                    pa.array(begin, pa.list_(pa.int32())),
+                    pa.array(end, pa.list_(pa.int32())),
+                ],
+                names=[*keep, "lang_pred", "score", "span_lang", "span_start", "span_end"],
+            )
 
     added = "lang_pred string, score double, span_lang array<string>, span_start array<int>, span_end array<int>"
     out = extended(docs, keep, added)

@@ -15,14 +15,14 @@ import bisect
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawlnet.functions.batches import pieces
-from trawlnet.llm.frames import extended
+from trawlnet.llm.frames import extended, sized
 from trawlnet.llm.windows import ranges, starts_of
 from trawlnet.sources.scratch import materialize
 
@@ -36,6 +36,19 @@ PART_ROWS = 20_000  # pieces of one length that are numbered together
 CUTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class _Numbers(dict):
+    """Words to numbers in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Token ids of many texts; words seen before are looked up."""
 
@@ -56,30 +69,36 @@ class Encoder:
         return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.words(part))]
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids = np.empty(0, np.uint32)
+        self.code = _Numbers()
+        self.ids = np.empty(1 << 16, np.uint32)  # of all words known, with room for more
         self.first = np.zeros(1, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        new = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in new])
-        self.ids = np.concatenate([self.ids, np.concatenate([np.array(x, np.uint32) for x in new])])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
-        self.code.update(zip(words, range(len(self.code), len(self.code) + len(words)), strict=True))
+    def learn(self) -> None:
+        """Encode the words that have been numbered since the last time."""
+        if not self.code.new:
+            return
+        found = [e.ids for e in self.tokenizer.encode_batch(self.code.new, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        begin = self.first[-1]
+        self.first = np.concatenate([self.first, begin + np.cumsum(lengths)])
+        end = self.first[-1]
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[:begin], np.empty(2 * end - begin, np.uint32)])
+        self.ids[begin:end] = np.fromiter(chain.from_iterable(found), np.uint32, int(end - begin))
+        self.code.new = []
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and their number per text."""
         if len(self.code) > CACHED:
             self.clear()
         cut = [self.cut(t) for t in texts]
-        code = self.code
-        fresh = {w for words in cut for w in words if w not in code}
-        if fresh:
-            self.learn(sorted(fresh))
-        codes = np.fromiter((code[w] for words in cut for w in words), np.int64)
+        n_words = np.fromiter(map(len, cut), np.int64, len(cut))
+        words = chain.from_iterable(cut)
+        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, int(n_words.sum()))
+        self.learn()
         sizes = np.diff(self.first)[codes]
-        ids = self.ids[np.repeat(self.first[codes], sizes) + ranges(sizes)] if len(codes) else self.ids[:0]
-        ends = starts_of(sizes)[starts_of(np.array([len(c) for c in cut]))]
+        ids = self.ids[np.repeat(self.first[codes], sizes) + ranges(sizes)]
+        ends = starts_of(sizes)[starts_of(n_words)]
         return ids, np.diff(ends)
 
 
@@ -93,25 +112,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int, keep: list[str]) ->
 
     def run(batches):
         encode = encoder(tokenizer)
-        for whole in batches:
-            for batch in pieces(whole, 2 << 20):
-                ids, lengths = encode([t or "" for t in batch.column("text").to_pylist()])
-                counts = (lengths + 1 + size - 1) // size
-                full = np.full(int(lengths.sum()) + len(lengths), END, "<u4")
-                first = starts_of(lengths + 1)
-                full[np.repeat(first[:-1], lengths) + ranges(lengths)] = ids
-                row = np.repeat(np.arange(len(lengths)), counts)
-                piece = ranges(counts)
-                head = (lengths + 1) - (counts - 1) * size  # length of the first piece
-                start = np.where(piece == 0, 0, head[row] + (piece - 1) * size)
-                length = np.where(piece == 0, head[row], size)
-                begin = first[row] + start
-                crc = [zlib.crc32(full[b : b + n].tobytes()) for b, n in zip(begin, length, strict=True)]
-                kept = batch.select(keep).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
-                    names=[*keep, "piece", "start", "length", "ids_crc32"],
-                )
+        for batch in sized(batches, 2 << 20):
+            ids, lengths = encode([t or "" for t in batch.column("text").to_pylist()])
+            counts = (lengths + 1 + size - 1) // size
+            full = np.full(int(lengths.sum()) + len(lengths), END, "<u4")
+            first = starts_of(lengths + 1)
+            full[np.repeat(first[:-1], lengths) + ranges(lengths)] = ids
+            row = np.repeat(np.arange(len(lengths)), counts)
+            piece = ranges(counts)
+            head = (lengths + 1) - (counts - 1) * size  # length of the first piece
+            start = np.where(piece == 0, 0, head[row] + (piece - 1) * size)
+            length = np.where(piece == 0, head[row], size)
+            begin = first[row] + start
+            crc = [zlib.crc32(full[b : b + n].tobytes()) for b, n in zip(begin, length, strict=True)]
+            kept = batch.select(keep).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
+                names=[*keep, "piece", "start", "length", "ids_crc32"],
+            )
 
     schema = extended(docs, keep, "piece int, start long, length long, ids_crc32 long")
     return docs.select(*[c for c in keep if c != "text"], "text").mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.functions.batches import pieces
+from trawlnet.llm.frames import sized
 from trawlnet.llm.windows import ascii_words, mix, starts_of, word_hashes
 
 SAMPLE = 6000  # texts that the scorer is fitted to
@@ -139,14 +139,9 @@ def _features(lengths, measures, flat, hashes, again) -> tuple[np.ndarray, np.nd
     return (values[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(rows, minlength=n_texts)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        yield from pieces(whole, 4 << 20)
-
-
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(3 ** len(LABELLERS), np.int64)
-    for batch in _batches(batches):
+    for batch in sized(batches, 3 << 20):
         lengths, measures, *_ = _measure(batch.column("text"))
         counts += np.bincount(_pattern(_votes(lengths, measures)), minlength=len(counts))
     seen = np.flatnonzero(counts)
@@ -229,7 +224,7 @@ def train(docs: DataFrame) -> Model:
     chosen = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)
 
     def describe(batches):
-        for batch in _batches(batches):
+        for batch in sized(batches, 3 << 20):
             found = _measure(batch.column("text"))
             features, sizes = _features(*found)
             cuts = starts_of(sizes)
@@ -259,7 +254,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = inside.value
-        for batch in _batches(batches):
+        for batch in sized(batches, 3 << 20):
             found = _measure(batch.column("text"))
             features, sizes = _features(*found)
             row = np.repeat(np.arange(len(sizes)), sizes)

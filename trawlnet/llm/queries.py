@@ -21,6 +21,7 @@ from trawlnet.llm import (
     toxicity,
     url_rules,
 )
+from trawlnet.llm.frames import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,11 +29,12 @@ _registry: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    """Register ``fn`` under its name; the workers get the package before it runs."""
+    """Register ``fn`` under its name; the workers get the package and small batches."""
 
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        bound_batches(spark)
         return fn(spark, sf_dir)
 
     _registry[fn.__name__] = run
@@ -60,7 +62,7 @@ def op1_language_id(spark, sf_dir):
 
 @query
 def op2_ngram_jaccard_join(spark, sf_dir):
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
 @query

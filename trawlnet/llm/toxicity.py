@@ -21,7 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.functions.batches import pieces, split_words
+from trawlnet.functions.batches import split_words
+from trawlnet.llm.frames import sized
 from trawlnet.llm.langid import _letters
 from trawlnet.llm.windows import mix, ranges, starts_of
 from trawlnet.operators.joins import bounded
@@ -95,18 +96,17 @@ def _terms(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in pieces(whole, 8 << 20):
-            text, term, _ = _terms(batch.column("text"))
-            bad = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)[text]
-            order = np.argsort(term, kind="stable")
-            term, bad = term[order], bad[order]
-            first = np.flatnonzero(np.diff(term, prepend=term[:1] ^ 1) != 0)
-            n = np.diff(np.append(first, len(term)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(term[first]), pa.array(np.add.reduceat(bad, first) if len(first) else n), pa.array(n)],
-                names=["term", "bad", "n"],
-            )
+    for batch in sized(batches, 3 << 20):
+        text, term, _ = _terms(batch.column("text"))
+        bad = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)[text]
+        order = np.argsort(term, kind="stable")
+        term, bad = term[order], bad[order]
+        first = np.flatnonzero(np.diff(term, prepend=term[:1] ^ 1) != 0)
+        n = np.diff(np.append(first, len(term)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(term[first]), pa.array(np.add.reduceat(bad, first) if len(first) else n), pa.array(n)],
+            names=["term", "bad", "n"],
+        )
 
 
 def vocabulary(labelled: DataFrame, n: int, n_bad: int) -> np.ndarray:
@@ -185,15 +185,14 @@ class Index:
 
 def _vectors(terms: np.ndarray, columns: list[str]):
     def run(batches):
-        for whole in batches:
-            for batch in pieces(whole, 8 << 20):
-                text, at, count = _terms(batch.column("text"), terms)
-                at, count = at.astype(np.int32), count.astype(np.int32)
-                cuts = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.select(columns).columns, pa.ListArray.from_arrays(cuts, pa.array(at)), pa.ListArray.from_arrays(cuts, pa.array(count))],
-                    names=[*columns, "terms", "counts"],
-                )
+        for batch in sized(batches, 3 << 20):
+            text, at, count = _terms(batch.column("text"), terms)
+            at, count = at.astype(np.int32), count.astype(np.int32)
+            cuts = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(columns).columns, pa.ListArray.from_arrays(cuts, pa.array(at)), pa.ListArray.from_arrays(cuts, pa.array(count))],
+                names=[*columns, "terms", "counts"],
+            )
 
     return run
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = 0xA0761D6478BD642F
-_BYTES = 1 << 21  # bytes of words hashed at a time; about 30 times as much memory
+_BYTES = 1 << 19  # bytes of words hashed at a time; about 30 times as much memory
 
 
 def mix(h: np.ndarray) -> np.ndarray:
