@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.functions.batches import as_lists, pieces
-from trawlnet.llm.frames import extended
+from trawlnet.functions.batches import as_lists
+from trawlnet.llm.frames import extended, sized
 from trawlnet.llm.windows import (
     ascii_words,
     ranges,
@@ -35,11 +35,10 @@ from trawlnet.llm.windows import (
 from trawlnet.sources.scratch import materialize
 
 LENGTH = 50  # words of the shortest passage removed
-TASK_WINDOWS = 1 << 22  # windows that one task looks up
+TASK_WINDOWS = 1 << 21  # windows that one task looks up
 HOT_SAMPLE = 5000  # documents whose windows tell which ones are frequent
 HOT_SHARE = 0.002  # of the sample's documents that make a window frequent
 MOST_HOT = 1 << 18
-_BATCH = 8 << 20
 _PACKED = "bucket int, kind int, batch long, ids binary, counts binary, hashes binary, places binary"
 
 
@@ -76,17 +75,16 @@ def _frequent(docs: DataFrame, block: int) -> np.ndarray:
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(part * 1_000_000)
 
     def run(batches):
-        for whole in batches:
-            for batch in pieces(whole, _BATCH):
-                flat, lengths = ascii_words(batch.column("text"))
-                hashes = window_hashes(word_hashes(flat), block)
-                text, at = window_starts(lengths, block)
-                h = hashes[at]
-                order = np.lexsort((text, h))
-                h, text = h[order], text[order]
-                new = (np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0) | (np.diff(text, prepend=-1) != 0)
-                h, n = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+        for batch in sized(batches, 3 << 20):
+            flat, lengths = ascii_words(batch.column("text"))
+            hashes = window_hashes(word_hashes(flat), block)
+            text, at = window_starts(lengths, block)
+            h = hashes[at]
+            order = np.lexsort((text, h))
+            h, text = h[order], text[order]
+            new = (np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0) | (np.diff(text, prepend=-1) != 0)
+            h, n = np.unique(h[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     counted = docs.where(chosen).select("text").mapInArrow(run, "h long, n long")
     least = max(8, int(HOT_SHARE * HOT_SAMPLE))
@@ -100,37 +98,36 @@ def _probes(block: int, buckets: int, hot):
 
     def run(batches):
         frequent = hot.value
-        for whole in batches:
-            for batch in pieces(whole, _BATCH):
-                flat, lengths = ascii_words(batch.column("text"))
-                text, at = window_starts(lengths, block)
-                if not len(at):
-                    continue
-                hashes = window_hashes(word_hashes(flat), block)[at]
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
-                own = hashlib.sha256(ids.tobytes() + keys.tobytes() + lengths.tobytes()).digest()
-                name = int.from_bytes(own[:8], "little", signed=True)
-                is_block = ((at - starts_of(lengths)[text]) % block == 0).astype(np.uint32)
-                near = np.minimum(np.searchsorted(frequent, hashes), max(len(frequent) - 1, 0))
-                known = frequent[near] == hashes if len(frequent) else np.zeros(len(hashes), bool)
-                lanes = np.stack([ids, keys]).tobytes()
-                rows = [(name % buckets, 1, name, lanes, lengths.tobytes(), None, None)]
-                if known.any():
-                    rows.append((name % buckets, 2, name, None, None, None, at[known].astype(np.uint32).tobytes()))
-                at, hashes, is_block = at[~known], hashes[~known], is_block[~known]
-                bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
-                short = (hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | is_block
-                order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cuts)):
-                    mine = order[cuts[b] : cuts[b + 1]]
-                    gaps = np.diff(at[mine], prepend=0)
-                    rows.append((int(b), 0, name, None, None, short[mine].tobytes(), _pack(gaps)))
-                    if len(rows) >= 256:
-                        yield _rows(_NAMES, rows, _TYPES)
-                        rows = []
-                yield _rows(_NAMES, rows, _TYPES)
+        for batch in sized(batches, 3 << 20):
+            flat, lengths = ascii_words(batch.column("text"))
+            text, at = window_starts(lengths, block)
+            if not len(at):
+                continue
+            hashes = window_hashes(word_hashes(flat), block)[at]
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            own = hashlib.sha256(ids.tobytes() + keys.tobytes() + lengths.tobytes()).digest()
+            name = int.from_bytes(own[:8], "little", signed=True)
+            is_block = ((at - starts_of(lengths)[text]) % block == 0).astype(np.uint32)
+            near = np.minimum(np.searchsorted(frequent, hashes), max(len(frequent) - 1, 0))
+            known = frequent[near] == hashes if len(frequent) else np.zeros(len(hashes), bool)
+            lanes = np.stack([ids, keys]).tobytes()
+            rows = [(name % buckets, 1, name, lanes, lengths.tobytes(), None, None)]
+            if known.any():
+                rows.append((name % buckets, 2, name, None, None, None, at[known].astype(np.uint32).tobytes()))
+            at, hashes, is_block = at[~known], hashes[~known], is_block[~known]
+            bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
+            short = (hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | is_block
+            order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                mine = order[cuts[b] : cuts[b + 1]]
+                gaps = np.diff(at[mine], prepend=0)
+                rows.append((int(b), 0, name, None, None, short[mine].tobytes(), _pack(gaps)))
+                if len(rows) >= 256:
+                    yield _rows(_NAMES, rows, _TYPES)
+                    rows = []
+            yield _rows(_NAMES, rows, _TYPES)
 
     return run
 
@@ -213,67 +210,74 @@ def _lookups(length: int, block: int, buckets: int):
     """Packed rows of the windows around hits: 128-bit hashes, the texts, places."""
 
     def run(batches):
-        for whole in batches:
-            for batch in pieces(whole, _BATCH):
-                flat, lengths = ascii_words(batch.column("text"))
-                first = starts_of(lengths)
-                hits = batch.column("hits").to_pylist()
-                around = [
-                    _around(h, int(n), length, block) if n >= length else np.empty(0, np.int64)
-                    for h, n in zip(hits, lengths, strict=True)
-                ]
-                counts = np.array([len(a) for a in around])
-                if not counts.sum():
-                    continue
-                text = np.repeat(np.arange(len(around)), counts)
-                inside = np.concatenate(around)
-                at = inside + first[text]
-                one = window_hashes(word_hashes(flat), length)[at]
-                two = window_hashes(word_hashes(flat, 7), length, 7)[at]
-                ids = batch.column("doc_id").to_numpy().astype(np.int64)
-                keys = batch.column("key").to_numpy().astype(np.int64)
-                bucket = (one >> np.uint64(40)) % np.uint64(buckets)
-                order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = []
-                for b in np.flatnonzero(np.diff(cuts)):
-                    mine = order[cuts[b] : cuts[b + 1]]
-                    some, number = np.unique(text[mine], return_counts=True)
-                    lanes = np.stack([ids[some], keys[some]]).tobytes()
-                    both = np.stack([one[mine], two[mine]]).tobytes()
-                    gaps = np.diff(at[mine], prepend=0)
-                    begin = first[some]
-                    counted = np.concatenate([number, begin]).astype(np.uint32).tobytes()
-                    rows.append((int(b), 0, 0, lanes, counted, both, _pack(gaps)))
-                    if len(rows) >= 256:
-                        yield _rows(_NAMES, rows, _TYPES)
-                        rows = []
-                yield _rows(_NAMES, rows, _TYPES)
+        for batch in sized(batches, 3 << 20):
+            flat, lengths = ascii_words(batch.column("text"))
+            first = starts_of(lengths)
+            hits = batch.column("hits").to_pylist()
+            around = [
+                _around(h, int(n), length, block) if n >= length else np.empty(0, np.int64)
+                for h, n in zip(hits, lengths, strict=True)
+            ]
+            counts = np.array([len(a) for a in around])
+            if not counts.sum():
+                continue
+            text = np.repeat(np.arange(len(around)), counts)
+            inside = np.concatenate(around)
+            at = inside + first[text]
+            one = window_hashes(word_hashes(flat), length)[at]
+            two = window_hashes(word_hashes(flat, 7), length, 7)[at]
+            ids = batch.column("doc_id").to_numpy().astype(np.int64)
+            keys = batch.column("key").to_numpy().astype(np.int64)
+            own = hashlib.sha256(ids.tobytes() + keys.tobytes() + counts.tobytes()).digest()
+            name = int.from_bytes(own[:8], "little", signed=True)
+            bucket = (one >> np.uint64(40)) % np.uint64(buckets)
+            order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(cuts)):
+                mine = order[cuts[b] : cuts[b + 1]]
+                some, number = np.unique(text[mine], return_counts=True)
+                lanes = np.stack([ids[some], keys[some]]).tobytes()
+                both = np.stack([one[mine], two[mine]]).tobytes()
+                gaps = np.diff(at[mine], prepend=0)
+                begin = first[some]
+                counted = np.concatenate([number, begin]).astype(np.uint32).tobytes()
+                rows.append((int(b), 0, name, lanes, counted, both, _pack(gaps)))
+                if len(rows) >= 256:
+                    yield _rows(_NAMES, rows, _TYPES)
+                    rows = []
+            yield _rows(_NAMES, rows, _TYPES)
 
     return run
 
 
+_GONE = "batch long, ids binary, counts binary, starts binary"
+
+
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text the windows that a document with a smaller id has too."""
-    ids, keys, one, two, place, text = [], [], [], [], [], []
+    """Of every packed row, the windows that a document with a smaller id has too."""
+    names, ids, lanes, one, two, place, text, row = [], [], [], [], [], [], [], []
     n_texts = 0
     for batch in batches:
-        for lanes, counted, both, gaps in zip(
-            *(batch.column(c).to_pylist() for c in ("ids", "counts", "hashes", "places")), strict=True
+        for name, own, counted, both, gaps in zip(
+            *(batch.column(c).to_pylist() for c in ("batch", "ids", "counts", "hashes", "places")), strict=True
         ):
-            own = np.frombuffer(lanes, np.int64).reshape(2, -1)
+            own = np.frombuffer(own, np.int64).reshape(2, -1)
             number, begin = np.frombuffer(counted, np.uint32).astype(np.int64).reshape(2, -1)
             h = np.frombuffer(both, np.uint64).reshape(2, -1)
+            row.append(np.full(len(number), len(names)))
+            names.append(name)
             ids.append(own[0])
-            keys.append(own[1])
+            lanes.append(own)
             one.append(h[0])
             two.append(h[1])
             place.append((np.cumsum(_unpack(gaps)) - np.repeat(begin, number)).astype(np.uint32))
             text.append(np.repeat(np.arange(n_texts, n_texts + len(number)), number))
             n_texts += len(number)
-    if not ids:
+    if not names:
         return
-    ids, keys, one, two, place, text = (np.concatenate(x) for x in (ids, keys, one, two, place, text))
+    ids, one, two, place, text, row = (np.concatenate(x) for x in (ids, one, two, place, text, row))
+    lanes = np.concatenate(lanes, axis=1)
     order = np.lexsort((two, one))
     a, b = one[order], two[order]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
@@ -282,15 +286,43 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     smallest[order] = np.repeat(least, np.diff(np.append(first, len(a))))
     gone = smallest < ids[text]
     text, place = text[gone], place[gone]
-    cuts = np.searchsorted(text, np.arange(n_texts + 1))
-    some = np.flatnonzero(np.diff(cuts))
-    for at in range(0, len(some), 1 << 14):
-        part = some[at : at + (1 << 14)]
+    counts = np.bincount(text, minlength=n_texts)
+    cuts = np.searchsorted(row, np.arange(len(names) + 1))
+    ends = starts_of(counts)
+    for r, name in enumerate(names):
+        some = np.flatnonzero(counts[cuts[r] : cuts[r + 1]]) + cuts[r]
+        if len(some):
+            found = place[ends[cuts[r]] : ends[cuts[r + 1]]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name], pa.int64()),
+                    pa.array([lanes[:, some].tobytes()], pa.binary()),
+                    pa.array([counts[some].tobytes()], pa.binary()),
+                    pa.array([found.tobytes()], pa.binary()),
+                ],
+                names=["batch", "ids", "counts", "starts"],
+            )
+
+
+def _per_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per text and batch from the rows of all ranges of hashes."""
+    gathered: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for name, own, counted, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts = np.frombuffer(own, np.int64).reshape(2, -1), np.frombuffer(counted, np.int64)
+            gathered.setdefault(name, []).append((*parts, np.frombuffer(starts, np.uint32)))
+    for parts in gathered.values():
+        lanes = np.concatenate([p[0] for p in parts], axis=1)
+        text, number = np.unique(lanes, axis=1, return_inverse=True)
+        of = np.repeat(number, np.concatenate([p[1] for p in parts]))
+        order = np.argsort(of, kind="stable")
+        starts = np.concatenate([p[2] for p in parts])[order]
+        cuts = np.searchsorted(of[order], np.arange(text.shape[1] + 1))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(ids[part]),
-                pa.array(keys[part]),
-                pa.array([place[cuts[i] : cuts[i + 1]].tobytes() for i in part], pa.binary()),
+                pa.array(text[0]),
+                pa.array(text[1]),
+                pa.array([starts[cuts[i] : cuts[i + 1]].tobytes() for i in range(text.shape[1])], pa.binary()),
             ],
             names=["doc_id", "key", "starts"],
         )
@@ -298,25 +330,24 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(length: int, keep: list[str]):
     def run(batches):
-        for whole in batches:
-            for batch in pieces(whole, _BATCH):
-                flat, lengths = ascii_words(batch.column("text"))
-                first = starts_of(lengths)
-                steps = np.zeros(len(flat) + 1, np.int64)
-                for i, parts in enumerate(batch.column("starts").to_pylist()):
-                    for part in parts or ():
-                        at = np.frombuffer(part, np.uint32).astype(np.int64) + first[i]
-                        np.add.at(steps, at, 1)
-                        np.add.at(steps, at + length, -1)
-                left = np.cumsum(steps)[:-1] == 0
-                text = np.repeat(np.arange(len(lengths)), lengths)
-                kept = np.bincount(text[left], minlength=len(lengths))
-                joined = pc.binary_join(as_lists(flat.filter(pa.array(left)), kept), " ")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in keep]
-                    + [pa.array(lengths), pa.array(lengths - kept), joined.cast(pa.string())],
-                    names=[*keep, "n_words", "n_removed", "kept"],
-                )
+        for batch in sized(batches, 3 << 20):
+            flat, lengths = ascii_words(batch.column("text"))
+            first = starts_of(lengths)
+            steps = np.zeros(len(flat) + 1, np.int64)
+            for i, parts in enumerate(batch.column("starts").to_pylist()):
+                for part in parts or ():
+                    at = np.frombuffer(part, np.uint32).astype(np.int64) + first[i]
+                    np.add.at(steps, at, 1)
+                    np.add.at(steps, at + length, -1)
+            left = np.cumsum(steps)[:-1] == 0
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            kept = np.bincount(text[left], minlength=len(lengths))
+            joined = pc.binary_join(as_lists(flat.filter(pa.array(left)), kept), " ")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keep]
+                + [pa.array(lengths), pa.array(lengths - kept), joined.cast(pa.string())],
+                names=[*keep, "n_words", "n_removed", "kept"],
+            )
 
     return run
 
@@ -352,7 +383,8 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, length: int =
     hits = hits.groupBy("doc_id", "key").agg(F.max("hits").alias("hits"))
     asked = known.join(hits, ["doc_id", "key"])
     looked = asked.mapInArrow(_lookups(length, block, parts), _PACKED).repartition(parts, "bucket")
-    gone = looked.mapInArrow(_decide, "doc_id long, key long, starts binary")
+    gone = looked.mapInArrow(_decide, _GONE).repartition(parts, "batch")
+    gone = gone.mapInArrow(_per_text, "doc_id long, key long, starts binary")
     gone = gone.groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "starts")
     gone = materialize(gone, "repeats")
