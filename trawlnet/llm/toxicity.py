@@ -28,14 +28,16 @@ from trawlnet.llm.windows import mix, ranges, starts_of
 from trawlnet.operators.joins import bounded
 from trawlnet.sources.scratch import materialize
 
-EXAMPLES = 20_000  # labelled examples with a term of the vocabulary that the index holds
+EXAMPLES = 8_000  # labelled examples with a term of the vocabulary that the index holds
 VOCABULARY = 1 << 16  # most terms
 LEAST_DOCS = 4  # labelled texts that a term must occur in
 PREFIXES = (3, 4, 5, 6, 7, 8)  # so many first letters are terms of their own
 LEAST_LIFT = 3.0  # times the base rate that texts with a term are bad
 NEIGHBOURS = 15
 BLOCK = 64  # examples of a block
-STEP = 16  # blocks scored between two looks at the k best
+STEP = 16  # blocks scored first, those of the highest bound
+SEEN = 1 << 15  # vectors whose votes a task remembers
+TASK_VECTORS = 10_000  # scored by one task
 BINS = 20  # of the vote, for calibration
 PRIOR = 0.5  # weight of the base rate in a vote, as a similarity
 THRESHOLD = 0.3
@@ -137,46 +139,49 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     label: np.ndarray
-    first: np.ndarray  # of each term, among the postings
-    example: np.ndarray
+    example: np.ndarray  # of the postings, by term
     weight: np.ndarray
-    cut: list[np.ndarray]  # per term: where its blocks begin
-    block: list[np.ndarray]  # per term: the blocks it occurs in
-    most: list[np.ndarray]  # per term: the maximum weight in each of these
+    entry: np.ndarray  # where the blocks of each term begin among the following
+    block: np.ndarray
+    begin: np.ndarray  # the postings of a term in a block, and the largest weight of them
+    size: np.ndarray
+    most: np.ndarray
     prior: float
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, without: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine, and the cosines; equal ones by example number."""
         n_blocks = len(self.ids) // BLOCK + 1
-        bound = np.zeros(n_blocks)
-        for t, w in zip(term, weight, strict=True):
-            bound[self.block[t]] += w * self.most[t]
+        counts = self.entry[term + 1] - self.entry[term]
+        entry, weights = np.repeat(self.entry[term], counts) + ranges(counts), np.repeat(weight, counts)
+        block = self.block[entry]
+        bound = np.bincount(block, weights * self.most[entry], n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        found, cosine, worst = np.empty(0, np.int64), np.empty(0), 0.0
-        for at in range(0, len(order), STEP):
-            chosen = order[at : at + STEP]
-            if len(found) >= k and bound[chosen[0]] <= worst + 1e-12:
-                break
-            slot = np.full(n_blocks, -1)
-            slot[chosen] = np.arange(len(chosen))
-            score = np.zeros(len(chosen) * BLOCK)
-            for t, w in zip(term, weight, strict=True):
-                mine = np.flatnonzero(slot[self.block[t]] >= 0)
-                if not len(mine):
-                    continue
-                begin, size = self.cut[t][mine], self.cut[t][mine + 1] - self.cut[t][mine]
-                posting = np.repeat(begin, size) + ranges(size)
-                example = self.example[posting]
-                score[slot[example // BLOCK] * BLOCK + example % BLOCK] += w * self.weight[posting]
+
+        def scored(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            chosen = np.zeros(n_blocks, bool)
+            chosen[blocks] = True
+            mine = chosen[block]
+            size = self.size[entry[mine]]
+            posting = np.repeat(self.begin[entry[mine]], size) + ranges(size)
+            score = np.bincount(
+                self.example[posting], np.repeat(weights[mine], size) * self.weight[posting], len(self.ids)
+            )
             hit = np.flatnonzero(score > 0)
-            number = chosen[hit // BLOCK] * BLOCK + hit % BLOCK
-            other = self.ids[number] != without
-            found = np.concatenate([found, number[other]])
-            cosine = np.concatenate([cosine, score[hit][other]])
-            best = np.lexsort((found, -np.round(cosine, 12)))[:k]
-            found, cosine = found[best], cosine[best]
-            worst = cosine[-1] if len(cosine) else 0.0
+            hit = hit[self.ids[hit] != without]
+            return hit, score[hit]
+
+        def best(found: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            top = np.lexsort((found, -np.round(cosine, 12)))[:k]
+            return found[top], cosine[top]
+
+        found, cosine = best(*scored(order[:STEP]))
+        rest = order[STEP:]
+        if len(found) == k:  # blocks that cannot hold one of the k best are never scored
+            rest = rest[bound[rest] > cosine[-1] + 1e-12]
+        if len(rest):
+            more, other = scored(rest)
+            found, cosine = best(np.concatenate([found, more]), np.concatenate([cosine, other]))
         return found, cosine
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
@@ -209,17 +214,15 @@ def build_index(examples: list, terms: np.ndarray, idf: np.ndarray, prior: float
     weight = weight / norm[example] if n else weight
     order = np.lexsort((example, term))
     term, example, weight = term[order], example[order], weight[order]
-    first = np.searchsorted(term, np.arange(len(terms) + 1))
-    cut, block, most = [], [], []
-    for t in range(len(terms)):
-        mine = slice(first[t], first[t + 1])
-        blocks, begin = np.unique(example[mine] // BLOCK, return_index=True)
-        block.append(blocks)
-        cut.append(np.append(begin, first[t + 1] - first[t]) + first[t])
-        most.append(np.maximum.reduceat(weight[mine], begin) if len(begin) else weight[:0])
+    place = term * (n // BLOCK + 1) + example // BLOCK
+    begin = np.flatnonzero(np.diff(place, prepend=-1))
+    size = np.diff(np.append(begin, len(term)))
+    most = np.maximum.reduceat(weight, begin) if len(begin) else weight
+    entry = np.searchsorted(term[begin], np.arange(len(terms) + 1))
     ids = np.array([e["doc_id"] for e in examples], np.int64)
     label = np.array([e["label"] for e in examples], float)
-    return Index(terms, idf, ids, label, first, example, weight, cut, block, most, prior)
+    block = example[begin] // BLOCK
+    return Index(terms, idf, ids, label, example, weight, entry, block, begin, size, most, prior)
 
 
 def _monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -236,9 +239,11 @@ def _monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def _voted(index, k: int, columns: list[str], leave_out: bool):
     def run(batches):
-        own = index.value
+        own, seen = index.value, {}
         for batch in batches:
-            votes, evidence, nearness, seen = [], [], [], {}
+            votes, evidence, nearness = [], [], []
+            if len(seen) > SEEN:
+                seen.clear()
             ids = batch.column("doc_id").to_pylist()
             for doc_id, terms, counts in zip(ids, batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 if not terms or not len(own.ids):
@@ -314,7 +319,9 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     curve = sorted((r["vote"], r["bad"], r["n"]) for r in seen.collect())
     at = np.array([c[0] for c in curve])
     rate = _monotone(np.array([(c[1] + c[0]) / (c[2] + 1) for c in curve]), np.array([c[2] for c in curve])) if curve else at
-    scored = vectors.mapInArrow(_voted(index, k, ["doc_id"], False), f"doc_id long, {voted}")
+    # vectors are small and votes are work: more tasks than the files have
+    tasks = max(spark.sparkContext.defaultParallelism, n_docs // TASK_VECTORS + 1)
+    scored = vectors.repartition(tasks).mapInArrow(_voted(index, k, ["doc_id"], False), f"doc_id long, {voted}")
     # straight lines between the bins
     value = F.col("vote")
     if len(at):
