@@ -83,3 +83,26 @@ def test_held_out_labels(spark):
     n = {(r["toxic"], r["predicted"]): r["count"] for r in found}
     assert n[1, 1] >= 0.6 * (n[1, 1] + n.get((1, 0), 0))
     assert n[0, 0] >= 0.95 * (n[0, 0] + n.get((0, 1), 0))
+
+
+@pytest.mark.parametrize("share", [4, 6])
+def test_any_base_rate(spark, share):
+    """With ``share`` of 10 labelled texts bad: texts are told apart, and every text meets its copy."""
+    ship(spark)
+    draw = random.Random(share)
+    docs, labels = [], []
+    for i in range(1200):
+        text = [f"w{chr(97 + draw.randrange(26))}{chr(97 + draw.randrange(26))}" for _ in range(40)]
+        if i % 10 < share:
+            text[draw.randrange(40)] = draw.choice(["vile", "nasty"])
+        docs.append((i, " ".join(text)))
+        if i % 2 == 0:
+            labels.append((i, int(i % 10 < share), None, None, None))
+    copy = "quaint remark without any other known thing"
+    docs += [(3000, copy), (3001, copy), (3002, "quaint remark")]
+    labels.append((3000, 1, None, None, None))
+    rows = {r["doc_id"]: r for r in toxicity.score(table(spark, docs), labelled(spark, labels)).collect()}
+    wrong = sum(rows[i]["predicted"] != (i % 10 < share) for i in range(1200))
+    assert wrong <= 24
+    assert rows[3001]["neighbours"][0] == 3000 and rows[3001]["cosines"][0] > 0.999
+    assert rows[3002]["neighbours"][0] == 3000

@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples.
 
-Method: texts are TF-IDF vectors over the terms that tell the labels apart; the examples
-nearest by cosine are found exactly in an inverted index whose postings are cut into blocks
-with a known maximum, so blocks that cannot reach the k best are never scored. Neighbours vote
-with their similarity, and leave-one-out votes of the examples calibrate the vote.
-
-Terms are words and first letters of longer words, so that compounds of a word are known.
-Terms, document frequencies, vectors and calibration are counted by Spark over all rows; the
-index holds a bounded sample of the labelled examples.
+Method: texts are TF-IDF vectors over all terms of the examples; the examples nearest by cosine
+are found exactly in an inverted index whose postings are cut into blocks with a known maximum,
+so blocks that cannot reach the k best are never scored. Neighbours vote with their similarity,
+and leave-one-out votes of the examples calibrate the vote.
+
+Terms are words and first letters of longer words, so that compounds of a word are known. Terms
+that tell bad texts from others have their whole weight and all others a faint one, so that these
+decide where nothing else does. Document frequencies and shares of bad texts are counted by Spark
+over all rows; the index holds a bounded sample of the labelled examples.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,16 +30,18 @@ from trawlnet.llm.windows import mix, ranges, starts_of
 from trawlnet.operators.joins import bounded
 from trawlnet.sources.scratch import materialize
 
-EXAMPLES = 8_000  # labelled examples with a term of the vocabulary that the index holds
-VOCABULARY = 1 << 16  # most terms
-LEAST_DOCS = 4  # labelled texts that a term must occur in
+EXAMPLES = 8_000  # labelled examples with a term that the index holds
+LEAST_DOCS = 4  # labelled texts that a telling term must occur in
 PREFIXES = (3, 4, 5, 6, 7, 8)  # so many first letters are terms of their own
-LEAST_LIFT = 3.0  # times the base rate that texts with a term are bad
+LEAST_ODDS = 3.0  # times the odds of all texts that texts with a telling term are bad
+FAINT = 0.02  # weight of other terms
 NEIGHBOURS = 15
 BLOCK = 64  # examples of a block
 STEP = 16  # blocks scored first, those of the highest bound
-SEEN = 1 << 15  # vectors whose votes a task remembers
-TASK_VECTORS = 10_000  # scored by one task
+FREQUENT = 0.1  # share of the examples from which a term's weights are a matrix row
+ROWS = 1024  # most of these rows
+CHUNK = 128  # texts multiplied with them at once
+SEEN = 1 << 15  # texts whose votes a task remembers
 BINS = 20  # of the vote, for calibration
 PRIOR = 0.5  # weight of the base rate in a vote, as a similarity
 THRESHOLD = 0.3
@@ -97,64 +101,82 @@ def _terms(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray
     return text, names[number], count
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sized(batches, 3 << 20):
-        text, term, _ = _terms(batch.column("text"))
-        bad = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)[text]
-        order = np.argsort(term, kind="stable")
-        term, bad = term[order], bad[order]
-        first = np.flatnonzero(np.diff(term, prepend=term[:1] ^ 1) != 0)
-        n = np.diff(np.append(first, len(term)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(term[first]), pa.array(np.add.reduceat(bad, first) if len(first) else n), pa.array(n)],
-            names=["term", "bad", "n"],
-        )
+def _count(terms):
+    """Per task and known term: texts, labelled texts and bad ones that it occurs in."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = terms.value
+        docs, n, bad = (np.zeros(len(known)) for _ in range(3))
+        for batch in sized(batches, 3 << 20):
+            text, at, _ = _terms(batch.column("text"), known)
+            docs += np.bincount(at, minlength=len(known))
+            for sums, name in ((n, "n"), (bad, "bad")):
+                labels = batch.column(name).to_numpy(zero_copy_only=False)
+                sums += np.bincount(at, labels[text], len(known))
+        at = np.flatnonzero(docs)
+        for some in np.array_split(at, len(at) // 100_000 + 1):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), *(pa.array(x[some].astype(np.int64)) for x in (docs, n, bad))],
+                names=["term", "docs", "n", "bad"],
+            )
 
-def vocabulary(labelled: DataFrame, n: int, n_bad: int) -> np.ndarray:
-    """Terms whose share of bad texts cannot be chance, by a chi-square test.
+    return run
 
-    ``labelled`` has text and label; all rows are counted. The bar rises with the number of
-    terms tested.
+
+def telling(n: np.ndarray, bad: np.ndarray, n_all: int, n_bad: int) -> np.ndarray:
+    """Whether the share of bad texts among those with a term is high and cannot be chance.
+
+    By the odds, which have no upper end at any base rate, and a chi-square test whose bar rises
+    with the number of terms tested.
     """
-    if not n_bad or n_bad == n:
-        return np.empty(0, np.int64)
-    counted = labelled.mapInArrow(_count, "term long, bad long, n long").groupBy("term")
-    counted = counted.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    counted = materialize(counted, "terms")
-    bar = 2 * np.log(max(counted.count(), 2)) + 4
-    with_bad, rest = f"(bad * {n}D - n * {n_bad}D)", f"(n * ({n}D - n) * {n_bad}D * ({n}D - {n_bad}D))"
-    chi = F.expr(f"{n}D * pow({with_bad}, 2) / {rest}")
-    telling = F.expr(f"n < {n} AND bad * {n}D >= n * {LEAST_LIFT * n_bad}D")
-    best = counted.where(telling).withColumn("chi", chi).where(F.col("chi") >= bar)
-    best = best.orderBy(F.desc("chi"), "term").limit(VOCABULARY).select("term").toArrow()
-    return np.sort(best.column("term").to_numpy())
+    tested = (n >= LEAST_DOCS) & (n < n_all)
+    if not n_bad or n_bad == n_all:
+        return np.zeros(len(n), bool)
+    bar = 2 * np.log(max(int(tested.sum()), 2)) + 4
+    n, bad = n.astype(float), bad.astype(float)
+    chi = n_all * (bad * n_all - n * n_bad) ** 2 / np.where(tested, n * (n_all - n) * n_bad * (n_all - n_bad), 1.0)
+    return tested & (chi >= bar) & (bad * (n_all - n_bad) >= LEAST_ODDS * n_bad * (n - bad))
 
 
 @dataclass
 class Index:
-    """Weighted postings by term, in order of the example, and the maximum of every block."""
+    """Weighted postings by term, in order of the example, and the maximum of every block.
+
+    Terms that many examples have are rows of a matrix instead.
+    """
 
     terms: np.ndarray
-    idf: np.ndarray
+    gain: np.ndarray  # weight of each term
     ids: np.ndarray
     label: np.ndarray
     example: np.ndarray  # of the postings, by term
     weight: np.ndarray
     entry: np.ndarray  # where the blocks of each term begin among the following
-    block: np.ndarray
-    begin: np.ndarray  # the postings of a term in a block, and the largest weight of them
-    size: np.ndarray
+    begin: np.ndarray  # the postings of a term in a block, to the next ones, and the largest weight of them
     most: np.ndarray
+    row: np.ndarray  # of each term in the matrix, or -1
+    matrix: np.ndarray
     prior: float
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def products(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the terms of the matrix add to the cosine of every text (term, weight) and example."""
+        asked = np.zeros((len(texts), len(self.matrix)))
+        for i, (term, weight) in enumerate(texts):
+            at = self.row[term]
+            asked[i, at[at >= 0]] = weight[at >= 0]
+        return asked @ self.matrix
+
+    def nearest(
+        self, term: np.ndarray, weight: np.ndarray, without: int, k: int, product: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine, and the cosines; equal ones by example number."""
+        base = self.products([(term, weight)])[0] if product is None else product
         n_blocks = len(self.ids) // BLOCK + 1
         counts = self.entry[term + 1] - self.entry[term]
         entry, weights = np.repeat(self.entry[term], counts) + ranges(counts), np.repeat(weight, counts)
-        block = self.block[entry]
-        bound = np.bincount(block, weights * self.most[entry], n_blocks)
+        begin = self.begin[entry].astype(np.int64)
+        size, block = self.begin[entry + 1] - begin, self.example[begin] // BLOCK
+        bound = np.bincount(block, weights * self.most[entry], n_blocks) + base.reshape(n_blocks, BLOCK).max(1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
 
@@ -162,23 +184,26 @@ class Index:
             chosen = np.zeros(n_blocks, bool)
             chosen[blocks] = True
             mine = chosen[block]
-            size = self.size[entry[mine]]
-            posting = np.repeat(self.begin[entry[mine]], size) + ranges(size)
+            posting = np.repeat(begin[mine], size[mine]) + ranges(size[mine])
             score = np.bincount(
-                self.example[posting], np.repeat(weights[mine], size) * self.weight[posting], len(self.ids)
+                self.example[posting], np.repeat(weights[mine], size[mine]) * self.weight[posting], n_blocks * BLOCK
             )
-            hit = np.flatnonzero(score > 0)
+            score = (score + base) * np.repeat(chosen, BLOCK)
+            hit = np.flatnonzero(score[: len(self.ids)] > 0)
             hit = hit[self.ids[hit] != without]
             return hit, score[hit]
 
         def best(found: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if len(found) > k:
+                least = np.partition(cosine, -k)[-k]
+                found, cosine = found[cosine >= least - 1e-9], cosine[cosine >= least - 1e-9]
             top = np.lexsort((found, -np.round(cosine, 12)))[:k]
             return found[top], cosine[top]
 
         found, cosine = best(*scored(order[:STEP]))
         rest = order[STEP:]
         if len(found) == k:  # blocks that cannot hold one of the k best are never scored
-            rest = rest[bound[rest] > cosine[-1] + 1e-12]
+            rest = rest[bound[rest] > cosine[-1] - 1e-11]
         if len(rest):
             more, other = scored(rest)
             found, cosine = best(np.concatenate([found, more]), np.concatenate([cosine, other]))
@@ -188,41 +213,51 @@ class Index:
         return float((cosine @ self.label[found] + PRIOR * self.prior) / (cosine.sum() + PRIOR))
 
 
-def _vectors(terms: np.ndarray, columns: list[str]):
+def _vectors(columns: list[str]):
     def run(batches):
         for batch in sized(batches, 3 << 20):
-            text, at, count = _terms(batch.column("text"), terms)
-            at, count = at.astype(np.int32), count.astype(np.int32)
+            text, term, count = _terms(batch.column("text"))
             cuts = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (term, count.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.select(columns).columns, pa.ListArray.from_arrays(cuts, pa.array(at)), pa.ListArray.from_arrays(cuts, pa.array(count))],
-                names=[*columns, "terms", "counts"],
+                [*batch.select(columns).columns, *lists], names=[*columns, "terms", "counts"]
             )
 
     return run
 
 
-def build_index(examples: list, terms: np.ndarray, idf: np.ndarray, prior: float) -> Index:
+def build_index(examples: list, terms: np.ndarray, gain: np.ndarray, prior: float) -> Index:
     """``examples``: rows with doc_id, label, terms and counts."""
-    n = len(examples)
     sizes = np.array([len(e["terms"]) for e in examples], np.int64)
-    term = np.concatenate([np.array(e["terms"], np.int64) for e in examples]) if n else np.empty(0, np.int64)
-    count = np.concatenate([np.array(e["counts"]) for e in examples]) if n else np.empty(0)
-    example = np.repeat(np.arange(n), sizes)
-    weight = (1 + np.log(count)) * idf[term] if n else count
-    norm = np.sqrt(np.bincount(example, weight**2, n)) if n else count
-    weight = weight / norm[example] if n else weight
-    order = np.lexsort((example, term))
+    term = np.concatenate([np.array(e["terms"], np.int32) for e in examples]) if examples else np.empty(0, np.int32)
+    count = np.concatenate([np.array(e["counts"]) for e in examples]) if examples else np.empty(0)
+    ids, label = (np.array([e[c] for e in examples], t) for c, t in (("doc_id", np.int64), ("label", float)))
+    return _built(ids, label, sizes, term, count, terms, gain, prior)
+
+
+def _built(ids, label, sizes, term, count, terms, gain, prior) -> Index:
+    n = len(ids)
+    example = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    weight = (1 + np.log(count)) * gain[term]
+    weight = (weight / np.sqrt(np.bincount(example, weight**2, n))[example]).astype(np.float32)
+    order = np.argsort(term, kind="stable")
     term, example, weight = term[order], example[order], weight[order]
-    place = term * (n // BLOCK + 1) + example // BLOCK
-    begin = np.flatnonzero(np.diff(place, prepend=-1))
-    size = np.diff(np.append(begin, len(term)))
+    n_blocks = n // BLOCK + 1
+    share = np.bincount(term, minlength=len(terms)) / max(n, 1)
+    many = np.argsort(-share, kind="stable")[:ROWS]
+    many = many[share[many] > FREQUENT]
+    row = np.full(len(terms), -1, np.int32)
+    row[many] = np.arange(len(many))
+    in_matrix = row[term] >= 0
+    matrix = np.zeros((len(many), n_blocks * BLOCK))
+    matrix[row[term[in_matrix]], example[in_matrix]] = weight[in_matrix]
+    term, example, weight = term[~in_matrix], example[~in_matrix], weight[~in_matrix]
+    place = term.astype(np.int64) * n_blocks + example // BLOCK
+    begin = np.flatnonzero(np.diff(place, prepend=-1)).astype(np.int32)
     most = np.maximum.reduceat(weight, begin) if len(begin) else weight
-    entry = np.searchsorted(term[begin], np.arange(len(terms) + 1))
-    ids = np.array([e["doc_id"] for e in examples], np.int64)
-    label = np.array([e["label"] for e in examples], float)
-    block = example[begin] // BLOCK
-    return Index(terms, idf, ids, label, example, weight, entry, block, begin, size, most, prior)
+    entry = np.searchsorted(term[begin], np.arange(len(terms) + 1)).astype(np.int32)
+    begin = np.append(begin, np.int32(len(term)))
+    return Index(terms, gain, ids, label, example, weight, entry, begin, most, row, matrix, prior)
 
 
 def _monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -240,34 +275,45 @@ def _monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def _voted(index, k: int, columns: list[str], leave_out: bool):
     def run(batches):
         own, seen = index.value, {}
-        for batch in batches:
-            votes, evidence, nearness = [], [], []
+        for batch in sized(batches, 3 << 20):
             if len(seen) > SEEN:
                 seen.clear()
-            ids = batch.column("doc_id").to_pylist()
-            for doc_id, terms, counts in zip(ids, batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                if not terms or not len(own.ids):
-                    votes.append(None)
-                    evidence.append([])
-                    nearness.append([])
+            text, at, count = _terms(batch.column("text"), own.terms)
+            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            keys: list = []
+            waiting: dict = {}
+
+            def settle():
+                if not waiting:
+                    return
+                products = own.products([t[:2] for t in waiting.values()])
+                for (key, (term, weight, without)), product in zip(waiting.items(), products, strict=True):
+                    found, cosine = own.nearest(term, weight, without, k, product)
+                    seen[key] = own.vote(found, cosine), own.ids[found].tolist(), cosine.tolist()
+                waiting.clear()
+
+            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                term, times = at[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]
+                if not len(term):
+                    keys.append(None)
                     continue
-                key = (tuple(terms), tuple(counts), doc_id if leave_out else None)
-                if key not in seen:
-                    term = np.array(terms)
-                    weight = (1 + np.log(np.array(counts))) * own.idf[term]
+                said = hashlib.blake2b(term.tobytes() + times.tobytes(), digest_size=16).digest()
+                key = said, doc_id if leave_out else None
+                keys.append(key)
+                if key not in seen and key not in waiting:
+                    weight = (1 + np.log(times)) * own.gain[term]
                     weight /= np.sqrt(weight @ weight)
-                    found, cosine = own.nearest(term, weight, doc_id if leave_out else -(1 << 62), k)
-                    seen[key] = own.vote(found, cosine), own.ids[found].tolist(), cosine.tolist()
-                vote, who, near = seen[key]
-                votes.append(vote)
-                evidence.append(who)
-                nearness.append(near)
+                    waiting[key] = term, weight, doc_id if leave_out else -(1 << 62)
+                    if len(waiting) == CHUNK:
+                        settle()
+            settle()
+            votes = [seen[key] if key else (None, [], []) for key in keys]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.select(columns).columns,
-                    pa.array(votes, pa.float64()),
-                    pa.array(evidence, pa.list_(pa.int64())),
-                    pa.array(nearness, pa.list_(pa.float64())),
+                    pa.array([v[0] for v in votes], pa.float64()),
+                    pa.array([v[1] for v in votes], pa.list_(pa.int64())),
+                    pa.array([v[2] for v in votes], pa.list_(pa.float64())),
                 ],
                 names=[*columns, "vote", "neighbours", "cosines"],
             )
@@ -281,8 +327,8 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     Labels other than 0 and 1, NULLs and labels of unknown documents are left out; other
     columns are ignored. Columns: doc_id, score (0 to 1), predicted (1 if the score is at least
     ``THRESHOLD``), neighbours (doc_ids of the nearest examples, the evidence) and their
-    cosines. A text without a term of the vocabulary, such as a NULL or empty one, gets the rate of such
-    examples; without any labels all scores are 0. Repeated rows are scored alike. The index is
+    cosines. A text without a term of the examples, such as a NULL or empty one, gets the rate of such
+    labelled texts; without any labels all scores are 0. Repeated rows are scored alike. The index is
     built before the result is returned.
     """
     spark = docs.sparkSession
@@ -292,26 +338,42 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     small = bounded(usable, 1_000_000)
     totals = docs.select("doc_id").join(small, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
     n, n_bad = totals["n"], totals["bad"] or 0
-    terms = vocabulary(docs.join(small, "doc_id").select("text", "label"), n, n_bad)
-    schema = "doc_id long, terms array<int>, counts array<int>"
-    vectors = materialize(docs.mapInArrow(_vectors(terms, ["doc_id"]), schema), "vectors")
-    n_docs = vectors.count()
-    spread = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
-    df = np.zeros(len(terms))
-    df[spread.column("term").to_numpy()] = spread.column("count").to_numpy()
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    known = vectors.join(small, "doc_id")
-    bare = known.where("size(terms) = 0").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
     prior = n_bad / n if n else 0.0
-    empty = ((bare["bad"] or 0) + PRIOR * prior) / (bare["n"] + PRIOR)
-    full = known.where("size(terms) > 0").select("doc_id", "label", "terms", "counts")
-    chosen = full.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(EXAMPLES)
-    chosen = materialize(chosen, "examples")
-    index = spark.sparkContext.broadcast(build_index(chosen.collect(), terms, idf, prior))
+    # ids first: texts and vectors of the chosen ones only go to the driver
+    same = F.xxhash64("text").alias("same")
+    able = docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id", same).join(small, "doc_id").distinct()
+    able = materialize(able.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "same").limit(EXAMPLES), "chosen")
+    chosen = docs.select("*", same).join(F.broadcast(able), ["doc_id", "same"]).dropDuplicates(["doc_id", "label", "same"])
+    chosen = materialize(chosen.select("doc_id", "label", "text"), "examples")
+    vectors = chosen.mapInArrow(_vectors(["doc_id", "label"]), "doc_id long, label int, terms array<long>, counts array<int>")
+    rows = vectors.where("size(terms) > 0").toArrow().combine_chunks()
+    rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("label", "ascending")])).combine_chunks()
+    sizes = pc.list_value_length(rows.column("terms")).to_numpy().astype(np.int64)
+    said, times = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "counts"))
+    terms, said = np.unique(said, return_inverse=True)
+    ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(float)
+    del rows
+    # a text with both labels is one text
+    of_text = small.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
+    marked = docs.join(of_text, "doc_id", "left").select("text", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "bad")))
+    known = spark.sparkContext.broadcast(terms)
+    counted = marked.mapInArrow(_count(known), "term int, docs long, n long, bad long")
+    counted = counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("docs", "n", "bad"))).toArrow()
+    df, n_with, bad_with = np.zeros((3, len(terms)))
+    for sums, name in ((df, "docs"), (n_with, "n"), (bad_with, "bad")):
+        sums[counted.column("term").to_numpy()] = counted.column(name).to_numpy()
+    idf = np.log((1 + docs.count()) / (1 + df)) + 1
+    gain = idf * np.where(telling(n_with, bad_with, n, n_bad), 1.0, FAINT)
+    built = _built(ids, label, sizes, said.astype(np.int32), times, terms, gain, prior)
+    index = spark.sparkContext.broadcast(built)
     voted = "vote double, neighbours array<long>, cosines array<double>"
     judged = chosen.repartition(spark.sparkContext.defaultParallelism).mapInArrow(
         _voted(index, k, ["doc_id", "label"], True), f"doc_id long, label int, {voted}"
     )
+    scored = materialize(docs.mapInArrow(_voted(index, k, ["doc_id"], False), f"doc_id long, {voted}"), "votes")
+    bare = scored.where("vote is null").select("doc_id").join(small, "doc_id")
+    bare = bare.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
+    empty = ((bare["bad"] or 0) + PRIOR * prior) / (bare["n"] + PRIOR)
     bin_of = F.least(F.floor(F.col("vote") * BINS), F.lit(BINS - 1)).cast("int")
     seen = judged.where("vote is not null").groupBy(bin_of.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"), F.avg("vote").alias("vote")
@@ -319,9 +381,6 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     curve = sorted((r["vote"], r["bad"], r["n"]) for r in seen.collect())
     at = np.array([c[0] for c in curve])
     rate = _monotone(np.array([(c[1] + c[0]) / (c[2] + 1) for c in curve]), np.array([c[2] for c in curve])) if curve else at
-    # vectors are small and votes are work: more tasks than the files have
-    tasks = max(spark.sparkContext.defaultParallelism, n_docs // TASK_VECTORS + 1)
-    scored = vectors.repartition(tasks).mapInArrow(_voted(index, k, ["doc_id"], False), f"doc_id long, {voted}")
     # straight lines between the bins
     value = F.col("vote")
     if len(at):
