@@ -14,6 +14,7 @@ over all rows; the index holds a bounded sample of the labelled examples.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +39,8 @@ FAINT = 0.02  # weight of other terms
 NEIGHBOURS = 15
 BLOCK = 64  # examples of a block
 STEP = 16  # blocks scored first, those of the highest bound
-FREQUENT = 0.1  # share of the examples from which a term's weights are a matrix row
-ROWS = 1024  # most of these rows
+ROWS = 2048  # most frequent terms, whose weights are rows of a matrix
+DENSE = 4  # postings of a block from which on its maximum is looked at
 CHUNK = 128  # texts multiplied with them at once
 SEEN = 1 << 15  # texts whose votes a task remembers
 BINS = 20  # of the vote, for calibration
@@ -172,23 +173,13 @@ class Index:
         """The k examples of highest cosine, and the cosines; equal ones by example number."""
         base = self.products([(term, weight)])[0] if product is None else product
         n_blocks = len(self.ids) // BLOCK + 1
-        counts = self.entry[term + 1] - self.entry[term]
-        entry, weights = np.repeat(self.entry[term], counts) + ranges(counts), np.repeat(weight, counts)
-        begin = self.begin[entry].astype(np.int64)
-        size, block = self.begin[entry + 1] - begin, self.example[begin] // BLOCK
-        bound = np.bincount(block, weights * self.most[entry], n_blocks) + base.reshape(n_blocks, BLOCK).max(1)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
 
-        def scored(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            chosen = np.zeros(n_blocks, bool)
-            chosen[blocks] = True
-            mine = chosen[block]
-            posting = np.repeat(begin[mine], size[mine]) + ranges(size[mine])
-            score = np.bincount(
-                self.example[posting], np.repeat(weights[mine], size[mine]) * self.weight[posting], n_blocks * BLOCK
-            )
-            score = (score + base) * np.repeat(chosen, BLOCK)
+        def scored(first: np.ndarray, size: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            posting = np.repeat(first, size) + ranges(size)
+            added = np.repeat(weights, size) * self.weight[posting]
+            return np.bincount(self.example[posting], added, n_blocks * BLOCK) + base
+
+        def hits(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             hit = np.flatnonzero(score[: len(self.ids)] > 0)
             hit = hit[self.ids[hit] != without]
             return hit, score[hit]
@@ -200,12 +191,29 @@ class Index:
             top = np.lexsort((found, -np.round(cosine, 12)))[:k]
             return found[top], cosine[top]
 
-        found, cosine = best(*scored(order[:STEP]))
+        first, end = self.entry[term], self.entry[term + 1]
+        counts, posted = end - first, self.begin[end] - self.begin[first]
+        if posted.sum() < DENSE * counts.sum():  # blocks of one or two postings spare nothing
+            return best(*hits(scored(self.begin[first], posted, weight)))
+        entry, weights = np.repeat(first, counts) + ranges(counts), np.repeat(weight, counts)
+        begin = self.begin[entry]
+        size, block = self.begin[entry + 1] - begin, self.example[begin] // BLOCK
+        bound = np.bincount(block, weights * self.most[entry], n_blocks) + base.reshape(n_blocks, BLOCK).max(1)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+
+        def within(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            chosen = np.zeros(n_blocks, bool)
+            chosen[blocks] = True
+            mine = chosen[block]
+            return hits(scored(begin[mine], size[mine], weights[mine]) * np.repeat(chosen, BLOCK))
+
+        found, cosine = best(*within(order[:STEP]))
         rest = order[STEP:]
         if len(found) == k:  # blocks that cannot hold one of the k best are never scored
             rest = rest[bound[rest] > cosine[-1] - 1e-11]
         if len(rest):
-            more, other = scored(rest)
+            more, other = within(rest)
             found, cosine = best(np.concatenate([found, more]), np.concatenate([cosine, other]))
         return found, cosine
 
@@ -230,33 +238,49 @@ def build_index(examples: list, terms: np.ndarray, gain: np.ndarray, prior: floa
     """``examples``: rows with doc_id, label, terms and counts."""
     sizes = np.array([len(e["terms"]) for e in examples], np.int64)
     term = np.concatenate([np.array(e["terms"], np.int32) for e in examples]) if examples else np.empty(0, np.int32)
-    count = np.concatenate([np.array(e["counts"]) for e in examples]) if examples else np.empty(0)
+    count = np.concatenate([np.array(e["counts"]) for e in examples]) if examples else np.empty(0, np.int32)
     ids, label = (np.array([e[c] for e in examples], t) for c, t in (("doc_id", np.int64), ("label", float)))
-    return _built(ids, label, sizes, term, count, terms, gain, prior)
+    return Packed(ids, label, sizes, term, count, terms, gain, prior).index()
+
+
+class Packed:
+    """What an index is built from, in few bytes; a worker that receives it gets the index."""
+
+    def __init__(self, ids, label, sizes, term, count, terms, gain, prior):
+        order = np.argsort(term, kind="stable")
+        example = np.repeat(np.arange(len(ids), dtype=np.min_scalar_type(len(ids))), sizes)[order]
+        count = count[order].astype(np.min_scalar_type(int(count.max(initial=0))))
+        with_term = np.bincount(term, minlength=len(terms)).astype(np.int32)
+        packed = (zlib.compress(x.tobytes(), 1) for x in (example, count, with_term))
+        self.parts = ids, label, terms, gain, prior, example.dtype, count.dtype, *packed
+
+    def index(self) -> Index:
+        return _unpacked(*self.parts)
+
+    def __reduce__(self):
+        return _unpacked, self.parts
 
 
-def _built(ids, label, sizes, term, count, terms, gain, prior) -> Index:
-    n = len(ids)
-    example = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    weight = (1 + np.log(count)) * gain[term]
+def _unpacked(ids, label, terms, gain, prior, of_example, of_count, example, count, with_term) -> Index:
+    n, n_blocks = len(ids), len(ids) // BLOCK + 1
+    with_term = np.frombuffer(zlib.decompress(with_term), np.int32)
+    example = np.frombuffer(zlib.decompress(example), of_example).astype(np.int32)
+    weight = 1 + np.log(np.frombuffer(zlib.decompress(count), of_count), dtype=np.float64)
+    weight *= np.repeat(gain, with_term)
     weight = (weight / np.sqrt(np.bincount(example, weight**2, n))[example]).astype(np.float32)
-    order = np.argsort(term, kind="stable")
-    term, example, weight = term[order], example[order], weight[order]
-    n_blocks = n // BLOCK + 1
-    share = np.bincount(term, minlength=len(terms)) / max(n, 1)
-    many = np.argsort(-share, kind="stable")[:ROWS]
-    many = many[share[many] > FREQUENT]
+    many = np.argsort(-with_term, kind="stable")[:ROWS]
+    many = many[with_term[many] > BLOCK]
     row = np.full(len(terms), -1, np.int32)
     row[many] = np.arange(len(many))
-    in_matrix = row[term] >= 0
+    rows = np.repeat(row, with_term)
     matrix = np.zeros((len(many), n_blocks * BLOCK))
-    matrix[row[term[in_matrix]], example[in_matrix]] = weight[in_matrix]
-    term, example, weight = term[~in_matrix], example[~in_matrix], weight[~in_matrix]
-    place = term.astype(np.int64) * n_blocks + example // BLOCK
-    begin = np.flatnonzero(np.diff(place, prepend=-1)).astype(np.int32)
+    matrix[rows[rows >= 0], example[rows >= 0]] = weight[rows >= 0]
+    term = np.repeat(np.arange(len(terms)), with_term)[rows < 0]
+    example, weight = example[rows < 0], weight[rows < 0]
+    begin = np.flatnonzero(np.diff(term * n_blocks + example // BLOCK, prepend=-1)).astype(np.int32)
     most = np.maximum.reduceat(weight, begin) if len(begin) else weight
     entry = np.searchsorted(term[begin], np.arange(len(terms) + 1)).astype(np.int32)
-    begin = np.append(begin, np.int32(len(term)))
+    begin = np.append(begin, np.int32(len(example)))
     return Index(terms, gain, ids, label, example, weight, entry, begin, most, row, matrix, prior)
 
 
@@ -351,6 +375,7 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     sizes = pc.list_value_length(rows.column("terms")).to_numpy().astype(np.int64)
     said, times = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "counts"))
     terms, said = np.unique(said, return_inverse=True)
+    said = said.astype(np.int32)
     ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(float)
     del rows
     # a text with both labels is one text
@@ -364,8 +389,7 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         sums[counted.column("term").to_numpy()] = counted.column(name).to_numpy()
     idf = np.log((1 + docs.count()) / (1 + df)) + 1
     gain = idf * np.where(telling(n_with, bad_with, n, n_bad), 1.0, FAINT)
-    built = _built(ids, label, sizes, said.astype(np.int32), times, terms, gain, prior)
-    index = spark.sparkContext.broadcast(built)
+    index = spark.sparkContext.broadcast(Packed(ids, label, sizes, said, times, terms, gain, prior))
     voted = "vote double, neighbours array<long>, cosines array<double>"
     judged = chosen.repartition(spark.sparkContext.defaultParallelism).mapInArrow(
         _voted(index, k, ["doc_id", "label"], True), f"doc_id long, label int, {voted}"
