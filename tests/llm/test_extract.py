@@ -30,6 +30,21 @@ def test_pages():
     for source, want in PAGES.items():
         assert main_text(source) == want, source
 
+LONG = " ".join([TEXT] * 4)
+ADS = ("<div class=ad>Buy this.</div>", "<form><p>Sign up</p></form>", f"<aside>{LONG}</aside>")
+LINKS = "<ul>" + "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(5)) + "</ul>"
+
+
+def test_short_parts_without_article():
+    for ad in ADS:
+        for page in ("<body>{}</body>", "<body><nav>" + LINKS + "</nav><div id=content>{}</div>" + LINKS + "<footer>x</footer></body>"):
+            parts = f"<h1>Headline</h1>{ad}<p>Opening.</p>{ad}<p>{LONG}</p><h2>Part</h2>{ad}{ad}{ad}<p>{TEXT}</p>{ad}<p>End.</p>"
+            assert main_text(page.format(parts)) == f"Headline\nOpening.\n{LONG}\nPart\n{TEXT}\nEnd.", (ad, page)
+    page = f"<body>{LINKS}<div><div><h1>Headline</h1>{ADS[0]}</div><div><p>{LONG}</p>{ADS[1]}</div><div><p>End.</p></div></div>{LINKS}"
+    assert main_text(page).split("\n")[:3] == ["Headline", LONG, "End."]
+    linked = main_text(f"<body>{LINKS}<div id=content><p>{LONG}</p>{LINKS}<p>End.</p></div>{LINKS}").split("\n")
+    assert linked[0] == LONG and "End." in linked
+
 
 def test_deep_and_broken_markup():
     assert main_text("<div>" * 5000 + TEXT) == TEXT

@@ -2,9 +2,10 @@
 
 Method: line-block distribution. Mark-up is stripped so that every block of the page is a
 line; parts that say by their tag, role or name that they are menus, notices, adverts and the
-like leave a gap. The lengths of text outside links are summed over windows of a few lines;
-text begins where the sum surges and ends where it dives to nothing. The longest stretch is
-kept, with all of the article element it is in, or else with stretches nearly as long.
+like are left out and end nothing. The lengths of text outside links are summed over windows of
+a few lines; text begins where the sum surges and ends where it dives to nothing. The longest
+stretch is kept, with all of the article element it is in, or else with everything from the
+first surge to the last dive in the element it is in, and with stretches nearly as long.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ _NAMES = set(
 )
 _ARTICLE = {"article", "main"}
 _KEPT = {"html", "body", "article", "main"}
+_SECTIONS = {"html", "body", "article", "main", "section", "div", "center", "td"}
 
 _RAW = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|title|xmp|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -81,13 +83,15 @@ def _is_aside(name: str, attributes: str) -> bool:
 
 
 class _Page:
-    """Lines of one page, in order: text, length outside links, article they are in; None is a gap."""
+    """Lines of one page, in order: text, length outside links, article and element they are in."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, int] | None] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, bool, int]] = []
+        # elements by number, in order of their start: name, parent, last element inside
+        self.names, self.parents, self.last = ["html"], [0], [0]
         self.aside = self.link = self.article = self.articles = 0
         self.inside: list[tuple[str, int]] = []
 
@@ -97,7 +101,7 @@ class _Page:
             if text:
                 articles = [n for kind, n in self.inside if kind == "article"]
                 number = (articles or [n for _, n in self.inside] or [0])[0]
-                self.lines.append((text, max(len(text) - self.linked, 0), number))
+                self.lines.append((text, max(len(text) - self.linked, 0), number, self.open[-1][2] if self.open else 0))
             self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
@@ -107,13 +111,27 @@ class _Page:
                 self.linked += len(" ".join(html.unescape(raw).split()))
 
     def pop(self) -> None:
-        name, aside = self.open.pop()
+        name, aside, element = self.open.pop()
+        self.last[element] = len(self.names) - 1
         self.aside -= aside
         if name == "a":
             self.link -= 1
         if name in _ARTICLE and self.inside:
             self.inside.pop()
 
+    def region(self, lines: list[int]) -> tuple[int, int]:
+        """Numbers, from and to, of the elements in the section that holds these lines, and not one line only."""
+        elements = [line[3] for line in self.lines]
+        first, last = min(elements[i] for i in lines), max(elements[i] for i in lines)
+        at = first
+        while at and (
+            self.last[at] < last
+            or self.names[at] not in _SECTIONS
+            or sum(at <= e <= self.last[at] for e in elements) < 2
+        ):
+            at = self.parents[at]
+        return at, self.last[at]
+
     def close(self, name: str) -> None:
         """End the innermost open element of that name, and what is open inside it."""
         for at in range(len(self.open) - 1, -1, -1):
@@ -132,8 +150,10 @@ class _Page:
         aside = _is_aside(name, attributes)
         if aside and not self.aside:
             self.end_line()
-            self.lines.append(None)
-        self.open.append((name, aside))
+        self.parents.append(self.open[-1][2] if self.open else 0)
+        self.open.append((name, aside, len(self.names)))
+        self.names.append(name)
+        self.last.append(0)
         self.aside += aside
         if name == "a":
             self.link += 1
@@ -142,7 +162,7 @@ class _Page:
             self.inside.append((name, self.articles))
 
 
-def page_lines(source: str) -> list[tuple[str, int, int] | None]:
+def parsed(source: str) -> _Page:
     source = _RAW.sub(" ", source)
     page, at = _Page(), 0
     for tag in _TAG.finditer(source):
@@ -159,42 +179,43 @@ def page_lines(source: str) -> list[tuple[str, int, int] | None]:
             page.start(name, attributes)
     page.text(source[at:])
     page.end_line()
-    return page.lines
+    while page.open:
+        page.pop()
+    page.last[0] = len(page.names) - 1
+    return page
 
 
 def main_text(source: str, window: int = WINDOW, share: float = SHARE) -> str:
     """The blocks of the main text, joined by line feeds."""
-    lines = page_lines(source)
-    length = []
-    for line in lines:
-        length += [0] * window if line is None else [line[1]]
+    page = parsed(source)
+    lines = page.lines
+    length = [line[1] for line in lines]
     if not any(length):
-        return "\n".join(line[0] for line in lines if line and line[2])
+        return "\n".join(line[0] for line in lines if line[2])
     blocks = np.convolve(length, np.ones(window, int))[: len(length)]  # sums up to each line
     # a stretch: from a surge, a sum after nothing, to the dive, where the sum is nothing again
     stretches: list[list[int]] = []
-    at, flat = 0, True
-    for i, line in enumerate(lines):
-        for value in blocks[at : at + (window if line is None else 1)]:
-            flat = flat or value == 0
-        at += window if line is None else 1
-        if line is None:
-            flat = True
-        elif line[1] or not flat:
-            if flat:
-                stretches.append([])
-                flat = False
+    for i, value in enumerate(blocks):
+        if value and (not i or not blocks[i - 1]):
+            stretches.append([])
+        if value:
             stretches[-1].append(i)
-    weight = [sum(lines[i][1] for i in s) for s in stretches]
+    weight = [sum(length[i] for i in s) for s in stretches]
     best = stretches[int(np.argmax(weight))]
     of_article: dict[int, int] = {}
     for i in best:
-        of_article[lines[i][2]] = of_article.get(lines[i][2], 0) + lines[i][1]
+        of_article[lines[i][2]] = of_article.get(lines[i][2], 0) + length[i]
     article = max(of_article, key=of_article.get)
     if article:  # all of the page's article, lines of links among them
-        kept = [i for i, line in enumerate(lines) if line and line[2] == article]
+        kept = [i for i, line in enumerate(lines) if line[2] == article]
     else:
-        kept = [i for s, w in zip(stretches, weight, strict=True) if w >= share * max(weight) for i in s]
+        first, last = page.region([i for i in best if length[i]])
+        inside = [i for s in stretches for i in s if first <= lines[i][3] <= last]
+        chosen = {i for i in range(min(inside), max(inside) + 1) if first <= lines[i][3] <= last}
+        for s, w in zip(stretches, weight, strict=True):
+            if w >= share * max(weight):
+                chosen.update(range(s[0], max(i for i in s if length[i]) + 1))
+        kept = sorted(chosen)
     return "\n".join(lines[i][0] for i in kept)
 
 
