@@ -46,6 +46,19 @@ def test_short_parts_without_article():
     assert linked[0] == LONG and "End." in linked
 
 
+def test_elements_without_an_end():
+    for icon in ("<svg class=i/>", "<svg class=i />", "<svg-icon></svg-icon>", "<title-bar></title-bar>", "<template-x/>", "<math/>"):
+        assert main_text(f"<article><p>one</p>{icon}<p>two</p></article>") == "one\ntwo", icon
+        assert main_text(f"<div><p>{TEXT}</p>{icon}<p>{TEXT}</p></div>") == f"{TEXT}\n{TEXT}", icon
+    for part in ("<svg><path d=x>no", "<noscript>no", "<template>no", "<math><mi>x"):
+        assert main_text(f"<article><div>{part}</div><p>{TEXT}</p></article>") == TEXT, part
+    assert main_text(f"<article><svg><path d=x><p>{TEXT}</p></article>") == TEXT
+    assert main_text(f"<div><article>{TEXT}<svg></article><p>x</p></div>") == TEXT
+    line = f"<p>{TEXT} <svg><title>no</title><text>no</text></svg> on <noscript><img src=x>no</noscript> it goes</p>"
+    assert main_text(line) == f"{TEXT} on it goes"
+    assert main_text(f"<div><p>{TEXT}<noscript><p>no</p><div>no</div></noscript> on</p></div>") == f"{TEXT} on"
+
+
 def test_deep_and_broken_markup():
     assert main_text("<div>" * 5000 + TEXT) == TEXT
     assert main_text("</p>" * 5000 + TEXT) == TEXT

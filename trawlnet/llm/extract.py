@@ -37,6 +37,9 @@ _ASIDE = set(
     "nav header footer aside form menu dialog button select textarea label fieldset iframe object"
     " video audio canvas map datalist".split()
 )
+# Without text of their own, also within a line: unlike raw text they end with their parent.
+_SILENT = {"svg", "math", "template", "noscript"}
+_FOREIGN = {"svg", "math"}  # end where a block begins
 _ROLES = set(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
@@ -53,7 +56,7 @@ _KEPT = {"html", "body", "article", "main"}
 _SECTIONS = {"html", "body", "article", "main", "section", "div", "center", "td"}
 
 _RAW = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|title|xmp|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|title|xmp|noframes)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -136,20 +139,31 @@ class _Page:
         """End the innermost open element of that name, and what is open inside it."""
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == name:
+                if self.aside and name in _BLOCKS and not any(o[1] for o in self.open[:at]):
+                    self.end_line()
                 while len(self.open) > at:
                     self.pop()
                 return
 
     def start(self, name: str, attributes: str) -> None:
-        if name in _BLOCKS and any(o[0] == "p" for o in self.open[-8:]):
+        if name in _BLOCKS:
+            while any(o[0] in _FOREIGN for o in self.open[-8:]):
+                self.close(next(o[0] for o in reversed(self.open) if o[0] in _FOREIGN))
+            if not self.aside:
+                self.end_line()
+        near = [o[0] for o in self.open[-8:]]
+        if name in _BLOCKS and "p" in near and _SILENT.isdisjoint(near[near.index("p") :]):
             self.close("p")
         elif name == "li" and self.open and self.open[-1][0] == "li":
             self.pop()
         if name in _VOID or attributes.endswith("/"):
             return
-        aside = _is_aside(name, attributes)
+        aside = name in _SILENT or _is_aside(name, attributes)
         if aside and not self.aside:
-            self.end_line()
+            if name in _SILENT:
+                self.text(" ")
+            else:
+                self.end_line()
         self.parents.append(self.open[-1][2] if self.open else 0)
         self.open.append((name, aside, len(self.names)))
         self.names.append(name)
@@ -169,7 +183,7 @@ def parsed(source: str) -> _Page:
         page.text(source[at : tag.start()])
         at = tag.end()
         name, attributes = tag[2].lower(), tag[3] if tag[3] is not None else tag[4]
-        if name in _BLOCKS:
+        if name in _BLOCKS and not page.aside:
             page.end_line()
         elif name in _CELLS:
             page.text(" ")
