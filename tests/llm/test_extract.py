@@ -59,6 +59,16 @@ def test_elements_without_an_end():
     assert main_text(f"<div><p>{TEXT}<noscript><p>no</p><div>no</div></noscript> on</p></div>") == f"{TEXT} on"
 
 
+def test_several_articles():
+    parts = [f"<article><h1>One</h1><p>{LONG}</p></article>", f"<article><h2>Two</h2><p>{TEXT}</p></article>", "<article><p>Three.</p></article>"]
+    want = f"One\n{LONG}\nTwo\n{TEXT}\nThree."
+    assert main_text(f"<body><nav>{LINKS}</nav>{''.join(parts)}<footer>{LONG}</footer></body>") == want
+    assert main_text(f"<body>{ADS[0].join(parts)}{LINKS}</body>") == want
+    assert main_text(f"<main><p>Before.</p>{parts[0]}{ADS[1]}<p>{TEXT}</p></main>") == f"Before.\nOne\n{LONG}\n{TEXT}"
+    assert main_text(f"<div>{parts[0]}</div><div><article><p>{LONG}</p></article></div>") == f"One\n{LONG}\n{LONG}"
+    assert main_text(f"{parts[0]}<div><article><p><a href=x>{LONG}</a></p></article></div><div><p>{LONG}</p></div>") == f"One\n{LONG}\n{LONG}"
+
+
 def test_deep_and_broken_markup():
     assert main_text("<div>" * 5000 + TEXT) == TEXT
     assert main_text("</p>" * 5000 + TEXT) == TEXT

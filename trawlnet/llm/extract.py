@@ -4,8 +4,10 @@ Method: line-block distribution. Mark-up is stripped so that every block of the
 line; parts that say by their tag, role or name that they are menus, notices, adverts and the
 like are left out and end nothing. The lengths of text outside links are summed over windows of
 a few lines; text begins where the sum surges and ends where it dives to nothing. The longest
-stretch is kept, with all of the article element it is in, or else with everything from the
-first surge to the last dive in the element it is in, and with stretches nearly as long.
+stretch is kept with everything from the first surge to the last dive in the element it is in,
+and with stretches nearly as long. If it is in an article or main element, these elements bound
+the text instead, so that titles and lines of links at its ends stay: all of the outermost one, of
+those beside it that have text, and of others nearly as long.
 """
 
 from __future__ import annotations
@@ -97,13 +99,13 @@ class _Page:
         self.names, self.parents, self.last = ["html"], [0], [0]
         self.aside = self.link = self.article = self.articles = 0
         self.inside: list[tuple[str, int]] = []
+        self.beside = [-1]  # parent of each article
 
     def end_line(self) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                articles = [n for kind, n in self.inside if kind == "article"]
-                number = (articles or [n for _, n in self.inside] or [0])[0]
+                number = self.inside[0][1] if self.inside else 0
                 self.lines.append((text, max(len(text) - self.linked, 0), number, self.open[-1][2] if self.open else 0))
             self.parts, self.linked = [], 0
 
@@ -173,6 +175,7 @@ class _Page:
             self.link += 1
         if name in _ARTICLE:
             self.articles += 1
+            self.beside.append(self.parents[-1])
             self.inside.append((name, self.articles))
 
 
@@ -220,8 +223,16 @@ def main_text(source: str, window: int = WINDOW, share: float = SHARE) -> str:
     for i in best:
         of_article[lines[i][2]] = of_article.get(lines[i][2], 0) + length[i]
     article = max(of_article, key=of_article.get)
-    if article:  # all of the page's article, lines of links among them
-        kept = [i for i, line in enumerate(lines) if line[2] == article]
+    if article:
+        whole = np.bincount([line[2] for line in lines], length)
+        parent = page.beside[article]
+        same = {n for n, w in enumerate(whole) if w and (page.beside[n] == parent or n and w >= share * whole.max())}
+        chosen = {i for i, line in enumerate(lines) if line[2] in same}
+        for s, w in zip(stretches, weight, strict=True):  # text of the page outside, by the same share
+            outside = [i for i in s if not lines[i][2] and length[i]]
+            if sum(length[i] for i in outside) >= share * whole[article]:
+                chosen.update(outside)
+        kept = sorted(chosen)
     else:
         first, last = page.region([i for i in best if length[i]])
         inside = [i for s in stretches for i in s if first <= lines[i][3] <= last]
