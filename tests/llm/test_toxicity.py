@@ -106,3 +106,15 @@ def test_any_base_rate(spark, share):
     assert wrong <= 24
     assert rows[3001]["neighbours"][0] == 3000 and rows[3001]["cosines"][0] > 0.999
     assert rows[3002]["neighbours"][0] == 3000
+
+
+def test_calibrated_by_all_labels(spark, monkeypatch):
+    """The four examples of the index are clean, and 296 other labelled texts like them bad: that rate counts."""
+    ship(spark)
+    monkeypatch.setattr(toxicity, "EXAMPLES", 4)
+    docs = [(i, f"the same words {i % 2 and 'odd' or 'even'}") for i in range(600)]
+    first = spark.range(300).orderBy(F.xxhash64("id"), "id").limit(4).collect()
+    clean = {r["id"] for r in first}
+    labels = [(i, int(i not in clean), None, None, None) for i in range(300)]
+    rows = toxicity.score(table(spark, docs), labelled(spark, labels)).collect()
+    assert len(rows) == 600 and all(r["score"] > 0.9 for r in rows)

@@ -3,7 +3,7 @@
 Method: texts are TF-IDF vectors over all terms of the examples; the examples nearest by cosine
 are found exactly in an inverted index whose postings are cut into blocks with a known maximum,
 so blocks that cannot reach the k best are never scored. Neighbours vote with their similarity,
-and leave-one-out votes of the examples calibrate the vote.
+and votes of all labelled texts, of the examples with themselves left out, calibrate the vote.
 
 Terms are words and first letters of longer words, so that compounds of a word are known. Terms
 that tell bad texts from others have their whole weight and all others a faint one, so that these
@@ -31,7 +31,7 @@ from trawlnet.llm.windows import mix, ranges, starts_of
 from trawlnet.operators.joins import bounded
 from trawlnet.sources.scratch import materialize
 
-EXAMPLES = 8_000  # labelled examples with a term that the index holds
+EXAMPLES = 20_000  # labelled examples with a term that the index holds
 LEAST_DOCS = 4  # labelled texts that a telling term must occur in
 PREFIXES = (3, 4, 5, 6, 7, 8)  # so many first letters are terms of their own
 LEAST_ODDS = 3.0  # times the odds of all texts that texts with a telling term are bad
@@ -40,6 +40,7 @@ NEIGHBOURS = 15
 BLOCK = 64  # examples of a block
 STEP = 16  # blocks scored first, those of the highest bound
 ROWS = 2048  # most frequent terms, whose weights are rows of a matrix
+MARGIN = 2.5e-4  # more than 32-bit products of that many rows can be wrong by
 DENSE = 4  # postings of a block from which on its maximum is looked at
 CHUNK = 128  # texts multiplied with them at once
 SEEN = 1 << 15  # texts whose votes a task remembers
@@ -161,7 +162,7 @@ class Index:
 
     def products(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the terms of the matrix add to the cosine of every text (term, weight) and example."""
-        asked = np.zeros((len(texts), len(self.matrix)))
+        asked = np.zeros((len(texts), len(self.matrix)), np.float32)
         for i, (term, weight) in enumerate(texts):
             at = self.row[term]
             asked[i, at[at >= 0]] = weight[at >= 0]
@@ -184,10 +185,15 @@ class Index:
             hit = hit[self.ids[hit] != without]
             return hit, score[hit]
 
+        row = self.row[term]
+        rows, factors = row[row >= 0], weight[row >= 0]
+
         def best(found: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """All that can be among the k best get products in full precision."""
             if len(found) > k:
-                least = np.partition(cosine, -k)[-k]
-                found, cosine = found[cosine >= least - 1e-9], cosine[cosine >= least - 1e-9]
+                near = cosine >= np.partition(cosine, -k)[-k] - MARGIN
+                found, cosine = found[near], cosine[near]
+            cosine = cosine - base[found] + factors @ self.matrix[rows[:, None], found].astype(float)
             top = np.lexsort((found, -np.round(cosine, 12)))[:k]
             return found[top], cosine[top]
 
@@ -211,22 +217,29 @@ class Index:
         found, cosine = best(*within(order[:STEP]))
         rest = order[STEP:]
         if len(found) == k:  # blocks that cannot hold one of the k best are never scored
-            rest = rest[bound[rest] > cosine[-1] - 1e-11]
+            rest = rest[bound[rest] > cosine[-1] - MARGIN]
         if len(rest):
-            more, other = within(rest)
-            found, cosine = best(np.concatenate([found, more]), np.concatenate([cosine, other]))
+            more, other = best(*within(rest))
+            found, cosine = np.concatenate([found, more]), np.concatenate([cosine, other])
+            top = np.lexsort((found, -np.round(cosine, 12)))[:k]
+            found, cosine = found[top], cosine[top]
         return found, cosine
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine @ self.label[found] + PRIOR * self.prior) / (cosine.sum() + PRIOR))
 
 
-def _vectors(columns: list[str]):
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sized(batches, 3 << 20):
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_terms(batch.column("text"))[1]))], names=["term"])
+
+
+def _vectors(terms, columns: list[str]):
     def run(batches):
         for batch in sized(batches, 3 << 20):
-            text, term, count = _terms(batch.column("text"))
+            text, at, count = _terms(batch.column("text"), terms.value)
             cuts = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (term, count.astype(np.int32))]
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (at, count)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.select(columns).columns, *lists], names=[*columns, "terms", "counts"]
             )
@@ -273,7 +286,7 @@ def _unpacked(ids, label, terms, gain, prior, of_example, of_count, example, cou
     row = np.full(len(terms), -1, np.int32)
     row[many] = np.arange(len(many))
     rows = np.repeat(row, with_term)
-    matrix = np.zeros((len(many), n_blocks * BLOCK))
+    matrix = np.zeros((len(many), n_blocks * BLOCK), np.float32)
     matrix[rows[rows >= 0], example[rows >= 0]] = weight[rows >= 0]
     term = np.repeat(np.arange(len(terms)), with_term)[rows < 0]
     example, weight = example[rows < 0], weight[rows < 0]
@@ -369,19 +382,11 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     able = materialize(able.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "same").limit(EXAMPLES), "chosen")
     chosen = docs.select("*", same).join(F.broadcast(able), ["doc_id", "same"]).dropDuplicates(["doc_id", "label", "same"])
     chosen = materialize(chosen.select("doc_id", "label", "text"), "examples")
-    vectors = chosen.mapInArrow(_vectors(["doc_id", "label"]), "doc_id long, label int, terms array<long>, counts array<int>")
-    rows = vectors.where("size(terms) > 0").toArrow().combine_chunks()
-    rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("label", "ascending")])).combine_chunks()
-    sizes = pc.list_value_length(rows.column("terms")).to_numpy().astype(np.int64)
-    said, times = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "counts"))
-    terms, said = np.unique(said, return_inverse=True)
-    said = said.astype(np.int32)
-    ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(float)
-    del rows
+    terms = np.sort(chosen.mapInArrow(_distinct, "term long").distinct().toArrow().column("term").to_numpy())
+    known = spark.sparkContext.broadcast(terms)
     # a text with both labels is one text
     of_text = small.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
     marked = docs.join(of_text, "doc_id", "left").select("text", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "bad")))
-    known = spark.sparkContext.broadcast(terms)
     counted = marked.mapInArrow(_count(known), "term int, docs long, n long, bad long")
     counted = counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("docs", "n", "bad"))).toArrow()
     df, n_with, bad_with = np.zeros((3, len(terms)))
@@ -389,7 +394,16 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         sums[counted.column("term").to_numpy()] = counted.column(name).to_numpy()
     idf = np.log((1 + docs.count()) / (1 + df)) + 1
     gain = idf * np.where(telling(n_with, bad_with, n, n_bad), 1.0, FAINT)
-    index = spark.sparkContext.broadcast(Packed(ids, label, sizes, said, times, terms, gain, prior))
+    del counted, df, n_with, bad_with, idf
+    schema = "doc_id long, label int, terms array<int>, counts array<int>"
+    vectors = chosen.mapInArrow(_vectors(known, ["doc_id", "label"]), schema).where("size(terms) > 0")
+    rows = vectors.orderBy("doc_id", "label").toArrow()
+    sizes = np.concatenate([np.empty(0, np.int64), *(pc.list_value_length(c).to_numpy() for c in rows.column("terms").chunks)])
+    said, times = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "counts"))
+    times = times.astype(np.min_scalar_type(int(times.max(initial=0))))
+    ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(float)
+    del rows
+    index = spark.sparkContext.broadcast(Packed(ids, label, sizes.astype(np.int64), said, times, terms, gain, prior))
     voted = "vote double, neighbours array<long>, cosines array<double>"
     judged = chosen.repartition(spark.sparkContext.defaultParallelism).mapInArrow(
         _voted(index, k, ["doc_id", "label"], True), f"doc_id long, label int, {voted}"
@@ -399,6 +413,8 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     bare = bare.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
     empty = ((bare["bad"] or 0) + PRIOR * prior) / (bare["n"] + PRIOR)
     bin_of = F.least(F.floor(F.col("vote") * BINS), F.lit(BINS - 1)).cast("int")
+    others = scored.join(small, "doc_id").join(F.broadcast(able.select("doc_id").distinct()), "doc_id", "left_anti")
+    judged = judged.select("vote", "label").unionByName(others.select("vote", "label"))
     seen = judged.where("vote is not null").groupBy(bin_of.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"), F.avg("vote").alias("vote")
     )
