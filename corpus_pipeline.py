@@ -16,7 +16,6 @@ from trawlnet.llm.queries import table, tokenizer_path
 from trawlnet.sources.scratch import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SHARE = 0.4  # of a text's letters in its main language
 
 
 def _ready(spark: SparkSession) -> None:
@@ -26,12 +25,11 @@ def _ready(spark: SparkSession) -> None:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts with a language: some letters, and a main language among mixed ones."""
+    """Keep texts with a language, be they in one or mixed of many in equal parts."""
     _ready(spark)
     model = langid.train(docs)
     known = langid.identify(docs, model, COLUMNS)
-    kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
-    return known.where(kept).select(COLUMNS)
+    return known.where(F.col("lang_pred") != langid.UNKNOWN).select(COLUMNS)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -49,6 +49,16 @@ def test_columns_of_documents(stages):
         assert row["n_chars"] == len(row["text"])
 
 
+def test_many_languages_in_equal_parts_stay(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    longest = {r["lang"]: r["text"] for r in docs.orderBy("n_chars").collect()}
+    mixed = "\n".join(text[:400] for text in longest.values())
+    assert len(longest) >= 4
+    more = docs.unionByName(spark.createDataFrame([(99_999, mixed, "mixed", "web", len(mixed))], docs.schema))
+    kept = corpus_pipeline.language(spark, more, SF_DIR).where("doc_id = 99999").collect()
+    assert [r["text"] for r in kept] == [mixed]
+
+
 @pytest.mark.parametrize("rows", [TEXTS, []])
 def test_odd_rows(spark, rows):
     for _, stage in corpus_pipeline.STAGES:
