@@ -3,17 +3,19 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from edge import TEXTS, table
 
 from trawlnet.deploy import ship
-from trawlnet.llm.packing import encoder, pack_documents, plan
+from trawlnet.llm.packing import pack_documents, plan, token_ids
 from trawlnet.llm.queries import tokenizer_path
+from trawlnet.llm.units import byte_level
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
 def ids_of(text):
-    return [*encoder(tokenizer_path()).tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*byte_level(tokenizer_path()).tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def expected(rows, size):
@@ -59,15 +61,13 @@ def test_documents_fill_their_sequences(spark):
     assert n <= -(-total // 2048) + 1
 
 
-def test_words_learned_apart_give_the_same_ids():
-    encode = encoder(tokenizer_path())
-    texts = [t or "" for _, t in TEXTS] + ["a  b\n\n c 's ''s <|endoftext|><|endoftext|>  x  ", "  ", "\n"]
-    for _ in range(2):
-        ids, lengths = encode(texts)
-        assert np.split(ids, np.cumsum(lengths)[:-1])[3].tolist() == ids_of(texts[3])[:-1]
-        assert ids.tolist() == [i for t in texts for i in ids_of(t)[:-1]]
-    encode.clear()
-    assert encode(texts)[0].tolist() == ids.tolist()
+def test_ids_are_those_of_whole_texts():
+    texts = [t or "" for _, t in TEXTS] + ["a  b\n\n c 's ''s <|endoftext|><|endoftext|>  x  ", "  ", "\n", "x  <|endoftext|> y"]
+    ids, lengths = token_ids(pa.array(texts), tokenizer_path())
+    assert np.split(ids, np.cumsum(lengths)[:-1])[3].tolist() == ids_of(texts[3])[:-1]
+    assert ids.tolist() == [i for t in texts for i in ids_of(t)[:-1]]
+    none = token_ids(pa.array([None, ""], pa.string()), tokenizer_path())
+    assert [x.tolist() for x in none] == [[], [0, 0]]
 
 
 def test_plan_uses_every_piece_and_leaves_little_room():

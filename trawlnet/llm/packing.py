@@ -14,106 +14,40 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import Counter
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlnet.llm.frames import extended, sized
+from trawlnet.llm.units import byte_level, cut_units
 from trawlnet.llm.windows import ranges, starts_of
 from trawlnet.sources.scratch import materialize
 
 SIZE = 2048
 END = 0  # id that ends a document
-CACHED = 1 << 20  # distinct words whose ids a worker remembers
+BATCH_BYTES = 4 << 20  # of texts that are encoded together
 PART_ROWS = 20_000  # pieces of one length that are numbered together
 
-# Fixed value: how the byte-level tokenizer cuts a text before it merges bytes. No merge
-# crosses a cut, so the ids of a text are those of its cuts.
-CUTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-
-class _Numbers(dict):
-    """Words to numbers in the order in which they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-
-class Encoder:
-    """Token ids of many texts; words seen before are looked up."""
-
-    def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words = regex.compile(CUTS).findall
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.clear()
-
-    def cut(self, text: str) -> list[str]:
-        if self.added is None or not self.added.search(text):
-            return self.words(text)
-        parts = self.added.split(text)  # every second one is an added token, an id of its own
-        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.words(part))]
-
-    def clear(self) -> None:
-        self.code = _Numbers()
-        self.ids = np.empty(1 << 16, np.uint32)  # of all words known, with room for more
-        self.first = np.zeros(1, np.int64)
-
-    def learn(self) -> None:
-        """Encode the words that have been numbered since the last time."""
-        if not self.code.new:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch(self.code.new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        begin = self.first[-1]
-        self.first = np.concatenate([self.first, begin + np.cumsum(lengths)])
-        end = self.first[-1]
-        if end > len(self.ids):
-            self.ids = np.concatenate([self.ids[:begin], np.empty(2 * end - begin, np.uint32)])
-        self.ids[begin:end] = np.fromiter(chain.from_iterable(found), np.uint32, int(end - begin))
-        self.code.new = []
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and their number per text."""
-        if len(self.code) > CACHED:
-            self.clear()
-        cut = [self.cut(t) for t in texts]
-        n_words = np.fromiter(map(len, cut), np.int64, len(cut))
-        words = chain.from_iterable(cut)
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, int(n_words.sum()))
-        self.learn()
-        sizes = np.diff(self.first)[codes]
-        ids = self.ids[np.repeat(self.first[codes], sizes) + ranges(sizes)]
-        ends = starts_of(sizes)[starts_of(n_words)]
-        return ids, np.diff(ends)
-
-
-@lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def token_ids(texts: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch in one array, and their number per text."""
+    units, n_units = cut_units(pc.fill_null(texts, ""))
+    ids, counts = byte_level(tokenizer).encode(units.dictionary)
+    code = units.indices.to_numpy()
+    sizes = counts[code]
+    ids = ids[np.repeat(starts_of(counts)[code], sizes) + ranges(sizes)]
+    return ids, np.diff(starts_of(sizes)[starts_of(n_units)])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int, keep: list[str]) -> DataFrame:
     """One row per piece: ``piece``, ``start``, ``length`` and ``ids_crc32`` after ``keep``."""
 
     def run(batches):
-        encode = encoder(tokenizer)
-        for batch in sized(batches, 2 << 20):
-            ids, lengths = encode([t or "" for t in batch.column("text").to_pylist()])
+        for batch in sized(batches, BATCH_BYTES):
+            ids, lengths = token_ids(batch.column("text"), tokenizer)
             counts = (lengths + 1 + size - 1) // size
             full = np.full(int(lengths.sum()) + len(lengths), END, "<u4")
             first = starts_of(lengths + 1)

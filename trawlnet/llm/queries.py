@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trawlnet.deploy import ship
 from trawlnet.llm import (
+    alignment,
     decontaminate,
     extract,
     fingerprint,
@@ -143,8 +144,20 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op13_token_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), piece_path(), ["doc_id"])
+
+
 def tokenizer_path() -> str:
     """The public byte-level vocabulary, where it is installed."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def piece_path() -> str:
+    """The public vocabulary of pieces, where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
