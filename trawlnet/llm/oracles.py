@@ -70,10 +70,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
 """
 
+COLLOCATIONS = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(coalesce({LOWER.format(text='text')}, ''), '[.,;:!?\\x0A-\\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, w[i : i + k - 1] AS g
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, array_to_string(g, ' ') AS phrase, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+cut AS (SELECT lang, phrase, k, g, f, unnest(range(1, k)) AS c FROM f WHERE k >= 2),
+scored AS (SELECT cut.lang, cut.phrase, cut.k, cut.g, cut.f AS a, c, x.f AS l, y.f AS r,
+                  CAST(CAST(cut.f AS HUGEINT) * 2000000 // (x.f + y.f) AS BIGINT) AS score
+           FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1 : c] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[c + 1 : cut.k]),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+part AS (SELECT lang, g[i : i + m - 1] AS g, max(f) AS most
+         FROM (SELECT lang, g, f, m, unnest(range(1, k - m + 2)) AS i
+               FROM (SELECT lang, g, f, k, unnest(range(2, k)) AS m FROM f WHERE k >= 3)) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN part USING (lang, g) WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def oracles() -> dict[str, str]:
     return {
         "op2_ngram_jaccard_join": NEAR_DUPLICATES,
         "op6_decontaminate": PASSAGES,
         "op10_substring_dedup": SUBSTRINGS,
+        "op12_collocations": COLLOCATIONS,
     }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trawlnet.deploy import ship
 from trawlnet.llm import (
     alignment,
+    collocations,
     decontaminate,
     extract,
     fingerprint,
@@ -144,6 +145,11 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_token_alignment(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), piece_path(), ["doc_id"])
