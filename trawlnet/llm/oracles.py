@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from trawlnet.llm import secrets
+
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -93,10 +95,36 @@ FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
 """
 
 
+def _matches(n: int, kind: str, regex: str, group: int, least: int) -> str:
+    regex = regex.replace("'", "''")
+    return f"""SELECT doc_id, {n} AS n, '{kind}' AS kind, {least} AS least, regexp_split_to_array(text, '{regex}') AS g,
+                      regexp_extract_all(text, '{regex}') AS f, regexp_extract_all(text, '{regex}', {group}) AS t FROM d"""
+
+
+def secret_spans(rules) -> str:
+    every = "\n UNION ALL ".join(_matches(n, r.kind, r.regex, r.group, r.least) for n, r in enumerate(rules))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({every}),
+one AS (SELECT doc_id, n, kind, f, g, unnest(range(1, len(f) + 1)) AS i, t, least FROM m WHERE len(f) > 0),
+s AS (SELECT doc_id, n, kind, list_sum([length(x) FOR x IN g[1 : i]]) + coalesce(list_sum([length(x) FOR x IN f[1 : i - 1]]), 0) AS b,
+             length(f[i]) AS size
+      FROM one WHERE length(t[i]) >= least),
+p AS (SELECT doc_id, n, b, kind, kind || ':' || CAST(b AS BIGINT) || ':' || CAST(b + size AS BIGINT) AS p FROM s),
+per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c,
+               count(*) FILTER (kind = 'hex') AS h, string_agg(p, ',' ORDER BY b, n) FILTER (n < 3) AS base, string_agg(p, ',' ORDER BY b, n) AS spans
+        FROM p GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op2_ngram_jaccard_join": NEAR_DUPLICATES,
         "op6_decontaminate": PASSAGES,
         "op10_substring_dedup": SUBSTRINGS,
+        "op11_secret_scan": secret_spans(secrets.RULES),
         "op12_collocations": COLLOCATIONS,
     }

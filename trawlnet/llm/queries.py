@@ -19,6 +19,7 @@ from trawlnet.llm import (
     langid,
     packing,
     quality,
+    secrets,
     substring_dedup,
     toxicity,
     url_rules,
@@ -145,6 +146,16 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op11_secret_scan(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", secrets.of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE]
+    base = F.filter("spans", lambda s: s["n"] < len(secrets.BASE))
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.printed(base), 256).alias("base_sha256"), secrets.printed(F.col("spans")).alias("spans")
+    )
+
+
 @query
 def op12_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
