@@ -1,11 +1,12 @@
 import json
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from trawlnet.operators.embed import embed, hashing_model
-from trawlnet.plans.index import build_index, read_statistics
+from trawlnet.plans.index import build_index, read_postings, read_statistics
 from trawlnet.sources import golden, runs, splits, store
 from trawlnet.sources.scan import spread_small
 from trawlnet.sources.scratch import materialize, scratch_path
@@ -74,6 +75,79 @@ def test_index_and_store(spark, tmp_path):
     assert [tuple(r) for r in manifests] == [("m", 50, 5), ("m", 60, 5)]
 
 
+def counting(folder, fail_on=None):
+    """A model that notes the texts it sees in files, as it runs in other processes."""
+
+    def make():
+        def model(texts):
+            for t in texts:
+                if t == fail_on:
+                    raise RuntimeError("out of service")
+                (folder / uuid.uuid4().hex).write_text(t)
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    return make
+
+
+def test_only_new_texts_are_embedded(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    base, settings = str(tmp_path / "index"), {"sections": ("section_1",), "size": 50, "overlap": 0}
+
+    def build(texts):
+        rows = [(str(i), str(1999 + i % 2), t) for i, t in texts.items()]
+        build_index(spark.createDataFrame(rows, "cik string, year string, section_1 string"), base, counting(seen), "m", **settings)
+        new = sorted(f.read_text() for f in seen.iterdir())
+        for f in seen.iterdir():
+            f.write_text("")
+        rows = store.read_store(spark, f"{base}/store").collect()
+        assert {int(r.cik): r.chunk for r in rows} == texts and len(rows) == len(texts)
+        assert all(r.embedding == [float(len(r.chunk)), 1.0] for r in rows)
+        postings = read_postings(spark, base, "m", 50, 0)
+        assert sum(len(r["ids"]) for r in postings.ranges.collect()) == len(texts)
+        return [t for t in new if t]
+
+    assert build({1: "one", 2: "two", 3: "the same", 4: "the same"}) == ["one", "the same", "the same", "two"]
+    # one text changed, one gone, a known text in a new place
+    assert build({1: "one more", 3: "the same", 4: "the same", 5: "the same", 6: "two"}) == ["one more"]
+    assert build({6: "two"}) == []
+    terms = read_statistics(spark, base, "m", 50, 0).collect()
+    assert {(r.year, r.term, r.n_chunks) for r in terms} == {("1999", "two", 1), ("1999", None, 1)}
+    # the published version and the one before it are left
+    run = store.run_path(f"{base}/store", "m", 50, 0)
+    versions = sorted(d for d in os.listdir(run) if d.startswith("version="))
+    assert len(versions) == 2 and versions[-1] == f"version={store.current(spark, run)}"
+
+
+def test_a_failed_writer_leaves_the_old_run(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    base, settings = str(tmp_path / "index"), {"sections": ("section_1",), "size": 50, "overlap": 0}
+    schema = "cik string, year string, section_1 string"
+    old = spark.createDataFrame([(str(i), "1999", f"text {i}") for i in range(20)], schema)
+    build_index(old, base, counting(seen), "m", **settings)
+    reader = store.read_store(spark, f"{base}/store")
+    before = sorted((r.chunk_id, r.chunk) for r in reader.collect())
+    new = spark.createDataFrame([(str(i), "2000", f"new {i}") for i in range(20)], schema)
+    with pytest.raises(Exception, match="out of service"):
+        build_index(new, base, counting(seen, "new 13"), "m", **settings)
+    for rows in (reader, store.read_store(spark, f"{base}/store")):
+        assert sorted((r.chunk_id, r.chunk) for r in rows.collect()) == before
+    assert read_statistics(spark, base, "m", 50, 0).where("term = 'text'").first()["n_chunks"] == 20
+    # the next writer is not disturbed by what the failed one left, and a reader goes on with its version
+    build_index(new, base, counting(seen), "m", **settings)
+    assert {r.year for r in store.read_store(spark, f"{base}/store").collect()} == {"2000"}
+    assert sorted((r.chunk_id, r.chunk) for r in reader.collect()) == before
+
+
+def test_no_run_is_an_empty_store(spark, tmp_path):
+    assert store.read_store(spark, str(tmp_path)).collect() == []
+    with pytest.raises(FileNotFoundError):
+        read_statistics(spark, str(tmp_path), "m", 1, 0)
+
+
 def test_year_filter_prunes_partitions(spark, tmp_path, capsys):
     build_index(wide(spark), str(tmp_path), hashing_model(4), "m", sections=("section_1",))
     kept = store.read_store(spark, f"{tmp_path}/store").where(F.col("year").isin("1999"))

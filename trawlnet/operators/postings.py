@@ -36,7 +36,7 @@ from trawlnet.sources.scratch import materialize
 
 RANGE_CHUNKS = 4096  # chunks of a range; their numbers take two bytes
 RANGE_BYTES = 16 << 20  # of texts of a range
-BUCKETS = 64  # folders of terms
+BUCKETS = 16  # folders of terms
 FIRST = 16  # one range in so many is in the first wave
 _CELLS = 1 << 21  # entries of one work matrix inside a task
 _NEAR = 1e-8  # what rounding can add to a bound

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 RUN_COLUMNS = ("embedding_model", "chunk_size", "chunk_overlap")
 _POINTER = "_current"  # file that names the published version of a run
+HISTORY = 20  # versions that the pointer goes back
 
 STORE_SCHEMA = T.StructType(
     [
@@ -89,7 +90,7 @@ def publish(spark: SparkSession, run: str, version: str) -> None:
     target = path(f"{run}/{_POINTER}")
     beside = path(f"{run}/{_POINTER}-{version}")
     stream = beside.getFileSystem(spark._jsc.hadoopConfiguration()).create(beside)
-    stream.write(bytearray(version.encode()))
+    stream.write(bytearray("\n".join([version, *published(spark, run)][:HISTORY]).encode()))
     stream.close()
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     how = spark.sparkContext._gateway.new_array(rename, 1)
@@ -100,13 +101,18 @@ def publish(spark: SparkSession, run: str, version: str) -> None:
 
 def current(spark: SparkSession, run: str) -> str | None:
     """The published version of a run, if there is one."""
+    return next(iter(published(spark, run)), None)
+
+
+def published(spark: SparkSession, run: str) -> list[str]:
+    """The published version of a run and those before it, as far as the pointer goes back."""
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{run}/{_POINTER}")
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(place):
-        return None
+        return []
     stream = files.open(place)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
     finally:
         stream.close()
 
@@ -123,18 +129,19 @@ def runs_below(
 
 
 def expire(spark: SparkSession, run: str, keep: int = 2) -> None:
-    """Delete the versions before the published one, but for the last ``keep`` - 1 of them.
+    """Delete what came before the published version, but for the last ``keep`` - 1 published ones.
 
     Readers that found a version before the last publication can go on with it. Versions
-    behind the published one may be in the making and stay.
+    behind the published one may be in the making and stay; those that a failed writer has left go
+    with the next publication.
     """
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{run}/version=*")
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    now = current(spark, run)
-    found = {s.getPath().getName().partition("=")[2]: s.getPath() for s in files.globStatus(place) or []}
-    before = sorted(v for v in found if now is not None and v < now)
-    for version in before[: max(0, len(before) - keep + 1)]:
-        files.delete(found[version], True)
+    kept = published(spark, run)[:keep]
+    for status in files.globStatus(place) or []:
+        version = status.getPath().getName().partition("=")[2]
+        if kept and version < kept[0] and version not in kept:
+            files.delete(status.getPath(), True)
 
 
 def gather_by_year(chunks: DataFrame) -> DataFrame:

@@ -11,15 +11,17 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from trawlnet.deploy import ship
 from trawlnet.functions import text, vector
 from trawlnet.operators import chunk as chunking
 from trawlnet.operators import clean, context, embed, lexical, metrics, profile, search
+from trawlnet.operators.postings import read_postings, search_postings, statistics_of, write_postings
 from trawlnet.operators.relevance import containing_chunks
 from trawlnet.plans import answer as answering
 from trawlnet.plans import evaluate as evaluation
-from trawlnet.plans.index import build_index
+from trawlnet.plans.index import build_index, read_statistics
 from trawlnet.sources import golden, runs, splits, store
 from trawlnet.sources.scan import scan, spread_small
 from trawlnet.sources.scratch import materialize, scratch_path
@@ -165,18 +167,26 @@ def land_roundtrip(spark, sf_dir):
     return _per_split(splits.read_splits(spark, base, list(parts)))
 
 
-@query
-def store_roundtrip(spark, sf_dir):
-    wide = documents(spark, sf_dir).select(
+def _wide_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("cik"),
         F.col("lang").alias("year"),
         F.col("text").alias("section_1"),
         F.lit(None).cast("string").alias("section_1A"),
     )
+
+
+@query
+def store_roundtrip(spark, sf_dir):
+    """Index all documents, then again after a tenth has changed and a tenth has gone."""
+    wide = _wide_documents(spark, sf_dir)
     base = scratch_path(spark, "index")
-    sections = ("section_1", "section_1A")
+    run = {"sections": ("section_1", "section_1A"), "overlap": 0}
     model = embed.hashing_model(16)
-    build_index(wide, base, model, "hashing-16", sections=sections, overlap=0)
+    build_index(wide, base, model, "hashing-16", **run)
+    tenth = F.col("cik").cast("long") % 10
+    changed = F.when(tenth == 3, F.concat(F.lit("changed "), F.col("section_1"))).otherwise(F.col("section_1"))
+    build_index(wide.where(tenth != 7).withColumn("section_1", changed), base, model, "hashing-16", **run)
     rows = store.read_store(spark, f"{base}/store", model="hashing-16", size=2000, overlap=0)
     bare = F.regexp_replace("chunk", text.SPACES, "")
     norm = vector.l2_norm(F.col("embedding"))
@@ -186,7 +196,8 @@ def store_roundtrip(spark, sf_dir):
         F.bool_and((norm == 0) | (F.abs(norm - 1) < 1e-9)).alias("unit_vectors"),
     )
     manifest = store.read_manifest(spark, f"{base}/info")
-    return per_year.join(manifest, list(store.RUN_COLUMNS))
+    words = read_statistics(spark, base, "hashing-16", 2000, 0).where("term is null").select("year", "n_tokens")
+    return per_year.join(manifest, list(store.RUN_COLUMNS)).join(words, "year")
 
 
 @query
@@ -422,9 +433,7 @@ def term_stats(spark, sf_dir):
     return stats.where(F.col("term").isNotNull()).select("year", "term", "n_chunks")
 
 
-@query
-def corpus_stats(spark, sf_dir):
-    stats = materialize(lexical.year_statistics(corpus(spark, sf_dir)), "term-statistics")
+def _corpus_stats(stats: DataFrame) -> DataFrame:
     filters = [[], ["en"], ["en", "fr"]]
     summary = lexical.idf_summary(lexical.filter_statistics(stats, filters))
     return summary.select(
@@ -436,6 +445,11 @@ def corpus_stats(spark, sf_dir):
     )
 
 
+@query
+def corpus_stats(spark, sf_dir):
+    return _corpus_stats(materialize(lexical.year_statistics(corpus(spark, sf_dir)), "term-statistics"))
+
+
 # Retrieval
 
 
@@ -449,6 +463,45 @@ def bm25_topk(spark, sf_dir):
     return _rounded(hits, "score")
 
 
+@query
+def bm25_postings_topk(spark, sf_dir):
+    """The same from stored postings: the search itself reads no text."""
+    path = scratch_path(spark, "postings")
+    write_postings(corpus(spark, sf_dir), path)
+    index = read_postings(spark, path, LongType())
+    statistics = materialize(statistics_of(index), "term-statistics")
+    return _rounded(search_postings(questions(spark, sf_dir), index, statistics, K), "score")
+
+
+@query
+def bm25_postings_filtered_topk(spark, sf_dir):
+    path = scratch_path(spark, "postings")
+    write_postings(corpus(spark, sf_dir), path)
+    index = read_postings(spark, path, LongType())
+    statistics = materialize(statistics_of(index), "term-statistics")
+    return _rounded(search_postings(filtered(questions(spark, sf_dir)), index, statistics, K), "score")
+
+
+@query
+def stored_corpus_stats(spark, sf_dir):
+    """Statistics of any year filter from the blocks of stored postings."""
+    path = scratch_path(spark, "postings")
+    write_postings(corpus(spark, sf_dir), path)
+    stats = materialize(statistics_of(read_postings(spark, path, LongType())), "term-statistics")
+    return _corpus_stats(stats)
+
+
+@query
+def odd_questions_topk(spark, sf_dir):
+    """Questions without a known term (even ids) or with a zero vector (ids divisible by three)."""
+    asked = vector_questions(spark, sf_dir)
+    unknown = F.when(F.col("query_id") % 2 == 0, F.lit("qqqq zzzz")).otherwise(F.col("prompt"))
+    zero = F.when(F.col("query_id") % 3 == 0, F.transform("vector", lambda x: x * 0.0)).otherwise(F.col("vector"))
+    asked = asked.withColumns({"prompt": unknown, "vector": zero})
+    hits = search.search_hybrid(asked, embedded_corpus(spark, sf_dir), K)
+    return _rounded(hits, *HYBRID_SCORES)
+
+
 @query
 def cosine_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(
@@ -579,14 +632,22 @@ def exact_match_rate(spark, sf_dir):
 
 @query
 def exact_match_list(spark, sf_dir):
-    """Per customer: the order priorities as a list, answered shuffled, doubled or broken."""
+    """Per customer: order priorities as a list; answers doubled, without one, with one more, with another, or broken."""
     orders = table(spark, sf_dir, "orders")
     lists = orders.groupBy(F.col("o_custkey").alias("query_id")).agg(
         F.array_sort(F.collect_set("o_orderpriority")).alias("gt_list"),
         F.count(F.lit(1)).alias("n_orders"),
     )
-    shown = F.reverse(F.concat("gt_list", F.slice("gt_list", 1, 1)))
+    doubled = F.reverse(F.concat("gt_list", F.slice("gt_list", 1, 1)))
+    kind = F.col("query_id") % 5
+    shown = (
+        F.when(kind == 1, F.slice("gt_list", F.lit(2), F.size("gt_list")))
+        .when(kind == 2, F.concat("gt_list", F.array(F.lit("6-NONE"))))
+        .when(kind == 3, F.transform(doubled, lambda x: F.when(x == "1-URGENT", "5-LOW").otherwise(x)))
+        .otherwise(doubled)
+    )
     printed = F.concat(F.lit(" ['"), F.array_join(shown, "', '"), F.lit("']\n"))
+    printed = F.when(F.size(shown) == 0, F.lit("[]")).otherwise(printed)
     cut = F.concat(F.lit("['"), F.array_join(shown, "', '"), F.lit("'"))
     answer = F.when(F.col("n_orders") % 5 == 0, cut).otherwise(printed)
     gold_lists = lists.select("query_id", "gt_list", F.lit(None).cast("string").alias("gt_text"))
