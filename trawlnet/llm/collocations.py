@@ -31,8 +31,8 @@ WIDTH = 4  # words of the longest phrase
 LEAST = 30
 INSIDE = 80  # percent of its occurrences within a longer phrase that make a phrase a part of it
 BEST = 2000
-SHARD_BYTES = 4 << 20  # of texts that are counted together
-RANGE_BYTES = 10 << 20  # of texts, about, whose rows meet in one prefix range
+SHARD_BYTES = 3 << 20  # of texts that are counted together
+RANGE_BYTES = 5 << 20  # of texts, about, whose rows meet in one prefix range
 PICKED = 16  # sampled prefixes per range
 CLIPPED = 48  # bytes of a word of a sampled prefix
 SALTS = 16
@@ -82,7 +82,7 @@ def coded(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def rows_of(code: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """The row of words from each word on; 0 stands behind the end of a piece."""
-    out = np.zeros((WIDTH, len(code)), np.int64)
+    out = np.zeros((WIDTH, len(code)), np.int32)
     out[0] = code
     for k in range(1, min(WIDTH, len(code))):
         out[k, :-k] = np.where(piece[k:] == piece[:-k], code[k:], 0)
@@ -94,7 +94,8 @@ def counted(rows: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     if not rows.shape[1]:
         return rows, np.empty(0, np.int64)
     high = int(rows.max()) + 1
-    order = np.lexsort((rows[2] * high + rows[3], rows[0] * high + rows[1]))
+    first, second = (rows[k].astype(np.int64) * high + rows[k + 1] for k in (0, 2))
+    order = np.lexsort((second, first))
     rows = rows[:, order]
     first = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)]))
     if weights is None:
@@ -212,7 +213,7 @@ def _cuts(vocabulary: pa.Array, rows: np.ndarray, limits: list[tuple[bytes, ...]
     want, at = np.zeros(len(limits), np.int64), np.zeros(len(limits), np.int64)
     open_ = np.ones(len(limits), bool)
     for k in range(WIDTH - 1):
-        key = key * high + 2 * rows[k]
+        key = key * high + 2 * rows[k].astype(np.int64)
         key_want = want * high + wanted[k]
         found = np.searchsorted(key, key_want)
         at = np.where(open_, found, at)
@@ -249,7 +250,7 @@ def union(parts: list[tuple[bytes, Transducer]]) -> tuple[pa.Array, np.ndarray,
     rows, weights = [], []
     for begin, end, (_, held) in zip(starts, starts[1:], parts, strict=False):
         row, weight = held.rows()
-        rows.append(np.concatenate([[0], code[begin:end]])[row])
+        rows.append(np.concatenate([[0], code[begin:end]]).astype(np.int32)[row])
         weights.append(weight)
     return vocabulary, *counted(np.concatenate(rows, axis=1), np.concatenate(weights))
 
