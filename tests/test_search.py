@@ -263,3 +263,33 @@ def test_very_long_prompts(spark):
     q, c = frames(spark, [(i, prompt, [], [1.0] * 5) for i in range(4)], chunks)
     got = collected(search.search_sparse(q, c, 9), "query_id")
     assert got == expected([(i, prompt, [], [1.0] * 5) for i in range(4)], chunks, 9, lambda p, v, m: okapi(p, m))
+
+
+def test_floors_are_reached_and_few_rows_leave_the_second_scan(spark, monkeypatch):
+    n, k = 4000, 3
+    rng = np.random.default_rng(7)
+    chunks = [(f"c{i:05}", "1999", " ".join(rng.choice(WORDS[1:], 8)), rng.normal(size=4).tolist()) for i in range(n)]
+    q, c = frames(spark, make_queries(8, n=4, dim=4), chunks)
+    c = c.repartition(40)
+    left = []
+
+    def counted(found, keys, k):
+        left.append(found.count())
+        return original(found, keys, k)
+
+    original = search._ranked
+    monkeypatch.setattr(search, "_ranked", counted)
+    hits = search.search_hybrid(q, c, k, [0.0, 0.3, 1.0]).collect()
+    asked = len({(h.query_id, h.alpha) for h in hits})
+    assert left[0] < 40 * asked * k / 4  # without floors every task lets k rows of each go
+    monkeypatch.setattr(search, "_place_bounds", lambda block, rows: (place(block, rows), [setattr(g, "floors", None) for g in block.groups]))
+    assert left[0] < left_without(search, q, c, k, left)
+    assert sorted(map(str, hits)) == sorted(map(str, search.search_hybrid(q, c, k, [0.0, 0.3, 1.0]).collect()))
+
+
+place = search._place_bounds
+
+
+def left_without(search, q, c, k, left):
+    search.search_hybrid(q, c, k, [0.0, 0.3, 1.0]).collect()
+    return left[-1]

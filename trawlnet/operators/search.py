@@ -32,6 +32,7 @@ from trawlnet.sources.scratch import materialize
 BLOCK_BYTES = 32 << 20  # words and vectors of queries scored in one scan; bounds the broadcast
 _CELLS = 1 << 21  # entries of one work matrix inside a task
 _ASKED = 1 << 16  # (row, word) cells whose queries are added up at a time
+_ROUNDING = 2e-9  # by which a rounded score can be below a floor that it reaches
 _HELD_ROWS = 1 << 18  # candidate rows a task holds before it cuts back to k per query
 
 
@@ -47,6 +48,7 @@ class _Group:
     first: np.ndarray | None = None  # where those of each word of the block begin
     avg_length: float = 1.0
     bounds: dict[str, np.ndarray] = field(default_factory=dict)
+    floors: np.ndarray | None = None  # by alpha and query: what the best k have in any case
 
     def rows(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         if not self.years:
@@ -220,48 +222,96 @@ def _candidates(chunks: DataFrame, block: _Block, dense: bool, sparse: bool) ->
     return chunks.select(*columns)
 
 
-def _scan_bounds(corpus: DataFrame, block: _Block, id_type, params: Bm25) -> DataFrame:
-    """Per query: candidates and the range of both scores over all of them."""
+_NAMES = ("dense", "sparse")
+_ENDS = ["dense_min", "dense_max", "sparse_min", "sparse_max"]
+
+
+def _fused(group: _Group, alpha: float, dense: np.ndarray, sparse: np.ndarray, ends: dict[str, np.ndarray]) -> np.ndarray:
+    norm = [_scaled(x, ends[f"{n}_min"], ends[f"{n}_max"]) for n, x in zip(_NAMES, (dense, sparse), strict=True)]
+    return alpha * norm[0] + (1 - alpha) * norm[1]
+
+
+def _keep_best(group: _Group, state: dict, alphas: Sequence[float], dense: np.ndarray, sparse: np.ndarray) -> None:
+    """Per question and alpha, the scores of a row that is the best so far by the range so far."""
+    every = np.arange(len(group.ids))
+    for alpha in alphas:
+        held = state.get(alpha, np.full((2, len(every)), np.nan))
+        both = [np.vstack([x, h]) for x, h in zip((dense, sparse), held, strict=True)]
+        fused = _fused(group, alpha, *both, state)
+        at = np.where(np.isnan(fused), -np.inf, fused).argmax(axis=0)
+        state[alpha] = np.array([x[at, every] for x in both])
+
+
+def _scan_bounds(
+    corpus: DataFrame, block: _Block, id_type, params: Bm25, k: int = 0, alphas: Sequence[float] = ()
+) -> DataFrame:
+    """Per query: candidates and the range of both scores over all of them.
+
+    With alphas also ``floors``: for each, a fused score that ``k`` candidates reach, or NULL. Every
+    task names one row that seems good to it; once the ranges are known, so are their
+    fused scores, and the k-th best of them is a proven floor.
+    """
     shared = corpus.sparkSession.sparkContext.broadcast(block)
-    names = ("dense", "sparse")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[_Group, dict[str, np.ndarray]] = {}
+        seen: dict[_Group, dict] = {}
         for group, ids, *scores in _scored(batches, shared.value, params):
+            if not len(ids):
+                continue
             state = seen.setdefault(group, {"n": np.zeros(len(group.ids), dtype=np.int64)})
             state["n"] += len(ids)
-            for name, score in zip(names, scores, strict=True):
+            for name, score in zip(_NAMES, scores, strict=True):
                 if score is None:
                     continue
                 low = np.fmin.reduce(score, axis=0)
                 high = np.fmax.reduce(score, axis=0)
                 state[f"{name}_min"] = np.fmin(state.get(f"{name}_min", low), low)
                 state[f"{name}_max"] = np.fmax(state.get(f"{name}_max", high), high)
+            _keep_best(group, state, alphas, *scores)
         for group, state in seen.items():
             empty = np.full(len(group.ids), np.nan)
-            ends = [f"{name}_{end}" for name in names for end in ("min", "max")]
             arrays = [group.ids, pa.array(state["n"])]
-            arrays += [pa.array(state.get(end, empty), from_pandas=True) for end in ends]
-            yield pa.RecordBatch.from_arrays(arrays, ["query_id", "n_candidates", *ends])
+            arrays += [pa.array(state.get(end, empty), from_pandas=True) for end in _ENDS]
+            rows = np.array([state[alpha] for alpha in alphas]).reshape(-1, len(group.ids)).T.ravel()
+            ends = pa.array(np.arange(len(group.ids) + 1, dtype=np.int32) * 2 * len(alphas))
+            arrays.append(pa.ListArray.from_arrays(ends, pa.array(rows)))
+            yield pa.RecordBatch.from_arrays(arrays, ["query_id", "n_candidates", *_ENDS, "best"])
 
-    doubles = ["dense_min", "dense_max", "sparse_min", "sparse_max"]
     schema = T.StructType(
         [T.StructField("query_id", id_type), T.StructField("n_candidates", T.LongType())]
-        + [T.StructField(name, T.DoubleType()) for name in doubles]
+        + [T.StructField(name, T.DoubleType()) for name in _ENDS]
+        + [T.StructField("best", T.ArrayType(T.DoubleType()))]
     )
     partial = corpus.mapInArrow(scan, schema)
-    return partial.groupBy("query_id").agg(
+    found = partial.groupBy("query_id").agg(
         F.sum("n_candidates").alias("n_candidates"),
-        *[(F.min if c.endswith("min") else F.max)(c).alias(c) for c in doubles],
+        *[(F.min if c.endswith("min") else F.max)(c).alias(c) for c in _ENDS],
+        *([F.collect_list("best").alias("best")] if alphas else []),
     )
+    if not alphas:
+        return found
+
+    def norm(row: Column, place: int, name: str) -> Column:
+        low, high, x = F.col(f"{name}_min"), F.col(f"{name}_max"), row[place]
+        return F.when(high > low, (x - low) / (high - low)).otherwise(x * 0.0)
+
+    def floor(i: int, alpha: float) -> Column:
+        fused = F.transform("best", lambda row: alpha * norm(row, 2 * i, "dense") + (1 - alpha) * norm(row, 2 * i + 1, "sparse"))
+        known = F.filter(fused, lambda x: ~F.isnan(x) & x.isNotNull())
+        return F.when(F.size(known) >= k, F.sort_array(known, asc=False)[k - 1])
+
+    floors = F.array(*[floor(i, alpha) for i, alpha in enumerate(alphas)])
+    return found.withColumn("floors", floors).drop("best")
 
 
 def _place_bounds(block: _Block, rows: DataFrame) -> None:
     table = rows.toArrow()
     for group in block.groups:
         at = pc.index_in(group.ids, value_set=table.column("query_id").combine_chunks())
-        for name in table.column_names[2:]:
+        for name in _ENDS:
             group.bounds[name] = table.column(name).take(at).to_numpy().astype(np.float64)
+        floors = table.column("floors").take(at).to_pylist()
+        group.floors = np.array([[-np.inf if x is None else x for x in row or []] for row in floors]).T - _ROUNDING
 
 
 def _scaled(score: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -316,16 +366,17 @@ def _scan_best(
             if group.bounds:
                 ends = group.bounds[f"{name}_min"], group.bounds[f"{name}_max"]
                 parts[f"{name}_norm"] = _scaled(score, *ends)
-        for alpha in alphas:
+        for i, alpha in enumerate(alphas):
             if group.bounds:
                 score = alpha * parts["dense_norm"] + (1 - alpha) * parts["sparse_norm"]
             else:
                 score = parts["sparse"] if dense is None else parts["dense"]
             order = np.round(score, ranking.TIE_PLACES)
             order[np.isnan(order)] = -np.inf
-            floor = floors.setdefault((group, alpha), np.full(len(group.ids), -np.inf))
+            proven = np.full(len(group.ids), -np.inf) if group.floors is None else group.floors[i].copy()
+            floor = floors.setdefault((group, alpha), proven)
             row, column = _best(order, k, floor)
-            values = {"query_id": group.ids.take(pa.array(column)), "alpha": [alpha] * len(row)}
+            values = {"query_id": group.ids.take(pa.array(column)), "alpha": pa.repeat(float(alpha), len(row))}
             values |= {"chunk_id": ids.take(pa.array(row)), "order": order[row, column]}
             for name in names:
                 source = score if name == "score" else parts.get(name)
@@ -455,13 +506,14 @@ def search_hybrid(
 
     Gives (query_id, alpha, rank, chunk_id, score, dense, sparse, dense_norm,
     sparse_norm). Two scans: the first finds the score ranges, which need every
-    candidate, the second ranks. All alphas share both.
+    candidate, and a floor for the best k; the second ranks what reaches the floor, so the rows that
+    leave its tasks do not grow with the number of tasks times k. All alphas share both.
     """
     id_type = queries.schema["query_id"].dataType
 
     def finish(corpus: DataFrame, block: _Block) -> DataFrame:
         if block.groups:
-            _place_bounds(block, _scan_bounds(corpus, block, id_type, params))
+            _place_bounds(block, _scan_bounds(corpus, block, id_type, params, k, list(alphas)))
         found = _scan_best(corpus, block, id_type, params, k, list(alphas))
         return _ranked(found, ["query_id", "alpha"], k)
 
