@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from trawlnet.deploy import ship
 from trawlnet.operators import relevance
 from trawlnet.operators.relevance import containing_chunks
 
@@ -53,10 +54,11 @@ def brute(passages, chunks):
     )
 
 
-@pytest.fixture(params=["broadcast", "shuffle"])
-def path(request, monkeypatch):
-    if request.param == "shuffle":
-        monkeypatch.setattr(relevance, "BROADCAST_PASSAGES", 0)
+@pytest.fixture(params=["one block", "many blocks"])
+def path(request, spark, monkeypatch):
+    ship(spark)
+    if request.param == "many blocks":
+        monkeypatch.setattr(relevance, "BLOCK_PASSAGES", 4)
 
 
 def found(gold, chunks):
@@ -92,3 +94,23 @@ def test_random_cuts(spark, path):
 def test_no_passages(spark, path):
     gold, chunks = frames(spark, PASSAGES, CHUNKS)
     assert found(gold.where("query_id < 0"), chunks) == []
+
+
+def test_many_passages_and_no_shuffle_of_texts(spark, capsys):
+    ship(spark)
+    n = 200_000
+    passages = spark.range(n).selectExpr("id AS query_id", "concat('all begin alike, then ', id, ' and they end alike') AS full_sentence")
+    chunks = spark.range(400).selectExpr(
+        "id AS chunk_id", "concat('here all begin alike, then ', id * 499, ' and they end alike or ', id, ' and they') AS chunk"
+    )
+    pairs = containing_chunks(passages, chunks)
+    pairs.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert sorted((r.query_id, r.chunk_id) for r in pairs.collect()) == [(i * 499, i) for i in range(400)]
+
+
+def test_anchors_are_rare_stretches():
+    passages = ["the same beginning " + end for end in ("of one text", "of two texts")] + ["short", "the same beginning "]
+    found = relevance.anchors(passages)
+    assert all(p[at : at + len(a)] == a and len(a) <= relevance.ANCHOR for p, (at, a) in zip(passages, found, strict=True))
+    assert found[0][1] not in passages[1] and found[1][1] not in passages[0] and found[2] == (0, "short")

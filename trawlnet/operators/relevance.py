@@ -1,130 +1,110 @@
-"""Which chunks contain a golden passage, by an equi-join instead of a nested loop.
-
-A passage that occurs in a chunk brings its inner words along whole: they stand between
-whitespace on both sides. So each passage is looked up by one *anchor*, its longest pair of
-neighbouring inner words, or its only inner word; the chunk offers all its pairs or words,
-and only (passage, chunk) pairs that meet are checked with ``contains``. A passage without
-an inner word is looked up by the first letters of its longest word, and then the chunk
-offers all runs of that many letters. Every non-blank passage has exactly one anchor, so
-the result is exact and nothing comes twice.
+"""Which chunks contain a golden passage, in one narrow scan per block of passages.
+
+A task looks for all passages of a block at once: an Aho-Corasick automaton runs over each chunk
+and stops at the *anchors* of the passages, short stretches of them that few other passages
+have. Where one is met, the whole passage is compared in place. Every non-blank passage has
+exactly one anchor, so the result is exact and nothing comes twice. No text is shuffled, and
+more passages mean more blocks with a scan each, not another plan.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawlnet.functions import batches, text
-
-BROADCAST_PASSAGES = 50_000  # passages, and
-BROADCAST_CHARS = 64 << 20  # characters in all of them, up to which they are broadcast
+from trawlnet.functions import text
+from trawlnet.functions.batches import pieces
+from trawlnet.sources.scratch import materialize
 
+BLOCK_PASSAGES = 50_000  # passages of a block, about, and
+BLOCK_CHARS = 16 << 20  # characters in them: what one scan takes to the tasks
+ANCHOR = 16  # characters of an anchor
+STEP = 8  # characters from one possible anchor of a passage to the next
+_BATCH_BYTES = 8 << 20
 
-def _letter_runs(words: Column, n: int) -> Column:
-    """All runs of ``n`` letters inside the words."""
-    long_enough = F.filter(F.array_distinct(words), lambda w: F.length(w) >= n)
-    per_word = F.transform(
-        long_enough,
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n)
-        ),
-    )
-    return F.flatten(per_word)
 
+def anchors(passages: Sequence[str]) -> list[tuple[int, str]]:
+    """Per passage, the place and the text of an anchor that as few as can be have, the first of them."""
 
-def _offered(kind: str, wanted: pa.Array | None):
-    """A function from a text to its words or pairs, cut to the wanted ones if given."""
+    def possible(passage: str) -> Iterator[tuple[int, str]]:
+        last = max(len(passage) - ANCHOR, 0)
+        for at in (*range(0, last, STEP), last):
+            yield at, passage[at : at + ANCHOR]
 
-    @batches.once
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def offered(texts: pa.Array) -> pa.Array:
-        items = batches.split_words(texts)
-        if kind == "pair":
-            items = batches.neighbours(*items)
-        if wanted is not None:
-            items = batches.only(*items, wanted)
-        return batches.as_lists(*items)
+    common = Counter(a for p in passages for a in {a for _, a in possible(p)})
+    return [min(possible(p), key=lambda x: common[x[1]]) for p in passages]
 
-    return offered
 
+class Finder:
+    """Looks for many passages in one text at a time."""
 
-def _longest(words: str) -> Column:
-    """The longest item, as the one likely to be rare."""
-    sized = F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    return F.array_max(sized)["w"]
+    def __init__(self, passages: Sequence[str]):
+        import ahocorasick
 
+        self.passages = passages
+        met = defaultdict(list)
+        for i, (at, anchor) in enumerate(anchors(passages)):
+            met[anchor].append((i, at + len(anchor) - 1))
+        self.automaton = ahocorasick.Automaton()
+        for anchor, places in met.items():
+            self.automaton.add_word(anchor, places)
+        self.automaton.make_automaton()
 
-def _inner(words: str, skip: int) -> Column:
-    """The words without the first ``skip`` and without the last one."""
-    return F.slice(words, F.lit(1 + skip), F.greatest(F.size(words) - 1 - skip, F.lit(0)))
+    def __call__(self, chunk: str) -> list[int]:
+        """Numbers of the passages that the text contains."""
+        found: dict[int, None] = {}
+        for end, places in self.automaton.iter(chunk):
+            for i, before in places:
+                if i not in found and end >= before and chunk.startswith(self.passages[i], end - before):
+                    found[i] = None
+        return list(found)
 
 
-def anchors(gold: DataFrame) -> DataFrame:
-    """(query_id, full_sentence, kind, anchor) for every passage that is not blank.
-
-    ``kind`` is pair, word, or the number of letters.
-    """
-    words = text.words("full_sentence")
-    parts = gold.select("query_id", "full_sentence", words.alias("w")).where(F.size("w") > 0)
-    after = F.slice("w", F.lit(2), F.greatest(F.size("w") - 3, F.lit(0)))
-    parts = parts.withColumns(
-        {
-            "inner": _inner("w", 1),
-            "pairs": F.zip_with(after, _inner("w", 2), lambda a, b: F.concat_ws(" ", a, b)),
-        }
-    )
-    short = F.substring(_longest("w"), 1, 3)
-    pair, word = _longest("pairs"), _longest("inner")
-    kind = F.when(pair.isNotNull(), "pair").when(word.isNotNull(), "word")
-    return parts.select(
-        "query_id",
-        "full_sentence",
-        kind.otherwise(F.length(short).cast("string")).alias("kind"),
-        F.coalesce(pair, word, short).alias("anchor"),
-    )
-
-
-def _offers(
-    chunks: DataFrame, kinds: set[str], keep: list[str], wanted: pa.Array | None = None
-) -> DataFrame:
-    """One row per chunk and distinct anchor it can answer to."""
-    lists = {f"_{k}": _offered(k, wanted)("chunk") for k in ("pair", "word") if k in kinds}
-    letters = sorted(int(k) for k in kinds if k.isdigit())
-    if letters:
-        lists["_all"] = batches.words("chunk")
-    split = chunks.select(*keep, *[made.alias(name) for name, made in lists.items()])
-    parts = [F.col(name) for name in lists if name != "_all"]
-    parts += [_letter_runs(F.col("_all"), n) for n in letters]
-    keys = F.array_distinct(F.concat(*parts))
-    return split.select(*keep, F.explode(keys).alias("anchor"))
+def _blocks(gold: DataFrame) -> Iterator[pa.Table]:
+    """The passages that are not blank, in blocks of a bounded size, one at a time on the driver."""
+    named = gold.select("query_id", "full_sentence").where(F.size(text.words("full_sentence")) > 0)
+    named = materialize(named, "passages")
+    size = named.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("full_sentence")).alias("chars")).first()
+    n_blocks = max(-(-size["n"] // BLOCK_PASSAGES), -(-(size["chars"] or 0) // BLOCK_CHARS))
+    for block in range(n_blocks):
+        table = named.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).toArrow()
+        if table.num_rows:
+            yield table
 
 
 def containing_chunks(gold: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pairs (query_id, chunk_id, text_key) where the chunk contains the passage verbatim.
 
-    A blank passage is contained in nothing. The number and length of the passages are
-    checked first. A set within the bounds is broadcast, chunks offer only its anchors,
-    and the whole search is narrow; beyond them, anchors without the texts are joined by
-    shuffle, and only chunks that meet an anchor are read again for the check.
+    A blank or NULL passage is contained in nothing, and a NULL chunk contains nothing. The
+    passages are brought to the driver before the result is returned.
     """
-    wanted = anchors(gold)
-    size = wanted.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.length("full_sentence")).alias("chars"),
-        F.collect_set("kind").alias("kinds"),
-    ).first()
-    kinds = set(size.kinds) or {"word"}
-    contains = F.contains(F.col("chunk"), F.col("full_sentence"))
-    found = ["query_id", "chunk_id", text.text_key("chunk").alias("text_key")]
-    if size.n <= BROADCAST_PASSAGES and (size.chars or 0) <= BROADCAST_CHARS:
-        known = wanted.select("anchor").distinct().toArrow().column("anchor").combine_chunks()
-        offers = _offers(chunks, kinds, ["chunk_id", "chunk"], known)
-        met = offers.join(F.broadcast(wanted.drop("kind")), "anchor")
-        return met.where(contains).select(*found)
-    offers = _offers(chunks, kinds, ["chunk_id"])
-    pairs = offers.join(wanted.select("query_id", "anchor"), "anchor").drop("anchor")
-    texts = chunks.select("chunk_id", "chunk").join(pairs, "chunk_id")
-    passages = wanted.select("query_id", "full_sentence")
-    return texts.join(passages, "query_id").where(contains).select(*found)
+    spark = gold.sparkSession
+    names = [("query_id", gold.schema["query_id"].dataType), ("chunk_id", chunks.schema["chunk_id"].dataType)]
+    schema = T.StructType([T.StructField(n, t) for n, t in [*names, ("text_key", T.StringType())]])
+    rows = chunks.select("chunk_id", "chunk").where("chunk is not null")
+    found = []
+    for table in _blocks(gold):
+        shared = spark.sparkContext.broadcast((table.column("query_id").combine_chunks(), table.column("full_sentence").to_pylist()))
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, passages = shared.value
+            finder = Finder(passages)
+            for batch in (piece for whole in batches for piece in pieces(whole, _BATCH_BYTES)):
+                row, passage, keys = [], [], []
+                for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+                    if met := finder(chunk):
+                        passage += met
+                        row += [i] * len(met)
+                        keys += [hashlib.sha256(chunk.encode()).hexdigest()] * len(met)
+                columns = [ids.take(pa.array(passage, pa.int64())), batch.column("chunk_id").take(pa.array(row, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.string())], names=schema.names)
+
+        found.append(rows.mapInArrow(find, schema))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
