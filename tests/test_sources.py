@@ -1,5 +1,8 @@
 import json
 import os
+import subprocess
+import sys
+import time
 import uuid
 
 import pytest
@@ -9,7 +12,7 @@ from trawlnet.operators.embed import embed, hashing_model
 from trawlnet.plans.index import build_index, read_postings, read_statistics
 from trawlnet.sources import golden, runs, splits, store
 from trawlnet.sources.scan import spread_small
-from trawlnet.sources.scratch import materialize, scratch_path
+from trawlnet.sources.scratch import materialize, scratch_path, scratch_scope
 
 
 def test_landing_is_idempotent_and_repairs_broken_folders(spark, tmp_path):
@@ -250,10 +253,41 @@ def test_hashing_model_is_stable_and_unit_length():
 
 def test_scratch_is_below_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
-    assert scratch_path(spark, "x").startswith(f"{root}/x-")
+    assert scratch_path(spark, "x").startswith(f"{root}/trawlnet-") and "/x-" in scratch_path(spark, "x")
     assert materialize(spark.range(5), "five").count() == 5
 
 
+def test_a_scope_leaves_no_scratch(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(spark.conf, "get", lambda key, *default: str(tmp_path), raising=False)
+    outside = scratch_path(spark, "outside")
+    with scratch_scope(spark):
+        assert materialize(spark.range(5), "five").count() == 5
+        assert os.listdir(os.path.dirname(outside))
+    assert os.listdir(os.path.dirname(outside)) == []
+    with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+        materialize(spark.range(5), "five")
+        1 / 0
+    assert os.listdir(os.path.dirname(outside)) == []
+
+
+def test_the_driver_deletes_its_scratch(tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+from trawlnet.sources.scratch import materialize
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+assert materialize(spark.range(5), "five").count() == 5
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(__file__)), timeout=300)
+    left = ["?"]
+    for _ in range(100):
+        left = [x for x in os.listdir(tmp_path) if x.startswith("trawlnet")]
+        if not left:
+            break
+        time.sleep(0.3)  # the JVM outlives the driver's Python a little
+    assert left == []
+
+
 def test_spread_leaves_large_inputs_alone(spark):
     df = spark.range(100)
     assert spread_small(df, most_bytes=10) is df
