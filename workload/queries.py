@@ -16,7 +16,7 @@ from pyspark.sql.types import LongType
 from trawlnet.deploy import ship
 from trawlnet.functions import text, vector
 from trawlnet.operators import chunk as chunking
-from trawlnet.operators import clean, context, embed, lexical, metrics, profile, search
+from trawlnet.operators import cells, clean, context, embed, lexical, metrics, profile, search
 from trawlnet.operators.postings import read_postings, search_postings, statistics_of, write_postings
 from trawlnet.operators.relevance import containing_chunks
 from trawlnet.plans import answer as answering
@@ -510,6 +510,16 @@ def cosine_topk(spark, sf_dir):
     return _rounded(search.search_dense(listed_questions(spark, sf_dir), vectors, K), "score")
 
 
+@query
+def cosine_cells_topk(spark, sf_dir):
+    """The same from vectors stored by cell, of which those that cannot matter are left out."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    path = scratch_path(spark, "cells")
+    cells.write_cells(vectors, path)
+    stored = cells.read_cells(spark, path, LongType(), vectors.schema["embedding"].dataType.elementType)
+    return _rounded(cells.search_cells(listed_questions(spark, sf_dir), stored, K), "score")
+
+
 @query
 def minmax_scores(spark, sf_dir):
     asked = filtered(vector_questions(spark, sf_dir))
