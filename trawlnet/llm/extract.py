@@ -2,7 +2,7 @@
 
 Method: line-block distribution. Mark-up is stripped so that every block of the page is a
 line; parts that say by their tag, role or name that they are menus, notices, adverts and the
-like are left out and end nothing. The lengths of text outside links are summed over windows of
+like are left out and end nothing, unless they hold the title or the bulk of the page. The lengths of text outside links are summed over windows of
 a few lines; text begins where the sum surges and ends where it dives to nothing. The longest
 stretch is kept with everything from the first surge to the last dive in the element it is in,
 and with stretches nearly as long. If it is in an article or main element, these elements bound
@@ -53,6 +53,8 @@ _NAMES = set(
     " login register search searchbox form comment comments commentlist respond reply replies disqus"
     " pagination pager hidden skip toc".split()
 )
+_REMARKS = {"comment", "comments", "reply", "replies", "respond"}  # articles of readers
+_TEXTS = set("p h1 h2 h3 h4 h5 h6 span em strong b i a blockquote".split())
 _ARTICLE = {"article", "main"}
 _KEPT = {"html", "body", "article", "main"}
 _SECTIONS = {"html", "body", "article", "main", "section", "div", "center", "td"}
@@ -69,15 +71,10 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*
 _PART = re.compile(r"[a-z]+")
 
 
-def _is_aside(name: str, attributes: str) -> bool:
-    if name in _ASIDE:
-        return True
-    if not attributes or name in _KEPT:
-        return False
+def _hidden(attributes: str) -> bool:
+    """Whether an element says that it is not shown, or what part of the page's frame it is."""
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and not _NAMES.isdisjoint(_PART.findall(value)):
-            return True
         if key == "role" and value in _ROLES:
             return True
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -87,10 +84,24 @@ def _is_aside(name: str, attributes: str) -> bool:
     return False
 
 
+def _named_aside(name: str, attributes: str) -> bool:
+    """Whether a class or id says so: any part of it, but whole names for a paragraph or title."""
+    for key, value in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id"):
+            value = value.strip("\"'").lower()
+            names = value.split() if name in _TEXTS else _PART.findall(value)
+            if not (_REMARKS if name == "article" else _NAMES).isdisjoint(names):
+                return True
+    return False
+
+
 class _Page:
     """Lines of one page, in order: text, length outside links, article and element they are in."""
 
-    def __init__(self):
+    def __init__(self, spared: set[int] | None = None):
+        """``spared``: elements that are no asides whatever they are called; None if nothing is one."""
+        self.spared = spared
+        self.weights = [0]  # letters outside links right inside each element
         self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.linked = 0
@@ -114,6 +125,52 @@ class _Page:
             self.parts.append(raw)
             if self.link:
                 self.linked += len(" ".join(html.unescape(raw).split()))
+            elif self.spared is None:
+                self.weights[self.open[-1][2] if self.open else 0] += len(raw) - raw.count(" ")
+
+    def _is_aside(self, name: str, attributes: str, near: list[str]) -> bool:
+        if self.spared is None:
+            return False
+        if attributes and name not in _KEPT and _hidden(attributes):
+            return True
+        if len(self.names) in self.spared or (name == "label" and "p" in near):
+            return False
+        if name in _ASIDE:
+            return True
+        return bool(attributes) and (name not in _KEPT or name == "article") and _named_aside(name, attributes)
+
+    def to_spare(self) -> set[int]:
+        """Elements that cannot be asides: those around a title, and those around the text itself.
+
+        The latter hold half of the letters outside links, and all titles, articles and main
+        elements of the page. For what tags call a menu or the like, there has to be one.
+        """
+        total = list(self.weights)
+        for at in range(len(total) - 1, 0, -1):
+            total[self.parents[at]] += total[at]
+        titles = [at for at, name in enumerate(self.names) if name == "h1"]
+        anchors = [at for at, name in enumerate(self.names) if name == "h1" or name in _ARTICLE]
+        spared = {
+            at
+            for at, name in enumerate(self.names)
+            if 2 * total[at] >= total[0] > 0
+            and all(at <= x <= self.last[at] for x in anchors)
+            and (anchors or name not in _ASIDE or name == "form")
+        }
+        for at in titles:
+            spared.add(at)
+            while at:
+                at = self.parents[at]
+                inside = any(self.names[x] == "article" for x in self._above(at))
+                if self.names[at] in _KEPT or (self.names[at] in _ASIDE and not (self.names[at] == "header" and inside)):
+                    break
+                spared.add(at)
+        return spared
+
+    def _above(self, at: int) -> Iterator[int]:
+        while at:
+            at = self.parents[at]
+            yield at
 
     def pop(self) -> None:
         name, aside, element = self.open.pop()
@@ -160,7 +217,7 @@ class _Page:
             self.pop()
         if name in _VOID or attributes.endswith("/"):
             return
-        aside = name in _SILENT or _is_aside(name, attributes)
+        aside = name in _SILENT or self._is_aside(name, attributes, near)
         if aside and not self.aside:
             if name in _SILENT:
                 self.text(" ")
@@ -169,6 +226,7 @@ class _Page:
         self.parents.append(self.open[-1][2] if self.open else 0)
         self.open.append((name, aside, len(self.names)))
         self.names.append(name)
+        self.weights.append(0)
         self.last.append(0)
         self.aside += aside
         if name == "a":
@@ -181,7 +239,11 @@ class _Page:
 
 def parsed(source: str) -> _Page:
     source = _RAW.sub(" ", source)
-    page, at = _Page(), 0
+    return _read(source, _read(source, None).to_spare())
+
+
+def _read(source: str, spared: set[int] | None) -> _Page:
+    page, at = _Page(spared), 0
     for tag in _TAG.finditer(source):
         page.text(source[at : tag.start()])
         at = tag.end()
