@@ -97,29 +97,29 @@ def test_articles_of_the_table(spark):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
-BODY = "<p>" + "A first paragraph with many words in it. " * 3 + "</p><p>" + "And a second one, as long as the first. " * 3 + "</p>"
-TEXT = [("A first paragraph with many words in it. " * 3).strip(), ("And a second one, as long as the first. " * 3).strip()]
-MENU = "<div class='menu'><a href=x>Home</a> <a href=y>News of today</a></div>"
+STORY = "<p>" + "A first paragraph with many words in it. " * 3 + "</p><p>" + "And a second one, as long as the first. " * 3 + "</p>"
+PARTS = [("A first paragraph with many words in it. " * 3).strip(), ("And a second one, as long as the first. " * 3).strip()]
+LINKS = "<div class='menu'><a href=x>Home</a> <a href=y>News of today</a></div>"
 
 
 @pytest.mark.parametrize(
     "page, lines",
     [
-        (f"<body>{MENU}<div class='layout no-sidebar'><h1>Title</h1>{BODY}</div></body>", ["Title", *TEXT]),
-        (f"<div id='page' class='has-header'>{MENU}<h1>Title</h1>{BODY}</div>", ["Title", *TEXT]),
-        (f"<div class='content-with-sidebar'>{MENU}<article><h1>Title</h1>{BODY}</article></div>", ["Title", *TEXT]),
-        (f"<form id='aspnetForm'>{MENU}<article>{BODY}</article></form>", TEXT),
-        (f"<form id='aspnetForm'>{BODY}</form>", TEXT),
-        (f"<nav><a href=x>Home</a><article>{BODY}</article>", TEXT),
-        (f"<article><h1 class='article-header'>Title</h1>{BODY}</article>", ["Title", *TEXT]),
-        (f"<article><div class='entry-header'><h1>Title</h1></div>{BODY}</article>", ["Title", *TEXT]),
-        (f"<article><header><h1>Title</h1></header>{BODY}</article>", ["Title", *TEXT]),
-        (f"<article>{BODY}<p class='social-science'>A short end.</p></article>", [*TEXT, "A short end."]),
-        (f"<article>{BODY}<p>One <label>small</label> word.</p></article>", [*TEXT, "One small word."]),
-        (f"<article>{BODY}</article><article class='comment'>" + "<p>I do not agree with any of this. </p>" * 9 + "</article>", TEXT),
-        (f"<h1>Title</h1><article>{BODY}</article><div class='comments'>" + "<p>I do not agree with any of this. </p>" * 30 + "</div>", TEXT),
-        (f"<header><h1>Site</h1></header><article>{BODY}</article>", TEXT),
-        (f"<article>{BODY}</article><div class='modal' style='display:none'>{BODY}{BODY}</div>", TEXT),
+        (f"<body>{LINKS}<div class='layout no-sidebar'><h1>Title</h1>{STORY}</div></body>", ["Title", *PARTS]),
+        (f"<div id='page' class='has-header'>{LINKS}<h1>Title</h1>{STORY}</div>", ["Title", *PARTS]),
+        (f"<div class='content-with-sidebar'>{LINKS}<article><h1>Title</h1>{STORY}</article></div>", ["Title", *PARTS]),
+        (f"<form id='aspnetForm'>{LINKS}<article>{STORY}</article></form>", PARTS),
+        (f"<form id='aspnetForm'>{STORY}</form>", PARTS),
+        (f"<nav><a href=x>Home</a><article>{STORY}</article>", PARTS),
+        (f"<article><h1 class='article-header'>Title</h1>{STORY}</article>", ["Title", *PARTS]),
+        (f"<article><div class='entry-header'><h1>Title</h1></div>{STORY}</article>", ["Title", *PARTS]),
+        (f"<article><header><h1>Title</h1></header>{STORY}</article>", ["Title", *PARTS]),
+        (f"<article>{STORY}<p class='social-science'>A short end.</p></article>", [*PARTS, "A short end."]),
+        (f"<article>{STORY}<p>One <label>small</label> word.</p></article>", [*PARTS, "One small word."]),
+        (f"<article>{STORY}</article><article class='comment'>" + "<p>I do not agree with any of this. </p>" * 9 + "</article>", PARTS),
+        (f"<h1>Title</h1><article>{STORY}</article><div class='comments'>" + "<p>I do not agree with any of this. </p>" * 30 + "</div>", PARTS),
+        (f"<header><h1>Site</h1></header><article>{STORY}</article>", PARTS),
+        (f"<article>{STORY}</article><div class='modal' style='display:none'>{STORY}{STORY}</div>", PARTS),
     ],
 )
 def test_names_are_no_verdict(page, lines):
