@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from edge import TEXTS, ascii_lower, key, table, words
 
 from trawlnet.deploy import ship
+from trawlnet.llm import jaccard_join
 from trawlnet.llm.components import components
 from trawlnet.llm.jaccard_join import near_duplicates
 
@@ -73,3 +75,36 @@ def test_components(spark):
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_copies_that_are_near_their_source_only(spark, monkeypatch):
+    """Few of the pairs of copies are compared: their bitmaps tell most of them apart."""
+    ship(spark)
+    draw, made = random.Random(9), []
+    source = [f"s{i}" for i in range(200)]
+    rows = [(0, " ".join(source))]
+    for i in range(1, 600):
+        text = list(source)
+        for j, part in enumerate(range(10, 190, 60)):
+            text[part + draw.randrange(50)] = f"x{i}y{j}"
+        rows.append((i, " ".join(text)))
+
+    def noted(df, label):
+        out = original(df, label)
+        made.append((label, out.count()))
+        return out
+
+    original = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", noted)
+    found = near_duplicates(table(spark, rows)).select("component_id").distinct().collect()
+    assert [r["component_id"] for r in found] == [0]
+    assert max(n for label, n in made if label in ("pairs", "best", "neighbours")) < len(rows) ** 2 / 2 / 10
+
+
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 200, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, n // 2 + 1, np.uint64)]))
+        one, other = (np.frombuffer(jaccard_join._parity(s), np.uint64) for s in (x, y))
+        assert int(np.bitwise_count(one ^ other).sum()) <= len(np.setxor1d(x, y))

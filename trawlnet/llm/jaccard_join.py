@@ -5,7 +5,8 @@ partner, so some of its first ``size - T + 1`` shingles, in an order that all se
 shared too: only these are indexed. Following DivideSkip, the longest inverted lists come
 last in that order, so that lists of short and middle length are merged and counted, and long
 ones are probed: pairs whose count can still reach the required overlap are looked up in each
-other's whole sets by binary search.
+other's whole sets by binary search. Before a pair leaves its list, the parity bitmaps of both sets
+bound how many shingles they can share.
 
 Groups of copies are not expanded into all pairs. Equal sets are one class; classes that
 agree in a minimal shingle are compared with the first of them, then classes with a neighbour
@@ -35,8 +36,9 @@ from trawlnet.sources.scratch import materialize
 ORDER_SHARE = 0.05  # of the documents, whose shingles tell which lists are long; order only
 LONG_LIST = 2  # documents of that sample that make a list long
 MOST_LONG = 1 << 21  # long lists known to every task, the longest ones
-TASK_POSTINGS = 1 << 20  # index entries of one task
-MOST_PAIRS = 1 << 20  # pairs counted at a time in one task
+TASK_POSTINGS = 1 << 19  # index entries of one task
+MOST_PAIRS = 1 << 18  # pairs counted at a time in one task
+BITS = 512  # of the parity bitmap of a set
 NEIGHBOUR_ROUNDS = 2  # in which sets are compared with their neighbours in the lists only
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -74,6 +76,14 @@ class _Signer:
         return int(both[0]), int(both[1])
 
 
+def _parity(x: np.ndarray) -> bytes:
+    """A bit per hash class of shingles: whether the set has an odd number of them.
+
+    Two bitmaps differ in no more bits than the sets have different shingles.
+    """
+    return np.packbits(np.bincount((x >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes()
+
+
 def _long_lists(docs: DataFrame, k: int, seed: int) -> np.ndarray:
     """Shingles of some tens of documents or more, by a sample."""
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(ORDER_SHARE * 1_000_000)
@@ -97,11 +107,11 @@ def _described(docs: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
     def run(batches):
         signer, long = _Signer(seed), inside.value
         for batch in sized(batches, 3 << 20):
-            rows = [[], [], [], [], []]
+            rows = [[], [], [], [], [], []]
             for x in shingle_sets(batch.column("text"), k, seed):
                 n = len(x)
                 if not n:
-                    for column, value in zip(rows, (0, None, None, None, None), strict=True):
+                    for column, value in zip(rows, (0, None, None, None, None, None), strict=True):
                         column.append(value)
                     continue
                 at = np.minimum(np.searchsorted(long, x), max(len(long) - 1, 0))
@@ -109,16 +119,16 @@ def _described(docs: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
                 prefix = np.concatenate([x[~is_long], x[is_long]])[: n - least_overlap(n, percent) + 1]
                 with np.errstate(over="ignore"):
                     least = np.array([x[0], x[-1], (x * _ODD[1]).min(), (x * _ODD[2]).min()])
-                for column, value in zip(rows, (n, *signer(x), least.view(np.int64), prefix.tobytes()), strict=True):
+                for column, value in zip(rows, (n, *signer(x), least.view(np.int64), prefix.tobytes(), _parity(x)), strict=True):
                     column.append(value)
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()
             kept = batch.select(["doc_id", "key"]).columns
             yield pa.RecordBatch.from_arrays(
                 [*kept, *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))],
-                names=["doc_id", "key", "n", "sig", "other", "least", "prefix"],
+                names=["doc_id", "key", "n", "sig", "other", "least", "prefix", "bits"],
             )
 
-    schema = "doc_id long, key long, n long, sig long, other long, least array<long>, prefix binary"
+    schema = "doc_id long, key long, n long, sig long, other long, least array<long>, prefix binary, bits binary"
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
 
 
@@ -199,6 +209,9 @@ def _merge_lists(percent: int, near: bool):
         names = ["a", "b", "size_a", "size_b", "times", "last_a", "last_b"]
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
 
+    def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return (batch.slice(at, 1 << 16) for at in range(0, batch.num_rows, 1 << 16))
+
     def run(batches):
         table = _gathered(batches)
         if table is None:
@@ -206,7 +219,11 @@ def _merge_lists(percent: int, near: bool):
         h, sig, cluster, packed = (table.column(c).to_numpy() for c in ("h", "sig", "cluster", "packed"))
         size, place = packed >> 32, packed & 0xFFFFFFFF
         order = np.lexsort((size, h))
+        order = order[_mixed(h[order], cluster[order])]
+        if not len(order):
+            return
         h, sig, cluster, size, place = (x[order] for x in (h, sig, cluster, size, place))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)[order]
         end = np.searchsorted(h, h, side="right")
         # partners of an entry: later ones of its list that are at most so much larger
         reach = np.minimum(end, _last_fitting(h, size, percent))
@@ -220,18 +237,29 @@ def _merge_lists(percent: int, near: bool):
             ends = np.cumsum(counts[i:j])
             right = left + 1 + np.arange(len(left)) - np.repeat(ends - counts[i:j], counts[i:j])
             apart = cluster[left] != cluster[right]
-            parts += [left[apart], right[apart]]
-            held += int(apart.sum())
+            left, right = left[apart], right[apart]
+            differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
+            both = size[left] + size[right]
+            can = (both - differ) // 2 * (100 + percent) >= both * percent
+            parts += [left[can], right[can]]
+            held += int(can.sum())
             if held >= MOST_PAIRS:
-                yield flush(parts, sig, size, place)
+                yield from sliced(flush(parts, sig, size, place))
                 parts, held = [], 0
             i = j
         if held:
-            yield flush(parts, sig, size, place)
+            yield from sliced(flush(parts, sig, size, place))
 
     return run
 
 
+def _mixed(h: np.ndarray, cluster: np.ndarray) -> np.ndarray:
+    """Entries of lists, one list after the other, that hold more than one cluster."""
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    low, high = np.minimum.reduceat(cluster, first), np.maximum.reduceat(cluster, first)
+    return np.repeat(low != high, np.diff(np.append(first, len(h))))
+
+
 def _last_fitting(h: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
     """Per entry, sorted by (h, size): where entries of its list become too large for it."""
     list_no = np.cumsum(np.diff(h, prepend=h[:1]) != 0)
@@ -259,6 +287,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             F.min("doc_id").alias("doc_id"),
             F.max("n").alias("n"),
             F.max("least").alias("least"),
+            F.max("bits").alias("bits"),
             (F.min("other") != F.max("other")).alias("clash"),
         )
         classes = materialize(classes, "classes")
@@ -295,12 +324,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     entry = "h long, sig long, packed long"
     index = entries.select("sig", "n", "prefix").mapInArrow(explode, entry).repartition(parts, "h")
     lists = materialize(index.mapInArrow(_shared_lists, entry), "lists")
+    # a pair leaves every task in whose lists it meets: no more tasks than the shared lists fill
+    merging = max(docs.sparkSession.sparkContext.defaultParallelism, lists.count() // TASK_POSTINGS + 1)
 
     def counted(near: bool) -> DataFrame:
-        named = lists.join(cluster.withColumnRenamed("id", "sig"), "sig", "left").select(
-            "h", "sig", "packed", F.coalesce("component", "sig").alias("cluster")
+        known = classes.select("sig", "bits").join(cluster.withColumnRenamed("id", "sig"), "sig", "left")
+        named = lists.join(known, "sig").select(
+            "h", "sig", "packed", F.coalesce("component", "sig").alias("cluster"), "bits"
         )
-        merged = named.repartition(parts, "h").mapInArrow(
+        merged = named.repartition(merging, "h").mapInArrow(
             _merge_lists(percent, near),
             "a long, b long, size_a long, size_b long, times long, last_a long, last_b long",
         )
