@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge import TEXTS, ascii_lower, key, table, words
 
@@ -108,3 +110,52 @@ def test_bitmaps_bound_the_overlap():
         y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, n // 2 + 1, np.uint64)]))
         one, other = (np.frombuffer(jaccard_join._parity(s), np.uint64) for s in (x, y))
         assert int(np.bitwise_count(one ^ other).sum()) <= len(np.setxor1d(x, y))
+
+
+def test_copies_near_each_other_leave_few_rows(spark, monkeypatch):
+    """Each copy is joined with the closest one first; the lists give away few pairs after that."""
+    ship(spark)
+    draw = random.Random(4)
+    source = [f"s{i}" for i in range(150)]
+    rows = []
+    for i in range(500):
+        text = list(source)
+        for part in draw.sample(range(5), 3):
+            text[15 + part * 30 + draw.randrange(4)] = f"x{draw.randrange(8)}"
+        rows.append((i, " ".join(text)))
+    made = spark.sparkContext.accumulator(0)
+    original = jaccard_join._merge_lists
+
+    def noted(*args):
+        run = original(*args)
+
+        def counting(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return counting
+
+    monkeypatch.setattr(jaccard_join, "_merge_lists", noted)
+    assert got(spark, rows) == brute(rows)
+    assert made.value < 20_000
+
+
+def test_merging_lists_takes_little_memory():
+    """An entry needs little more than itself and its bitmap, whatever number of pairs there is."""
+    n, rng = 1 << 17, np.random.default_rng(2)
+    columns = {
+        "h": np.repeat(np.arange(n // 64), 64),
+        "sig": rng.integers(0, 1 << 62, n),
+        "packed": np.full(n, 100 << 32),
+        "cluster": np.arange(n),
+        "bits": [rng.bytes(jaccard_join.BITS // 8) for _ in range(n)],
+    }
+    batches = pa.table(columns).to_batches(max_chunksize=2000)
+    del columns
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in jaccard_join._merge_lists(80, False)(iter(batches))) == 0
+        assert tracemalloc.get_traced_memory()[1] < 300 * n
+    finally:
+        tracemalloc.stop()

@@ -9,8 +9,8 @@ other's whole sets by binary search. Before a pair leaves its list, the parity b
 bound how many shingles they can share.
 
 Groups of copies are not expanded into all pairs. Equal sets are one class; classes that
-agree in a minimal shingle are compared with the first of them, then classes with a neighbour
-in the lists, and what that proves to be connected is not compared again. No other pair is
+agree in a minimal shingle are compared with the first of them, then each class with the one in
+its lists whose bitmap is closest, and what that proves to be connected is not compared again. No other pair is
 left out, so components are exact.
 
 Sets hold 64-bit hashes of shingles. Two different sets with the same 64-bit signature are
@@ -37,9 +37,12 @@ ORDER_SHARE = 0.05  # of the documents, whose shingles tell which lists are long
 LONG_LIST = 2  # documents of that sample that make a list long
 MOST_LONG = 1 << 21  # long lists known to every task, the longest ones
 TASK_POSTINGS = 1 << 19  # index entries of one task
+TASK_ENTRIES = 1 << 18  # entries of shared lists, each with its bitmap, that one task merges
+SEEN_PAIRS = 1 << 16  # pairs whose bitmaps a task compares at a time
 MOST_PAIRS = 1 << 18  # pairs counted at a time in one task
 BITS = 512  # of the parity bitmap of a set
-NEIGHBOUR_ROUNDS = 2  # in which sets are compared with their neighbours in the lists only
+NEAREST_ROUNDS = 2  # in which a set is compared with the closest one of another cluster only
+_NOBODY = np.int64((1 << 63) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -189,13 +192,13 @@ def _shared_lists(batches):
     yield from table.take(pa.array(kept)).to_batches(max_chunksize=1 << 16)
 
 
-def _merge_lists(percent: int, near: bool):
+def _merge_lists(percent: int, nearest: bool):
     """Count how often two classes of different clusters meet in the lists of a task.
 
-    ``near``: only as neighbours, in the order of their sizes.
+    ``nearest``: instead, for each class that it meets any in, the one of the closest bitmap.
     """
 
-    def flush(parts: list[np.ndarray], sig, size, place):
+    def counted(parts: list[np.ndarray], sig, size, place):
         left, right = np.concatenate(parts[::2]), np.concatenate(parts[1::2])
         a, b = np.where(sig[left] < sig[right], (left, right), (right, left))
         order = np.lexsort((sig[b], sig[a]))
@@ -206,53 +209,81 @@ def _merge_lists(percent: int, near: bool):
         columns = [sig[a[first]], sig[b[first]], size[a[first]], size[b[first]]]
         columns += [np.diff(np.append(first, len(a)))]
         columns += [np.maximum.reduceat(place[x], first) for x in (a, b)]
-        names = ["a", "b", "size_a", "size_b", "times", "last_a", "last_b"]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
-
-    def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        return (batch.slice(at, 1 << 16) for at in range(0, batch.num_rows, 1 << 16))
+        return _sliced(columns, ["a", "b", "size_a", "size_b", "times", "last_a", "last_b"])
+
+    def closest(best: np.ndarray, sig):
+        """The pair of each class over all lists of the task."""
+        one = np.flatnonzero(best < _NOBODY)
+        differ, other = best[one] >> 32, best[one] & 0xFFFFFFFF
+        order = np.lexsort((sig[other], differ, sig[one]))
+        one, other, differ = one[order], other[order], differ[order]
+        first = np.concatenate([[True], sig[one[1:]] != sig[one[:-1]]])[: len(one)]
+        one, other, differ = one[first], other[first], differ[first]
+        return _sliced([sig[one], sig[other], differ], ["one", "other", "differ"])
 
     def run(batches):
         table = _gathered(batches)
         if table is None:
             return
         h, sig, cluster, packed = (table.column(c).to_numpy() for c in ("h", "sig", "cluster", "packed"))
-        size, place = packed >> 32, packed & 0xFFFFFFFF
-        order = np.lexsort((size, h))
+        order = np.lexsort((sig, packed >> 32, h))
         order = order[_mixed(h[order], cluster[order])]
         if not len(order):
             return
-        h, sig, cluster, size, place = (x[order] for x in (h, sig, cluster, size, place))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)[order]
-        end = np.searchsorted(h, h, side="right")
+        h, sig, cluster, packed = (x[order] for x in (h, sig, cluster, packed))
+        size, place = packed >> 32, packed & 0xFFFFFFFF
+        bits = _fixed(table.column("bits"), BITS // 64)[order]
+        del table, packed, order
         # partners of an entry: later ones of its list that are at most so much larger
-        reach = np.minimum(end, _last_fitting(h, size, percent))
+        reach = np.minimum(np.searchsorted(h, h, side="right"), _last_fitting(h, size, percent))
+        index = np.arange(len(h))
+        counts = reach - index - 1
+        total = np.cumsum(counts)
+        best = np.full(len(h) if nearest else 0, _NOBODY)
         parts, held = [], 0
         i = 0
-        index = np.arange(len(h))
-        counts = np.minimum(reach - index - 1, 1) if near else reach - index - 1
         while i < len(h):
-            j = max(i + 1, int(np.searchsorted(np.cumsum(counts[i:]), MOST_PAIRS)) + i)
+            before = total[i] - counts[i]
+            j = max(i + 1, int(np.searchsorted(total, before + SEEN_PAIRS)))
             left = np.repeat(index[i:j], counts[i:j])
-            ends = np.cumsum(counts[i:j])
-            right = left + 1 + np.arange(len(left)) - np.repeat(ends - counts[i:j], counts[i:j])
+            right = left + 1 + np.arange(len(left)) - np.repeat(total[i:j] - counts[i:j] - before, counts[i:j])
             apart = cluster[left] != cluster[right]
             left, right = left[apart], right[apart]
             differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
             both = size[left] + size[right]
             can = (both - differ) // 2 * (100 + percent) >= both * percent
-            parts += [left[can], right[can]]
-            held += int(can.sum())
+            left, right = left[can], right[can]
+            if nearest:
+                np.minimum.at(best, left, differ[can] << 32 | right)
+                np.minimum.at(best, right, differ[can] << 32 | left)
+            else:
+                parts += [left, right]
+                held += len(left)
             if held >= MOST_PAIRS:
-                yield from sliced(flush(parts, sig, size, place))
+                yield from counted(parts, sig, size, place)
                 parts, held = [], 0
             i = j
         if held:
-            yield from sliced(flush(parts, sig, size, place))
+            yield from counted(parts, sig, size, place)
+        if nearest:
+            yield from closest(best, sig)
 
     return run
 
 
+def _fixed(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Values of a binary column, all of ``width`` 64-bit words, as rows of a matrix without a copy."""
+    rows = [c for c in column.chunks if len(c)]
+    parts = [np.frombuffer(c.buffers()[2], np.uint64, len(c) * width, c.offset * width * 8) for c in rows]
+    flat = parts[0] if len(parts) == 1 else np.concatenate(parts)
+    return flat.reshape(-1, width)
+
+
+def _sliced(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    batch = pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
+    return (batch.slice(at, 1 << 16) for at in range(0, batch.num_rows, 1 << 16))
+
+
 def _mixed(h: np.ndarray, cluster: np.ndarray) -> np.ndarray:
     """Entries of lists, one list after the other, that hold more than one cluster."""
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -325,37 +356,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     index = entries.select("sig", "n", "prefix").mapInArrow(explode, entry).repartition(parts, "h")
     lists = materialize(index.mapInArrow(_shared_lists, entry), "lists")
     # a pair leaves every task in whose lists it meets: no more tasks than the shared lists fill
-    merging = max(docs.sparkSession.sparkContext.defaultParallelism, lists.count() // TASK_POSTINGS + 1)
+    merging = max(docs.sparkSession.sparkContext.defaultParallelism, lists.count() // TASK_ENTRIES + 1)
 
-    def counted(near: bool) -> DataFrame:
+    def merged(nearest: bool, schema: str) -> DataFrame:
         known = classes.select("sig", "bits").join(cluster.withColumnRenamed("id", "sig"), "sig", "left")
         named = lists.join(known, "sig").select(
             "h", "sig", "packed", F.coalesce("component", "sig").alias("cluster"), "bits"
         )
-        merged = named.repartition(merging, "h").mapInArrow(
-            _merge_lists(percent, near),
-            "a long, b long, size_a long, size_b long, times long, last_a long, last_b long",
-        )
-        return merged.groupBy("a", "b", "size_a", "size_b").agg(
-            F.sum("times").alias("times"), F.max("last_a").alias("last_a"), F.max("last_b").alias("last_b")
-        )
-
-    # every class and the neighbour that it meets most often: that joins most clusters of
-    # copies, and pairs inside a cluster need no look
-    for _ in range(NEIGHBOUR_ROUNDS):
-        often = F.expr("times * 20 >= greatest(size_a, size_b)")  # a quarter of the prefix
-        beside = materialize(counted(True).where(often).select("a", "b", "times"), "neighbours")
-        ends = beside.select(F.col("a").alias("one"), F.struct("times", "a", "b").alias("pair")).unionAll(
-            beside.select(F.col("b").alias("one"), F.struct("times", "a", "b").alias("pair"))
-        )
-        best = ends.groupBy("one").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
-        best = materialize(best, "best")
+        return named.repartition(merging, "h").mapInArrow(_merge_lists(percent, nearest), schema)
+
+    # every class and the one of another cluster that is closest by its bitmap: if any links to it,
+    # that one most likely does. This joins the clusters of copies, and pairs inside one need no look
+    for _ in range(NEAREST_ROUNDS):
+        ends = merged(True, "one long, other long, differ long")
+        best = ends.groupBy("one").agg(F.min(F.struct("differ", "other")).alias("best"))
+        best = best.select(F.least("one", "best.other").alias("a"), F.greatest("one", "best.other").alias("b"))
+        best = materialize(best.distinct(), "best")
         proved = proved.unionAll(materialize(_verified(docs, classes, best, k, percent, seed), "links"))
         cluster = components(proved)
+    met = merged(False, "a long, b long, size_a long, size_b long, times long, last_a long, last_b long")
+    met = met.groupBy("a", "b", "size_a", "size_b").agg(
+        F.sum("times").alias("times"), F.max("last_a").alias("last_a"), F.max("last_b").alias("last_b")
+    )
     rest = F.least(F.expr("size_a - 1 - last_a"), F.expr("size_b - 1 - last_b"))
     both = F.expr("size_a + size_b")
     can = (F.col("times") + rest) * (100 + percent) >= both * percent
-    pairs = materialize(counted(False).where(can).select("a", "b"), "pairs")
+    pairs = materialize(met.where(can).select("a", "b"), "pairs")
     found = materialize(_verified(docs, classes, pairs, k, percent, seed), "links")
     group = components(proved.unionAll(found))
     rooted = classes.join(group.withColumnRenamed("id", "sig"), "sig", "left").select(
