@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -118,3 +119,18 @@ def test_calibrated_by_all_labels(spark, monkeypatch):
     labels = [(i, int(i not in clean), None, None, None) for i in range(300)]
     rows = toxicity.score(table(spark, docs), labelled(spark, labels)).collect()
     assert len(rows) == 600 and all(r["score"] > 0.9 for r in rows)
+
+
+def test_driver_holds_packed_postings_only(spark):
+    """A posting takes the driver a byte or two and a temporary copy, not whole numbers of terms and counts."""
+    ship(spark)
+    n, each = 300, 3000
+    words = F.transform(F.sequence(F.lit(1), F.lit(each)), lambda i: F.translate(F.hex(F.pmod(F.xxhash64("id", i), F.lit(4000))), "0123456789", "ghijklmnop"))
+    docs = spark.range(n, numPartitions=4).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("label"))
+    tracemalloc.start()
+    try:
+        toxicity.score(docs, labels)
+        assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    finally:
+        tracemalloc.stop()

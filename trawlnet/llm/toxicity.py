@@ -41,6 +41,7 @@ BLOCK = 64  # examples of a block
 STEP = 16  # blocks scored first, those of the highest bound
 ROWS = 2048  # most frequent terms, whose weights are rows of a matrix
 MARGIN = 2.5e-4  # more than 32-bit products of that many rows can be wrong by
+PART = 50_000  # terms whose postings one task packs
 DENSE = 4  # postings of a block from which on its maximum is looked at
 CHUNK = 128  # texts multiplied with them at once
 SEEN = 1 << 15  # texts whose votes a task remembers
@@ -234,14 +235,41 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_terms(batch.column("text"))[1]))], names=["term"])
 
 
-def _vectors(terms, columns: list[str]):
-    def run(batches):
+def _postings(terms, width: int):
+    """Postings of numbered examples, in pieces by ranges of ``width`` terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = terms.value
+        bounds = np.arange(0, len(known) + width, width)
         for batch in sized(batches, 3 << 20):
-            text, at, count = _terms(batch.column("text"), terms.value)
-            cuts = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (at, count)]
+            text, at, count = _terms(batch.column("text"), known)
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            values = at, batch.column("example").to_numpy()[text[order]], count[order]
+            cuts = np.searchsorted(at, bounds)
+            part = np.flatnonzero(np.diff(cuts))
+            columns = [[x[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in part] for x in values]
             yield pa.RecordBatch.from_arrays(
-                [*batch.select(columns).columns, *lists], names=[*columns, "terms", "counts"]
+                [pa.array(part.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)],
+                names=["part", "term", "example", "count"],
+            )
+
+    return run
+
+
+def _gathered(width: int, n_terms: int):
+    """The packed postings of each range of terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(part, []).append([np.frombuffer(v, np.int32) for v in values])
+        for part in sorted(held):
+            term, example, count = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
+            packed = pack(term - part * width, example, count, min(width, n_terms - part * width))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), *(pa.array([x]) for x in packed)], names=["part", *_PACKED]
             )
 
     return run
@@ -253,19 +281,30 @@ def build_index(examples: list, terms: np.ndarray, gain: np.ndarray, prior: floa
     term = np.concatenate([np.array(e["terms"], np.int32) for e in examples]) if examples else np.empty(0, np.int32)
     count = np.concatenate([np.array(e["counts"]) for e in examples]) if examples else np.empty(0, np.int32)
     ids, label = (np.array([e[c] for e in examples], t) for c, t in (("doc_id", np.int64), ("label", float)))
-    return Packed(ids, label, sizes, term, count, terms, gain, prior).index()
+    parts = [pack(term, np.repeat(np.arange(len(ids)), sizes), count, len(terms))]
+    return Packed(ids, label, parts, terms, gain, prior).index()
+
+
+_PACKED = "examples", "counts", "with_term", "of_example", "of_count"
+
+
+def pack(term: np.ndarray, example: np.ndarray, count: np.ndarray, n_terms: int) -> tuple:
+    """Postings by term and example, compressed: examples, counts, postings per term, and the first two's types."""
+    order = np.lexsort((example, term))
+    example, count = (x[order].astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (example, count))
+    with_term = np.bincount(term, minlength=n_terms).astype(np.int32)
+    packed = (zlib.compress(x.tobytes(), 1) for x in (example, count, with_term))
+    return *packed, example.dtype.str, count.dtype.str
 
 
 class Packed:
-    """What an index is built from, in few bytes; a worker that receives it gets the index."""
+    """What an index is built from, in few bytes; a worker that receives it gets the index.
 
-    def __init__(self, ids, label, sizes, term, count, terms, gain, prior):
-        order = np.argsort(term, kind="stable")
-        example = np.repeat(np.arange(len(ids), dtype=np.min_scalar_type(len(ids))), sizes)[order]
-        count = count[order].astype(np.min_scalar_type(int(count.max(initial=0))))
-        with_term = np.bincount(term, minlength=len(terms)).astype(np.int32)
-        packed = (zlib.compress(x.tobytes(), 1) for x in (example, count, with_term))
-        self.parts = ids, label, terms, gain, prior, example.dtype, count.dtype, *packed
+    ``parts``: postings of ranges of terms, in their order, as :func:`pack` gives them.
+    """
+
+    def __init__(self, ids, label, parts, terms, gain, prior):
+        self.parts = ids, label, terms, gain, prior, parts
 
     def index(self) -> Index:
         return _unpacked(*self.parts)
@@ -274,11 +313,15 @@ class Packed:
         return _unpacked, self.parts
 
 
-def _unpacked(ids, label, terms, gain, prior, of_example, of_count, example, count, with_term) -> Index:
+def _unpacked(ids, label, terms, gain, prior, parts) -> Index:
     n, n_blocks = len(ids), len(ids) // BLOCK + 1
-    with_term = np.frombuffer(zlib.decompress(with_term), np.int32)
-    example = np.frombuffer(zlib.decompress(example), of_example).astype(np.int32)
-    weight = 1 + np.log(np.frombuffer(zlib.decompress(count), of_count), dtype=np.float64)
+
+    def joined(place: int, kind: int | None, out) -> np.ndarray:
+        read = [np.frombuffer(zlib.decompress(p[place]), p[kind] if kind else np.int32) for p in parts]
+        return np.concatenate([np.empty(0, out), *read], dtype=out)
+
+    with_term, example = joined(2, None, np.int32), joined(0, 3, np.int32)
+    weight = 1 + np.log(joined(1, 4, np.int32), dtype=np.float64)
     weight *= np.repeat(gain, with_term)
     weight = (weight / np.sqrt(np.bincount(example, weight**2, n))[example]).astype(np.float32)
     many = np.argsort(-with_term, kind="stable")[:ROWS]
@@ -381,7 +424,7 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     able = docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id", same).join(small, "doc_id").distinct()
     able = materialize(able.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "same").limit(EXAMPLES), "chosen")
     chosen = docs.select("*", same).join(F.broadcast(able), ["doc_id", "same"]).dropDuplicates(["doc_id", "label", "same"])
-    chosen = materialize(chosen.select("doc_id", "label", "text"), "examples")
+    chosen = materialize(chosen.select("doc_id", "label", "same", "text"), "examples")
     terms = np.sort(chosen.mapInArrow(_distinct, "term long").distinct().toArrow().column("term").to_numpy())
     known = spark.sparkContext.broadcast(terms)
     # a text with both labels is one text
@@ -395,17 +438,21 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     idf = np.log((1 + docs.count()) / (1 + df)) + 1
     gain = idf * np.where(telling(n_with, bad_with, n, n_bad), 1.0, FAINT)
     del counted, df, n_with, bad_with, idf
-    schema = "doc_id long, label int, terms array<int>, counts array<int>"
-    vectors = chosen.mapInArrow(_vectors(known, ["doc_id", "label"]), schema).where("size(terms) > 0")
-    rows = vectors.orderBy("doc_id", "label").toArrow()
-    sizes = np.concatenate([np.empty(0, np.int64), *(pc.list_value_length(c).to_numpy() for c in rows.column("terms").chunks)])
-    said, times = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "counts"))
-    times = times.astype(np.min_scalar_type(int(times.max(initial=0))))
+    # postings are brought together by term in tasks; what comes to the driver is packed
+    rows = chosen.select("doc_id", "label", "same").orderBy("doc_id", "label", "same").toArrow()
     ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(float)
-    del rows
-    index = spark.sparkContext.broadcast(Packed(ids, label, sizes.astype(np.int64), said, times, terms, gain, prior))
+    rows = spark.createDataFrame(rows.append_column("example", pa.array(np.arange(len(ids)))))
+    numbered = chosen.join(F.broadcast(rows), ["doc_id", "label", "same"]).select("example", "text")
+    posted = numbered.mapInArrow(_postings(known, PART), "part int, term binary, example binary, count binary")
+    packed = posted.repartition(len(terms) // PART + 1, "part").mapInArrow(
+        _gathered(PART, len(terms)),
+        "part int, examples binary, counts binary, with_term binary, of_example string, of_count string",
+    )
+    parts = [tuple(r[c] for c in _PACKED) for r in packed.orderBy("part").toArrow().to_pylist()]
+    index = spark.sparkContext.broadcast(Packed(ids, label, parts, terms, gain, prior))
+    del parts
     voted = "vote double, neighbours array<long>, cosines array<double>"
-    judged = chosen.repartition(spark.sparkContext.defaultParallelism).mapInArrow(
+    judged = chosen.drop("same").repartition(spark.sparkContext.defaultParallelism).mapInArrow(
         _voted(index, k, ["doc_id", "label"], True), f"doc_id long, label int, {voted}"
     )
     scored = materialize(docs.mapInArrow(_voted(index, k, ["doc_id"], False), f"doc_id long, {voted}"), "votes")
