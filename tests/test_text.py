@@ -1,9 +1,12 @@
 import ast
+import tracemalloc
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trawlnet.functions import batches, text, vector
+from trawlnet.operators import lexical
+from workload import queries
 
 
 def column(spark, values, expression, kind="string"):
@@ -134,3 +137,32 @@ def test_vectors(spark):
     got = df.select(vector.dot(a, b), vector.l2_norm(a), vector.cosine(a, b)).collect()
     assert tuple(got[0]) == (24.0, 5.0, 0.96)
     assert tuple(got[1]) == (0.0, 0.0, None)
+
+
+def test_counting_words_of_a_large_batch_takes_little_memory():
+    """Whatever the batch that Spark hands over, its words are looked at a piece at a time."""
+    line = " ".join(f"w{i}" for i in range(400))
+    batch = pa.RecordBatch.from_pydict({"year": ["en"] * 10_000, "text": [line] * 10_000})
+    tracemalloc.start()
+    try:
+        counted = [lexical._count_batch(piece) for piece in batches.pieces(batch)]
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+    whole = [r for c in counted for r in c.to_pylist() if r["term"] is None]
+    assert sum(r["n_tokens"] for r in whole) == 400 * 10_000
+
+
+def test_queries_over_texts_get_small_batches(spark, tmp_path):
+    docs = [(i, f"text {i}", "en", "web", 6) for i in range(10)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    try:
+        spark.conf.unset(key)
+        queries.registered()["store_roundtrip"](spark, str(tmp_path))
+        assert int(spark.conf.get(key, "10000")) <= 2000
+    finally:
+        spark.conf.set(key, before)

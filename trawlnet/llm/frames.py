@@ -2,44 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from trawlnet.functions.batches import pieces
-
-ROWS = 2000  # of a batch of documents; the usual 10,000 long ones fill a worker's memory
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_USUAL = "10000"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Have the session hand documents to Python in small batches, unless it has a setting of its own."""
-    if spark.conf.get(_ROWS, _USUAL) == _USUAL:
-        spark.conf.set(_ROWS, str(ROWS))
-
-
-def sized(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``size`` bytes: small ones together, large ones cut."""
-    held: list[pa.RecordBatch] = []
-    n_bytes = 0
-    for batch in batches:
-        held.append(batch)
-        n_bytes += batch.nbytes
-        if n_bytes >= size:
-            yield from _together(held, size)
-            held, n_bytes = [], 0
-    yield from _together(held, size)
-
+from trawlnet.functions.batches import bound_batches, sized
 
-def _together(held: list[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    held = [b for b in held if b.num_rows]
-    if len(held) > 1:
-        held = pa.Table.from_batches(held).combine_chunks().to_batches()
-    for batch in held:
-        yield from pieces(batch, size)
+__all__ = ["bound_batches", "extended", "sized"]
 
 
 def extended(df: DataFrame, keep: list[str], added: str) -> T.StructType:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from trawlnet.functions.batches import pieces, split_words
+from trawlnet.functions.batches import pieces, sized, split_words
 from trawlnet.operators import ranking, search
 from trawlnet.operators.joins import bounded
 from trawlnet.operators.lexical import Bm25
@@ -36,6 +36,7 @@ from trawlnet.sources.scratch import materialize
 
 RANGE_CHUNKS = 4096  # chunks of a range; their numbers take two bytes
 RANGE_BYTES = 16 << 20  # of texts of a range
+BATCH_BYTES = 8 << 20  # of texts that are cut into ranges together, however small the batches
 BUCKETS = 16  # folders of terms
 FIRST = 16  # one range in so many is in the first wave
 _CELLS = 1 << 21  # entries of one work matrix inside a task
@@ -121,7 +122,7 @@ def write_postings(chunks: DataFrame, path: str, range_chunks: int = RANGE_CHUNK
     columns = {f.name: f.type for f in to_arrow_schema(schema)}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sized(batches, BATCH_BYTES):
             for year in pc.unique(batch.column("year")):
                 mine = batch.filter(pc.equal(batch.column("year"), year) if year.is_valid else batch.column("year").is_null())
                 for start in range(0, mine.num_rows, range_chunks):
