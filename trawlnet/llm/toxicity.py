@@ -316,13 +316,16 @@ class Packed:
 def _unpacked(ids, label, terms, gain, prior, parts) -> Index:
     n, n_blocks = len(ids), len(ids) // BLOCK + 1
 
-    def joined(place: int, kind: int | None, out) -> np.ndarray:
-        read = [np.frombuffer(zlib.decompress(p[place]), p[kind] if kind else np.int32) for p in parts]
-        return np.concatenate([np.empty(0, out), *read], dtype=out)
-
-    with_term, example = joined(2, None, np.int32), joined(0, 3, np.int32)
-    weight = 1 + np.log(joined(1, 4, np.int32), dtype=np.float64)
-    weight *= np.repeat(gain, with_term)
+    with_term = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(zlib.decompress(p[2]), np.int32) for p in parts)])
+    example, weight = np.empty(int(with_term.sum()), np.int32), np.empty(int(with_term.sum()))
+    at = first = 0
+    for examples, counts, sizes, of_example, of_count in parts:  # range by range, which takes little beside the result
+        sizes = np.frombuffer(zlib.decompress(sizes), np.int32)
+        end, last = at + int(sizes.sum()), first + len(sizes)
+        example[at:end] = np.frombuffer(zlib.decompress(examples), of_example)
+        said = 1 + np.log(np.frombuffer(zlib.decompress(counts), of_count), dtype=np.float64)
+        weight[at:end] = said * np.repeat(gain[first:last], sizes)
+        at, first = end, last
     weight = (weight / np.sqrt(np.bincount(example, weight**2, n))[example]).astype(np.float32)
     many = np.argsort(-with_term, kind="stable")[:ROWS]
     many = many[with_term[many] > BLOCK]
