@@ -1,7 +1,9 @@
 import random
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge import TEXTS, table
 from pyspark.sql import functions as F
@@ -134,3 +136,31 @@ def test_driver_holds_packed_postings_only(spark):
         assert tracemalloc.get_traced_memory()[1] < 5_000_000
     finally:
         tracemalloc.stop()
+
+
+def test_worker_holds_one_slice_of_the_index():
+    """Votes by slices are those by the whole index, in a fraction of its memory."""
+    draw = np.random.default_rng(1)
+    words = np.array([f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(4000)])
+    texts = pa.array([" ".join(words[draw.integers(0, 4000, 200)]) for _ in range(2000)])
+    terms = np.unique(toxicity._terms(texts)[1])
+    text, term, count = toxicity._terms(texts, terms)
+    gain = draw.random(len(terms)) + 0.1
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(30)), texts.slice(0, 30)], names=["doc_id", "text"])
+
+    def votes(of_slice):
+        of = text // of_slice
+        parts = [[toxicity.pack(term[of == i], text[of == i] - i * of_slice, count[of == i], len(terms))] for i in range(-(-2000 // of_slice))]
+        packed = toxicity.Packed(np.arange(2000), np.arange(2000) % 5 / 4.0, terms, gain, 0.5, of_slice, parts)
+        tracemalloc.start()
+        try:
+            found = list(toxicity._voted(SimpleNamespace(value=packed), 15, ["doc_id"], True, 1 << 22)(iter([batch])))
+            return found[0].to_pylist(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (whole, most), (sliced, less) = votes(2048), votes(256)
+    assert [r["neighbours"] for r in whole] == [r["neighbours"] for r in sliced]
+    assert all(np.allclose(a["cosines"], b["cosines"]) and abs(a["vote"] - b["vote"]) < 1e-9 for a, b in zip(whole, sliced, strict=True))
+    assert all(len(r["neighbours"]) == 15 and r["doc_id"] not in r["neighbours"] for r in sliced)
+    assert less < most / 2

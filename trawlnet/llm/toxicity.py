@@ -8,12 +8,14 @@ and votes of all labelled texts, of the examples with themselves left out, calib
 Terms are words and first letters of longer words, so that compounds of a word are known. Terms
 that tell bad texts from others have their whole weight and all others a faint one, so that these
 decide where nothing else does. Document frequencies and shares of bad texts are counted by Spark
-over all rows; the index holds a bounded sample of the labelled examples.
+over all rows; the index holds a bounded sample of the labelled examples. Workers get it packed and
+unpack one slice of the examples at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,8 +40,10 @@ LEAST_ODDS = 3.0  # times the odds of all texts that texts with a telling term a
 FAINT = 0.02  # weight of other terms
 NEIGHBOURS = 15
 BLOCK = 64  # examples of a block
+SLICE = 80 * BLOCK  # examples whose index a worker holds at a time
+HELD = 1 << 22  # terms of texts that a task takes from one slice to the next
 STEP = 16  # blocks scored first, those of the highest bound
-ROWS = 2048  # most frequent terms, whose weights are rows of a matrix
+ROWS = 1024  # most frequent terms, whose weights are rows of a matrix
 MARGIN = 2.5e-4  # more than 32-bit products of that many rows can be wrong by
 PART = 50_000  # terms whose postings one task packs
 DENSE = 4  # postings of a block from which on its maximum is looked at
@@ -170,19 +174,24 @@ class Index:
         return asked @ self.matrix
 
     def nearest(
-        self, term: np.ndarray, weight: np.ndarray, without: int, k: int, product: np.ndarray | None = None
+        self, term: np.ndarray, weight: np.ndarray, without: int, k: int, product: np.ndarray | None = None, least: float = 0.0
     ) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine, and the cosines; equal ones by example number."""
+        """The k examples of highest cosine, and the cosines; equal ones by example number.
+
+        Those of less than ``least`` can be left out.
+        """
         base = self.products([(term, weight)])[0] if product is None else product
-        n_blocks = len(self.ids) // BLOCK + 1
+        n_blocks, low = len(self.ids) // BLOCK + 1, max(least - MARGIN, 0.0)
 
         def scored(first: np.ndarray, size: np.ndarray, weights: np.ndarray) -> np.ndarray:
-            posting = np.repeat(first, size) + ranges(size)
-            added = np.repeat(weights, size) * self.weight[posting]
+            ends = np.cumsum(size)
+            posting = np.repeat(first - ends + size, size)
+            posting += np.arange(len(posting))
+            added = self.weight[posting] * np.repeat(weights, size)
             return np.bincount(self.example[posting], added, n_blocks * BLOCK) + base
 
         def hits(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            hit = np.flatnonzero(score[: len(self.ids)] > 0)
+            hit = np.flatnonzero(score[: len(self.ids)] > low)
             hit = hit[self.ids[hit] != without]
             return hit, score[hit]
 
@@ -195,8 +204,7 @@ class Index:
                 near = cosine >= np.partition(cosine, -k)[-k] - MARGIN
                 found, cosine = found[near], cosine[near]
             cosine = cosine - base[found] + factors @ self.matrix[rows[:, None], found].astype(float)
-            top = np.lexsort((found, -np.round(cosine, 12)))[:k]
-            return found[top], cosine[top]
+            return _top(found, cosine, k)
 
         first, end = self.entry[term], self.entry[term + 1]
         counts, posted = end - first, self.begin[end] - self.begin[first]
@@ -207,7 +215,7 @@ class Index:
         size, block = self.begin[entry + 1] - begin, self.example[begin] // BLOCK
         bound = np.bincount(block, weights * self.most[entry], n_blocks) + base.reshape(n_blocks, BLOCK).max(1)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+        order = order[bound[order] > low]
 
         def within(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             chosen = np.zeros(n_blocks, bool)
@@ -218,56 +226,54 @@ class Index:
         found, cosine = best(*within(order[:STEP]))
         rest = order[STEP:]
         if len(found) == k:  # blocks that cannot hold one of the k best are never scored
-            rest = rest[bound[rest] > cosine[-1] - MARGIN]
+            rest = rest[bound[rest] > max(cosine[-1] - MARGIN, low)]
         if len(rest):
             more, other = best(*within(rest))
-            found, cosine = np.concatenate([found, more]), np.concatenate([cosine, other])
-            top = np.lexsort((found, -np.round(cosine, 12)))[:k]
-            found, cosine = found[top], cosine[top]
+            found, cosine = _top(np.concatenate([found, more]), np.concatenate([cosine, other]), k)
         return found, cosine
 
-    def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        return float((cosine @ self.label[found] + PRIOR * self.prior) / (cosine.sum() + PRIOR))
-
-
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sized(batches, 3 << 20):
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_terms(batch.column("text"))[1]))], names=["term"])
 
 
-def _postings(terms, width: int):
-    """Postings of numbered examples, in pieces by ranges of ``width`` terms."""
+def _postings(terms, width: int, of_slice: int):
+    """Postings of numbered examples, in pieces by slices of examples and ranges of ``width`` terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = terms.value
-        bounds = np.arange(0, len(known) + width, width)
+        n_ranges = len(known) // width + 1
         for batch in sized(batches, 3 << 20):
             text, at, count = _terms(batch.column("text"), known)
-            order = np.argsort(at, kind="stable")
-            at = at[order]
-            values = at, batch.column("example").to_numpy()[text[order]], count[order]
-            cuts = np.searchsorted(at, bounds)
-            part = np.flatnonzero(np.diff(cuts))
-            columns = [[x[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in part] for x in values]
+            example = batch.column("example").to_numpy()[text]
+            part = example // of_slice * n_ranges + at // width
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            cuts = np.append(first, len(part))
+            values = (x[order].astype(np.int32) for x in (at, example, count))
+            columns = [[x[i:j].tobytes() for i, j in itertools.pairwise(cuts)] for x in values]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)],
+                [pa.array(part[first].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)],
                 names=["part", "term", "example", "count"],
             )
 
     return run
 
 
-def _gathered(width: int, n_terms: int):
-    """The packed postings of each range of terms."""
+def _gathered(width: int, n_terms: int, of_slice: int):
+    """The packed postings of each slice and range of terms; both are numbered from 0 in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_ranges = n_terms // width + 1
         held: dict[int, list] = {}
         for batch in batches:
             for part, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(part, []).append([np.frombuffer(v, np.int32) for v in values])
         for part in sorted(held):
             term, example, count = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
-            packed = pack(term - part * width, example, count, min(width, n_terms - part * width))
+            piece, first = part // n_ranges, part % n_ranges * width
+            packed = pack(term - first, example - piece * of_slice, count, min(width, n_terms - first))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), *(pa.array([x]) for x in packed)], names=["part", *_PACKED]
             )
@@ -282,9 +288,10 @@ def build_index(examples: list, terms: np.ndarray, gain: np.ndarray, prior: floa
     count = np.concatenate([np.array(e["counts"]) for e in examples]) if examples else np.empty(0, np.int32)
     ids, label = (np.array([e[c] for e in examples], t) for c, t in (("doc_id", np.int64), ("label", float)))
     parts = [pack(term, np.repeat(np.arange(len(ids)), sizes), count, len(terms))]
-    return Packed(ids, label, parts, terms, gain, prior).index()
+    return _unpacked(ids, label, terms, gain, prior, parts)
 
 
+_NONE = np.empty(0, np.int32), np.empty(0)
 _PACKED = "examples", "counts", "with_term", "of_example", "of_count"
 
 
@@ -297,49 +304,68 @@ def pack(term: np.ndarray, example: np.ndarray, count: np.ndarray, n_terms: int)
     return *packed, example.dtype.str, count.dtype.str
 
 
+@dataclass
 class Packed:
-    """What an index is built from, in few bytes; a worker that receives it gets the index.
+    """What the indexes of all slices of the examples are built from, in few bytes."""
 
-    ``parts``: postings of ranges of terms, in their order, as :func:`pack` gives them.
-    """
-
-    def __init__(self, ids, label, parts, terms, gain, prior):
-        self.parts = ids, label, terms, gain, prior, parts
+    ids: np.ndarray
+    label: np.ndarray
+    terms: np.ndarray
+    gain: np.ndarray
+    prior: float
+    of_slice: int
+    parts: list  # by slice: postings of ranges of terms, in their order, as :func:`pack` gives them
 
-    def index(self) -> Index:
-        return _unpacked(*self.parts)
+    def slices(self) -> Iterator[tuple[int, Index]]:
+        """The first example and the index of each slice, one at a time."""
+        for i, parts in enumerate(self.parts):
+            own = slice(i * self.of_slice, (i + 1) * self.of_slice)
+            yield own.start, _unpacked(self.ids[own], self.label[own], self.terms, self.gain, self.prior, parts)
 
-    def __reduce__(self):
-        return _unpacked, self.parts
+    def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
+        return float((cosine @ self.label[found] + PRIOR * self.prior) / (cosine.sum() + PRIOR))
 
 
 def _unpacked(ids, label, terms, gain, prior, parts) -> Index:
     n, n_blocks = len(ids), len(ids) // BLOCK + 1
-
-    with_term = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(zlib.decompress(p[2]), np.int32) for p in parts)])
-    example, weight = np.empty(int(with_term.sum()), np.int32), np.empty(int(with_term.sum()))
-    at = first = 0
-    for examples, counts, sizes, of_example, of_count in parts:  # range by range, which takes little beside the result
-        sizes = np.frombuffer(zlib.decompress(sizes), np.int32)
-        end, last = at + int(sizes.sum()), first + len(sizes)
-        example[at:end] = np.frombuffer(zlib.decompress(examples), of_example)
-        said = 1 + np.log(np.frombuffer(zlib.decompress(counts), of_count), dtype=np.float64)
-        weight[at:end] = said * np.repeat(gain[first:last], sizes)
-        at, first = end, last
-    weight = (weight / np.sqrt(np.bincount(example, weight**2, n))[example]).astype(np.float32)
+    sizes = [np.frombuffer(zlib.decompress(p[2]), np.int32) for p in parts]
+    with_term = np.concatenate([np.empty(0, np.int32), *sizes])
+    first = starts_of(np.array([len(x) for x in sizes], np.int64))
+    held, norm = [], np.zeros(n)
+
+    def weighted(i: int) -> np.ndarray:
+        count = held[i][1]
+        said = 1 + np.log(np.maximum(np.arange(int(count.max(initial=0)) + 1), 1))
+        return said[count] * np.repeat(gain[first[i] : first[i + 1]], sizes[i])
+
+    for i, (examples, counts, _, of_example, of_count) in enumerate(parts):  # range by range, which takes little beside the result
+        held.append((np.frombuffer(zlib.decompress(examples), of_example), np.frombuffer(zlib.decompress(counts), of_count)))
+        np.add.at(norm, held[i][0], weighted(i) ** 2)
+    norm = np.sqrt(norm)
     many = np.argsort(-with_term, kind="stable")[:ROWS]
     many = many[with_term[many] > BLOCK]
     row = np.full(len(terms), -1, np.int32)
     row[many] = np.arange(len(many))
-    rows = np.repeat(row, with_term)
     matrix = np.zeros((len(many), n_blocks * BLOCK), np.float32)
-    matrix[rows[rows >= 0], example[rows >= 0]] = weight[rows >= 0]
-    term = np.repeat(np.arange(len(terms)), with_term)[rows < 0]
-    example, weight = example[rows < 0], weight[rows < 0]
-    begin = np.flatnonzero(np.diff(term * n_blocks + example // BLOCK, prepend=-1)).astype(np.int32)
-    most = np.maximum.reduceat(weight, begin) if len(begin) else weight
-    entry = np.searchsorted(term[begin], np.arange(len(terms) + 1)).astype(np.int32)
-    begin = np.append(begin, np.int32(len(example)))
+    kept: list[list] = [[np.empty(0, np.uint8)], [np.empty(0, np.float32)], [np.empty(0, np.int32)], [np.empty(0, np.float32)], []]
+    at = 0
+    for i in range(len(parts)):
+        example = held[i][0]
+        weight = (weighted(i) / norm[example]).astype(np.float32)
+        held[i] = None
+        rows = np.repeat(row[first[i] : first[i + 1]], sizes[i])
+        matrix[rows[rows >= 0], example[rows >= 0]] = weight[rows >= 0]
+        term = np.repeat(np.arange(len(sizes[i])), sizes[i])[rows < 0]
+        example, weight = example[rows < 0], weight[rows < 0]
+        begin = np.flatnonzero(np.diff(term * n_blocks + example // BLOCK, prepend=-1))
+        most = np.maximum.reduceat(weight, begin) if len(begin) else weight
+        blocks = np.bincount(term[begin], minlength=len(sizes[i]))
+        for column, values in zip(kept, (example, weight, (begin + at).astype(np.int32), most, blocks), strict=True):
+            column.append(values)
+        at += len(example)
+    kept[2].append(np.array([at], np.int32))
+    example, weight, begin, most = (np.concatenate(column) for column in kept[:4])
+    entry = starts_of(np.concatenate([np.empty(0, np.int64), *kept[4]])).astype(np.int32)
     return Index(terms, gain, ids, label, example, weight, entry, begin, most, row, matrix, prior)
 
 
@@ -355,26 +381,54 @@ def _monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), r) for r, _, n in pools])
 
 
-def _voted(index, k: int, columns: list[str], leave_out: bool):
+def _top(found: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    top = np.lexsort((found, -np.round(cosine, 12)))[:k]
+    return found[top], cosine[top]
+
+
+def _voted(index, k: int, columns: list[str], leave_out: bool, held_terms: int):
     def run(batches):
-        own, seen = index.value, {}
-        for batch in sized(batches, 3 << 20):
+        own, seen = index.value, {}  # seen: by key, the nearest examples and their cosines
+        waiting: dict = {}
+        held: list = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            """Take all texts that wait through the slices, of which one is unpacked at a time."""
+            asked = list(waiting.items())
+            for first, part in own.slices() if asked else ():
+                for some in (asked[i : i + CHUNK] for i in range(0, len(asked), CHUNK)):
+                    texts = []
+                    for _, (term, times, _) in some:
+                        weight = (1 + np.log(times)) * own.gain[term]
+                        texts.append((term, weight / np.sqrt(weight @ weight)))
+                    for (key, (_, _, without)), text, product in zip(some, texts, part.products(texts), strict=True):
+                        found, cosine = seen.get(key, _NONE)
+                        near = part.nearest(*text, without, k, product, cosine[-1] if len(cosine) == k else 0.0)
+                        seen[key] = _top(np.append(found, (near[0] + first).astype(np.int32)), np.append(cosine, near[1]), k)
+                del part  # before the next one is unpacked
+            for batch, keys in held:
+                near = [seen.get(key, _NONE) for key in keys]
+                votes = [own.vote(*x) if key else None for key, x in zip(keys, near, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *batch.columns,
+                        pa.array(votes, pa.float64()),
+                        pa.array([own.ids[found] for found, _ in near], pa.list_(pa.int64())),
+                        pa.array([cosine for _, cosine in near], pa.list_(pa.float64())),
+                    ],
+                    names=[*columns, "vote", "neighbours", "cosines"],
+                )
+            waiting.clear()
+            held.clear()
             if len(seen) > SEEN:
                 seen.clear()
+
+        n_held = 0
+        for batch in sized(batches, 3 << 20):
             text, at, count = _terms(batch.column("text"), own.terms)
             cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            at, count = at.astype(np.int32), count.astype(np.int32)
             keys: list = []
-            waiting: dict = {}
-
-            def settle():
-                if not waiting:
-                    return
-                products = own.products([t[:2] for t in waiting.values()])
-                for (key, (term, weight, without)), product in zip(waiting.items(), products, strict=True):
-                    found, cosine = own.nearest(term, weight, without, k, product)
-                    seen[key] = own.vote(found, cosine), own.ids[found].tolist(), cosine.tolist()
-                waiting.clear()
-
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 term, times = at[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]
                 if not len(term):
@@ -384,22 +438,13 @@ def _voted(index, k: int, columns: list[str], leave_out: bool):
                 key = said, doc_id if leave_out else None
                 keys.append(key)
                 if key not in seen and key not in waiting:
-                    weight = (1 + np.log(times)) * own.gain[term]
-                    weight /= np.sqrt(weight @ weight)
-                    waiting[key] = term, weight, doc_id if leave_out else -(1 << 62)
-                    if len(waiting) == CHUNK:
-                        settle()
-            settle()
-            votes = [seen[key] if key else (None, [], []) for key in keys]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.select(columns).columns,
-                    pa.array([v[0] for v in votes], pa.float64()),
-                    pa.array([v[1] for v in votes], pa.list_(pa.int64())),
-                    pa.array([v[2] for v in votes], pa.list_(pa.float64())),
-                ],
-                names=[*columns, "vote", "neighbours", "cosines"],
-            )
+                    waiting[key] = term, times, doc_id if leave_out else -(1 << 62)
+                    n_held += len(term)
+            held.append((batch.select(columns), keys))
+            if n_held >= held_terms:
+                yield from settle()
+                n_held = 0
+        yield from settle()
 
     return run
 
@@ -446,19 +491,25 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(float)
     rows = spark.createDataFrame(rows.append_column("example", pa.array(np.arange(len(ids)))))
     numbered = chosen.join(F.broadcast(rows), ["doc_id", "label", "same"]).select("example", "text")
-    posted = numbered.mapInArrow(_postings(known, PART), "part int, term binary, example binary, count binary")
-    packed = posted.repartition(len(terms) // PART + 1, "part").mapInArrow(
-        _gathered(PART, len(terms)),
+    posted = numbered.mapInArrow(_postings(known, PART, SLICE), "part int, term binary, example binary, count binary")
+    n_ranges = len(terms) // PART + 1
+    packed = posted.repartition(n_ranges, "part").mapInArrow(
+        _gathered(PART, len(terms), SLICE),
         "part int, examples binary, counts binary, with_term binary, of_example string, of_count string",
     )
-    parts = [tuple(r[c] for c in _PACKED) for r in packed.orderBy("part").toArrow().to_pylist()]
-    index = spark.sparkContext.broadcast(Packed(ids, label, parts, terms, gain, prior))
-    del parts
+    packed = {r["part"]: tuple(r[c] for c in _PACKED) for r in packed.toArrow().to_pylist()}
+    none = [np.empty(0, np.int32)] * 3
+    parts = [
+        [packed.get(i * n_ranges + j) or pack(*none, min(PART, len(terms) - j * PART)) for j in range(n_ranges)]
+        for i in range(-(-len(ids) // SLICE))
+    ]
+    index = spark.sparkContext.broadcast(Packed(ids, label, terms, gain, prior, SLICE, parts))
+    del packed, parts
     voted = "vote double, neighbours array<long>, cosines array<double>"
     judged = chosen.drop("same").repartition(spark.sparkContext.defaultParallelism).mapInArrow(
-        _voted(index, k, ["doc_id", "label"], True), f"doc_id long, label int, {voted}"
+        _voted(index, k, ["doc_id", "label"], True, HELD), f"doc_id long, label int, {voted}"
     )
-    scored = materialize(docs.mapInArrow(_voted(index, k, ["doc_id"], False), f"doc_id long, {voted}"), "votes")
+    scored = materialize(docs.mapInArrow(_voted(index, k, ["doc_id"], False, HELD), f"doc_id long, {voted}"), "votes")
     bare = scored.where("vote is null").select("doc_id").join(small, "doc_id")
     bare = bare.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
     empty = ((bare["bad"] or 0) + PRIOR * prior) / (bare["n"] + PRIOR)
