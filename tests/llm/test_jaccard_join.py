@@ -159,3 +159,23 @@ def test_merging_lists_takes_little_memory():
         assert tracemalloc.get_traced_memory()[1] < 300 * n
     finally:
         tracemalloc.stop()
+
+
+def test_worker_hashes_a_piece_at_a_time(spark, monkeypatch):
+    """What a worker holds of the words and shingles of a batch does not grow with batches up to 3 MB."""
+    docs, ran = table(spark), []
+    monkeypatch.setattr(jaccard_join, "_long_lists", lambda *_: np.empty(0, np.uint64))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda _, run, schema: ran.append(run))
+    jaccard_join._described(docs, 5, 80, 0)
+    draw = np.random.default_rng(3)
+    names = np.array([f"w{i}" for i in range(500)])
+    texts = pa.array([" ".join(names[draw.integers(0, 500, 100)]) for _ in range(5500)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5500)), pa.array(np.arange(5500)), texts], names=["doc_id", "key", "text"])
+    assert 2 << 20 < texts.nbytes < 3 << 20
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in ran[0](iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 5500 and most < 20_000_000, most

@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from edge import TEXTS, table
 from pyspark.sql import functions as F
 
@@ -82,3 +85,26 @@ def test_order_of_training_rows_does_not_matter(spark):
     random.Random(0).shuffle(rows)
     one, two = toy(spark, TRAIN[:3] * 3), toy(spark, rows)
     assert (one.logp == two.logp).all() and (one.written == two.written).all()
+
+
+def test_worker_labels_a_piece_at_a_time(spark, monkeypatch):
+    """What a worker holds does not grow with its batches up to 8 MB."""
+    model, docs = toy(spark), table(spark)
+    ran = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda _, run, schema: ran.append(run))
+    langid.identify(docs, model, ["doc_id"])
+    words = np.array([f"word{i % 97} die{i % 89} der{i}" for i in range(500)])
+    draw = np.random.default_rng(3)
+    texts = pa.array([" ".join(words[draw.integers(0, 500, 100)]) for _ in range(4100)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], names=["doc_id", "text"])
+    labelled = pa.RecordBatch.from_arrays([texts, pa.array(["de"] * len(texts))], names=["text", "lang"])
+    assert 7 << 20 < texts.nbytes < 8 << 20
+    langid._letters()
+    for run, given in ((ran[0], batch), (langid._count, labelled)):
+        tracemalloc.start()
+        try:
+            rows = sum(b.num_rows for b in run(iter([given])))
+            most = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert rows and most < 40_000_000, most

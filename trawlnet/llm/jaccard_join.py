@@ -33,6 +33,7 @@ from trawlnet.llm.windows import ascii_words, mix, starts_of, window_hashes, wor
 from trawlnet.operators.joins import bounded
 from trawlnet.sources.scratch import materialize
 
+PIECE = 1 << 20  # bytes of a batch that are looked at together; words and hashes take some 20 times as much
 ORDER_SHARE = 0.05  # of the documents, whose shingles tell which lists are long; order only
 LONG_LIST = 2  # documents of that sample that make a list long
 MOST_LONG = 1 << 21  # long lists known to every task, the longest ones
@@ -92,7 +93,7 @@ def _long_lists(docs: DataFrame, k: int, seed: int) -> np.ndarray:
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(ORDER_SHARE * 1_000_000)
 
     def run(batches):
-        for batch in sized(batches, 3 << 20):
+        for batch in sized(batches, PIECE):
             sets = list(shingle_sets(batch.column("text"), k, seed))
             h, n = np.unique(np.concatenate(sets), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
@@ -109,7 +110,7 @@ def _described(docs: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
 
     def run(batches):
         signer, long = _Signer(seed), inside.value
-        for batch in sized(batches, 3 << 20):
+        for batch in sized(batches, PIECE):
             rows = [[], [], [], [], [], []]
             for x in shingle_sets(batch.column("text"), k, seed):
                 n = len(x)
@@ -143,7 +144,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
 
     def sets(batches):
         signer = _Signer(seed)
-        for batch in sized(batches, 3 << 20):
+        for batch in sized(batches, PIECE):
             found = list(shingle_sets(batch.column("text"), k, seed))
             own = [signer(x)[0] for x in found]  # another row may have the same doc_id
             same = [s == t for s, t in zip(own, batch.column("sig").to_pylist(), strict=True)]
@@ -340,7 +341,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, total // 8 // TASK_POSTINGS + 1)
 
     def explode(batches):
-        for batch in sized(batches, 3 << 20):
+        for batch in sized(batches, PIECE):
             counts = np.array([len(p.as_buffer()) // 8 for p in batch.column("prefix")], np.int64)
             if not counts.sum():
                 continue

@@ -23,6 +23,7 @@ from trawlnet.llm.frames import extended, sized
 from trawlnet.llm.windows import ranges, starts_of
 
 BUCKETS = 1 << 16  # hashed trigrams; with the number of languages the size of the model
+PIECE = 2 << 20  # bytes of texts whose words are labelled together; about 50 times as much memory
 SWITCH = 12.0  # price of a switch of language, as a difference of log likelihoods
 UNKNOWN = "und"
 
@@ -92,7 +93,7 @@ def _encoded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram and script counts per language of what this task reads."""
     totals: dict[str, np.ndarray] = {}
-    for batch in sized(batches, 8 << 20):
+    for batch in sized(batches, PIECE):
         distinct, codes, lengths = _encoded(batch.column("text"))
         if not len(distinct):
             continue
@@ -219,7 +220,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], switch: float = SWI
     inside = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, 8 << 20):
+        for batch in sized(batches, PIECE):
             langs, score, names, begin, end = _label(inside.value, switch, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep]
