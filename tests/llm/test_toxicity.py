@@ -164,3 +164,45 @@ def test_worker_holds_one_slice_of_the_index():
     assert all(np.allclose(a["cosines"], b["cosines"]) and abs(a["vote"] - b["vote"]) < 1e-9 for a, b in zip(whole, sliced, strict=True))
     assert all(len(r["neighbours"]) == 15 and r["doc_id"] not in r["neighbours"] for r in sliced)
     assert less < most / 2
+
+
+def test_heavy_terms_go_first(monkeypatch):
+    """A text with a telling term meets the few examples that can be near it and reads no list of other terms.
+
+    Light terms, rows of the matrix, equal examples, ids left out and any order of the slices change nothing.
+    """
+    draw = np.random.default_rng(5)
+    n, n_terms = 3000, 600
+    gain = np.where(np.arange(n_terms) >= 580, 4.0, 0.02 * np.linspace(1.5, 9, n_terms))
+    chance = np.where(np.arange(n_terms) >= 580, 0.01, 0.3 / (1 + np.arange(n_terms) / 30))
+    counts = (draw.random((n, n_terms)) < chance) * draw.integers(1, 4, (n, n_terms))
+    counts[:, 0] = 1  # no example is empty
+    counts[7] = counts[2500] = counts[1200]
+    dense = (1 + np.log(np.maximum(counts, 1))) * (counts > 0) * gain
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    example, term = np.nonzero(counts)
+    order = np.argsort(-np.linalg.norm(dense[:, :580], axis=1), kind="stable")
+    place = np.argsort(order)[example]
+    parts = [[toxicity.pack(term[at], place[at] % 512, counts[example[at], term[at]], n_terms)] for at in (place // 512 == i for i in range(6))]
+    heavy = toxicity._by_term(*(pa.chunked_array([[list(x) for x in y]]) for y in zip(*((np.flatnonzero(r[580:]) + 580, r[580:][r[580:] > 0]) for r in dense), strict=True)))
+    packed = toxicity.Packed(np.arange(n) // 2, np.zeros(n), np.arange(n_terms), gain, 0.5, 512, parts, order, heavy)
+    monkeypatch.setattr(toxicity, "LEFT", 40)
+    led = whole = 0
+    slices = list(packed.slices())
+    for i in [*range(0, n, 60), 1200]:
+        asked = np.flatnonzero(counts[i])
+        weight, without = dense[i, asked], -1 if i % 120 else i // 2
+        floor = packed.floor(asked, weight, without, 15)
+        near = []
+        for index in slices:
+            found = index.led(asked, weight, without, 15, floor)
+            led, whole = led + (found is not None), whole + (found is None)
+            near.append(index.nearest(asked, weight, without, 15, None, floor) if found is None else found)
+        found, cosine = toxicity._top(*(np.concatenate(x) for x in zip(*near, strict=True)), 15)
+        want = dense @ dense[i]
+        want[(np.arange(n) // 2 == without) | (want <= 0)] = -1
+        best = np.lexsort((np.arange(n), -np.round(want, 6)))[:15]
+        assert np.allclose(cosine, want[best], atol=1e-6) and np.allclose(want[found], want[best], atol=1e-6)
+        if without == -1 and i == 1200:
+            assert [x for x in found if x in (7, 1200, 2500)] == [7, 1200, 2500]
+    assert led and whole

@@ -5,6 +5,10 @@ are found exactly in an inverted index whose postings are cut into blocks with a
 so blocks that cannot reach the k best are never scored. Neighbours vote with their similarity,
 and votes of all labelled texts, of the examples with themselves left out, calibrate the vote.
 
+The few heavy terms of a text go first: what an example can have beside them is at most the product of both
+lengths in the other terms. Where that leaves few examples these are compared in full and no list of other
+terms is read; all other texts take the whole index.
+
 Terms are words and first letters of longer words, so that compounds of a word are known. Terms
 that tell bad texts from others have their whole weight and all others a faint one, so that these
 decide where nothing else does. Document frequencies and shares of bad texts are counted by Spark
@@ -38,16 +42,19 @@ LEAST_DOCS = 4  # labelled texts that a telling term must occur in
 PREFIXES = (3, 4, 5, 6, 7, 8)  # so many first letters are terms of their own
 LEAST_ODDS = 3.0  # times the odds of all texts that texts with a telling term are bad
 FAINT = 0.02  # weight of other terms
+HEAVY = 1.0  # weight of a term from which on it goes first; telling terms have it
+FEW = 32  # postings of a term in a slice up to which it goes second
 NEIGHBOURS = 15
 BLOCK = 64  # examples of a block
 SLICE = 80 * BLOCK  # examples whose index a worker holds at a time
-HELD = 1 << 22  # terms of texts that a task takes from one slice to the next
+HELD = 1 << 23  # terms of texts that a task takes from one slice to the next
 STEP = 16  # blocks scored first, those of the highest bound
-ROWS = 1024  # most frequent terms, whose weights are rows of a matrix
+ROWS = 2048  # most frequent terms, whose weights are rows of a matrix
 MARGIN = 2.5e-4  # more than 32-bit products of that many rows can be wrong by
-PART = 50_000  # terms whose postings one task packs
+PART = 50_000  # terms that make up as many ranges of terms, each with about as many postings, which one task packs
 DENSE = 4  # postings of a block from which on its maximum is looked at
 CHUNK = 128  # texts multiplied with them at once
+LEFT = 100  # examples of a slice that are compared one by one rather than through the whole index, at about the text's size
 SEEN = 1 << 15  # texts whose votes a task remembers
 BINS = 20  # of the vote, for calibration
 PRIOR = 0.5  # weight of the base rate in a vote, as a similarity
@@ -64,7 +71,8 @@ def _encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     if not len(distinct):
         return codes, lengths, np.empty(0, np.int64), np.empty(0, np.int64)
-    joined = "\n".join(distinct.to_pylist()) + "\n"
+    one = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)
+    joined = pc.binary_join(one, "\n")[0].as_py() + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     points = points[(points == 10) | _letters()[points]]
     sizes = np.diff(np.flatnonzero(points == 10), prepend=-1) - 1
@@ -82,15 +90,21 @@ def _encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return codes, lengths, np.concatenate(word), np.concatenate(term).view(np.int64)
 
 
-def _terms(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count) of the terms of each text, in order; of ``known`` (sorted) ones as their index."""
+def _terms(
+    texts: pa.Array, known: np.ndarray | None = None, numbers: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of the terms of each text, in order; of ``known`` (sorted) ones as their index or number."""
     codes, lengths, word, term = _encoded(texts)
     if known is None:
         names, number = np.unique(term, return_inverse=True)
     elif len(known):
-        number = np.minimum(np.searchsorted(known, term), len(known) - 1)
+        order = np.argsort(term)  # in order each search is near the one before
+        number = np.empty(len(term), np.int64)
+        number[order] = np.searchsorted(known, term[order])
+        number = np.minimum(number, len(known) - 1)
         good = known[number] == term
-        names, word, number = np.arange(len(known)), word[good], number[good]
+        names, word, number = None, word[good], number[good]
+        number = number if numbers is None else numbers[number]
     else:
         return (np.empty(0, np.int64),) * 3
     # the terms of each distinct word stand together
@@ -103,9 +117,10 @@ def _terms(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray
     codes, text = codes[some], text[some]
     counts = of_word[codes]
     entry = np.repeat(begin[codes], counts) + ranges(counts)
-    key, count = np.unique(np.repeat(text, counts) * max(len(names), 1) + number[entry], return_counts=True)
-    text, number = np.divmod(key, max(len(names), 1))
-    return text, names[number], count
+    width = max(len(known if names is None else names), 1)
+    key, count = np.unique(np.repeat(text, counts) * width + number[entry], return_counts=True)
+    text, number = np.divmod(key, width)
+    return text, number if names is None else names[number], count
 
 
 def _count(terms):
@@ -149,7 +164,7 @@ def telling(n: np.ndarray, bad: np.ndarray, n_all: int, n_bad: int) -> np.ndarra
 class Index:
     """Weighted postings by term, in order of the example, and the maximum of every block.
 
-    Terms that many examples have are rows of a matrix instead.
+    Terms that many examples have are rows of a matrix instead. All terms are also held by example.
     """
 
     terms: np.ndarray
@@ -163,6 +178,14 @@ class Index:
     most: np.ndarray
     row: np.ndarray  # of each term in the matrix, or -1
     matrix: np.ndarray
+    sizes: np.ndarray  # number of terms of each example
+    own: np.ndarray  # where they begin among the following
+    own_term: np.ndarray
+    own_weight: np.ndarray
+    level: np.ndarray  # of each term: 0 heavy, 1 with few postings, 2 others
+    lengths: np.ndarray  # by level and example, in the terms of higher levels
+    dense: np.ndarray  # a zero for each term, to be set and cleared again
+    number: np.ndarray  # of each example, as :meth:`nearest` gives it
     prior: float
 
     def products(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -173,6 +196,62 @@ class Index:
             asked[i, at[at >= 0]] = weight[at >= 0]
         return asked @ self.matrix
 
+    def exact(self, term: np.ndarray, weight: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The cosines of the examples ``found``."""
+        self.dense[term] = weight
+        out = np.empty(len(found))
+        for i, (first, end) in enumerate(zip(self.own[found].tolist(), self.own[found + 1].tolist(), strict=True)):
+            out[i] = self.dense.take(self.own_term[first:end]) @ self.own_weight[first:end].astype(float)
+        self.dense[term] = 0.0
+        return out
+
+    def best(self, found: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return _top(self.number[found[cosine > 0]], cosine[cosine > 0], k)
+
+    def scored(self, first: np.ndarray, size: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the postings at ``first`` and after add to the cosine of every example."""
+        ends = np.cumsum(size)
+        posting = np.repeat(first - ends + size, size)
+        posting += np.arange(len(posting))
+        added = self.weight[posting] * np.repeat(weights.astype(np.float32), size)
+        return np.bincount(self.example[posting], added, (len(self.ids) // BLOCK + 1) * BLOCK)
+
+    def among(self, term, weight, k: int, found: np.ndarray, bound: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the examples ``found``, whose cosines are at most ``bound`` and ``MARGIN``."""
+        near, cosine = np.empty(0, np.int64), np.empty(0)
+        if len(found) > 2 * k:  # those of the highest bounds tell which others can be among the best
+            order = np.argpartition(-bound, 2 * k)
+            near, found, bound = found[order[: 2 * k]], found[order[2 * k :]], bound[order[2 * k :]]
+            cosine = self.exact(term, weight, near)
+            found = found[bound > max(least, np.partition(cosine, -k)[-k]) - MARGIN]
+        return self.best(np.append(near, found), np.append(cosine, self.exact(term, weight, found)), k)
+
+    def led(
+        self, term: np.ndarray, weight: np.ndarray, without: int, k: int, least: float = 0.0
+    ) -> tuple[np.ndarray, np.ndarray] | None:
+        """As :meth:`nearest`, by the heavy terms and those of few postings, or None if these leave many examples."""
+        low, level = max(least - MARGIN, 0.0), self.level[term]
+        score, scored, square = np.zeros(len(self.ids)), -1, weight**2
+        for i, lengths in enumerate(self.lengths):
+            beside = np.sqrt(square[level > i].sum()) * lengths
+            if self.sizes[beside > low].sum() > LEFT * len(term):
+                continue
+            mine = (level > scored) & (level <= i)
+            if mine.any():
+                some = term[mine]
+                first, row = self.begin[self.entry[some]], self.row[some]
+                score += self.scored(first, self.begin[self.entry[some + 1]] - first, weight[mine])[: len(score)]
+                if (row >= 0).any():
+                    score += (weight[mine][row >= 0] @ self.matrix[row[row >= 0]])[: len(score)]
+            scored, bound = i, score + beside
+            found = np.flatnonzero(bound > low)
+            found = found[self.ids[found] != without]
+            if len(found) > 2 * k:  # k examples reach the k-th highest sum of the scored terms
+                found = found[bound[found] >= np.partition(score[found], -k)[-k] - MARGIN]
+            if len(found) <= 2 * k or self.sizes[found].sum() <= LEFT * len(term):
+                return self.among(term, weight, k, found, bound[found], least)
+        return None
+
     def nearest(
         self, term: np.ndarray, weight: np.ndarray, without: int, k: int, product: np.ndarray | None = None, least: float = 0.0
     ) -> tuple[np.ndarray, np.ndarray]:
@@ -183,33 +262,19 @@ class Index:
         base = self.products([(term, weight)])[0] if product is None else product
         n_blocks, low = len(self.ids) // BLOCK + 1, max(least - MARGIN, 0.0)
 
-        def scored(first: np.ndarray, size: np.ndarray, weights: np.ndarray) -> np.ndarray:
-            ends = np.cumsum(size)
-            posting = np.repeat(first - ends + size, size)
-            posting += np.arange(len(posting))
-            added = self.weight[posting] * np.repeat(weights, size)
-            return np.bincount(self.example[posting], added, n_blocks * BLOCK) + base
-
-        def hits(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            hit = np.flatnonzero(score[: len(self.ids)] > low)
-            hit = hit[self.ids[hit] != without]
-            return hit, score[hit]
-
-        row = self.row[term]
-        rows, factors = row[row >= 0], weight[row >= 0]
-
-        def best(found: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def best(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """All that can be among the k best get products in full precision."""
+            found = np.flatnonzero(score[: len(self.ids)] > low)
+            found = found[self.ids[found] != without]
             if len(found) > k:
-                near = cosine >= np.partition(cosine, -k)[-k] - MARGIN
-                found, cosine = found[near], cosine[near]
-            cosine = cosine - base[found] + factors @ self.matrix[rows[:, None], found].astype(float)
-            return _top(found, cosine, k)
+                cosine = score[found]
+                found = found[cosine >= np.partition(cosine, -k)[-k] - MARGIN]
+            return self.best(found, self.exact(term, weight, found), k)
 
         first, end = self.entry[term], self.entry[term + 1]
         counts, posted = end - first, self.begin[end] - self.begin[first]
         if posted.sum() < DENSE * counts.sum():  # blocks of one or two postings spare nothing
-            return best(*hits(scored(self.begin[first], posted, weight)))
+            return best(self.scored(self.begin[first], posted, weight) + base)
         entry, weights = np.repeat(first, counts) + ranges(counts), np.repeat(weight, counts)
         begin = self.begin[entry]
         size, block = self.begin[entry + 1] - begin, self.example[begin] // BLOCK
@@ -217,42 +282,63 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > low]
 
-        def within(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def within(blocks: np.ndarray) -> np.ndarray:
             chosen = np.zeros(n_blocks, bool)
             chosen[blocks] = True
             mine = chosen[block]
-            return hits(scored(begin[mine], size[mine], weights[mine]) * np.repeat(chosen, BLOCK))
+            return (self.scored(begin[mine], size[mine], weights[mine]) + base) * np.repeat(chosen, BLOCK)
 
-        found, cosine = best(*within(order[:STEP]))
+        found, cosine = best(within(order[:STEP]))
         rest = order[STEP:]
         if len(found) == k:  # blocks that cannot hold one of the k best are never scored
             rest = rest[bound[rest] > max(cosine[-1] - MARGIN, low)]
         if len(rest):
-            more, other = best(*within(rest))
+            more, other = best(within(rest))
             found, cosine = _top(np.concatenate([found, more]), np.concatenate([cosine, other]), k)
         return found, cosine
 
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sized(batches, 3 << 20):
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_terms(batch.column("text"))[1]))], names=["term"])
 
 
-def _postings(terms, width: int, of_slice: int):
-    """Postings of numbered examples, in pieces by slices of examples and ranges of ``width`` terms."""
+def _leading(terms, numbers, gain):
+    """Length of each example in the terms that are not heavy, and its heavy terms with their weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = terms.value
-        n_ranges = len(known) // width + 1
+        known, of_known, gains = terms.value, numbers.value, gain.value
+        for batch in sized(batches, 3 << 20):
+            text, at, count = _terms(batch.column("text"), known, of_known)
+            weight, heavy = (1 + np.log(count)) * gains[at], gains[at] >= HEAVY
+            norm = np.sqrt(np.bincount(text, weight**2, batch.num_rows))
+            light = np.sqrt(np.bincount(text, weight**2 * ~heavy, batch.num_rows)) / np.maximum(norm, 1e-300)
+            text, at, weight = text[heavy], at[heavy], (weight / norm[text])[heavy]
+            cuts = starts_of(np.bincount(text, minlength=batch.num_rows)).astype(np.int32)
+            lists = (pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (at.astype(np.int32), weight.astype(np.float32)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(["doc_id", "label", "same"]).columns, pa.array(light), *lists],
+                names=["doc_id", "label", "same", "light", "heavy", "weight"],
+            )
+
+    return run
+
+
+def _postings(terms, numbers, cuts: np.ndarray, of_slice: int):
+    """Postings of numbered examples, in pieces by slices of examples and ranges of terms, which begin at ``cuts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of_known = terms.value, numbers.value
         for batch in sized(batches, 3 << 20):
-            text, at, count = _terms(batch.column("text"), known)
+            text, at, count = _terms(batch.column("text"), known, of_known)
             example = batch.column("example").to_numpy()[text]
-            part = example // of_slice * n_ranges + at // width
+            part = example // of_slice * len(cuts) + np.searchsorted(cuts, at, side="right") - 1
             order = np.argsort(part, kind="stable")
             part = part[order]
             first = np.flatnonzero(np.diff(part, prepend=-1))
-            cuts = np.append(first, len(part))
+            ends = np.append(first, len(part))
             values = (x[order].astype(np.int32) for x in (at, example, count))
-            columns = [[x[i:j].tobytes() for i, j in itertools.pairwise(cuts)] for x in values]
+            columns = [[x[i:j].tobytes() for i, j in itertools.pairwise(ends)] for x in values]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part[first].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)],
                 names=["part", "term", "example", "count"],
@@ -261,19 +347,19 @@ def _postings(terms, width: int, of_slice: int):
     return run
 
 
-def _gathered(width: int, n_terms: int, of_slice: int):
+def _gathered(cuts: np.ndarray, n_terms: int, of_slice: int):
     """The packed postings of each slice and range of terms; both are numbered from 0 in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_ranges = n_terms // width + 1
+        widths = np.diff(cuts, append=n_terms)
         held: dict[int, list] = {}
         for batch in batches:
             for part, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(part, []).append([np.frombuffer(v, np.int32) for v in values])
         for part in sorted(held):
             term, example, count = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
-            piece, first = part // n_ranges, part % n_ranges * width
-            packed = pack(term - first, example - piece * of_slice, count, min(width, n_terms - first))
+            piece, at = divmod(part, len(cuts))
+            packed = pack(term - cuts[at].astype(np.int32), example - piece * of_slice, count, widths[at])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), *(pa.array([x]) for x in packed)], names=["part", *_PACKED]
             )
@@ -281,6 +367,15 @@ def _gathered(width: int, n_terms: int, of_slice: int):
     return run
 
 
+def _by_term(heavy: pa.ChunkedArray, weight: pa.ChunkedArray) -> tuple:
+    """The terms that occur, where the postings of each begin, and the examples and weights of these."""
+    sizes = pc.list_value_length(heavy).to_numpy()
+    term, weight = (pc.list_flatten(x).to_numpy() for x in (heavy, weight))
+    order = np.argsort(term, kind="stable")
+    terms, counts = np.unique(term, return_counts=True)
+    return terms, starts_of(counts), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order], weight[order]
+
+
 def build_index(examples: list, terms: np.ndarray, gain: np.ndarray, prior: float) -> Index:
     """``examples``: rows with doc_id, label, terms and counts."""
     sizes = np.array([len(e["terms"]) for e in examples], np.int64)
@@ -315,58 +410,87 @@ class Packed:
     prior: float
     of_slice: int
     parts: list  # by slice: postings of ranges of terms, in their order, as :func:`pack` gives them
-
-    def slices(self) -> Iterator[tuple[int, Index]]:
-        """The first example and the index of each slice, one at a time."""
+    order: np.ndarray | None = None  # the examples as the slices hold them, if not in order
+    heavy: tuple | None = None  # heavy terms, where their postings begin, examples and weights of these
+    numbers: np.ndarray | None = None  # of the terms, if not in order
+
+    def slices(self) -> Iterator[Index]:
+        """The index of each slice, one at a time."""
+        dense = np.zeros(len(self.terms))
+        order = np.arange(len(self.ids)) if self.order is None else self.order
         for i, parts in enumerate(self.parts):
-            own = slice(i * self.of_slice, (i + 1) * self.of_slice)
-            yield own.start, _unpacked(self.ids[own], self.label[own], self.terms, self.gain, self.prior, parts)
+            own = order[i * self.of_slice : (i + 1) * self.of_slice]
+            yield _unpacked(self.ids[own], self.label[own], self.terms, self.gain, self.prior, parts, own, dense)
+
+    def floor(self, term: np.ndarray, weight: np.ndarray, without: int, k: int) -> float:
+        """A cosine that k examples reach by their heavy terms alone."""
+        if self.heavy is None:
+            return 0.0
+        terms, first, example, weights = self.heavy
+        mine = np.flatnonzero(self.gain[term] >= HEAVY)
+        at = np.searchsorted(terms, term[mine])
+        known = np.append(terms, -1)[at] == term[mine]
+        at, mine = at[known], mine[known]
+        size = first[at + 1] - first[at]
+        posting = np.repeat(first[at], size) + ranges(size)
+        found, at = np.unique(example[posting], return_inverse=True)
+        sums = np.bincount(at, weights[posting] * np.repeat(weight[mine], size), len(found))[self.ids[found] != without]
+        return float(np.partition(sums, -k)[-k]) if len(sums) >= k else 0.0
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine @ self.label[found] + PRIOR * self.prior) / (cosine.sum() + PRIOR))
 
 
-def _unpacked(ids, label, terms, gain, prior, parts) -> Index:
+def _unpacked(ids, label, terms, gain, prior, parts, number=None, dense=None) -> Index:
     n, n_blocks = len(ids), len(ids) // BLOCK + 1
     sizes = [np.frombuffer(zlib.decompress(p[2]), np.int32) for p in parts]
     with_term = np.concatenate([np.empty(0, np.int32), *sizes])
-    first = starts_of(np.array([len(x) for x in sizes], np.int64))
-    held, norm = [], np.zeros(n)
-
-    def weighted(i: int) -> np.ndarray:
-        count = held[i][1]
-        said = 1 + np.log(np.maximum(np.arange(int(count.max(initial=0)) + 1), 1))
-        return said[count] * np.repeat(gain[first[i] : first[i + 1]], sizes[i])
-
-    for i, (examples, counts, _, of_example, of_count) in enumerate(parts):  # range by range, which takes little beside the result
-        held.append((np.frombuffer(zlib.decompress(examples), of_example), np.frombuffer(zlib.decompress(counts), of_count)))
-        np.add.at(norm, held[i][0], weighted(i) ** 2)
-    norm = np.sqrt(norm)
-    many = np.argsort(-with_term, kind="stable")[:ROWS]
-    many = many[with_term[many] > BLOCK]
+    first, total = starts_of(np.array([len(x) for x in sizes], np.int64)), int(with_term.sum())
+    least = np.partition(with_term, -ROWS)[-ROWS] if len(with_term) > ROWS else 0
+    many = np.flatnonzero(with_term > max(least, BLOCK))
     row = np.full(len(terms), -1, np.int32)
     row[many] = np.arange(len(many))
+    level = np.where(gain >= HEAVY, 0, np.where(with_term <= FEW, 1, 2)).astype(np.int8)
+    example, weight, term = np.empty(total, np.uint16 if n < 1 << 16 else np.int32), np.empty(total), np.empty(total, np.int32)
+    squares, each, ends = np.zeros(3 * n), [], []
+    for i, (examples, counts, _, of_example, of_count) in enumerate(parts):  # range by range, which takes little beside the result
+        count = np.frombuffer(zlib.decompress(counts), of_count)
+        at = slice(sum(ends), sum(ends) + len(count))
+        ends.append(len(count))
+        example[at] = np.frombuffer(zlib.decompress(examples), of_example)
+        term[at] = np.repeat(np.arange(first[i], first[i + 1], dtype=np.int32), sizes[i])
+        said = 1 + np.log(np.maximum(np.arange(int(count.max(initial=0)) + 1), 1))
+        weight[at] = said[count] * gain[term[at]]
+        squares += np.bincount(level[term[at]] * np.int64(n) + example[at], weight[at] ** 2, 3 * n)
+        each.append(np.bincount(example[at], minlength=n))
+    squares = squares.reshape(3, n)
+    norm = np.sqrt(squares.sum(0))
+    lengths = np.sqrt([squares[1] + squares[2], squares[2]]) / np.maximum(norm, 1e-300)
+    weight /= norm[example]
+    weight = weight.astype(np.float32)
+    own = starts_of(sum(each, np.zeros(n, np.int64)))
+    own_term, own_weight, left = np.empty(total, np.int32), np.empty(total, np.float32), own[:-1].copy()
+    for at, to, counts in zip(starts_of(np.array(ends, np.int64)), itertools.accumulate(ends), each):
+        order = np.argsort(example[at:to], kind="stable")
+        place = np.repeat(left, counts) + ranges(counts)
+        own_term[place], own_weight[place] = term[at:to][order], weight[at:to][order]
+        left += counts
+    rows = row[term]
     matrix = np.zeros((len(many), n_blocks * BLOCK), np.float32)
-    kept: list[list] = [[np.empty(0, np.uint8)], [np.empty(0, np.float32)], [np.empty(0, np.int32)], [np.empty(0, np.float32)], []]
-    at = 0
-    for i in range(len(parts)):
-        example = held[i][0]
-        weight = (weighted(i) / norm[example]).astype(np.float32)
-        held[i] = None
-        rows = np.repeat(row[first[i] : first[i + 1]], sizes[i])
-        matrix[rows[rows >= 0], example[rows >= 0]] = weight[rows >= 0]
-        term = np.repeat(np.arange(len(sizes[i])), sizes[i])[rows < 0]
-        example, weight = example[rows < 0], weight[rows < 0]
-        begin = np.flatnonzero(np.diff(term * n_blocks + example // BLOCK, prepend=-1))
-        most = np.maximum.reduceat(weight, begin) if len(begin) else weight
-        blocks = np.bincount(term[begin], minlength=len(sizes[i]))
-        for column, values in zip(kept, (example, weight, (begin + at).astype(np.int32), most, blocks), strict=True):
-            column.append(values)
-        at += len(example)
-    kept[2].append(np.array([at], np.int32))
-    example, weight, begin, most = (np.concatenate(column) for column in kept[:4])
-    entry = starts_of(np.concatenate([np.empty(0, np.int64), *kept[4]])).astype(np.int32)
-    return Index(terms, gain, ids, label, example, weight, entry, begin, most, row, matrix, prior)
+    matrix[rows[rows >= 0], example[rows >= 0]] = weight[rows >= 0]
+    listed = rows < 0
+    example, weight, term = example[listed], weight[listed], term[listed]
+    del rows, listed
+    block = example // BLOCK
+    at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
+    begin = np.append(at, len(example)).astype(np.int32)
+    most = np.maximum.reduceat(weight, at) if len(at) else weight
+    entry = starts_of(np.bincount(term[at], minlength=len(terms))).astype(np.int32)
+    dense = np.zeros(len(terms)) if dense is None else dense
+    number = np.arange(n) if number is None else number
+    return Index(
+        terms, gain, ids, label, example, weight, entry, begin, most, row, matrix, np.diff(own), own, own_term, own_weight, level, lengths, dense, number, prior
+    )
 
 
 def _monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -395,16 +519,36 @@ def _voted(index, k: int, columns: list[str], leave_out: bool, held_terms: int):
         def settle() -> Iterator[pa.RecordBatch]:
             """Take all texts that wait through the slices, of which one is unpacked at a time."""
             asked = list(waiting.items())
-            for first, part in own.slices() if asked else ():
-                for some in (asked[i : i + CHUNK] for i in range(0, len(asked), CHUNK)):
-                    texts = []
-                    for _, (term, times, _) in some:
-                        weight = (1 + np.log(times)) * own.gain[term]
-                        texts.append((term, weight / np.sqrt(weight @ weight)))
-                    for (key, (_, _, without)), text, product in zip(some, texts, part.products(texts), strict=True):
-                        found, cosine = seen.get(key, _NONE)
-                        near = part.nearest(*text, without, k, product, cosine[-1] if len(cosine) == k else 0.0)
-                        seen[key] = _top(np.append(found, (near[0] + first).astype(np.int32)), np.append(cosine, near[1]), k)
+
+            floors: dict = {}
+
+            def add(key: tuple, near: tuple[np.ndarray, np.ndarray]) -> None:
+                if len(near[0]):
+                    found, cosine = seen.get(key, _NONE)
+                    seen[key] = _top(np.append(found, near[0].astype(np.int32)), np.append(cosine, near[1]), k)
+                    if len(seen[key][0]) == k:
+                        floors[key] = max(floors[key], seen[key][1][-1])
+
+            def scan(part: Index, some: list) -> None:
+                for (key, text, without), product in zip(some, part.products([text for _, text, _ in some]), strict=True):
+                    add(key, part.nearest(*text, without, k, product, floors[key]))
+                some.clear()
+
+            for part in own.slices() if asked else ():
+                left: list = []  # texts that their heavy terms leave many examples
+                for key, (term, times, without) in asked:
+                    weight = (1 + np.log(times)) * own.gain[term]
+                    text = term, weight / np.sqrt(weight @ weight)
+                    if key not in floors:
+                        floors[key] = own.floor(*text, without, k)
+                    near = part.led(*text, without, k, floors[key])
+                    if near is not None:
+                        add(key, near)
+                        continue
+                    left.append((key, text, without))
+                    if len(left) == CHUNK:
+                        scan(part, left)
+                scan(part, left)
                 del part  # before the next one is unpacked
             for batch, keys in held:
                 near = [seen.get(key, _NONE) for key in keys]
@@ -425,7 +569,7 @@ def _voted(index, k: int, columns: list[str], leave_out: bool, held_terms: int):
 
         n_held = 0
         for batch in sized(batches, 3 << 20):
-            text, at, count = _terms(batch.column("text"), own.terms)
+            text, at, count = _terms(batch.column("text"), own.terms, own.numbers)
             cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
             at, count = at.astype(np.int32), count.astype(np.int32)
             keys: list = []
@@ -485,25 +629,41 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         sums[counted.column("term").to_numpy()] = counted.column(name).to_numpy()
     idf = np.log((1 + docs.count()) / (1 + df)) + 1
     gain = idf * np.where(telling(n_with, bad_with, n, n_bad), 1.0, FAINT)
-    del counted, df, n_with, bad_with, idf
+    # frequent terms have the first numbers, so that what most texts look up is together
+    order = np.argsort(-df, kind="stable")
+    numbers = np.empty(len(terms), np.int32)
+    numbers[order] = np.arange(len(terms), dtype=np.int32)
+    gain, posted = gain[order], np.cumsum(df[order])
+    n_ranges = len(terms) // PART + 1
+    cuts = np.unique(np.searchsorted(posted, posted[-1:] * np.arange(n_ranges) / n_ranges)) if len(terms) else np.zeros(1, np.int64)
+    numbers_of = spark.sparkContext.broadcast(numbers)
+    del counted, df, n_with, bad_with, idf, posted, order
     # postings are brought together by term in tasks; what comes to the driver is packed
-    rows = chosen.select("doc_id", "label", "same").orderBy("doc_id", "label", "same").toArrow()
+    rows = chosen.mapInArrow(
+        _leading(known, numbers_of, spark.sparkContext.broadcast(gain)),
+        "doc_id long, label int, same long, light double, heavy array<int>, weight array<float>",
+    )
+    rows = rows.orderBy("doc_id", "label", "same").toArrow()
     ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(float)
-    rows = spark.createDataFrame(rows.append_column("example", pa.array(np.arange(len(ids)))))
+    # examples of one slice have much or little beside their heavy terms
+    order = np.argsort(-rows.column("light").to_numpy(), kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    heavy = _by_term(rows.column("heavy"), rows.column("weight"))
+    rows = spark.createDataFrame(rows.select(["doc_id", "label", "same"]).append_column("example", pa.array(place)))
     numbered = chosen.join(F.broadcast(rows), ["doc_id", "label", "same"]).select("example", "text")
-    posted = numbered.mapInArrow(_postings(known, PART, SLICE), "part int, term binary, example binary, count binary")
-    n_ranges = len(terms) // PART + 1
+    posted = numbered.mapInArrow(_postings(known, numbers_of, cuts, SLICE), "part int, term binary, example binary, count binary")
     packed = posted.repartition(n_ranges, "part").mapInArrow(
-        _gathered(PART, len(terms), SLICE),
+        _gathered(cuts, len(terms), SLICE),
         "part int, examples binary, counts binary, with_term binary, of_example string, of_count string",
     )
     packed = {r["part"]: tuple(r[c] for c in _PACKED) for r in packed.toArrow().to_pylist()}
     none = [np.empty(0, np.int32)] * 3
     parts = [
-        [packed.get(i * n_ranges + j) or pack(*none, min(PART, len(terms) - j * PART)) for j in range(n_ranges)]
+        [packed.get(i * len(cuts) + j) or pack(*none, width) for j, width in enumerate(np.diff(cuts, append=len(terms)))]
         for i in range(-(-len(ids) // SLICE))
     ]
-    index = spark.sparkContext.broadcast(Packed(ids, label, terms, gain, prior, SLICE, parts))
+    index = spark.sparkContext.broadcast(Packed(ids, label, terms, gain, prior, SLICE, parts, order, heavy, numbers))
     del packed, parts
     voted = "vote double, neighbours array<long>, cosines array<double>"
     judged = chosen.drop("same").repartition(spark.sparkContext.defaultParallelism).mapInArrow(
