@@ -206,3 +206,46 @@ def test_heavy_terms_go_first(monkeypatch):
         if without == -1 and i == 1200:
             assert [x for x in found if x in (7, 1200, 2500)] == [7, 1200, 2500]
     assert led and whole
+
+
+def test_texts_with_telling_terms_take_no_slice(monkeypatch):
+    """Near examples of most texts are found before any slice is unpacked; those of all are the nearest of all examples."""
+    draw = np.random.default_rng(3)
+    n, of_slice = 600, 128
+    letters = [chr(97 + i) for i in range(26)]
+    light, telling = ([f"{a}{''.join(x)}" for x in draw.choice(letters, (m, size))] for a, m, size in (("w", 400, 3), ("z", 12, 2)))
+    texts = [" ".join([*draw.choice(light, 40), *(draw.choice(telling, draw.integers(1, 4)) if i % 2 else [])]) for i in range(n)]
+    texts[9] = texts[11] = texts[200] = texts[7]
+    texts[8] = texts[10] = texts[100]
+    terms = np.unique(toxicity._terms(pa.array(texts))[1])
+    text, term, count = toxicity._terms(pa.array(texts), terms)
+    gain = np.where(np.isin(terms, toxicity._terms(pa.array(telling))[1]), 6.0, 0.02 * draw.uniform(1, 3, len(terms)))
+    dense = np.zeros((n, len(terms)))
+    dense[text, term] = (1 + np.log(count)) * gain[term]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    order = np.argsort(-np.linalg.norm(dense[:, gain < 1], axis=1), kind="stable")
+    place = np.argsort(order)[text]
+    parts = [[toxicity.pack(term[at], place[at] % of_slice, count[at], len(terms))] for at in (place // of_slice == i for i in range(5))]
+    some = [np.flatnonzero((gain >= 1) & (row > 0)) for row in dense]
+    heavy = toxicity._by_term(pa.chunked_array([[x.tolist() for x in some]]), pa.chunked_array([[row[x].tolist() for row, x in zip(dense, some, strict=True)]]))
+    packed = toxicity.Packed(np.arange(n), np.zeros(n), terms, gain, 0.5, of_slice, parts, order, heavy)
+    unpacked, unpack = [], toxicity._unpacked
+    monkeypatch.setattr(toxicity, "_unpacked", lambda *x: unpacked.append(1) or unpack(*x))
+
+    def check(asked, leave_out):
+        batch = pa.RecordBatch.from_arrays([pa.array(asked), pa.array([texts[i] for i in asked])], names=["doc_id", "text"])
+        for r in (r for b in toxicity._voted(SimpleNamespace(value=packed), 15, ["doc_id"], leave_out, 1 << 22)(iter([batch])) for r in b.to_pylist()):
+            want = dense @ dense[r["doc_id"]]
+            if leave_out:
+                want[r["doc_id"]] = -1
+            best = np.lexsort((np.arange(n), -np.round(want, 6)))[:15]
+            assert np.allclose(r["cosines"], want[best], atol=1e-6) and np.allclose(want[r["neighbours"]], want[best], atol=1e-6)
+            if r["doc_id"] == 200:
+                assert r["neighbours"][:3] == [7, 9, 11]
+
+    check(list(range(1, n, 2)), False)
+    assert not unpacked
+    check(list(range(n)), False)
+    assert len(unpacked) == 5
+    check(list(range(n)), True)
+    assert len(unpacked) == 10

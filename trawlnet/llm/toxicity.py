@@ -1,19 +1,19 @@
 """Toxicity by the nearest labelled examples.
 
 Method: texts are TF-IDF vectors over all terms of the examples; the examples nearest by cosine
-are found exactly in an inverted index whose postings are cut into blocks with a known maximum,
-so blocks that cannot reach the k best are never scored. Neighbours vote with their similarity,
+are found exactly in an inverted index behind bounds. Neighbours vote with their similarity,
 and votes of all labelled texts, of the examples with themselves left out, calibrate the vote.
 
 The few heavy terms of a text go first: what an example can have beside them is at most the product of both
-lengths in the other terms. Where that leaves few examples these are compared in full and no list of other
-terms is read; all other texts take the whole index.
+lengths in the other terms. Where that leaves few examples these are compared in full and no slice of the index is
+unpacked. All other texts go through the slices, in each of which lists of few postings go first in the same way; only texts that
+these leave many examples there take all lists and the rows of frequent terms. Examples of like texts stand together.
 
 Terms are words and first letters of longer words, so that compounds of a word are known. Terms
 that tell bad texts from others have their whole weight and all others a faint one, so that these
 decide where nothing else does. Document frequencies and shares of bad texts are counted by Spark
-over all rows; the index holds a bounded sample of the labelled examples. Workers get it packed and
-unpack one slice of the examples at a time.
+over all rows; the index holds a bounded sample of the labelled examples. Workers get it packed, keep the
+terms of each example and unpack the lists of one slice of the examples at a time.
 """
 
 from __future__ import annotations
@@ -43,18 +43,22 @@ PREFIXES = (3, 4, 5, 6, 7, 8)  # so many first letters are terms of their own
 LEAST_ODDS = 3.0  # times the odds of all texts that texts with a telling term are bad
 FAINT = 0.02  # weight of other terms
 HEAVY = 1.0  # weight of a term from which on it goes first; telling terms have it
-FEW = 32  # postings of a term in a slice up to which it goes second
+FEW = 4, 16, 64  # postings of a term in a slice up to which it goes second, third and so on
+SHARE = 0.06  # of the examples of a slice that have a term from which on a row is cheaper than a list
 NEIGHBOURS = 15
-BLOCK = 64  # examples of a block
-SLICE = 80 * BLOCK  # examples whose index a worker holds at a time
+BLOCK = 64  # examples that a term of a row of the matrix has at least
+SLICE = 4096  # examples whose index a worker holds at a time
+PLAIN = 0.9  # length in the other terms above which examples are ordered by likeness
+COMMON = 1024  # most frequent terms, which tell which texts are alike
+SKETCH = 32  # numbers that stand for them
+DEPTH = 4  # times that a group of examples is cut in two
 HELD = 1 << 23  # terms of texts that a task takes from one slice to the next
-STEP = 16  # blocks scored first, those of the highest bound
 ROWS = 2048  # most frequent terms, whose weights are rows of a matrix
 MARGIN = 2.5e-4  # more than 32-bit products of that many rows can be wrong by
 PART = 50_000  # terms that make up as many ranges of terms, each with about as many postings, which one task packs
-DENSE = 4  # postings of a block from which on its maximum is looked at
 CHUNK = 128  # texts multiplied with them at once
-LEFT = 100  # examples of a slice that are compared one by one rather than through the whole index, at about the text's size
+MANY = 200  # examples up to which those that the heavy terms leave are compared at once
+LEFT = 100  # examples of a slice that are compared one by one rather than through the whole index
 SEEN = 1 << 15  # texts whose votes a task remembers
 BINS = 20  # of the vote, for calibration
 PRIOR = 0.5  # weight of the base rate in a vote, as a similarity
@@ -160,33 +164,108 @@ def telling(n: np.ndarray, bad: np.ndarray, n_all: int, n_bad: int) -> np.ndarra
     return tested & (chi >= bar) & (bad * (n_all - n_bad) >= LEAST_ODDS * n_bad * (n - bad))
 
 
+_POSTING = np.dtype([("example", np.int32), ("weight", np.float32)])
+_LAST = 0xFFFF
+_SAID = 1 + np.log(np.maximum(np.arange(256), 1))
+
+
+@dataclass
+class Own:
+    """The terms of every example, in the order of the slices, and how often they occur."""
+
+    first: np.ndarray  # where those of each example begin
+    term: np.ndarray
+    count: np.ndarray  # in a byte, 255 for more
+    more: np.ndarray  # the places of these, in order, and their counts
+    counts: np.ndarray
+    gain: np.ndarray  # weight of each term
+    norm: np.ndarray  # length of each example, by which its weights are divided
+    dense: np.ndarray  # a zero for each term, to be set and cleared again
+    met: np.ndarray  # whether a text has terms of these last 16 bits, to be set and cleared again
+
+    def best(self, term, weight, k: int, found: np.ndarray, bound: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the examples ``found`` that can be among the k best, and their cosines: at most ``bound`` and ``MARGIN``."""
+        if not len(found):
+            return found, np.empty(0)
+        near, cosine, some, last = np.empty(0, np.int64), np.empty(0), k, term & _LAST
+        self.dense[term], self.met[last] = weight, True
+        while len(found) > some:  # those of the highest bounds tell which others can be among the best
+            order = np.argpartition(-bound, some)
+            first, order = order[:some], order[some:]
+            near = np.concatenate([near, found[first]])
+            cosine = np.concatenate([cosine, self._products(found[first])])
+            least, some = max(least, np.partition(cosine, -k)[-k]), 2 * k
+            order = order[bound[order] > least - MARGIN]
+            found, bound = found[order], bound[order]
+        near, cosine = np.concatenate([near, found]), np.concatenate([cosine, self._products(found)])
+        self.dense[term], self.met[last] = 0.0, False
+        return near, cosine
+
+    def _products(self, found: np.ndarray) -> np.ndarray:
+        if not len(found):
+            return np.empty(0)
+        first, end = self.first[found], self.first[found + 1]
+        cuts = [slice(*x) for x in zip(first.tolist(), end.tolist(), strict=True)]
+        own = np.concatenate([self.term[x] for x in cuts])
+        shared = np.flatnonzero(self.met.take(own & _LAST))  # most terms end here, by a small table
+        own = own[shared]
+        ends = np.cumsum(end - first)
+        sizes = np.searchsorted(shared, ends)
+        sizes[1:] -= sizes[:-1].copy()
+        row = np.repeat(np.arange(len(found)), sizes)
+        place = shared + (end - ends)[row]
+        count = self.count[place]
+        values = _SAID[count]
+        for i in np.flatnonzero(count == 255).tolist():
+            values[i] = 1 + np.log(self.counts[np.searchsorted(self.more, place[i])])
+        values *= self.gain[own]
+        values /= self.norm[found][row]
+        values = values.astype(np.float32) * self.dense[own]  # weights have 32 bits
+        return np.bincount(row, values, len(found)).astype(float, copy=False)
+
+
+class Pool:
+    """Examples that can be among the k nearest of a text, from the slices so far."""
+
+    def __init__(self, floor: float) -> None:
+        self.floor = floor  # a cosine that k examples reach
+        self.best = np.empty(0)  # the k highest sums
+        self.near: list = []
+
+    def add(self, near: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> None:
+        """Take ``near``: examples, what they reach at least and at most, but for ``MARGIN``."""
+        if not len(near[0]):
+            return
+        self.near.append((near[0].astype(np.int32), *near[1:]))
+        best = np.concatenate([self.best, near[1]])
+        if len(best) >= k:
+            best = np.partition(best, -k)[-k:]
+            self.floor = max(self.floor, best[0] - MARGIN)
+        self.best = best
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, score, bound = (np.concatenate(x) for x in zip(*self.near, strict=True)) if self.near else (self.best,) * 3
+        some = bound > self.floor - MARGIN
+        return found[some].astype(np.int64), score[some], bound[some]
+
+
 @dataclass
 class Index:
-    """Weighted postings by term, in order of the example, and the maximum of every block.
+    """Weighted postings of a slice of the examples, by term.
 
-    Terms that many examples have are rows of a matrix instead. All terms are also held by example.
+    Terms that many examples have are rows of a matrix instead.
     """
 
-    terms: np.ndarray
-    gain: np.ndarray  # weight of each term
     ids: np.ndarray
-    label: np.ndarray
-    example: np.ndarray  # of the postings, by term
-    weight: np.ndarray
-    entry: np.ndarray  # where the blocks of each term begin among the following
-    begin: np.ndarray  # the postings of a term in a block, to the next ones, and the largest weight of them
-    most: np.ndarray
+    lists: pa.BinaryArray  # by term: example and weight of the postings
     row: np.ndarray  # of each term in the matrix, or -1
     matrix: np.ndarray
-    sizes: np.ndarray  # number of terms of each example
-    own: np.ndarray  # where they begin among the following
-    own_term: np.ndarray
-    own_weight: np.ndarray
-    level: np.ndarray  # of each term: 0 heavy, 1 with few postings, 2 others
+    level: np.ndarray  # of each term: 0 heavy, then by ``FEW``, other lists, rows
     lengths: np.ndarray  # by level and example, in the terms of higher levels
-    dense: np.ndarray  # a zero for each term, to be set and cleared again
+    sorted: np.ndarray  # the same by length
+    own: Own
+    start: int  # of the slice among the examples
     number: np.ndarray  # of each example, as :meth:`nearest` gives it
-    prior: float
 
     def products(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the terms of the matrix add to the cosine of every text (term, weight) and example."""
@@ -194,64 +273,66 @@ class Index:
         for i, (term, weight) in enumerate(texts):
             at = self.row[term]
             asked[i, at[at >= 0]] = weight[at >= 0]
+        used = np.flatnonzero(asked.any(axis=0))
+        if len(used) < len(self.matrix) * 3 // 4:
+            return asked[:, used] @ self.matrix[used]
         return asked @ self.matrix
 
-    def exact(self, term: np.ndarray, weight: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """The cosines of the examples ``found``."""
-        self.dense[term] = weight
-        out = np.empty(len(found))
-        for i, (first, end) in enumerate(zip(self.own[found].tolist(), self.own[found + 1].tolist(), strict=True)):
-            out[i] = self.dense.take(self.own_term[first:end]) @ self.own_weight[first:end].astype(float)
-        self.dense[term] = 0.0
-        return out
-
-    def best(self, found: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        return _top(self.number[found[cosine > 0]], cosine[cosine > 0], k)
-
-    def scored(self, first: np.ndarray, size: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the postings at ``first`` and after add to the cosine of every example."""
-        ends = np.cumsum(size)
-        posting = np.repeat(first - ends + size, size)
-        posting += np.arange(len(posting))
-        added = self.weight[posting] * np.repeat(weights.astype(np.float32), size)
-        return np.bincount(self.example[posting], added, (len(self.ids) // BLOCK + 1) * BLOCK)
-
-    def among(self, term, weight, k: int, found: np.ndarray, bound: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of the examples ``found``, whose cosines are at most ``bound`` and ``MARGIN``."""
-        near, cosine = np.empty(0, np.int64), np.empty(0)
-        if len(found) > 2 * k:  # those of the highest bounds tell which others can be among the best
-            order = np.argpartition(-bound, 2 * k)
-            near, found, bound = found[order[: 2 * k]], found[order[2 * k :]], bound[order[2 * k :]]
-            cosine = self.exact(term, weight, near)
-            found = found[bound > max(least, np.partition(cosine, -k)[-k]) - MARGIN]
-        return self.best(np.append(near, found), np.append(cosine, self.exact(term, weight, found)), k)
+    def n_rows(self, term: np.ndarray) -> int:
+        return int((self.row[term] >= 0).sum())
 
-    def led(
-        self, term: np.ndarray, weight: np.ndarray, without: int, k: int, least: float = 0.0
-    ) -> tuple[np.ndarray, np.ndarray] | None:
-        """As :meth:`nearest`, by the heavy terms and those of few postings, or None if these leave many examples."""
-        low, level = max(least - MARGIN, 0.0), self.level[term]
-        score, scored, square = np.zeros(len(self.ids)), -1, weight**2
+    def scored(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the postings of the terms add to the cosine of every example."""
+        lists = self.lists.take(pa.array(term))
+        first = np.frombuffer(lists.buffers()[1], np.int32, len(term) + 1)
+        posting = np.frombuffer(lists.buffers()[2] or b"", _POSTING)
+        added = np.repeat(weight, (first[1:] - first[:-1]) // _POSTING.itemsize)
+        added *= posting["weight"]
+        return np.bincount(posting["example"], added, len(self.ids)).astype(float, copy=False)
+
+    def few(self, term: np.ndarray, weight: np.ndarray, without: int, k: int, least: float) -> tuple | None:
+        """Examples that can be among the k best and reach ``least``, the sums of some of their terms and bounds.
+
+        Heavy terms go first and then those of few postings. None if that leaves many examples.
+        """
+        low, level, score, scored = max(least - MARGIN, 0.0), self.level[term], 0.0, -1
+        rest = np.sqrt(np.cumsum(np.bincount(level, weight**2, len(self.lengths) + 1)[:0:-1])[::-1])
         for i, lengths in enumerate(self.lengths):
-            beside = np.sqrt(square[level > i].sum()) * lengths
-            if self.sizes[beside > low].sum() > LEFT * len(term):
+            # with nothing but these terms
+            if rest[i] and len(self.ids) - np.searchsorted(self.sorted[i], low / rest[i]) > LEFT:
                 continue
             mine = (level > scored) & (level <= i)
-            if mine.any():
-                some = term[mine]
-                first, row = self.begin[self.entry[some]], self.row[some]
-                score += self.scored(first, self.begin[self.entry[some + 1]] - first, weight[mine])[: len(score)]
-                if (row >= 0).any():
-                    score += (weight[mine][row >= 0] @ self.matrix[row[row >= 0]])[: len(score)]
-            scored, bound = i, score + beside
+            score = score + self.scored(term[mine], weight[mine])
+            scored, bound = i, score + rest[i] * lengths
             found = np.flatnonzero(bound > low)
             found = found[self.ids[found] != without]
             if len(found) > 2 * k:  # k examples reach the k-th highest sum of the scored terms
                 found = found[bound[found] >= np.partition(score[found], -k)[-k] - MARGIN]
-            if len(found) <= 2 * k or self.sizes[found].sum() <= LEFT * len(term):
-                return self.among(term, weight, k, found, bound[found], least)
+            if len(found) <= LEFT:
+                return found + self.start, score[found], bound[found]
         return None
 
+    def all(self, term: np.ndarray, weight: np.ndarray, without: int, k: int, product: np.ndarray, least: float) -> tuple:
+        """As :meth:`few` by all terms, with what those of the matrix add; the sums are the cosines."""
+        listed = self.scored(term, weight)
+        score = listed + product
+        found = np.flatnonzero(score > max(least - MARGIN, 0.0))
+        found = found[self.ids[found] != without]
+        if len(found) > k:  # all that can be among the k best get products in full precision
+            score = score[found]
+            found = found[score >= np.partition(score, -k)[-k] - MARGIN]
+        row = self.row[term]
+        rows = row >= 0
+        cosine = listed[found] + weight[rows] @ self.matrix[np.ix_(row[rows], found)]
+        return found + self.start, cosine, cosine
+
+    def led(
+        self, term: np.ndarray, weight: np.ndarray, without: int, k: int, least: float = 0.0
+    ) -> tuple[np.ndarray, np.ndarray] | None:
+        """As :meth:`nearest`, or None if the heavy terms and those of few postings leave many examples."""
+        found = self.few(term, weight, without, k, least)
+        return None if found is None else self._top(term, weight, k, *found, least)
+
     def nearest(
         self, term: np.ndarray, weight: np.ndarray, without: int, k: int, product: np.ndarray | None = None, least: float = 0.0
     ) -> tuple[np.ndarray, np.ndarray]:
@@ -259,43 +340,12 @@ class Index:
 
         Those of less than ``least`` can be left out.
         """
-        base = self.products([(term, weight)])[0] if product is None else product
-        n_blocks, low = len(self.ids) // BLOCK + 1, max(least - MARGIN, 0.0)
+        product = self.products([(term, weight)])[0] if product is None else product
+        return self._top(term, weight, k, *self.all(term, weight, without, k, product, least), least)
 
-        def best(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """All that can be among the k best get products in full precision."""
-            found = np.flatnonzero(score[: len(self.ids)] > low)
-            found = found[self.ids[found] != without]
-            if len(found) > k:
-                cosine = score[found]
-                found = found[cosine >= np.partition(cosine, -k)[-k] - MARGIN]
-            return self.best(found, self.exact(term, weight, found), k)
-
-        first, end = self.entry[term], self.entry[term + 1]
-        counts, posted = end - first, self.begin[end] - self.begin[first]
-        if posted.sum() < DENSE * counts.sum():  # blocks of one or two postings spare nothing
-            return best(self.scored(self.begin[first], posted, weight) + base)
-        entry, weights = np.repeat(first, counts) + ranges(counts), np.repeat(weight, counts)
-        begin = self.begin[entry]
-        size, block = self.begin[entry + 1] - begin, self.example[begin] // BLOCK
-        bound = np.bincount(block, weights * self.most[entry], n_blocks) + base.reshape(n_blocks, BLOCK).max(1)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > low]
-
-        def within(blocks: np.ndarray) -> np.ndarray:
-            chosen = np.zeros(n_blocks, bool)
-            chosen[blocks] = True
-            mine = chosen[block]
-            return (self.scored(begin[mine], size[mine], weights[mine]) + base) * np.repeat(chosen, BLOCK)
-
-        found, cosine = best(within(order[:STEP]))
-        rest = order[STEP:]
-        if len(found) == k:  # blocks that cannot hold one of the k best are never scored
-            rest = rest[bound[rest] > max(cosine[-1] - MARGIN, low)]
-        if len(rest):
-            more, other = best(within(rest))
-            found, cosine = _top(np.concatenate([found, more]), np.concatenate([cosine, other]), k)
-        return found, cosine
+    def _top(self, term, weight, k: int, found: np.ndarray, _, bound: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        found, cosine = self.own.best(term, weight, k, found, bound, least)
+        return _top(self.number[found[cosine > 0] - self.start], cosine[cosine > 0], k)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,6 +353,33 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_terms(batch.column("text"))[1]))], names=["term"])
 
 
+def _sketches(text: np.ndarray, number: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Directions of the texts in their frequent terms, of which those of one language share many."""
+    common = number < COMMON
+    text, at = text[common], mix(number[common].astype(np.uint64) + np.uint64(1))
+    value = (1 + np.log(count[common])) * (1 - 2 * (at >> np.uint64(63)).astype(np.int8))
+    place = text * SKETCH + (at % np.uint64(SKETCH)).astype(np.int64)
+    sketch = np.bincount(place, value, n * SKETCH).reshape(n, SKETCH)
+    return (sketch / np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def _alike(sketch: np.ndarray) -> np.ndarray:
+    """An order with like rows together, those of small groups first.
+
+    Groups are cut in two across the direction in which they differ most.
+    """
+
+    def cut(rows: np.ndarray, depth: int) -> list[np.ndarray]:
+        if depth == 0 or len(rows) < 2 * BLOCK:
+            return [rows]
+        apart = sketch[rows] - sketch[rows].mean(axis=0)
+        side = apart @ np.linalg.eigh(apart.T @ apart)[1][:, -1] > 0
+        parts = sorted((rows[side], rows[~side]), key=len)
+        return [x for part in parts for x in cut(part, depth - 1)]
+
+    return np.concatenate(cut(np.arange(len(sketch)), DEPTH))
+
+
 def _leading(terms, numbers, gain):
     """Length of each example in the terms that are not heavy, and its heavy terms with their weights."""
 
@@ -313,12 +390,14 @@ def _leading(terms, numbers, gain):
             weight, heavy = (1 + np.log(count)) * gains[at], gains[at] >= HEAVY
             norm = np.sqrt(np.bincount(text, weight**2, batch.num_rows))
             light = np.sqrt(np.bincount(text, weight**2 * ~heavy, batch.num_rows)) / np.maximum(norm, 1e-300)
+            sketch = _sketches(text, at, count, batch.num_rows)
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), SKETCH).cast(pa.list_(pa.float32()))
             text, at, weight = text[heavy], at[heavy], (weight / norm[text])[heavy]
             cuts = starts_of(np.bincount(text, minlength=batch.num_rows)).astype(np.int32)
             lists = (pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (at.astype(np.int32), weight.astype(np.float32)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.select(["doc_id", "label", "same"]).columns, pa.array(light), *lists],
-                names=["doc_id", "label", "same", "light", "heavy", "weight"],
+                [*batch.select(["doc_id", "label", "same"]).columns, pa.array(light), sketch, *lists],
+                names=["doc_id", "label", "same", "light", "sketch", "heavy", "weight"],
             )
 
     return run
@@ -383,7 +462,7 @@ def build_index(examples: list, terms: np.ndarray, gain: np.ndarray, prior: floa
     count = np.concatenate([np.array(e["counts"]) for e in examples]) if examples else np.empty(0, np.int32)
     ids, label = (np.array([e[c] for e in examples], t) for c, t in (("doc_id", np.int64), ("label", float)))
     parts = [pack(term, np.repeat(np.arange(len(ids)), sizes), count, len(terms))]
-    return _unpacked(ids, label, terms, gain, prior, parts)
+    return next(Packed(ids, label, terms, gain, prior, max(len(ids), 1), [parts]).slices())
 
 
 _NONE = np.empty(0, np.int32), np.empty(0)
@@ -414,83 +493,159 @@ class Packed:
     heavy: tuple | None = None  # heavy terms, where their postings begin, examples and weights of these
     numbers: np.ndarray | None = None  # of the terms, if not in order
 
+    own: Own | None = None  # made when it is first asked for, and kept by the worker
+    light: np.ndarray | None = None  # length of each example beside its heavy terms, at most
+    place: np.ndarray | None = None  # of each example among the slices
+    lengths: dict | None = None  # those of the slices
+
+    def ready(self) -> None:
+        """Make what all texts need, once for all tasks of a worker."""
+        if self.own is None:
+            n, order = len(self.ids), self.order
+            self.order = order = np.arange(n) if order is None else order
+            self.place = np.empty(n, np.int64)
+            self.place[order] = np.arange(n)
+            if self.heavy is not None:
+                square = np.bincount(self.heavy[2], self.heavy[3].astype(float) ** 2, n)
+                self.light = np.sqrt(np.maximum(1 - square, 0.0) + 1e-6)  # weights are rounded to 32 bits
+            self.lengths = {}
+            self.own = self._by_example()
+
+    def _by_example(self) -> Own:
+        n, total = len(self.ids), sum(int(np.frombuffer(zlib.decompress(p[2]), np.int32).sum()) for parts in self.parts for p in parts)
+        first, norm = np.zeros(n + 1, np.int64), np.zeros(n)
+        own_term, own_count, more, counts_of_more = np.empty(total, np.int32), np.empty(total, np.uint8), [], []
+        for i, parts in enumerate(self.parts):
+            start = i * self.of_slice
+            size = min(self.of_slice, n - start)
+            squares, each = np.zeros(size), []
+            for _, example, _, _, weight in _postings_of(parts, self.gain):
+                squares += np.bincount(example, weight**2, size)
+                each.append(np.bincount(example, minlength=size))
+            norm[start : start + size] = np.sqrt(squares)
+            ends = first[start] + np.cumsum(sum(each, np.zeros(size, np.int64)))
+            first[start + 1 : start + size + 1] = ends
+            left = first[start : start + size].copy()
+            for (term, example, _, count, _), counts in zip(_postings_of(parts, self.gain), each, strict=True):
+                order = np.argsort(example, kind="stable")
+                to = np.repeat(left, counts) + ranges(counts)
+                count = count[order]
+                own_term[to], own_count[to] = term[order], np.minimum(count, 255)
+                many = np.flatnonzero(count >= 255)
+                more.append(to[many])
+                counts_of_more.append(count[many].astype(np.int64))
+                left += counts
+        more, counts_of_more = (np.concatenate([np.empty(0, np.int64), *x]) for x in (more, counts_of_more))
+        order = np.argsort(more)
+        return Own(
+            first, own_term, own_count, more[order], counts_of_more[order], self.gain, norm, np.zeros(len(self.terms)), np.zeros(_LAST + 1, bool)
+        )
+
     def slices(self) -> Iterator[Index]:
         """The index of each slice, one at a time."""
-        dense = np.zeros(len(self.terms))
-        order = np.arange(len(self.ids)) if self.order is None else self.order
+        self.ready()
         for i, parts in enumerate(self.parts):
-            own = order[i * self.of_slice : (i + 1) * self.of_slice]
-            yield _unpacked(self.ids[own], self.label[own], self.terms, self.gain, self.prior, parts, own, dense)
+            yield _unpacked(self, i * self.of_slice, parts)
+
+    def _sums(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the heavy terms, which are all that are given, add to the cosine of every example."""
+        terms, first, example, weights = self.heavy
+        at = np.searchsorted(terms, term)
+        known = np.append(terms, -1)[at] == term
+        at = at[known]
+        size = first[at + 1] - first[at]
+        posting = np.repeat(first[at], size) + ranges(size)
+        return np.bincount(example[posting], weights[posting] * np.repeat(weight[known], size), len(self.ids))
 
     def floor(self, term: np.ndarray, weight: np.ndarray, without: int, k: int) -> float:
         """A cosine that k examples reach by their heavy terms alone."""
         if self.heavy is None:
             return 0.0
-        terms, first, example, weights = self.heavy
-        mine = np.flatnonzero(self.gain[term] >= HEAVY)
-        at = np.searchsorted(terms, term[mine])
-        known = np.append(terms, -1)[at] == term[mine]
-        at, mine = at[known], mine[known]
-        size = first[at + 1] - first[at]
-        posting = np.repeat(first[at], size) + ranges(size)
-        found, at = np.unique(example[posting], return_inverse=True)
-        sums = np.bincount(at, weights[posting] * np.repeat(weight[mine], size), len(found))[self.ids[found] != without]
-        return float(np.partition(sums, -k)[-k]) if len(sums) >= k else 0.0
+        mine = self.gain[term] >= HEAVY
+        return self._kth(self._sums(term[mine], weight[mine]), without, k)
+
+    def _kth(self, sums: np.ndarray, without: int, k: int) -> float:
+        found = np.flatnonzero(sums)
+        found = found[self.ids[found] != without]
+        return float(np.partition(sums[found], -k)[-k]) if len(found) >= k else 0.0
+
+    def first(self, term: np.ndarray, weight: np.ndarray, without: int, k: int) -> tuple[tuple[np.ndarray, np.ndarray] | None, float]:
+        """The k nearest examples, if the heavy terms leave few that can be, else None; and a cosine that k examples reach."""
+        mine = self.gain[term] >= HEAVY
+        if self.heavy is None or not mine.any():
+            return None, 0.0
+        sums = self._sums(term[mine], weight[mine])
+        floor = self._kth(sums, without, k)
+        if not floor:
+            return None, 0.0
+        bound = sums + np.sqrt((weight[~mine] ** 2).sum()) * self.light
+        found = np.flatnonzero(bound > floor - MARGIN)
+        found = found[self.ids[found] != without]
+        if len(found) > MANY:
+            return None, floor
+        found, cosine = self.own.best(term, weight, k, self.place[found], bound[found], floor)
+        return _top(self.order[found[cosine > 0]], cosine[cosine > 0], k), floor
+
+    def best(self, term: np.ndarray, weight: np.ndarray, pool: Pool, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples of all slices, and their cosines."""
+        found, score, bound = pool.all()
+        whole = score == bound  # all terms are in the sum
+        other = ~whole
+        more, products = self.own.best(term, weight, k, found[other], bound[other], pool.floor)
+        found, cosine = found[whole], score[whole]
+        found, cosine = np.append(found, more), np.append(cosine, products)
+        return _top(self.order[found[cosine > 0]], cosine[cosine > 0], k)
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine @ self.label[found] + PRIOR * self.prior) / (cosine.sum() + PRIOR))
 
 
-def _unpacked(ids, label, terms, gain, prior, parts, number=None, dense=None) -> Index:
-    n, n_blocks = len(ids), len(ids) // BLOCK + 1
-    sizes = [np.frombuffer(zlib.decompress(p[2]), np.int32) for p in parts]
-    with_term = np.concatenate([np.empty(0, np.int32), *sizes])
-    first, total = starts_of(np.array([len(x) for x in sizes], np.int64)), int(with_term.sum())
-    least = np.partition(with_term, -ROWS)[-ROWS] if len(with_term) > ROWS else 0
-    many = np.flatnonzero(with_term > max(least, BLOCK))
-    row = np.full(len(terms), -1, np.int32)
-    row[many] = np.arange(len(many))
-    level = np.where(gain >= HEAVY, 0, np.where(with_term <= FEW, 1, 2)).astype(np.int8)
-    example, weight, term = np.empty(total, np.uint16 if n < 1 << 16 else np.int32), np.empty(total), np.empty(total, np.int32)
-    squares, each, ends = np.zeros(3 * n), [], []
-    for i, (examples, counts, _, of_example, of_count) in enumerate(parts):  # range by range, which takes little beside the result
+def _postings_of(parts: list, gain: np.ndarray) -> Iterator[tuple]:
+    """Range by range, which takes little memory: term and example of the postings, postings per term, counts, weights yet to be divided."""
+    begin = 0
+    for examples, counts, with_term, of_example, of_count in parts:
+        sizes = np.frombuffer(zlib.decompress(with_term), np.int32)
         count = np.frombuffer(zlib.decompress(counts), of_count)
-        at = slice(sum(ends), sum(ends) + len(count))
-        ends.append(len(count))
-        example[at] = np.frombuffer(zlib.decompress(examples), of_example)
-        term[at] = np.repeat(np.arange(first[i], first[i + 1], dtype=np.int32), sizes[i])
         said = 1 + np.log(np.maximum(np.arange(int(count.max(initial=0)) + 1), 1))
-        weight[at] = said[count] * gain[term[at]]
-        squares += np.bincount(level[term[at]] * np.int64(n) + example[at], weight[at] ** 2, 3 * n)
-        each.append(np.bincount(example[at], minlength=n))
-    squares = squares.reshape(3, n)
-    norm = np.sqrt(squares.sum(0))
-    lengths = np.sqrt([squares[1] + squares[2], squares[2]]) / np.maximum(norm, 1e-300)
-    weight /= norm[example]
-    weight = weight.astype(np.float32)
-    own = starts_of(sum(each, np.zeros(n, np.int64)))
-    own_term, own_weight, left = np.empty(total, np.int32), np.empty(total, np.float32), own[:-1].copy()
-    for at, to, counts in zip(starts_of(np.array(ends, np.int64)), itertools.accumulate(ends), each):
-        order = np.argsort(example[at:to], kind="stable")
-        place = np.repeat(left, counts) + ranges(counts)
-        own_term[place], own_weight[place] = term[at:to][order], weight[at:to][order]
-        left += counts
-    rows = row[term]
-    matrix = np.zeros((len(many), n_blocks * BLOCK), np.float32)
-    matrix[rows[rows >= 0], example[rows >= 0]] = weight[rows >= 0]
-    listed = rows < 0
-    example, weight, term = example[listed], weight[listed], term[listed]
-    del rows, listed
-    block = example // BLOCK
-    at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
-    begin = np.append(at, len(example)).astype(np.int32)
-    most = np.maximum.reduceat(weight, at) if len(at) else weight
-    entry = starts_of(np.bincount(term[at], minlength=len(terms))).astype(np.int32)
-    dense = np.zeros(len(terms)) if dense is None else dense
-    number = np.arange(n) if number is None else number
-    return Index(
-        terms, gain, ids, label, example, weight, entry, begin, most, row, matrix, np.diff(own), own, own_term, own_weight, level, lengths, dense, number, prior
-    )
+        weight = said[count]
+        weight *= np.repeat(gain[begin : begin + len(sizes)], sizes)
+        term = np.repeat(np.arange(begin, begin + len(sizes), dtype=np.int32), sizes)
+        yield term, np.frombuffer(zlib.decompress(examples), of_example), sizes, count, weight
+        begin += len(sizes)
+
+
+def _unpacked(packed: Packed, start: int, parts: list) -> Index:
+    number = packed.order[start : start + packed.of_slice]
+    n, norm = len(number), packed.own.norm[start : start + packed.of_slice]
+    with_term = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(zlib.decompress(p[2]), np.int32) for p in parts)])
+    heavy = packed.gain >= HEAVY
+    least = np.partition(with_term, -ROWS)[-ROWS] if len(with_term) > ROWS else 0
+    many = np.flatnonzero((with_term > max(least, BLOCK, SHARE * n)) & ~heavy)
+    row = np.full(len(with_term), -1, np.int32)
+    row[many] = np.arange(len(many))
+    top = len(FEW) + 2
+    level = np.searchsorted(FEW, with_term).astype(np.int8) + np.int8(1)
+    level[heavy], level[many], level[with_term == 0] = 0, top, 0
+    begin = starts_of(np.where(row < 0, with_term, 0))
+    posting = np.empty(begin[-1], _POSTING)
+    matrix, at, lengths = np.zeros((len(many), n), np.float32), 0, packed.lengths.get(start)
+    squares = np.zeros((top + 1) * n)
+    for term, of, _, _, value in _postings_of(parts, packed.gain):
+        value /= norm[of]
+        if lengths is None:
+            squares += np.bincount(level[term] * np.int64(n) + of, value**2, (top + 1) * n)
+        rows = row[term]
+        listed = np.flatnonzero(rows < 0)
+        to = at + len(listed)
+        posting["example"][at:to], posting["weight"][at:to] = of[listed], value[listed]
+        listed = np.flatnonzero(rows >= 0)
+        matrix[rows[listed], of[listed]] = value[listed]
+        at = to
+    if lengths is None:
+        lengths = packed.lengths[start] = np.sqrt(np.cumsum(squares.reshape(top + 1, n)[:0:-1], axis=0)[::-1])
+    begin = (begin * _POSTING.itemsize).astype(np.int32)
+    lists = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(begin), pa.py_buffer(posting)])
+    return Index(packed.ids[number], lists, row, matrix, level, lengths, np.sort(lengths, axis=1), packed.own, start, number)
 
 
 def _monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -518,38 +673,36 @@ def _voted(index, k: int, columns: list[str], leave_out: bool, held_terms: int):
 
         def settle() -> Iterator[pa.RecordBatch]:
             """Take all texts that wait through the slices, of which one is unpacked at a time."""
-            asked = list(waiting.items())
-
-            floors: dict = {}
-
-            def add(key: tuple, near: tuple[np.ndarray, np.ndarray]) -> None:
-                if len(near[0]):
-                    found, cosine = seen.get(key, _NONE)
-                    seen[key] = _top(np.append(found, near[0].astype(np.int32)), np.append(cosine, near[1]), k)
-                    if len(seen[key][0]) == k:
-                        floors[key] = max(floors[key], seen[key][1][-1])
-
-            def scan(part: Index, some: list) -> None:
-                for (key, text, without), product in zip(some, part.products([text for _, text, _ in some]), strict=True):
-                    add(key, part.nearest(*text, without, k, product, floors[key]))
-                some.clear()
-
+            own.ready()
+            asked: list = []  # texts that their heavy terms leave many examples
+
+            def text_of(term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                weight = (1 + np.log(times.astype(float))) * own.gain[term]
+                return term, weight / np.sqrt(weight @ weight)
+
+            for key, (*said, without) in waiting.items():
+                text = text_of(*said)
+                near, floor = own.first(*text, without, k)
+                if near is None:
+                    asked.append((key, said, without, Pool(floor)))
+                else:
+                    seen[key] = near
             for part in own.slices() if asked else ():
-                left: list = []  # texts that their heavy terms leave many examples
-                for key, (term, times, without) in asked:
-                    weight = (1 + np.log(times)) * own.gain[term]
-                    text = term, weight / np.sqrt(weight @ weight)
-                    if key not in floors:
-                        floors[key] = own.floor(*text, without, k)
-                    near = part.led(*text, without, k, floors[key])
-                    if near is not None:
-                        add(key, near)
-                        continue
-                    left.append((key, text, without))
-                    if len(left) == CHUNK:
-                        scan(part, left)
-                scan(part, left)
-                del part  # before the next one is unpacked
+                left: list = []
+                for _, said, without, pool in asked:
+                    near = part.few(*text_of(*said), without, k, pool.floor)
+                    if near is None:
+                        left.append((part.n_rows(said[0]), said, without, pool))
+                    else:
+                        pool.add(near, k)
+                left.sort(key=lambda x: x[0])  # texts of one language and length have like rows
+                for i in range(0, len(left), CHUNK):
+                    some = [(text_of(*said), *x) for _, said, *x in left[i : i + CHUNK]]
+                    for (text, without, pool), product in zip(some, part.products([x[0] for x in some]), strict=True):
+                        pool.add(part.all(*text, without, k, product, pool.floor), k)
+                del part, left  # before the next one is unpacked
+            for key, said, _, pool in asked:
+                seen[key] = own.best(*text_of(*said), pool, k)
             for batch, keys in held:
                 near = [seen.get(key, _NONE) for key in keys]
                 votes = [own.vote(*x) if key else None for key, x in zip(keys, near, strict=True)]
@@ -572,6 +725,7 @@ def _voted(index, k: int, columns: list[str], leave_out: bool, held_terms: int):
             text, at, count = _terms(batch.column("text"), own.terms, own.numbers)
             cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
             at, count = at.astype(np.int32), count.astype(np.int32)
+            few = count.astype(np.min_scalar_type(int(count.max(initial=0))))
             keys: list = []
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 term, times = at[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]
@@ -582,7 +736,7 @@ def _voted(index, k: int, columns: list[str], leave_out: bool, held_terms: int):
                 key = said, doc_id if leave_out else None
                 keys.append(key)
                 if key not in seen and key not in waiting:
-                    waiting[key] = term, times, doc_id if leave_out else -(1 << 62)
+                    waiting[key] = term.copy(), few[cuts[i] : cuts[i + 1]].copy(), doc_id if leave_out else -(1 << 62)
                     n_held += len(term)
             held.append((batch.select(columns), keys))
             if n_held >= held_terms:
@@ -641,12 +795,16 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     # postings are brought together by term in tasks; what comes to the driver is packed
     rows = chosen.mapInArrow(
         _leading(known, numbers_of, spark.sparkContext.broadcast(gain)),
-        "doc_id long, label int, same long, light double, heavy array<int>, weight array<float>",
+        "doc_id long, label int, same long, light double, sketch array<float>, heavy array<int>, weight array<float>",
     )
     rows = rows.orderBy("doc_id", "label", "same").toArrow()
     ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(float)
-    # examples of one slice have much or little beside their heavy terms
-    order = np.argsort(-rows.column("light").to_numpy(), kind="stable")
+    # examples of one slice have much or little beside their heavy terms, and those with much are of like texts
+    light = rows.column("light").to_numpy()
+    plain = np.flatnonzero(light > PLAIN)
+    sketch = pc.list_flatten(rows.column("sketch")).to_numpy().reshape(-1, SKETCH)
+    order = np.argsort(-light, kind="stable")
+    order[: len(plain)] = plain[_alike(sketch[plain])]
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
     heavy = _by_term(rows.column("heavy"), rows.column("weight"))
